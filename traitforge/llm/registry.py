@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import bpe, decontaminate
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op7_bpe_speculate_verify": bpe.op7_bpe_speculate_verify,
 }
 
 ORACLE_SQL = {
