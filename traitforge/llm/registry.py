@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, suffix_dedup
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op7_bpe_speculate_verify": bpe.op7_bpe_speculate_verify,
 }
 
