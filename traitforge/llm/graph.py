@@ -1,0 +1,35 @@
+"""Connected components of link tables, by star contraction on DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of ``edges`` (src, dst): the smallest node it can reach.
+
+    Each round points every node at its smallest neighbour (large star, then small star), so that
+    long chains shrink geometrically and a hub with very many neighbours is only ever aggregated,
+    never gathered. Rounds are written to the shared folder; nothing is collected.
+    """
+    links = materialize(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u > v").distinct(), "links")
+    for _ in range(max_rounds):
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # Large star: every larger neighbour of u points at u's minimum.
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Small star: u and its smaller neighbours point at the smallest of them.
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+        after = materialize(small, "links")
+        changed = after.exceptAll(links).limit(1).count() or links.exceptAll(after).limit(1).count()
+        links = after
+        if not changed:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

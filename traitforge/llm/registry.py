@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, suffix_dedup
+from . import bpe, decontaminate, minhash, suffix_dedup
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op7_bpe_speculate_verify": bpe.op7_bpe_speculate_verify,
+    "op9_minhash_hamming_join": minhash.op9_minhash_hamming_join,
 }
 
 ORACLE_SQL = {
