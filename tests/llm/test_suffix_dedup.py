@@ -49,7 +49,7 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("spans", [1000, 3])
+@pytest.mark.parametrize("spans", [1000, 3, 1])
 def test_against_brute_force(spark, seed, spans, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_SPANS", spans)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)

@@ -11,8 +11,9 @@ by anchor, a suffix array over the texts of a group of anchors (prefix doubling,
 the next smaller ones lie outside the run. A longest previous factor of ``length`` bytes or
 more therefore marks a later copy, a longest next factor an earlier one.
 
-An anchor with more than ``GROUP_SPANS`` different spans is not left to one task: its windows
-are dealt out one by one, by the bytes themselves.
+An anchor with more than ``GROUP_SPANS`` different spans is not left to one task. Its spans are cut
+into parts of up to ``PART`` windows that have most of their bytes in common, and these are dealt
+out by the common bytes; should such a group still be larger, its windows are dealt out one by one.
 
 Occurrences are ordered by document id, then place. ``keep="first"`` removes what has an earlier
 copy; ``keep="none"`` removes every copy.
@@ -34,17 +35,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, prefix_hash, slices, span_hash, table
+from .common import materialize, mix64, prefix_hash, slices, span_hash, table
 
 LENGTH = 200
 #: Bytes of an anchor's substring.
 GRAM = 32
 #: Bytes of texts handled at once, and of a piece of one long text.
-BLOCK, PIECE = 2 << 20, 1 << 20
+BLOCK, PIECE = 1 << 20, 1 << 19
 #: Different spans of one anchor that one task may hold.
 GROUP_SPANS = 1_000
+#: Windows in a part of a span, whose common bytes are all but so many of a window.
+PART = 40
 #: Bytes of span texts that one suffix array covers; larger groups of anchors are halved.
-ARRAY_BYTES = 4 << 20
+ARRAY_BYTES = 1 << 20
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -198,7 +201,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     # A repeated row joins as often as it stands there; one text of each span is enough.
     pieces = materialize(texts.mapInArrow(cut, cut_schema).dropDuplicates(["anchor", "span", "n"]), "span-texts")
     small = _compare_groups(pieces.filter(F.col("kinds") <= GROUP_SPANS), length)
-    large = _compare_windows(pieces.filter(F.col("kinds") > GROUP_SPANS), length, id_type)
+    large = _compare_parts(pieces.filter(F.col("kinds") > GROUP_SPANS), length, id_type)
     compared = materialize(small.unionByName(large), "compared")
     marked = spans.join(compared, ["anchor", "span", "n"], "left").filter((F.col("copies") > 1) | (F.size("earlier") > 0) | (F.size("later") > 0))
     return found.join(marked, ["anchor", "span", "n"]).drop("anchor", "span")
@@ -234,6 +237,67 @@ def _compared(rows: list[dict], length: int) -> pa.RecordBatch:
     )
 
 
+def parts_of(text: bytes, anchor: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Parts of a span: first window, number of windows, hash of their common bytes, text hash.
+
+    A window's part follows from its own bytes: the offset of the anchor's first occurrence in it,
+    in steps of ``PART``.
+    """
+    prefix = prefix_hash(np.frombuffer(text, np.uint8))
+    at = np.arange(len(text) - gram + 1)
+    found = np.flatnonzero(span_hash(prefix, at, at + gram).view(np.int64) == anchor)
+    k = np.arange(len(text) - length + 1)
+    occurs = found[np.searchsorted(found, k)]
+    step = (occurs - k) // PART
+    new = np.ones(len(k), bool)
+    new[1:] = (occurs[1:] != occurs[:-1]) | (step[1:] != step[:-1])
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(k))
+    common = occurs[starts] - step[starts] * PART
+    with np.errstate(over="ignore"):
+        key = mix64(span_hash(prefix, common, common + length - PART) + step[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return starts, ends - starts, key.view(np.int64), span_hash(prefix, starts, ends - 1 + length).view(np.int64)
+
+
+def _compare_parts(pieces: DataFrame, length: int, id_type: T.DataType) -> DataFrame:
+    """The same for anchors with very many spans, by parts of spans and their common bytes."""
+    schema = T.StructType([*T._parse_datatype_string("anchor long, span long, n int, k int, key long, part long, m int, print long, lo int, text binary").fields, T.StructField("id", id_type)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, row in enumerate(batch.select(["anchor", "span", "n", "print", "lo", "text"]).to_pylist()):
+                k, m, key, part = parts_of(row["text"], row["anchor"], length, GRAM)
+                n = len(k)
+                texts = [row["text"][i : i + j - 1 + length] for i, j in zip(k.tolist(), m.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array([row[c]] * n, t) for c, t in (("anchor", pa.int64()), ("span", pa.int64()), ("n", pa.int32()))),
+                        pa.array(k, pa.int32()), pa.array(key), pa.array(part), pa.array(m, pa.int32()), pa.array([row["print"]] * n, pa.int64()), pa.array(k + row["lo"], pa.int32()), pa.array(texts, pa.binary()),
+                        batch.column("id").take(pa.array(np.full(n, r))),
+                    ],
+                    names=schema.names,
+                )
+
+    parts = materialize(pieces.select("anchor", "span", "n", "id", "print", "lo", "text").mapInArrow(cut, schema), "parts")
+    kinds = parts.groupBy("key", "part", "m").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "print", "lo")).alias("first"))
+    kinds = materialize(kinds, "part-kinds")
+    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    one = kinds.join(mixed, "key").join(parts.select("key", "part", "m", "id", "print", "lo", "text"), ["key", "part", "m"])
+    one = one.filter(F.struct("id", "print", "lo").eqNullSafe(F.col("first"))).dropDuplicates(["key", "part", "m"])
+    one = materialize(one.select(F.col("key").alias("anchor"), F.col("part").alias("span"), F.col("m").alias("n"), "kinds", "id", "print", "lo", "text"), "part-texts")
+    small = _compare_groups(one.filter(F.col("kinds") <= GROUP_SPANS), length)
+    large = _compare_windows(one.filter(F.col("kinds") > GROUP_SPANS), length, id_type)
+    compared = small.unionByName(large).withColumnsRenamed({"anchor": "key", "span": "part", "n": "m"})
+    marked = kinds.join(compared, ["key", "part", "m"], "left").filter((F.col("copies") > 1) | (F.size("earlier") > 0) | (F.size("later") > 0))
+    owned = parts.drop("text").join(marked, ["key", "part", "m"])
+    none = F.array().cast(RUNS)
+    whole = F.array(F.array(F.lit(0), F.col("m")))
+    later_copy = (F.col("copies") > 1) & ~F.struct("id", "print", "lo").eqNullSafe(F.col("first"))
+    flags = owned.select("anchor", "span", "n", "k", F.when(later_copy, whole).otherwise(F.coalesce("earlier", none)).alias("e"), F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("later", none)).alias("l"))
+    moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda r: F.array(r[0] + F.col("k"), r[1] + F.col("k")))))
+    return flags.groupBy("anchor", "span", "n").agg(moved("e").alias("earlier"), moved("l").alias("later"))
+
+
 def _compare_windows(pieces: DataFrame, length: int, id_type: T.DataType) -> DataFrame:
     """The same for anchors with very many spans: windows meet by 64-bit hash under their anchor."""
     schema = T.StructType([*T._parse_datatype_string("anchor long, span long, n int, k int, hash long, print long, at int").fields, T.StructField("id", id_type)])
