@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, suffix_dedup, toxicity
+from . import bpe, decontaminate, language, minhash, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op5_compression_quality": quality.op5_compression_quality,
     "op7_bpe_speculate_verify": bpe.op7_bpe_speculate_verify,
+    "op8_crf_language": language.op8_crf_language,
     "op9_minhash_hamming_join": minhash.op9_minhash_hamming_join,
     "op10_tfidf_toxicity": toxicity.op10_tfidf_toxicity,
 }
