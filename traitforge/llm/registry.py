@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language, minhash, quality, suffix_dedup, toxicity
+from . import bpe, decontaminate, fixity, language, minhash, preference, quality, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_merkle_fixity": fixity.op1_merkle_fixity,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
+    "op4_preference_pairs": preference.op4_preference_pairs,
     "op5_compression_quality": quality.op5_compression_quality,
     "op7_bpe_speculate_verify": bpe.op7_bpe_speculate_verify,
     "op8_crf_language": language.op8_crf_language,
@@ -15,5 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_merkle_fixity": fixity.OP1_SQL,
+    "op4_preference_pairs": preference.OP4_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
 }
