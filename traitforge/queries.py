@@ -1,6 +1,475 @@
-"""Named queries of the core library over the driver's tables, with DuckDB twins."""
+"""Named queries of the core library over the driver's tables, with DuckDB twins.
+
+The tables are not genomes; each query binds an operator's roles to columns that have the same
+shape (a part's name for a sequence, a document's source for a genome, and so on). Doubles are
+rounded after aggregation, since sums of doubles depend on the order of rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import metrics, sequences
+from .operators import annotate, coverage, evaluate, merge, presence, select, sequence, split
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c: Column | str, digits: int = 6) -> Column:
+    return F.round(c, digits)
+
+
+def _parts(spark, d) -> DataFrame:
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("protein_id"), F.col("p_brand").alias("family"), F.col("p_name").alias("sequence"))
+
+
+def _words(spark, d) -> DataFrame:
+    """(genome, cluster, doc_id): words of the documents of each source."""
+    docs = _t(spark, d, "documents").select("doc_id", F.col("source").alias("genome"), F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("cluster"))
+    return docs.filter("cluster <> ''")
+
+
+_WORDS_SQL = "words AS (SELECT DISTINCT doc_id, source AS genome, w AS cluster FROM (SELECT doc_id, source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS w FROM documents) WHERE w <> '')"
+
+
+# --- sequences and k-mers -------------------------------------------------------------------
+
+_KMERS_SQL = "occ AS (SELECT p_partkey AS protein_id, p_brand AS family, substr(s, i, 3) AS kmer FROM (SELECT *, unnest(range(1, length(s) - 1)) AS i FROM (SELECT *, replace(p_name, '*', '') AS s FROM part)))"
+
+
+@query(f"WITH {_KMERS_SQL} SELECT kmer, count(DISTINCT protein_id) AS proteins FROM occ GROUP BY kmer HAVING count(DISTINCT protein_id) > 1")
+def kmer_support(spark, d):
+    return sequence.kmer_support(sequence.explode_kmers(_parts(spark, d), 3, ["protein_id"]), [])
+
+
+@query(f"WITH {_KMERS_SQL} SELECT family, kmer, count(DISTINCT protein_id) AS proteins FROM occ GROUP BY family, kmer")
+def kmer_family_support(spark, d):
+    return sequence.kmer_support(sequence.explode_kmers(_parts(spark, d), 3, ["protein_id", "family"]), ["family"], one_gene=True)
+
+
+@query("SELECT k, kmer, count(*) AS n FROM (SELECT k, substr(p_name, i, k) AS kmer FROM (SELECT p_name, k, unnest(range(1, length(p_name) - k + 2)) AS i FROM part, (SELECT unnest([3, 4, 5]) AS k) WHERE length(p_name) >= k)) GROUP BY k, kmer")
+def kmer_range(spark, d):
+    return sequence.explode_kmer_range(_parts(spark, d), 3, 5, []).groupBy("k", "kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+WITH g AS (SELECT p_partkey, p_brand AS genome, p_name, p_type AS feature FROM part),
+km AS (SELECT DISTINCT p_type AS feature, p_size AS cluster, substr(p_name, 1, 3) AS kmer FROM part WHERE length(p_name) >= 3),
+hit AS (SELECT genome, km.feature, cluster, kmer, max(CASE WHEN contains(p_name, kmer) THEN 1 ELSE 0 END) AS h FROM g JOIN km ON g.feature = km.feature GROUP BY ALL),
+calls AS (SELECT genome, feature, CASE WHEN sum(h) / count(*) >= 0.5 THEN 1 ELSE 0 END AS present FROM hit GROUP BY ALL)
+SELECT genome, feature, CAST(coalesce(present, 0) AS INTEGER) AS present FROM (SELECT DISTINCT genome, p_type AS feature FROM (SELECT genome FROM g), part) LEFT JOIN calls USING (genome, feature)
+""")
+def kmer_containment_call(spark, d):
+    part = _t(spark, d, "part")
+    kmers = part.filter(F.length("p_name") >= 3).select(F.col("p_type").alias("feature"), F.col("p_size").alias("cluster"), F.substring("p_name", 1, 3).alias("kmer")).distinct()
+    names = part.select(F.col("p_brand").alias("genome"), F.col("p_name").alias("sequence"), F.col("p_type").alias("feature")).distinct()
+    hits = sequence.contained(names.join(kmers, "feature"))
+    return sequence.call_features(hits, part.select(F.col("p_type").alias("feature")), 0.5)
+
+
+@query("SELECT user_id || '_' || event_type AS id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark, d):
+    return sequence.duplicate_ids(_t(spark, d, "events").select(F.concat_ws("_", "user_id", "event_type").alias("id")), "id")
+
+
+@query("SELECT event_type, CASE WHEN (SELECT count(*) FROM (SELECT 1 FROM events GROUP BY user_id HAVING count(*) > 1)) > 0 THEN event_type || '::' || user_id ELSE CAST(user_id AS VARCHAR) END AS user_id, count(*) AS n FROM events GROUP BY 1, 2")
+def id_rewrite(spark, d):
+    events = _t(spark, d, "events").select("user_id", "event_type")
+    return sequence.rewrite_ids(events, "user_id", "event_type").groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT regexp_replace(c_name, '#?[^#]*$', '') AS genome, c_mktsegment || '_' || c_name AS label, c_name AS kmer, c_mktsegment AS family, regexp_replace(split_part(c_name || '_7 # x', ' # ', 1), '_[^_]*$', '') AS protein_genome, split_part(c_name || '.x.y', '.', 1) AS stem, CAST(regexp_extract('t_cutoff_' || c_custkey, 'cutoff_(\\d+)', 1) AS INTEGER) AS cut_off FROM customer")
+def id_parsing(spark, d):
+    c = _t(spark, d, "customer").withColumn("label", F.concat_ws("_", "c_mktsegment", "c_name"))
+    return c.select(
+        F.regexp_replace("c_name", "#?[^#]*$", "").alias("genome"), "label", sequences.kmer_of_label(F.col("label")).alias("kmer"), sequences.family_of_label(F.col("label")).alias("family"),
+        sequences.genome_of_protein(F.concat("c_name", F.lit("_7 # x"))).alias("protein_genome"), sequences.without_suffix(F.concat("c_name", F.lit(".x.y"))).alias("stem"), sequences.cutoff_of_name(F.concat(F.lit("t_cutoff_"), F.col("c_custkey").cast("string"))).alias("cut_off"),
+    )
+
+
+@query("SELECT p_partkey AS protein_id, CAST(i - 1 AS INTEGER) AS start, CAST(i AS INTEGER) AS stop FROM (SELECT *, unnest(range(1, length(p_name))) AS i FROM part) WHERE substr(p_name, i, 2) = 're'")
+def kmer_positions(spark, d):
+    ranges = sequences.gap_tolerant_ranges(F.col("sequence"), F.lit("re"))
+    return _parts(spark, d).select("protein_id", F.explode(ranges).alias("r")).select("protein_id", F.col("r.start").alias("start"), F.col("r.stop").alias("stop"))
+
+
+# --- hits, presence, collapse, merge --------------------------------------------------------
+
+_BEST_SQL = "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_discount, l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) WHERE n = 1"
+
+
+@query(f"SELECT l_partkey, l_orderkey, l_linenumber, b.l_suppkey, s_name AS cluster FROM ({_BEST_SQL}) b LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) s ON b.l_suppkey = s_suppkey")
+def best_hit(spark, d):
+    lines = _t(spark, d, "lineitem")
+    order = [-F.col("l_extendedprice"), F.col("l_discount"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_suppkey")]
+    best = presence.best_of(lines, "l_partkey", order, ["l_orderkey", "l_linenumber", "l_suppkey"])
+    return presence.assign_clusters(best, _t(spark, d, "supplier").filter("s_acctbal > 0").withColumnRenamed("s_name", "cluster"), "l_suppkey", "s_suppkey", "cluster")
+
+
+@query("SELECT c_custkey, c_name, o_orderkey FROM (SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT o_custkey AS c_custkey, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1) USING (c_custkey)")
+def cluster_compare(spark, d):
+    c = _t(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name")
+    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    return presence.compare_clusters(c, o, "c_custkey")
+
+
+_PRESENT_SQL = "present AS (SELECT DISTINCT s_nationkey AS genome, p_brand AS cluster FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"
+_BRANDS = [f"Brand#{i}{j}" for i in range(1, 6) for j in range(1, 6)]
+
+
+def _present(spark, d) -> DataFrame:
+    lines = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    rows = lines.join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return presence.presence(rows, "s_nationkey", "p_brand")
+
+
+@query(f"WITH {_PRESENT_SQL} SELECT genome, cluster FROM present")
+def presence_long(spark, d):
+    return _present(spark, d)
+
+
+@query(f"WITH {_PRESENT_SQL} SELECT n_nationkey AS genome, " + ", ".join(f"CAST(count(*) FILTER (WHERE cluster = '{b}') AS INTEGER) AS \"{b}\"" for b in _BRANDS) + " FROM nation LEFT JOIN present ON genome = n_nationkey GROUP BY n_nationkey")
+def presence_wide(spark, d):
+    return presence.wide(_present(spark, d), "genome", "cluster", _BRANDS, _t(spark, d, "nation").select(F.col("n_nationkey").alias("genome")))
+
+
+_COLLAPSE_SQL = f"{_WORDS_SQL}, sets AS (SELECT cluster, array_to_string(list_sort(list(DISTINCT genome)), ',') AS genomes FROM words GROUP BY cluster), firsts AS (SELECT genomes, 'sc_' || (row_number() OVER (ORDER BY min(cluster)) - 1) AS feature FROM sets GROUP BY genomes)"
+
+
+@query(f"WITH {_COLLAPSE_SQL} SELECT cluster, feature FROM sets JOIN firsts USING (genomes)")
+def feature_collapse(spark, d):
+    return presence.collapse(_words(spark, d).select("genome", "cluster").distinct())
+
+
+@query(f"WITH {_COLLAPSE_SQL} SELECT DISTINCT genome, feature FROM words JOIN sets USING (cluster) JOIN firsts USING (genomes)")
+def feature_assignment(spark, d):
+    present = _words(spark, d).select("genome", "cluster").distinct()
+    return presence.assign_features(present, presence.collapse(present))
+
+
+@query(f"WITH {_WORDS_SQL} SELECT DISTINCT genome, cluster FROM words JOIN (SELECT cluster FROM words GROUP BY cluster HAVING count(DISTINCT genome) >= 2) USING (cluster)")
+def shared_clusters(spark, d):
+    return presence.shared_clusters(_words(spark, d).select("genome", "cluster").distinct())
+
+
+@query("SELECT l_orderkey, l_linenumber, name, value FROM (UNPIVOT (SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax FROM lineitem) ON l_quantity, l_discount, l_tax INTO NAME name VALUE value)")
+def melt_assignments(spark, d):
+    return _t(spark, d, "lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_discount", "l_tax"], "name", "value")
+
+
+@query("""
+WITH hits AS (SELECT l_partkey AS protein_id, 'S' || l_suppkey AS cluster FROM lineitem),
+features AS (SELECT 'S' || s_suppkey AS cluster, 'sc_' || s_nationkey AS feature FROM supplier)
+SELECT DISTINCT p_brand AS genome, feature FROM hits JOIN features USING (cluster) JOIN part ON protein_id = p_partkey
+""")
+def feature_transfer(spark, d):
+    hits = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("protein_id"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("cluster")).distinct()
+    features = _t(spark, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("cluster"), F.concat(F.lit("sc_"), F.col("s_nationkey").cast("string")).alias("feature"))
+    return presence.transfer_features(hits, _t(spark, d, "part").select(F.col("p_partkey").alias("protein_id"), F.col("p_brand").alias("genome")), features)
+
+
+@query("""
+SELECT strain, phage, phenotype, n_cust, s_bal FROM (SELECT o_orderkey AS strain_key, c_nationkey AS strain, l_suppkey AS phage, l_quantity AS phenotype FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)
+JOIN (SELECT c_nationkey AS strain, count(*) AS n_cust FROM customer WHERE c_acctbal > 0 GROUP BY 1) USING (strain) JOIN (SELECT s_suppkey AS phage, s_acctbal AS s_bal FROM supplier WHERE s_acctbal > 0) USING (phage)
+""")
+def merge_tables(spark, d):
+    c = _t(spark, d, "customer")
+    rows = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    phenotypes = rows.select(F.col("c_nationkey").alias("strain"), F.col("l_suppkey").alias("phage"), F.col("l_quantity").alias("phenotype"))
+    strains = c.filter("c_acctbal > 0").groupBy(F.col("c_nationkey").alias("strain")).agg(F.count(F.lit(1)).alias("n_cust"))
+    phages = _t(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("phage"), F.col("s_acctbal").alias("s_bal"))
+    return merge.merge_features(phenotypes, strains, phages)
+
+
+@query("SELECT r_regionkey, r_name, n_nationkey, n_name FROM region, nation")
+def prediction_cross(spark, d):
+    return merge.prediction_grid(_t(spark, d, "nation").select("n_nationkey", "n_name"), _t(spark, d, "region"))
+
+
+@query("SELECT o_custkey AS c_custkey FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 0")
+def listed_and_present(spark, d):
+    return merge.listed_and_present(_t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), _t(spark, d, "customer").filter("c_acctbal > 0"), "c_custkey")
+
+
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem")
+def missing_genomes(spark, d):
+    return merge.absent(_t(spark, d, "part"), _t(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+
+
+@query("SELECT event_type AS feature, count(DISTINCT user_id) AS occurrence FROM events GROUP BY 1")
+def occurrence_counts(spark, d):
+    return merge.occurrences(_t(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("feature")))
+
+
+@query("""
+WITH occ AS (SELECT l_partkey AS feature, count(DISTINCT l_suppkey) AS occurrence FROM lineitem GROUP BY 1), passed AS (SELECT cut_off, feature FROM occ, (SELECT unnest([10, 20, 30, 40, 50]) AS cut_off) WHERE occurrence >= cut_off)
+SELECT cut_off, feature FROM passed WHERE cut_off IN (SELECT cut_off FROM passed GROUP BY cut_off HAVING count(*) > 20 AND count(*) < (SELECT count(*) // 20 FROM lineitem))
+""")
+def occurrence_cutoffs(spark, d):
+    lines = _t(spark, d, "lineitem")
+    occ = merge.occurrences(lines.select(F.col("l_suppkey").alias("run"), F.col("l_partkey").alias("feature")))
+    return merge.cutoff_tables(occ, [10, 20, 30, 40, 50], lines.count())
+
+
+@query("SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000 WHERE o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL")
+def null_drop(spark, d):
+    o = _t(spark, d, "orders").filter("o_totalprice > 100000")
+    joined = _t(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "o_orderkey", "o_totalprice")
+    return merge.drop_null_rows(joined)
+
+
+# --- splits and weights ---------------------------------------------------------------------
+
+
+@query(f"WITH {_WORDS_SQL} SELECT cluster AS feature FROM words WHERE doc_id % 5 <> 0 INTERSECT SELECT cluster FROM words WHERE doc_id % 5 = 0")
+def common_features(spark, d):
+    words = _words(spark, d).withColumnRenamed("cluster", "feature")
+    return split.common_features(words.filter("doc_id % 5 <> 0"), words.filter("doc_id % 5 = 0"))
+
+
+@query(f"WITH {_WORDS_SQL} SELECT cluster AS feature, count(DISTINCT genome) AS groups FROM words GROUP BY 1 HAVING count(DISTINCT genome) >= 2")
+def group_presence_filter(spark, d):
+    return split.group_presence(_words(spark, d).select(F.col("genome").alias("group"), F.col("cluster").alias("feature")), 2)
+
+
+@query("""
+WITH s AS (SELECT o_custkey, count(*) AS size FROM orders GROUP BY 1), b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY md5(CAST(o_custkey AS VARCHAR)), o_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+SELECT o_custkey, size, CASE WHEN before < (SELECT floor(sum(size) * 0.8) FROM s) THEN 'train' ELSE 'test' END AS fold FROM b
+""")
+def group_split(spark, d):
+    return split.cumulative_split(_t(spark, d, "orders"), "o_custkey", F.md5(F.col("o_custkey").cast("string").cast("binary")))
+
+
+def _labelled(spark, d) -> DataFrame:
+    return _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
+
+
+_WEIGHTS = {
+    "log10": "greatest(1.0, coalesce(CASE WHEN total > p THEN log10((total - p) / (p + 1.0)) + 1 END, 1.0))",
+    "inverse_frequency": "total / (p + 1.0)",
+    "balanced": "(total - p) / (p + 1.0)",
+}
+
+
+def _weights_sql(method: str) -> str:
+    return f"SELECT source, CAST(p AS BIGINT) AS positives, CAST(total - p AS BIGINT) AS negatives, round(CASE WHEN p = 0 THEN 1.0 ELSE {_WEIGHTS[method]} END, 6) AS weight FROM (SELECT source, sum(toxic) AS p, count(*) AS total FROM documents JOIN labels USING (doc_id) GROUP BY source)"
+
+
+def _weights_query(method: str):
+    def run(spark, d):
+        return split.class_weights(_labelled(spark, d), "source", "toxic", method).withColumn("weight", _r("weight"))
+
+    run.__name__ = f"phage_weights_{method}"
+    return query(_weights_sql(method))(run)
+
+
+for _method in _WEIGHTS:
+    _weights_query(_method)
+
+
+@query(f"SELECT doc_id, CASE WHEN toxic > 0 THEN weight ELSE 1.0 END AS weight FROM documents JOIN labels USING (doc_id) JOIN ({_weights_sql('balanced')}) USING (source)")
+def row_weights(spark, d):
+    rows = _labelled(spark, d)
+    weights = split.class_weights(rows, "source", "toxic", "balanced").withColumn("weight", _r("weight"))
+    return split.row_weights(rows.select("doc_id", "source", "toxic"), weights, "source", "toxic").select("doc_id", "weight")
+
+
+# --- feature scores -------------------------------------------------------------------------
+
+_SCORED_SQL = f"{_WORDS_SQL}, lab AS (SELECT doc_id, quality AS label FROM labels), cls AS (SELECT label, count(*) AS n FROM lab GROUP BY 1), one AS (SELECT cluster AS feature, label, count(*) AS s FROM words JOIN lab USING (doc_id) GROUP BY ALL), grid AS (SELECT feature, label, n, coalesce(s, 0) AS s FROM (SELECT * FROM (SELECT DISTINCT feature FROM one), cls) LEFT JOIN one USING (feature, label))"
+_ANOVA_SQL = "SELECT feature, round(CASE WHEN total - between_ <> 0 THEN ((between_ - total * total / rows_) / (k - 1)) / ((total - between_) / (rows_ - k)) END, 4) AS score FROM (SELECT feature, CAST(sum(s) AS DOUBLE) AS total, CAST(sum(n) AS DOUBLE) AS rows_, sum(CAST(s AS DOUBLE) * s / n) AS between_, count(*) AS k FROM grid GROUP BY feature)"
+_CHI_SQL = "SELECT feature, round(sum(CASE WHEN e > 0 THEN (s - e) * (s - e) / e END), 4) AS score FROM (SELECT feature, s, sum(s) OVER w * n / sum(n) OVER w AS e FROM grid WINDOW w AS (PARTITION BY feature)) GROUP BY feature"
+
+
+def _tokens(spark, d) -> tuple[DataFrame, DataFrame]:
+    return _words(spark, d).select("doc_id", F.col("cluster").alias("feature")), _t(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+
+
+@query(f"WITH {_SCORED_SQL} {_ANOVA_SQL}")
+def anova_f(spark, d):
+    return select.anova_f(*_tokens(spark, d), "doc_id").withColumn("score", _r("score", 4))
+
+
+@query(f"WITH {_SCORED_SQL} {_CHI_SQL}")
+def chi2_scores(spark, d):
+    return select.chi2(*_tokens(spark, d), "doc_id").withColumn("score", _r("score", 4))
+
+
+@query(f"WITH {_SCORED_SQL}, scored AS ({_CHI_SQL}) SELECT * FROM scored ORDER BY score DESC, feature LIMIT 50")
+def k_best(spark, d):
+    return select.top_features(chi2_scores(spark, d), 50)
+
+
+@query(f"""
+WITH {_WORDS_SQL}, t AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS y FROM documents), a AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM t),
+f AS (SELECT cluster AS feature, CAST(count(*) AS DOUBLE) AS sx, sum(y) AS sxy FROM words JOIN t USING (doc_id) GROUP BY 1),
+r AS (SELECT feature, n, CASE WHEN n * sx - sx * sx > 0 THEN (n * sxy - sx * sy) * (n * sxy - sx * sy) / ((n * sx - sx * sx) * (n * syy - sy * sy)) END AS r2 FROM f, a)
+SELECT feature, round(r2 * (n - 2) / (1 - r2), 4) AS score FROM r
+""")
+def f_regression(spark, d):
+    targets = _t(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("target"))
+    return select.regression_f(_words(spark, d).select("doc_id", F.col("cluster").alias("feature")), targets, "doc_id").withColumn("score", _r("score", 4))
+
+
+# --- evaluation -----------------------------------------------------------------------------
+
+
+def _scored(spark, d) -> DataFrame:
+    return _labelled(spark, d).select("lang", "toxic", (F.col("n_chars") / (F.col("n_chars") + 2000)).alias("score")).withColumn("prediction", metrics.vote(F.col("score")))
+
+
+_SCORES_SQL = "sc AS (SELECT lang, toxic, n_chars / (n_chars + 2000) AS score, CASE WHEN n_chars / (n_chars + 2000) > 0.5 THEN 1 ELSE 0 END AS p FROM documents JOIN labels USING (doc_id))"
+_CONFUSION_SQL = "cf AS (SELECT lang, count(*) FILTER (WHERE toxic > 0 AND p > 0) AS tp, count(*) FILTER (WHERE toxic = 0 AND p > 0) AS fp, count(*) FILTER (WHERE toxic > 0 AND p = 0) AS fn, count(*) FILTER (WHERE toxic = 0 AND p = 0) AS tn FROM sc GROUP BY lang)"
+
+
+@query(f"WITH {_SCORES_SQL}, {_CONFUSION_SQL} SELECT * FROM cf")
+def confusion(spark, d):
+    return evaluate.confusion(_scored(spark, d), ["lang"], "toxic", "prediction")
+
+
+@query(f"WITH {_SCORES_SQL}, {_CONFUSION_SQL} SELECT lang, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END, 6) AS f1, round(CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0.0 END, 6) AS mcc FROM cf")
+def binary_metrics(spark, d):
+    rows = evaluate.classification_metrics(confusion(spark, d), ["lang"])
+    return rows.select("lang", *[_r(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "mcc")])
+
+
+@query(f"WITH {_SCORES_SQL}, r AS (SELECT lang, toxic, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS r FROM sc) SELECT lang, round(CASE WHEN sum(toxic) > 0 AND sum(1 - toxic) > 0 THEN (sum(r) FILTER (WHERE toxic > 0) - sum(toxic) * (sum(toxic) + 1) / 2.0) / (sum(toxic) * sum(1 - toxic)) END, 6) AS auc FROM r GROUP BY lang")
+def auc(spark, d):
+    return evaluate.auc(_scored(spark, d), ["lang"], "toxic", "score").withColumn("auc", _r("auc"))
+
+
+_CURVE_SQL = f"WITH {_SCORES_SQL}, c AS (SELECT lang, score, sum(toxic) AS pos, sum(1 - toxic) AS neg FROM sc GROUP BY ALL), q AS (SELECT lang, score, sum(pos) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY lang ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY lang) AS p, sum(neg) OVER (PARTITION BY lang) AS n FROM c)"
+
+
+@query(f"{_CURVE_SQL} SELECT lang, round(score, 9) AS threshold, round(CASE WHEN n > 0 THEN fp / n ELSE 0.0 END, 6) AS fpr, round(CASE WHEN p > 0 THEN tp / p ELSE 0.0 END, 6) AS tpr FROM q")
+def roc_points(spark, d):
+    return evaluate.roc_points(_scored(spark, d), ["lang"], "toxic", "score").select("lang", _r("threshold", 9).alias("threshold"), _r("fpr").alias("fpr"), _r("tpr").alias("tpr"))
+
+
+@query(f"{_CURVE_SQL} SELECT lang, round(score, 9) AS threshold, round(tp / (tp + fp), 6) AS precision, round(CASE WHEN p > 0 THEN tp / p ELSE 0.0 END, 6) AS recall FROM q UNION ALL SELECT DISTINCT lang, NULL, 1.0, 0.0 FROM sc")
+def pr_points(spark, d):
+    return evaluate.pr_points(_scored(spark, d), ["lang"], "toxic", "score").select("lang", _r("threshold", 9).alias("threshold"), _r("precision").alias("precision"), _r("recall").alias("recall"))
+
+
+@query("SELECT user_id, round(median(value), 6) AS confidence, CASE WHEN median(value) > 0.5 THEN 1 ELSE 0 END AS prediction FROM events WHERE value IS NOT NULL GROUP BY user_id")
+def ensemble_median(spark, d):
+    events = _t(spark, d, "events").filter("value IS NOT NULL")
+    return evaluate.ensemble(events, ["user_id"], "value").withColumn("confidence", _r("confidence"))
+
+
+@query("SELECT l_returnflag, round(sum(e * e) / count(*), 2) AS mse, round(1 - sum(e * e) / (count(*) * var_pop(y)), 6) AS r2 FROM (SELECT l_returnflag, l_extendedprice AS y, l_extendedprice - 1500 * l_quantity AS e FROM lineitem) GROUP BY 1")
+def regression_metrics(spark, d):
+    rows = _t(spark, d, "lineitem").withColumn("predicted", 1500 * F.col("l_quantity"))
+    out = evaluate.regression_metrics(rows, ["l_returnflag"], "l_extendedprice", "predicted")
+    return out.select("l_returnflag", _r("mse", 2).alias("mse"), _r("r2").alias("r2"))
+
+
+@query("SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem GROUP BY 1")
+def fitted_line(spark, d):
+    out = evaluate.fitted_line(_t(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity")
+    return out.select("l_returnflag", _r("slope", 4).alias("slope"), _r("intercept", 3).alias("intercept"))
+
+
+@query("SELECT p_type, p_brand, n FROM (SELECT p_type, p_brand, count(*) AS n, rank() OVER (PARTITION BY p_type ORDER BY count(*) DESC) AS r FROM part GROUP BY 1, 2) WHERE r = 1")
+def top_model_ties(spark, d):
+    counts = _t(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    return evaluate.best_with_ties(counts, ["p_type"], F.col("n"))
+
+
+@query("WITH e AS (SELECT event_type AS g, value AS v FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL), p AS (SELECT x.g AS a, y.g AS b FROM (SELECT DISTINCT g FROM e) x, (SELECT DISTINCT g FROM e) y WHERE x.g < y.g), m AS (SELECT a, b, g = a AS of_a, v FROM p, e WHERE g = a OR g = b), r AS (SELECT a, b, of_a, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS r FROM m) SELECT a, b, round(sum(r) FILTER (WHERE of_a) - count(*) FILTER (WHERE of_a) * (count(*) FILTER (WHERE of_a) + 1) / 2.0, 1) AS u FROM r GROUP BY a, b")
+def mannwhitney_u(spark, d):
+    return evaluate.mann_whitney(_t(spark, d, "events"), "event_type", "value").select("a", "b", _r("u", 1).alias("u"))
+
+
+@query()
+def mannwhitney_p(spark, d):
+    return evaluate.mann_whitney(_t(spark, d, "events"), "event_type", "value")
+
+
+@query("SELECT event_type AS run, user_id % 10 AS feature, CAST(event_id % 2 AS BIGINT) AS value, round(median(value), 6) AS median FROM events GROUP BY 1, 2, 3")
+def shap_rollup(spark, d):
+    e = _t(spark, d, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 10).alias("feature"), (F.col("event_id") % 2).alias("v"), F.col("value").alias("shap_value"))
+    return evaluate.median_by_run(e, "run", "feature", "v", "shap_value").select("run", "feature", F.col("v").alias("value"), _r("median").alias("median"))
+
+
+@query("SELECT user_id AS feature, round(avg(abs(value)), 6) AS mean_abs FROM events GROUP BY 1 ORDER BY avg(abs(value)) DESC, 1 LIMIT 20")
+def top_attributions(spark, d):
+    return evaluate.top_by_mean_abs(_t(spark, d, "events").withColumnRenamed("user_id", "feature"), "feature", "value").withColumn("mean_abs", _r("mean_abs"))
+
+
+# --- annotation and coverage ----------------------------------------------------------------
+
+
+@query("""
+WITH f AS (SELECT DISTINCT p_type AS feature, p_brand AS cluster FROM part), c AS (SELECT p_brand AS cluster, p_partkey AS protein_id FROM part),
+r AS (SELECT feature, cluster, protein_id FROM f JOIN (SELECT DISTINCT p_type AS feature FROM part WHERE p_size > 25) USING (feature) LEFT JOIN c USING (cluster))
+SELECT feature, cluster, protein_id, unique_clusters, unique_proteins FROM r JOIN (SELECT feature, count(DISTINCT cluster) AS unique_clusters, count(DISTINCT protein_id) AS unique_proteins FROM r GROUP BY 1) USING (feature)
+""")
+def predictive_proteins(spark, d):
+    part = _t(spark, d, "part")
+    features = part.select(F.col("p_type").alias("feature"), F.col("p_brand").alias("cluster")).distinct()
+    return annotate.predictive_proteins(part.filter("p_size > 25").select(F.col("p_type").alias("feature")), features, part.select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("protein_id")))
+
+
+@query("SELECT genome, feature, protein_id FROM (SELECT p_partkey AS protein_id, p_type AS feature FROM part) JOIN (SELECT DISTINCT l_partkey AS protein_id, l_suppkey AS genome FROM lineitem) USING (protein_id) JOIN (SELECT DISTINCT s_suppkey AS genome, p_type AS feature FROM supplier, (SELECT DISTINCT p_type FROM part) WHERE s_acctbal > 5000) USING (genome, feature)")
+def feature_overview(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_partkey").alias("protein_id"), F.col("p_type").alias("feature"))
+    genomes = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("protein_id"), F.col("l_suppkey").alias("genome")).distinct()
+    assigned = merge.prediction_grid(part.select("feature").distinct(), _t(spark, d, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("genome")))
+    return annotate.feature_overview(part, genomes, assigned).select("genome", "feature", "protein_id")
+
+
+@query("SELECT feature, round(importance, 6) AS importance, round(shap, 6) AS shap FROM (SELECT user_id AS feature, avg(value) AS importance FROM events WHERE event_type = 'view' GROUP BY 1) JOIN (SELECT user_id AS feature, avg(abs(value)) AS shap FROM events WHERE event_type = 'click' GROUP BY 1) USING (feature)")
+def importance_rollup(spark, d):
+    e = _t(spark, d, "events").withColumnRenamed("user_id", "feature")
+    out = annotate.importance_rollup(e.filter("event_type = 'view'").withColumnRenamed("value", "importance"), e.filter("event_type = 'click'").withColumnRenamed("value", "shap_value"))
+    return out.select("feature", _r("importance").alias("importance"), _r("shap").alias("shap"))
+
+
+@query("SELECT event_id, round(value / m, 6) AS scaled FROM events JOIN (SELECT user_id, nullif(max(value), 0) AS m FROM events GROUP BY 1) USING (user_id)")
+def scaled_by_max(spark, d):
+    return annotate.scaled_by_max(_t(spark, d, "events"), "user_id", "value").select("event_id", _r("scaled").alias("scaled"))
+
+
+_SEGMENTS_SQL = "e AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS c FROM events), f AS (SELECT *, CASE WHEN c <> lag(c) OVER w THEN 1 WHEN lag(c) OVER w IS NULL THEN 1 ELSE 0 END AS x FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), s AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY event_id) AS seg FROM f), seg AS (SELECT user_id, c AS coverage, CAST(seg AS BIGINT) AS segment_id, min(event_id) AS start, max(event_id) + 1 AS stop FROM s GROUP BY ALL)"
+
+
+def _event_segments(spark, d) -> DataFrame:
+    e = _t(spark, d, "events").select("user_id", F.col("event_id").alias("index"), (F.col("event_type") == "error").cast("int").alias("coverage"))
+    return coverage.segments(e, ["user_id"])
+
+
+@query(f"WITH {_SEGMENTS_SQL} SELECT user_id, coverage, segment_id, start, stop FROM seg")
+def coverage_segments(spark, d):
+    return _event_segments(spark, d)
+
+
+@query("WITH p AS (SELECT p_partkey AS protein_id, p_name, p_brand AS family FROM part), h AS (SELECT protein_id, i - 1 AS a, i AS b FROM (SELECT *, unnest(range(1, length(p_name))) AS i FROM p) WHERE substr(p_name, i, 2) = 're'), r AS (SELECT protein_id, family, p_name, j - 1 AS i FROM (SELECT *, unnest(range(1, length(p_name) + 1)) AS j FROM p)) SELECT 'f' AS feature, family, r.protein_id, CAST(i AS INTEGER) AS \"index\", substr(p_name, i + 1, 1) AS residue, CAST(max(CASE WHEN h.protein_id IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS coverage FROM r LEFT JOIN h ON r.protein_id = h.protein_id AND i BETWEEN a AND b WHERE true GROUP BY ALL")
+def residue_coverage(spark, d):
+    aligned = _parts(spark, d).select(F.lit("f").alias("feature"), "family", "protein_id", F.col("sequence").alias("aligned"), F.lit("re").alias("kmer"))
+    return coverage.residue_coverage(coverage.kmer_ranges(aligned))
+
+
+@query("WITH seg AS (SELECT p_partkey AS protein_id, p_brand AS family, 'f' AS feature, 1 AS coverage, CAST(p_size AS BIGINT) AS segment_id, 0 AS start, p_size AS stop FROM part WHERE p_size > 25) SELECT * FROM seg UNION ALL SELECT p_partkey, p_brand, NULL, 0, NULL, 0, CAST(length(replace(p_name, '-', '')) AS INTEGER) FROM part WHERE p_partkey NOT IN (SELECT protein_id FROM seg)")
+def uncovered_union(spark, d):
+    part = _t(spark, d, "part")
+    found = part.filter("p_size > 25").select(F.lit("f").alias("feature"), F.col("p_brand").alias("family"), F.col("p_partkey").alias("protein_id"), F.lit(1).alias("coverage"), F.col("p_size").cast("long").alias("segment_id"), F.lit(0).alias("start"), F.col("p_size").alias("stop"))
+    return coverage.add_uncovered(found, part.select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("protein_id"), F.col("p_name").alias("aligned")))
