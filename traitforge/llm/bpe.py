@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 #: Chunks between white space whose encodings a Python worker remembers, twice over.
 CACHE_CHUNKS = 150_000
@@ -280,6 +280,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
     """One row per document: ``id_col``, ``ids`` (decimal ids joined by one space), ``n_tokens``
     and ``decoded`` (the tokens' strings joined by one space, as a file without a decoder asks)."""
     spark = docs.sparkSession
+    small_batches(spark)
     with open(tokenizer_file, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())])

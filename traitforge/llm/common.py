@@ -34,6 +34,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark cut the Arrow batches it sends to Python by bytes: 10,000 rows of long texts or
+    large sets would not fit beside an executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut lineage that any
     executor can reread after another one is lost."""

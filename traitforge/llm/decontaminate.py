@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, table
+from .common import slices, small_batches, table
 
 WINDOW = 10
 #: Bytes of item texts in one automaton; larger benchmarks take several automata in turn.
@@ -193,6 +193,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """One row per document: ``id_col``, ``n_words``, ``n_hit``, ``hits`` (word ranges), ``items``
     (sorted ids of the items with occurring windows) and ``contaminated``."""
     spark = docs.sparkSession
+    small_batches(spark)
     automata = _automata(spark, benchmark, item_col, item_text, window, shard_bytes)
     id_type = docs.schema[id_col].dataType
     out_schema = T.StructType([T.StructField(id_col, id_type), *REPORT.fields[1:], T.StructField("n_hit", T.LongType())])
@@ -223,6 +224,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """Cut hit spans out of the texts and drop documents of whose words more than ``max_coverage``
     are hit. The columns stay as they are; ``length_col`` follows the shortened text."""
     spark = docs.sparkSession
+    small_batches(spark)
     automata = _automata(spark, benchmark, "item_id", "text", window, shard_bytes)
     at = docs.columns.index(text_col)
     length_at = docs.columns.index(length_col) if length_col in docs.columns else None

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, fold, mix64, slices, table
+from .common import U64, fold, mix64, slices, small_batches, table
 from .learning import labelled_sample
 
 FOLDS, HELD_OUT = 4, 2
@@ -257,6 +257,7 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, ``lang_pred``, ``score`` and ``shares`` of the languages."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("lang_pred string, score double, shares map<string,double>").fields])
 
@@ -280,6 +281,7 @@ def _predicted(model: LanguageModel, texts: list[str | None]) -> tuple[list[str]
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language with a score of at least ``least``."""
+    small_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, slices, table
+from .common import fold, slices, small_batches, table
 from .learning import labelled_sample, logistic, probability
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
@@ -91,6 +91,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per document: ``id_col``, ``held_out``, ``score``, and the ``difference`` of the
     compressed sizes behind it."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(QualityModel(*labelled_sample(docs, labels, label_col, FOLDS, HELD_OUT, PER_CLASS, id_col, text_col)))
     schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("score double, difference double").fields])
 

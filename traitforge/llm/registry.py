@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, fixity, language, minhash, preference, quality, suffix_dedup, toxicity
+from . import bpe, decontaminate, embeddings, fixity, language, minhash, preference, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_merkle_fixity": fixity.op1_merkle_fixity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_array_dedup": suffix_dedup.op3_suffix_array_dedup,
     "op4_preference_pairs": preference.op4_preference_pairs,
     "op5_compression_quality": quality.op5_compression_quality,
+    "op6_pruned_graph": embeddings.op6_pruned_graph,
     "op7_bpe_speculate_verify": bpe.op7_bpe_speculate_verify,
     "op8_crf_language": language.op8_crf_language,
     "op9_minhash_hamming_join": minhash.op9_minhash_hamming_join,

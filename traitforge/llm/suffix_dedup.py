@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, prefix_hash, slices, span_hash, table
+from .common import materialize, mix64, prefix_hash, slices, small_batches, span_hash, table
 
 LENGTH = 200
 #: Bytes of an anchor's substring.
@@ -173,6 +173,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     ``copies``: occurrences of this very span; ``first``: the first of them; ``earlier`` and
     ``later``: runs of the span's windows that other spans hold at earlier or later places.
     """
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"), _as_bytes(F.col(text_col)).alias("body"))
     anchors = _anchors(plain, id_type, length)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, slices, table
+from .common import fold, slices, small_batches, table
 from .decontaminate import words_of
 from .learning import labelled_sample, logistic, probability
 
@@ -160,6 +160,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """One row per document: ``id_col``, ``held_out``, ``score``, the ids of the nearest examples
     (``nearest``) and the marking words in the text (``evidence``)."""
     spark = docs.sparkSession
+    small_batches(spark)
     sample, counts = labelled_sample(docs, labels, label_col, FOLDS, HELD_OUT, PER_CLASS, id_col, text_col)
     sample = list({t: (v, i, t) for v, i, t in sample[::-1]}.values())[::-1]
     both = len({v for v, _, _ in sample}) == 2
