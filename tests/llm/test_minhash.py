@@ -76,7 +76,9 @@ def test_against_brute_force(spark, seed, block, monkeypatch, tmp_path):
 def test_nulls_repeats_and_other_columns(spark):
     rows = [(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, None), (8, "q w e r t y u"), (None, "lonely text stands here all alone"), (3, "A B C D E F")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n string").withColumn("cls", minhash.F.lit(1))
-    got = Counter((r.id, r.component, r.kept) for r in NearDuplicates(docs, width=4).groups().collect())
+    rows = NearDuplicates(docs, width=4).groups().collect()
+    assert sum(r.leader for r in rows) == 4
+    got = Counter((r.id, r.component, r.kept) for r in rows)
     assert got == {(None, 3, False): 1, (7, 3, False): 2, (3, 3, True): 1, (8, 8, True): 2, (None, None, True): 1}
     assert NearDuplicates(docs.limit(0)).groups().count() == 0
 

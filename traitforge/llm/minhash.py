@@ -10,7 +10,10 @@ similarity of 0.8 a pair exceeds the distance with probability 0.0002, at 0.85 w
 Pairs are never formed from all members of a key. Documents with equal sets are one class. In
 each key the class that shares most keys with others is the hub, and the others are compared with
 it; what links joins one component. Only members of a key that are still in different components
-after that are compared with each other, in blocks. Every link is confirmed on full sets.
+after that are compared with each other, in blocks, each pair under its first common key: first
+every member outside the key's main component with its nearest one, then, once those links have
+joined what they can, all that are still apart. Bitmaps of the sets, whose difference is never more
+than that of the sets, spare nearly all pairs that cannot link. Every link is confirmed on full sets.
 
 Defined results: words are what stands between ASCII white space, A-Z lower-cased; null texts and
 texts without words have empty sets and link with nothing; with fewer words than the shingle
@@ -30,12 +33,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, materialize, mix64, prefix_hash, slices, span_hash, table
+from .common import U64, materialize, mix64, prefix_hash, slices, small_batches, span_hash, table
 from .graph import components
 
 HASHES, BITS, DISTANCE, CHUNKS = 48, 16, 20, 11
 #: Members of one key that are compared with each other in one step.
 BLOCK = 512
+#: Bits of the bitmap that bounds the difference of two sets from below.
+BITMAP = 4096
 #: Bytes of text hashed at once.
 PIECE = 2 << 20
 
@@ -170,42 +175,51 @@ def _within_distance(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").mapInArrow(near, "a binary, b binary")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within the distance, from keys cut into blocks."""
+def _blocks(rows: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of different components that may link, from keys cut into blocks: all, or for
+    each member outside the block's main component the ``nearest`` only."""
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "comp", "sig")
+    dealt = dealt.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "comp", "sig", "n", "bitmap")
+
+    def pairs(rows: list[dict]) -> pa.RecordBatch:
+        sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES)
+        keys = chunk_keys(sig)
+        variant = int(np.argmax((keys == rows[0]["key"]).all(0)))
+        comp = np.unique([r["comp"] for r in rows], return_inverse=True)[1]
+        own, n = (np.array([r[c] for r in rows]) for c in ("own", "n"))
+        bits = np.frombuffer(b"".join(r["bitmap"] for r in rows), U64).reshape(len(rows), -1)
+        main = np.bincount(comp).argmax()
+        left, right = [], []
+        for i in range(len(rows) - 1) if not nearest else np.flatnonzero(comp != main).tolist():
+            rest = slice(0 if nearest else i + 1, None)
+            asked = comp[rest] != comp[i]
+            # In a step of two blocks, pairs inside one block are left to that block's own step.
+            if rows[0]["p"] != rows[0]["q"]:
+                asked &= own[rest] != own[i]
+            at = np.flatnonzero(asked) + rest.start
+            distance = (sig[at] != sig[i]).sum(1)
+            at, distance = at[distance <= DISTANCE], distance[distance <= DISTANCE]
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
+            mine = ((keys[at] == keys[i]).argmax(1) == variant) & (differ * (100 + percent) <= (100 - percent) * (n[i] + n[at]))
+            at = at[mine]
+            if nearest and len(at):
+                at = at[[distance[mine].argmin()]]
+            left += [rows[i]["cls"]] * len(at)
+            right += [rows[j]["cls"] for j in at]
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[dict]) -> tuple[list[bytes], list[bytes]]:
-            sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(-1, HASHES)
-            comp = np.unique([r["comp"] for r in rows], return_inverse=True)[1]
-            own = np.array([r["own"] for r in rows])
-            left, right = [], []
-            for i in range(len(rows) - 1):
-                # In a step of two blocks, pairs inside one block are left to that block's own step.
-                asked = comp[i + 1 :] != comp[i]
-                if rows[0]["p"] != rows[0]["q"]:
-                    asked &= own[i + 1 :] != own[i]
-                at = np.flatnonzero(asked) + i + 1
-                at = at[(sig[at] != sig[i]).sum(1) <= DISTANCE]
-                left += [rows[i]["cls"]] * len(at)
-                right += [rows[j]["cls"] for j in at]
-            return left, right
-
         held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if held and (row["key"], row["p"], row["q"]) != (held[0]["key"], held[0]["p"], held[0]["q"]):
-                    left, right = pairs(held)
-                    if left:
-                        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+                    yield pairs(held)
                     held = []
                 held.append(row)
         if held:
-            left, right = pairs(held)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
+            yield pairs(held)
 
     order = ["key", "p", "q"]
     found = dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a binary, b binary")
@@ -216,16 +230,15 @@ class NearDuplicates:
     """Near-duplicate classes of a table; see the module's text for the method."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80):
+        small_batches(docs.sparkSession)
         self.width, self.percent = width, percent
         self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
         self.rows = materialize(_profiles(self.docs, width), "profiles")
 
-    def _confirmed(self, pairs: DataFrame, where: DataFrame) -> DataFrame:
-        """Pairs whose full sets are similar enough."""
-        width, percent = self.width, self.percent
-        asked = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    def _sets(self, asked: DataFrame, where: DataFrame) -> DataFrame:
+        """(cls, hashes): the full shingle sets of the classes ``asked``."""
+        width, docs, at = self.width, self.docs, self.docs.columns.index("body")
         asked = asked.join(where, "cls").select("cls", F.col("place.id").alias("wid"), F.col("place.print").alias("wprint"))
-        docs, at = self.docs, self.docs.columns.index("body")
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -240,7 +253,11 @@ class NearDuplicates:
 
         packed = docs.mapInArrow(pack, docs.schema)
         texts = packed.join(asked, packed["id"].eqNullSafe(F.col("wid")) & (packed["print"] == F.col("wprint"))).select("cls", "body")
-        full = materialize(texts.mapInArrow(sets, "cls binary, hashes binary").dropDuplicates(["cls"]), "sets")
+        return materialize(texts.mapInArrow(sets, "cls binary, hashes binary").dropDuplicates(["cls"]), "sets")
+
+    def _confirmed(self, pairs: DataFrame, full: DataFrame) -> DataFrame:
+        """Pairs whose full sets are similar enough."""
+        percent = self.percent
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -256,6 +273,31 @@ class NearDuplicates:
         joined = pairs.join(full.withColumnsRenamed({"cls": "a", "hashes": "ha"}), "a").join(full.withColumnsRenamed({"cls": "b", "hashes": "hb"}), "b")
         return joined.select("a", "b", "ha", "hb").mapInArrow(confirm, "a binary, b binary")
 
+    @staticmethod
+    def _bitmaps(full: DataFrame) -> DataFrame:
+        """(cls, n, bitmap): set sizes, and one bit for each shingle's hash."""
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes, maps = [], []
+                for hashes in batch.column(1).to_pylist():
+                    values = np.frombuffer(hashes, U64)
+                    bits = np.zeros(BITMAP, bool)
+                    bits[(values % U64(BITMAP)).astype(np.int64)] = True
+                    sizes.append(len(values))
+                    maps.append(np.packbits(bits).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary())], names=["cls", "n", "bitmap"])
+
+        return full.mapInArrow(mark, "cls binary, n long, bitmap binary")
+
+    @staticmethod
+    def _apart(members: DataFrame, joined: DataFrame) -> DataFrame:
+        """(key, cls, comp, size) of the keys whose members are in different components."""
+        named = members.join(joined.withColumnsRenamed({"node": "cls", "component": "comp"}), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        named = materialize(named.select("key", "cls", "comp"), "rest")
+        apart = named.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key", "size")
+        return materialize(named.join(apart, "key"), "apart")
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Confirmed links (a, b) between classes that span every component, and the classes."""
         filled = self.rows.filter("n > 0")
@@ -270,29 +312,35 @@ class NearDuplicates:
         first = hubbed.filter("cls != hub").select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b")).distinct()
         where = classes.select("cls", "place")
         near = materialize(_within_distance(first, classes), "near")
-        links = materialize(self._confirmed(near, where), "confirmed")
-        so_far = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "cls", "component": "comp"})
-        rest = hubbed.filter("size > 2 AND cls != hub").join(so_far, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        rest = materialize(rest.select("key", "cls", "comp"), "rest")
-        apart = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key", "size")
-        blocks = _blocks(rest.join(apart, "key").join(classes.select("cls", "sig"), "cls"))
-        pairs = materialize(blocks.join(near, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = links.unionByName(materialize(self._confirmed(pairs, where), "confirmed"))
+        asked = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+        links = materialize(self._confirmed(near, self._sets(asked, where)), "confirmed")
+        so_far = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        rest = self._apart(hubbed.filter("size > 2 AND cls != hub").select("key", "cls"), so_far)
+        if not rest.isEmpty():
+            full = self._sets(rest.select("cls").distinct(), where)
+            told = materialize(classes.select("cls", "sig").join(self._bitmaps(full), "cls"), "told")
+            first = materialize(_blocks(rest.join(told, "cls"), self.percent, nearest=True), "nearest")
+            links = links.unionByName(materialize(self._confirmed(first, full), "confirmed"))
+            rest = self._apart(rest.select("key", "cls"), components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+            pairs = materialize(_blocks(rest.join(told, "cls"), self.percent, nearest=False).join(first, ["a", "b"], "left_anti"), "pairs")
+            links = links.unionByName(materialize(self._confirmed(pairs, full), "confirmed"))
         return links, classes
 
     def groups(self) -> DataFrame:
-        """One row per document: ``id``, ``print``, ``n`` (set size), ``component``, ``kept``."""
+        """One row per document: ``id``, ``print`` (hash of its text), ``n`` (set size),
+        ``component``, ``kept``, and ``leader``: whether it is the group's first by id and text."""
         links, classes = self.links()
         joined = components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnsRenamed({"node": "cls", "component": "comp"})
-        members = classes.join(joined, "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"), F.col("place.id").alias("least"))
-        ids = self.rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("least"))
-        named = members.drop("least").join(ids, "cls")
-        names = named.groupBy("comp").agg(F.min("least").alias("component"))
-        of_class = named.join(names, "comp").select("cls", "component")
+        members = classes.select("cls").join(joined, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "print")
+        firsts = self.rows.filter("n > 0").groupBy("cls").agg(F.min("id").alias("least"), F.min(place).alias("first"))
+        named = members.join(firsts, "cls")
+        names = named.groupBy("comp").agg(F.min("least").alias("component"), F.min("first").alias("first"))
+        of_class = named.select("cls", "comp").join(names, "comp").select("cls", "component", "first")
         out = self.rows.drop("sig").join(of_class, "cls", "left")
         component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-        return out.select("id", "print", "n", component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"))
+        leader = (F.col("n") == 0) | place.eqNullSafe(F.col("first"))
+        return out.select("id", "print", "n", component.alias("component"), F.col("id").eqNullSafe(component).alias("kept"), leader.alias("leader"))
 
 
 def op9_minhash_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
