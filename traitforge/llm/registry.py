@@ -20,5 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_merkle_fixity": fixity.OP1_SQL,
     "op4_preference_pairs": preference.OP4_SQL,
+    "op6_pruned_graph": embeddings.OP6_SQL,
+    "op9_minhash_hamming_join": minhash.OP9_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
 }
