@@ -101,3 +101,16 @@ def test_group_split_keeps_groups_whole(spark):
     assert split.split_groups([("a", 4, False), ("b", 3, False)], 0, share=2.0) is None
     assert {x.fold for x in split.split_rows(df, 1).collect()} == {"train", "test"}
     assert split.group_presence(spark.createDataFrame([("f", "a"), ("f", "b"), ("h", "a"), ("h", None)], "feature string, group string"), 2).first().feature == "f"
+
+
+def test_methods_are_compared_at_their_best_cutoffs(spark):
+    rows = []
+    for m, cut, right in (("a", 3, 1.0), ("a", 5, 0.0), ("b", 3, 0.5)):
+        for k in range(8):
+            y = k % 2
+            good = k < right * 8
+            for run in ("r0", "r1"):
+                rows.append((m, cut, run, f"s{k}", float(y), 0.9 if (y == 1) == good else 0.1))
+    best, runs = evaluate.compare_methods(spark.createDataFrame(rows, "model string, cut_off int, run string, strain string, label double, confidence double"), ["strain"])
+    assert {(r.model, r.cut_off) for r in best.collect()} == {("a", 3), ("b", 3)}
+    assert {(r.model, r.run): r.accuracy for r in runs.collect()} == {("a", "r0"): 1, ("a", "r1"): 1, ("b", "r0"): 0.5, ("b", "r1"): 0.5}

@@ -25,6 +25,7 @@ def test_fit_importance_and_attribution(spark):
     assert found[0]["mcc"] > 0.7 and predictions.count() == 80
     assert model.importances(best, ["fa", "fb", "fc"])[0][0] == "fa"
     assert model.eliminate(df, ["fa", "fb", "fc"], 1, s, iterations=5) == ["fa"]
+    assert model.eliminate(df, ["fa", "fb", "fc"], 1, s, iterations=5, row_id="strain") == ["fa"]
     assert model.lasso(df, ["fa", "fb", "fc"], 1, s) == ["fa"]
     parts = model.attributions(best, df, ["fa", "fb", "fc"], "strain")
     total = {r.strain: r.s for r in parts.groupBy("strain").agg({"attribution": "sum"}).withColumnRenamed("sum(attribution)", "s").collect()}
@@ -71,6 +72,18 @@ def test_family_workflow_end_to_end_and_resumes(spark, tmp_path):
     assert votes.count() == len(marks) and every.count() % len(marks) == 0
 
 
+def test_every_selection_method_finds_the_feature_that_matters(spark):
+    r = random.Random(9)
+    rows = [(f"s{i}|p", f"s{i}", "p", float(i % 2)) for i in range(60)]
+    present = [(k, "sc_1") for k, *_, y in rows if y and r.random() < 0.97] + [(k, f"sc_{j}") for k, *_ in rows for j in (2, 3) if r.random() < 0.5]
+    df = spark.createDataFrame(rows, "row string, strain string, phage string, interaction double")
+    feats = spark.createDataFrame(present, "row string, feature string")
+    for method in W.METHODS:
+        c = W.Config(method=method, eliminate_iterations=3, use_weights=method == "rfe", split="group" if method == "lasso" else "random")
+        assert W.select_run(df, feats, c, 1, 0) == ["sc_1"], method
+    assert W.select_run(df, feats, W.Config(task="regression", method="select_k_best"), 1, 0) == ["sc_1"]
+
+
 def test_kmer_assignment_finds_its_own_genomes(spark, tmp_path):
     strains, _ = genomes(random.Random(2), 5)
     proteins = spark.createDataFrame(strains, "genome string, protein_id string, sequence string")

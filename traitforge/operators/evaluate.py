@@ -127,3 +127,19 @@ def top_by_mean_abs(shap: DataFrame, feature: str, shap_value: str, k: int = 20)
     """The ``k`` features with the largest mean absolute attribution."""
     means = shap.groupBy(feature).agg(F.avg(F.abs(F.col(shap_value))).alias("mean_abs"))
     return means.orderBy(F.col("mean_abs").desc(), feature).limit(k)
+
+
+def compare_methods(predictions: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(best cut-offs by method, their metrics of every run) from rows of (model, cut_off, run,
+    keys, label, confidence): cut-offs are ranked by the MCC of the votes, ties kept."""
+    votes = ensemble(predictions, ["model", "cut_off", *keys, "label"])
+    by_cut = classification_metrics(confusion(votes, ["model", "cut_off"], "label", "prediction"), ["model", "cut_off"])
+    best = best_with_ties(by_cut, ["model"], F.col("mcc"))
+    chosen = predictions.join(F.broadcast(best.select("model", "cut_off")), ["model", "cut_off"], "left_semi").withColumn("prediction", M.vote(F.col("confidence")))
+    return best, classification_metrics(confusion(chosen, ["model", "cut_off", "run"], "label", "prediction"), ["model", "cut_off", "run"])
+
+
+def spread(rows: DataFrame, row: str, column: str, columns: list, value: Column) -> DataFrame:
+    """A report table: one column for each of ``columns``, ``value`` aggregated in each cell, null
+    where there is nothing."""
+    return rows.groupBy(row).pivot(column, columns).agg(value)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import annotate, cluster, evaluate, merge, model, presence, select, sequence, split
 from .storage import Stages
 
-METHODS = ("rfe", "select_k_best", "chi_squared", "lasso")
+METHODS = ("rfe", "shap_rfe", "shap", "select_k_best", "chi_squared", "lasso")
 
 
 @dataclass
@@ -135,7 +135,11 @@ def select_run(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seed
         return []
     table = wide_table(train.drop("fold"), trained, names)
     table, s = _weighed(table, c), _settings(c, seed)
-    return model.lasso(table, names, wanted, s) if c.method == "lasso" else model.eliminate(table, names, wanted, s, c.eliminate_iterations)
+    if c.method == "lasso":
+        return model.lasso(table, names, wanted, s)
+    if c.method == "shap":
+        return sorted(model.ranked_features(model.fit(table, names, s, c.eliminate_iterations, 0.1, 4), table, names, "row")[:wanted])
+    return model.eliminate(table, names, wanted, s, c.eliminate_iterations, row_id="row" if c.method == "shap_rfe" else None)
 
 
 def _weighed(table: DataFrame, c: Config) -> DataFrame:

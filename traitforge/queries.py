@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, sequences
-from .operators import annotate, coverage, evaluate, merge, presence, select, sequence, split
+from .operators import annotate, cluster, coverage, evaluate, merge, model, presence, select, sequence, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -473,3 +473,68 @@ def uncovered_union(spark, d):
     part = _t(spark, d, "part")
     found = part.filter("p_size > 25").select(F.lit("f").alias("feature"), F.col("p_brand").alias("family"), F.col("p_partkey").alias("protein_id"), F.lit(1).alias("coverage"), F.col("p_size").cast("long").alias("segment_id"), F.lit(0).alias("start"), F.col("p_size").alias("stop"))
     return coverage.add_uncovered(found, part.select(F.col("p_brand").alias("family"), F.col("p_partkey").alias("protein_id"), F.col("p_name").alias("aligned")))
+
+
+# --- report tables, comparison, and queries that SQL has no twin for ---------------------------
+
+
+@query("SELECT user_id, " + ", ".join(f"round(avg(value) FILTER (WHERE event_type = '{t}'), 6) AS {t}" for t in ("click", "error", "view")) + " FROM events GROUP BY 1")
+def pivot_mean(spark, d):
+    out = evaluate.spread(_t(spark, d, "events"), "user_id", "event_type", ["click", "error", "view"], F.avg("value"))
+    return out.select("user_id", *[_r(c).alias(c) for c in ("click", "error", "view")])
+
+
+@query("SELECT l_returnflag, " + ", ".join(f'CAST(coalesce(sum(l_quantity) FILTER (WHERE l_linenumber = {n}), 0) AS DOUBLE) AS "{n}"' for n in (1, 2, 3)) + " FROM lineitem GROUP BY 1")
+def pivot_sum(spark, d):
+    return evaluate.spread(_t(spark, d, "lineitem"), "l_returnflag", "l_linenumber", [1, 2, 3], F.sum("l_quantity")).na.fill(0.0)
+
+
+@query("""
+WITH p AS (SELECT event_type AS model, event_id % 3 AS cut_off, user_id AS strain, CAST(user_id % 2 AS DOUBLE) AS label, value / 100 AS confidence FROM events WHERE value IS NOT NULL),
+v AS (SELECT model, cut_off, strain, label, CASE WHEN median(confidence) > 0.5 THEN 1 ELSE 0 END AS y FROM p GROUP BY ALL),
+c AS (SELECT model, cut_off, CAST(count(*) FILTER (WHERE label > 0 AND y > 0) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE label = 0 AND y > 0) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE label > 0 AND y = 0) AS DOUBLE) AS fn, CAST(count(*) FILTER (WHERE label = 0 AND y = 0) AS DOUBLE) AS tn FROM v GROUP BY ALL),
+m AS (SELECT model, cut_off, CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) ELSE 0.0 END AS mcc FROM c)
+SELECT model, cut_off, round(mcc, 6) AS mcc FROM m QUALIFY rank() OVER (PARTITION BY model ORDER BY mcc DESC) = 1
+""")
+def method_comparison(spark, d):
+    e = _t(spark, d, "events").filter("value IS NOT NULL")
+    rows = e.select(F.col("event_type").alias("model"), (F.col("event_id") % 3).alias("cut_off"), F.lit("r").alias("run"), F.col("user_id").alias("strain"), (F.col("user_id") % 2).cast("double").alias("label"), (F.col("value") / 100).alias("confidence"))
+    return evaluate.compare_methods(rows, ["strain"])[0].select("model", "cut_off", _r("mcc").alias("mcc"))
+
+
+@query("""
+WITH n AS (SELECT DISTINCT p_name FROM part WHERE length(p_name) >= 4), k AS (SELECT DISTINCT p_name, substr(p_name, i, 4) AS m FROM (SELECT *, unnest(range(1, length(p_name) - 2)) AS i FROM n)), s AS (SELECT p_name, count(*) AS c FROM k GROUP BY 1)
+SELECT a.p_name AS query, b.p_name AS target, round(count(*) / least(any_value(x.c), any_value(y.c)), 6) AS identity FROM k a JOIN k b USING (m) JOIN s x ON x.p_name = a.p_name JOIN s y ON y.p_name = b.p_name GROUP BY 1, 2 HAVING count(*) / least(any_value(x.c), any_value(y.c)) >= 0.4
+""")
+def homology_hits(spark, d):
+    names = _t(spark, d, "part").select("p_name").distinct().select(F.col("p_name").alias("protein_id"), F.col("p_name").alias("sequence"))
+    return cluster.homology_hits(names, names, k=4, least_identity=0.4).select("query", "target", _r("identity").alias("identity"))
+
+
+@query()
+def family_clusters(spark, d):
+    names = _t(spark, d, "part").select("p_name").distinct().select(F.col("p_name").alias("protein_id"), F.col("p_name").alias("sequence"))
+    return cluster.protein_families(names, k=4, least_identity=0.6, coverage=0.5)
+
+
+@query()
+def hierarchical_clusters(spark, d):
+    vectors = _t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return cluster.genome_clusters(vectors, "vec_id", [f"e{i}" for i in range(64)], 10)
+
+
+@query()
+def dense_groups(spark, d):
+    return cluster.dense_groups(_present(spark, d).select(F.col("genome").cast("string").alias("genome"), "cluster"))
+
+
+@query()
+def gbt_ensemble(spark, d):
+    """Trees on word presence against quality: the votes of three seeds on all labelled rows."""
+    words, labels = _tokens(spark, d)
+    best = [r.feature for r in select.top_features(select.anova_f(words, labels, "doc_id"), 20).collect()]
+    rows = presence.wide(words.filter(F.col("feature").isin(best)), "doc_id", "feature", best, labels).join(labels, "doc_id")
+    names = [f"f{i}" for i in range(len(best))]
+    rows = rows.select("doc_id", "label", *[F.col(f"`{b}`").alias(n) for b, n in zip(best, names, strict=True)])
+    models = [(f"run_{i}", model.fit(rows, names, model.Settings(label="label", seed=i), 5, 0.1, 3)) for i in range(3)]
+    return evaluate.ensemble(model.score_all(models, rows, ["doc_id"]), ["doc_id"])
