@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from traitforge.llm import minhash
-from traitforge.llm.graph import components
+from traitforge.operators.graph import components
 from traitforge.llm.minhash import CHUNKS, DISTANCE, HASHES, NearDuplicates, chunk_keys, op9_minhash_hamming_join
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import slices, small_batches, table
 
 #: Chunks between white space whose encodings a Python worker remembers, twice over.
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
 
 #: The White_Space characters of Unicode.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -89,6 +89,10 @@ class WordBpe:
         self.new: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
 
+    def forget(self) -> None:
+        """Drop the remembered chunks, which an idle worker has no use for."""
+        self.new, self.old = {}, {}
+
     def symbols(self, text: str) -> list[int]:
         """Ids of the single symbols of a vocabulary string."""
         ends = text.endswith(self.suffix) and len(text) > len(self.suffix)
@@ -290,6 +294,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id
         for batch in slices(batches, text_col):
             ids, counts, decoded = bpe.encode_batch(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(counts, pa.int64()), pa.array(decoded, pa.string())], names=schema.names)
+        bpe.forget()
 
     return docs.select(id_col, text_col).mapInArrow(encode, schema)
 

@@ -1,9 +1,7 @@
-"""Helpers shared by the training-data operators: shared storage, Arrow batches, array hashing."""
+"""Helpers shared by the training-data operators: tables, Arrow batches, array hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,43 +10,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize as materialize
+
 U64 = np.uint64
 #: Text bytes that one Python-side step handles at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="traitforge-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Have Spark cut the Arrow batches it sends to Python by bytes: 10,000 rows of long texts or
     large sets would not fit beside an executor's heap."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(CHUNK_BYTES))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: a cut lineage that any
-    executor can reread after another one is lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(id_col: str, parts: int) -> F.Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
@@ -67,6 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, limit: int = CHUNK_
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker may wait long for its next task
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -91,7 +70,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     have = _POWERS.get(key)
     if have is None or len(have) < n:
         base = pow(_BASE, -1, 1 << 64) if inverse else _BASE
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
+        size = max(1 << 16, n + (n >> 3))
         out = np.empty(size, U64)
         out[0] = 1
         done = 1

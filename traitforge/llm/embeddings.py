@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import materialize, small_batches, table
-from .graph import components
 
 THRESHOLD = 0.95
 #: Vectors a shard should hold, and shards each vector is in; larger shards are built in pairs of

@@ -262,7 +262,7 @@ def identify_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_
     schema = T.StructType([docs.schema[id_col], *T._parse_datatype_string("lang_pred string, score double, shares map<string,double>").fields])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, 1 << 19):
             names, scores, means = _predicted(known.value, batch.column(1).to_pylist())
             shares = [list(zip(known.value.languages, m, strict=True)) if n != UNKNOWN else [] for n, m in zip(names, means.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))], names=schema.names)
@@ -286,7 +286,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 1 << 20):
+        for batch in slices(batches, text_col, 1 << 19):
             names, scores, _ = _predicted(known.value, batch.column(at).to_pylist())
             yield batch.filter(pa.array((np.array(names) != UNKNOWN) & (scores >= least)))
 

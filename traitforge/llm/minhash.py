@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import U64, materialize, mix64, prefix_hash, slices, small_batches, span_hash, table
-from .graph import components
 
 HASHES, BITS, DISTANCE, CHUNKS = 48, 16, 20, 11
 #: Members of one key that are compared with each other in one step.
@@ -42,7 +42,7 @@ BLOCK = 512
 #: Bits of the bitmap that bounds the difference of two sets from below.
 BITMAP = 4096
 #: Bytes of text hashed at once.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -247,7 +247,7 @@ class NearDuplicates:
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unpack = zstandard.ZstdDecompressor().decompress
-            for batch in slices(batches, "body", PIECE // 4):
+            for batch in slices(batches, "body", PIECE):
                 values, bounds = shingle_sets([unpack(b) for b in batch.column(1).to_pylist()], width)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([values[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["cls", "hashes"])
 

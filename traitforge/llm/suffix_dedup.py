@@ -41,7 +41,7 @@ LENGTH = 200
 #: Bytes of an anchor's substring.
 GRAM = 32
 #: Bytes of texts handled at once, and of a piece of one long text.
-BLOCK, PIECE = 1 << 20, 1 << 19
+BLOCK, PIECE = 1 << 19, 1 << 18
 #: Different spans of one anchor that one task may hold.
 GROUP_SPANS = 1_000
 #: Windows in a part of a span, whose common bytes are all but so many of a window.
