@@ -114,3 +114,19 @@ def test_methods_are_compared_at_their_best_cutoffs(spark):
     best, runs = evaluate.compare_methods(spark.createDataFrame(rows, "model string, cut_off int, run string, strain string, label double, confidence double"), ["strain"])
     assert {(r.model, r.cut_off) for r in best.collect()} == {("a", 3), ("b", 3)}
     assert {(r.model, r.run): r.accuracy for r in runs.collect()} == {("a", "r0"): 1, ("a", "r1"): 1, ("b", "r0"): 0.5, ("b", "r1"): 0.5}
+
+
+def test_prefix_sums_over_groups_and_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from traitforge.operators.prefix import numbered, prefix_sums
+
+    r = random.Random(7)
+    rows = [(g, k, r.randint(0, 9)) for g in ("big", "small", None) for k in range(300 if g == "big" else 5)]
+    df = spark.createDataFrame(rows, "g string, k int, v int").repartition(5)
+    got = {(x.g, x.k): (x.s, x.b) for x in prefix_sums(prefix_sums(df, ["g"], [F.col("k")], {"s": F.col("v")}), ["g"], [F.col("k")], {"b": F.col("v")}, inclusive=False).collect()}
+    for g, k, _ in rows:
+        before = sum(v for h, j, v in rows if h == g and j < k)
+        assert got[(g, k)] == (before + next(v for h, j, v in rows if (h, j) == (g, k)), before)
+    down = {x.k: x.n for x in numbered(df.filter("g = 'big'"), [F.col("k").desc()]).collect()}
+    assert down == {k: 299 - k for k in range(300)}

@@ -1,15 +1,16 @@
 """Evaluation of predictions as set operations: votes, counts, ranks and running sums.
 
 Curves and ranks need an order of scores. It is built on distinct scores of a group with their
-counts, so equal scores share a rank and a group is at most as large as its distinct scores.
+counts, so equal scores share a rank, and in ranges, so no group has to fit one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
+from .prefix import prefix_sums
 
 
 def ensemble(predictions: DataFrame, keys: list[str], confidence: str = "confidence") -> DataFrame:
@@ -38,17 +39,16 @@ def score_counts(predictions: DataFrame, group: list[str], label: str, score: st
 def auc(predictions: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
     """(group, auc) by the rank sum, ties shared; null for groups with one class only."""
     counts = score_counts(predictions, group, label, score)
-    below = Window.partitionBy(*group).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    summed = counts.withColumn("won", won).groupBy(*group).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    ranked = prefix_sums(counts, group, [F.col("score")], {"below": F.col("neg")}, inclusive=False)
+    summed = ranked.withColumn("won", F.col("pos") * (F.col("below") + F.col("neg") / 2)).groupBy(*group).agg(F.sum("won").alias("won"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return summed.select(*group, F.try_divide(F.col("won"), F.col("p").cast("double") * F.col("n")).alias("auc"))
 
 
 def _running(predictions: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
     counts = score_counts(predictions, group, label, score)
-    w = Window.partitionBy(*group).orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(*group)
-    return counts.select(*group, "score", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(everything).alias("p"), F.sum("neg").over(everything).alias("n"))
+    running = prefix_sums(counts, group, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
+    totals = counts.groupBy(*group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return running.join(totals, group)
 
 
 def roc_points(predictions: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
@@ -96,8 +96,8 @@ def mann_whitney(values: DataFrame, group: str, value: str) -> DataFrame:
     one = names.join(counts.select(F.col(group).alias("a"), F.col(value).alias("v"), F.col("n").alias("x"), F.lit(0).cast("long").alias("y")), "a")
     two = names.join(counts.select(F.col(group).alias("b"), F.col(value).alias("v"), F.lit(0).cast("long").alias("x"), F.col("n").alias("y")), "b")
     merged = one.unionByName(two).groupBy("a", "b", "na", "nb", "v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    below = Window.partitionBy("a", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    won = merged.withColumn("won", F.col("x") * (F.coalesce(F.sum("y").over(below), F.lit(0)) + F.col("y") / 2)).withColumn("t", (F.col("x") + F.col("y")).cast("double"))
+    ranked = prefix_sums(merged, ["a", "b"], [F.col("v")], {"below": F.col("y")}, inclusive=False)
+    won = ranked.withColumn("won", F.col("x") * (F.col("below") + F.col("y") / 2)).withColumn("t", (F.col("x") + F.col("y")).cast("double"))
     u = won.groupBy("a", "b", "na", "nb").agg(F.sum("won").alias("u"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb

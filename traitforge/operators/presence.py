@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import numbered
+
 
 def best_hits(hits: DataFrame, query: str, order: list[Column]) -> DataFrame:
     """The first row of each query by ``order``; give a last key that breaks all ties."""
@@ -69,10 +71,8 @@ def collapse(present: DataFrame, prefix: str = "s", order: str = "cluster") -> D
     set itself, so no two sets can be taken for one.
     """
     sets = present.groupBy("cluster").agg(F.array_sort(F.collect_set("genome")).alias("genomes"))
-    # The set stays with the first cluster's name: what is ranked below has a row for each feature.
-    firsts = sets.groupBy("genomes").agg(F.min(order).alias("first"))
-    numbered = firsts.select("first", (F.row_number().over(Window.orderBy("first")) - 1).alias("n"))
-    named = firsts.join(numbered, "first").select("genomes", F.concat(F.lit(f"{prefix}c_"), F.col("n").cast("string")).alias("feature"))
+    firsts = numbered(sets.groupBy("genomes").agg(F.min(order).alias("first")), [F.col("first")])
+    named = firsts.select("genomes", F.concat(F.lit(f"{prefix}c_"), F.col("n").cast("string")).alias("feature"))
     return sets.join(named, "genomes").select("cluster", "feature")
 
 

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import prefix_sums
+
 
 def common_features(train: DataFrame, test: DataFrame, feature: str = "feature") -> DataFrame:
     """Features that occur on both sides."""
@@ -61,11 +63,8 @@ def split_rows(rows: DataFrame, seed: int = 0, share: float = 0.8) -> DataFrame:
 def cumulative_split(rows: DataFrame, group: str, order: Column, share: float = 0.8) -> DataFrame:
     """(group, size, fold) as one query: groups in ``order`` go to train while the rows before them
     are fewer than ``share`` of all. One row for each group is sorted, not the rows."""
-    from pyspark.sql import Window
-
-    sizes = rows.na.drop(subset=[group]).groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    w = Window.orderBy(order, group).rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0)))
+    sizes = rows.na.drop(subset=[group]).groupBy(group).agg(F.count(F.lit(1)).alias("size")).withColumn("_o", order)
+    before = prefix_sums(sizes, [], [F.col("_o"), F.col(group)], {"before": F.col("size")}, inclusive=False)
     total = sizes.agg(F.floor(F.sum("size") * share).alias("target"))
     return before.crossJoin(F.broadcast(total)).select(group, "size", F.when(F.col("before") < F.col("target"), "train").otherwise("test").alias("fold"))
 
