@@ -47,8 +47,11 @@ def auc(predictions: DataFrame, group: list[str], label: str, score: str) -> Dat
 def _running(predictions: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
     counts = score_counts(predictions, group, label, score)
     running = prefix_sums(counts, group, [F.col("score").desc()], {"tp": F.col("pos"), "fp": F.col("neg")})
-    totals = counts.groupBy(*group).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return running.join(totals, group)
+    totals = counts.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group]).agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return running.join(totals, same).drop(*[f"_g_{g}" for g in group])
 
 
 def roc_points(predictions: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
