@@ -70,6 +70,14 @@ def test_chi2_by_hand(spark):
     assert [select.elimination_step(a, b) for a, b in ((100, 50), (55, 50), (51, 50))] == [5, 1, 1]
 
 
+def test_a_feature_that_explains_everything_scores_highest(spark):
+    present = spark.createDataFrame([(0, "x"), (1, "x"), (0, "y"), (2, "y"), (0, "z"), (1, "z"), (2, "z"), (3, "z")], "row int, feature string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, 0)], "row int, label int")
+    scores = {r.feature: r.score for r in select.anova_f(present, labels, "row").collect()}
+    assert scores == {"x": float("inf"), "y": 0.0, "z": None}
+    assert {r.feature: r.score for r in select.regression_f(present, labels.selectExpr("row", "double(label) AS target"), "row").collect()}["x"] == float("inf")
+
+
 def test_top_and_lowest(spark):
     s = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 3.0), ("d", None)], "feature string, score double")
     assert [r.feature for r in select.top_features(s, 2).collect()] == ["b", "c"]

@@ -6,7 +6,7 @@ feature follow from the counts of its ones, so nothing is made wide.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,11 @@ def _class_counts(present: DataFrame, labels: DataFrame, row: str, feature: str,
     return grid.join(ones, [feature, label], "left").fillna(0, ["s"]), sizes
 
 
+def _statistic(explained: Column, rest: Column) -> Column:
+    """Their ratio; infinite if nothing is left to explain, null if there was nothing to begin with."""
+    return F.when((rest == 0) & (explained > 0), F.lit(float("inf"))).otherwise(F.try_divide(explained, rest))
+
+
 def anova_f(present: DataFrame, labels: DataFrame, row: str, feature: str = "feature", label: str = "label") -> DataFrame:
     """(feature, score): one-way analysis of variance of a 0/1 feature across classes."""
     counts, _ = _class_counts(present, labels, row, feature, label)
@@ -26,7 +31,7 @@ def anova_f(present: DataFrame, labels: DataFrame, row: str, feature: str = "fea
     sums = counts.groupBy(feature).agg(F.sum(s).alias("total"), F.sum(n).alias("rows"), F.sum(s * s / n).alias("between"), F.count(F.lit(1)).alias("k"))
     correction = F.col("total") * F.col("total") / F.col("rows")
     ssb, ssw = F.col("between") - correction, F.col("total") - F.col("between")
-    return sums.select(feature, F.try_divide(ssb / (F.col("k") - 1), ssw / (F.col("rows") - F.col("k"))).alias("score"))
+    return sums.select(feature, _statistic(ssb / (F.col("k") - 1), ssw / (F.col("rows") - F.col("k"))).alias("score"))
 
 
 def chi2(present: DataFrame, labels: DataFrame, row: str, feature: str = "feature", label: str = "label") -> DataFrame:
@@ -46,7 +51,7 @@ def regression_f(present: DataFrame, targets: DataFrame, row: str, feature: str
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     vx, vy = F.col("n") * F.col("sx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     r2 = F.try_divide(cov * cov, vx * vy)
-    return j.select(feature, F.try_divide(r2 * (F.col("n") - 2), 1 - r2).alias("score"))
+    return j.select(feature, _statistic(r2 * (F.col("n") - 2), 1 - r2).alias("score"))
 
 
 def top_features(scores: DataFrame, k: int, feature: str = "feature") -> DataFrame:

@@ -295,7 +295,7 @@ def row_weights(spark, d):
 # --- feature scores -------------------------------------------------------------------------
 
 _SCORED_SQL = f"{_WORDS_SQL}, lab AS (SELECT doc_id, quality AS label FROM labels), cls AS (SELECT label, count(*) AS n FROM lab GROUP BY 1), one AS (SELECT cluster AS feature, label, count(*) AS s FROM words JOIN lab USING (doc_id) GROUP BY ALL), grid AS (SELECT feature, label, n, coalesce(s, 0) AS s FROM (SELECT * FROM (SELECT DISTINCT feature FROM one), cls) LEFT JOIN one USING (feature, label))"
-_ANOVA_SQL = "SELECT feature, round(CASE WHEN total - between_ <> 0 THEN ((between_ - total * total / rows_) / (k - 1)) / ((total - between_) / (rows_ - k)) END, 4) AS score FROM (SELECT feature, CAST(sum(s) AS DOUBLE) AS total, CAST(sum(n) AS DOUBLE) AS rows_, sum(CAST(s AS DOUBLE) * s / n) AS between_, count(*) AS k FROM grid GROUP BY feature)"
+_ANOVA_SQL = "SELECT feature, round(CASE WHEN total - between_ = 0 AND between_ > total * total / rows_ THEN 'inf'::DOUBLE WHEN total - between_ <> 0 THEN ((between_ - total * total / rows_) / (k - 1)) / ((total - between_) / (rows_ - k)) END, 4) AS score FROM (SELECT feature, CAST(sum(s) AS DOUBLE) AS total, CAST(sum(n) AS DOUBLE) AS rows_, sum(CAST(s AS DOUBLE) * s / n) AS between_, count(*) AS k FROM grid GROUP BY feature)"
 _CHI_SQL = "SELECT feature, round(sum(CASE WHEN e > 0 THEN (s - e) * (s - e) / e END), 4) AS score FROM (SELECT feature, s, sum(s) OVER w * n / sum(n) OVER w AS e FROM grid WINDOW w AS (PARTITION BY feature)) GROUP BY feature"
 
 
@@ -322,7 +322,7 @@ def k_best(spark, d):
 WITH {_WORDS_SQL}, t AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS y FROM documents), a AS (SELECT count(*) AS n, sum(y) AS sy, sum(y * y) AS syy FROM t),
 f AS (SELECT cluster AS feature, CAST(count(*) AS DOUBLE) AS sx, sum(y) AS sxy FROM words JOIN t USING (doc_id) GROUP BY 1),
 r AS (SELECT feature, n, CASE WHEN n * sx - sx * sx > 0 THEN (n * sxy - sx * sy) * (n * sxy - sx * sy) / ((n * sx - sx * sx) * (n * syy - sy * sy)) END AS r2 FROM f, a)
-SELECT feature, round(r2 * (n - 2) / (1 - r2), 4) AS score FROM r
+SELECT feature, round(CASE WHEN r2 = 1 THEN 'inf'::DOUBLE ELSE r2 * (n - 2) / (1 - r2) END, 4) AS score FROM r
 """)
 def f_regression(spark, d):
     targets = _t(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("target"))
