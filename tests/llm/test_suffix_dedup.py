@@ -60,6 +60,20 @@ def test_against_brute_force(spark, seed, spans, monkeypatch):
         assert got == sorted(brute(rows, 200, keep)), keep
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeats_inside_one_span(spark, keep):
+    """Periodic texts whose windows share one anchor that no other text has, at the full ``PIECE``;
+    the last two are copies of each other."""
+    r = random.Random(5)
+    prose = lambda k: " ".join("".join(r.choice("aeioustrn") for _ in range(r.randint(2, 9))) for _ in range(k))
+    line = prose(20)[:169]
+    texts = ["ab" * 400, "x" * 1000, line * 4, prose(60) + "-" * 260 + prose(60), prose(60) + "=" * 150 + prose(60), prose(20)[:100] + "again and " * 50, *["one line\n" * 90] * 2]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeat_report(docs, keep=keep).collect())
+    assert got == sorted(brute(rows, 200, keep))
+
+
 def test_nulls_repeats_and_other_columns(spark):
     long = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(None, long, "a", 1), (1, None, "b", None), (2, long, "c", 2), (2, long, "c", 2), (3, "short", None, 5)], "doc_id long, text string, n_removed string, n_chars int")

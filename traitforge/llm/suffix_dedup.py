@@ -2,10 +2,11 @@
 
 Every window of ``length`` bytes belongs to exactly one anchor, the smallest hash of its
 ``GRAM``-byte substrings, so equal windows have equal anchors wherever they stand. The windows
-of one anchor in a row form a span (about 300 bytes). Anchors that occur once cannot repeat and
-are dropped by one aggregation and join. Spans with an identical copy are repeated as a whole.
-Only different spans that share an anchor are compared byte by byte: their texts are dealt out
-by anchor, a suffix array over the texts of a group of anchors (prefix doubling, cut at
+of one anchor in a row form a span (about 300 bytes). Anchors of one span cannot repeat, unless
+windows repeat inside that span (as in periodic text), and are dropped by one aggregation and
+join. Spans with an identical copy are repeated as a whole. Only different spans that share an
+anchor, and spans that repeat inside, are compared byte by byte: their texts are dealt out by
+anchor, a suffix array over the texts of a group of anchors (prefix doubling, cut at
 ``length`` bytes) orders their windows, and in that order, where windows that agree on
 ``length`` bytes stand in order of place, the previous smaller position is the predecessor and
 the next smaller ones lie outside the run. A longest previous factor of ``length`` bytes or
@@ -60,7 +61,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Spans of all windows: owner, first window, number of windows, anchor hash, span hash."""
+    """Spans of all windows: owner, first window, number of windows, anchor hash, span hash, and
+    whether a window repeats inside the span."""
     pieces: list[tuple[int, int, bytes]] = []
     for k, text in enumerate(texts):
         pieces += [(k, at, text[at : at + PIECE + length - 1]) for at in range(0, len(text) - length + 1, PIECE)]
@@ -75,7 +77,8 @@ def spans_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
         begins = np.cumsum(sizes) - sizes
         prefix = prefix_hash(data)
         at = np.arange(len(data) - gram + 1)
-        least = sliding_min(span_hash(prefix, at, at + gram), length - gram + 1)
+        grams = span_hash(prefix, at, at + gram)
+        least = sliding_min(grams, length - gram + 1)
         which = np.repeat(np.arange(len(block)), sizes)[: len(least)]
         inside = np.arange(len(least)) + length <= (begins + sizes)[which]
         fresh = np.ones(len(least), bool)
@@ -85,8 +88,26 @@ def spans_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
         ends = np.append(starts[1:], len(least))
         ends = np.minimum(ends, (begins + sizes)[w] - length + 1)
         owner, base = np.array([p[0] for p in block])[w], np.array([p[1] for p in block])[w]
-        out.append((owner, starts - begins[w] + base, ends - starts, least[starts].view(np.int64), span_hash(prefix, starts, ends - 1 + length).view(np.int64)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, np.int64) for _ in range(5))
+        out.append((owner, starts - begins[w] + base, ends - starts, least[starts].view(np.int64), span_hash(prefix, starts, ends - 1 + length).view(np.int64), repeats_inside(prefix, grams, starts, ends, length, gram)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in [np.int64] * 5 + [bool])
+
+
+def repeats_inside(prefix: np.ndarray, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Which spans hold one of their windows twice. Equal windows have their anchor at the same
+    offset, so only spans in which it occurs more than once are looked at window by window."""
+    width = length - gram + 1
+    views = np.lib.stride_tricks.sliding_window_view(grams, width)
+    out = np.zeros(len(starts), bool)
+    for at in range(0, len(starts), 4096):
+        s, e = starts[at : at + 4096], ends[at : at + 4096]
+        held = views[s]
+        anchor = held.min(1)[:, None]
+        first = s + (held == anchor).argmax(1)
+        last = e - 1 + width - 1 - (views[e - 1][:, ::-1] == anchor).argmax(1)
+        for i in np.flatnonzero(first < last).tolist():
+            k = np.arange(s[i], e[i])
+            out[at + i] = len(np.unique(span_hash(prefix, k, k + length))) < len(k)
+    return out
 
 
 def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
@@ -155,14 +176,14 @@ def _as_bytes(column: Column) -> Column:
 
 
 def _anchors(docs: DataFrame, id_type: T.DataType, length: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("print", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType())])
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("print", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("inner", T.BooleanType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body"):
-            owner, lo, n, anchor, span = spans_of(batch.column(2).to_pylist(), length, GRAM)
+            owner, lo, n, anchor, span, inner = spans_of(batch.column(2).to_pylist(), length, GRAM)
             if len(owner):
                 at = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(span)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(span), pa.array(inner)], names=schema.names)
 
     return docs.filter(F.octet_length("body") >= length).mapInArrow(cut, schema)
 
@@ -171,17 +192,18 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     """Rows (id, print, lo, n, whole, copies, first, earlier, later) of spans that hold repeats.
 
     ``copies``: occurrences of this very span; ``first``: the first of them; ``earlier`` and
-    ``later``: runs of the span's windows that other spans hold at earlier or later places.
+    ``later``: runs of the span's windows that stand at earlier or later places, in other spans or
+    in this one.
     """
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
     plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"), _as_bytes(F.col(text_col)).alias("body"))
     anchors = _anchors(plain, id_type, length)
-    twice = anchors.groupBy("anchor").count().filter("count > 1").select("anchor")
+    twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), F.bool_or("inner").alias("inner")).filter("count > 1 OR inner").select("anchor")
     found = materialize(anchors.join(twice, "anchor"), "anchors")
-    spans = found.groupBy("anchor", "span", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "print", "lo")).alias("first"))
+    spans = found.groupBy("anchor", "span", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "print", "lo")).alias("first"), F.bool_or("inner").alias("inner"))
     spans = materialize(spans, "spans")
-    kinds = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    kinds = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("inner").alias("inner")).filter("kinds > 1 OR inner").drop("inner")
     mixed = spans.join(kinds, "anchor")
     wanted = mixed.groupBy(F.col("first.id").alias("id"), F.col("first.print").alias("print")).agg(F.collect_list(F.struct("anchor", "span", "n", F.col("first.lo").alias("lo"), "kinds")).alias("spans"))
     packed = _packed(plain.filter(F.octet_length("body") >= length))
@@ -204,8 +226,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     small = _compare_groups(pieces.filter(F.col("kinds") <= GROUP_SPANS), length)
     large = _compare_parts(pieces.filter(F.col("kinds") > GROUP_SPANS), length, id_type)
     compared = materialize(small.unionByName(large), "compared")
-    marked = spans.join(compared, ["anchor", "span", "n"], "left").filter((F.col("copies") > 1) | (F.size("earlier") > 0) | (F.size("later") > 0))
-    return found.join(marked, ["anchor", "span", "n"]).drop("anchor", "span")
+    marked = spans.drop("inner").join(compared, ["anchor", "span", "n"], "left").filter((F.col("copies") > 1) | (F.size("earlier") > 0) | (F.size("later") > 0))
+    return found.join(marked, ["anchor", "span", "n"]).drop("anchor", "span", "inner")
 
 
 def _compare_groups(pieces: DataFrame, length: int) -> DataFrame:
