@@ -94,3 +94,23 @@ def test_genome_clusters_have_at_most_k_groups(spark):
     table = spark.createDataFrame([("a", 1, 0), ("b", 1, 0), ("c", 0, 1), ("d", 0, 1)], "genome string, x int, y int")
     got = dict(map(tuple, cluster.genome_clusters(table, "genome", ["x", "y"], 2).collect()))
     assert got["a"] == got["b"] != got["c"] == got["d"]
+
+
+def test_large_family_with_private_changes(spark):
+    """More members than ``most``, all with the same conserved k-mers and each with k-mers of its own."""
+    base = "MKVLAARTGQWERTYHPLKSDFGHNMCVWIPEAKRTLQNDSYHFGEWMKCTV"
+    rows = [(f"p{i}", base[: 5 + 6 * i] + "X" + base[6 + 6 * i :]) for i in range(7)] + [("short", base[9:35]), ("z", "GGGGAAAACCCCTTTTSSSS")]
+    proteins = spark.createDataFrame(rows, "protein_id string, sequence string")
+    kmers = {p: {s[i : i + 4] for i in range(len(s) - 3)} for p, s in rows}
+    for least, coverage in ((0.4, 0.0), (0.7, 0.8), (0.0, 0.0)):
+        found = cluster.homology_hits(proteins, proteins, k=4, least_identity=least, coverage=coverage, most=2)
+        got = {(r.query, r.target): r.identity for r in found.collect()}
+        want = {}
+        for a, x in kmers.items():
+            for b, y in kmers.items():
+                n = len(x & y)
+                if n and n / min(len(x), len(y)) >= least and n / max(len(x), len(y)) >= coverage:
+                    want[a, b] = n / min(len(x), len(y))
+        assert got == want
+    families = dict((r.protein_id, r.cluster) for r in cluster.protein_families(proteins, k=4, most=2).collect())
+    assert {families[f"p{i}"] for i in range(7)} == {"p0"} and families["z"] == "z"

@@ -1,16 +1,15 @@
 """Protein families and genome clusters as joins and components.
 
 Families come from shared k-mers: proteins that share enough of them are linked, and linked
-proteins form a family named by its smallest member. K-mers that more than ``most`` proteins hold
-say nothing about kinship; they are left out of candidate search, as seeds, and still counted in
-the similarity of the candidates.
+proteins form a family named by its smallest member. Candidates come from a prefix filter that
+loses no pair: a protein that shares enough k-mers with a larger one shares one of its rarest.
 """
 
 from __future__ import annotations
 
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialize
@@ -22,20 +21,34 @@ def kmer_sets(proteins: DataFrame, k: int, id_col: str = "protein_id") -> DataFr
     return sequence.explode_kmers(proteins, k, [id_col]).distinct()
 
 
+def _candidates(small: DataFrame, large: DataFrame, small_id: str, large_id: str, least: float, most: int) -> DataFrame:
+    """Pairs in which ``small`` has no more k-mers than ``large`` and one of its ``n - ceil(least * n)
+    + 1`` k-mers that are rarest in ``large`` is shared; all pairs that share ``least`` of it are."""
+    holders = large.groupBy("kmer").agg(F.count(F.lit(1)).alias("holders"))
+    own = Window.partitionBy(small_id)
+    ranked = small.join(holders, "kmer", "left").withColumn("ns", F.count(F.lit(1)).over(own)).withColumn("at", F.row_number().over(own.orderBy(F.coalesce("holders", F.lit(0)), "kmer")))
+    needed = F.greatest(F.lit(1), F.ceil(F.col("ns") * least - 1e-9))
+    seeds = ranked.filter(F.col("holders").isNotNull() & (F.col("at") <= F.col("ns") - needed + 1))
+    blocks = F.ceil(F.col("holders") / most)
+    seeds = seeds.select(small_id, "kmer", "ns", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    held = large.join(holders, "kmer").withColumn("nl", F.count(F.lit(1)).over(Window.partitionBy(large_id)))
+    held = held.select(large_id, "kmer", "nl", F.pmod(F.xxhash64(large_id), blocks).alias("block"))
+    return seeds.join(held, ["kmer", "block"]).filter("ns <= nl").select(small_id, large_id).distinct()
+
+
 def homology_hits(queries: DataFrame, targets: DataFrame, k: int = 5, least_identity: float = 0.4, coverage: float = 0.0, most: int = 1000) -> DataFrame:
     """(query, target, identity, query_coverage, target_coverage) of pairs whose k-mer sets overlap.
 
-    Identity is the share of k-mers of the shorter side that the other has. Seeds are k-mers held
-    by at most ``most`` targets; a query all of whose k-mers are more common is matched on its
-    rarest one, so none is lost.
+    Identity is the share of k-mers of the shorter side that the other has. The side with fewer
+    k-mers looks for the other by its rarest ones, one more than it may lack, so no pair is lost.
+    K-mers with more than ``most`` holders are joined in blocks of about so many.
     """
     q = kmer_sets(queries, k).withColumnRenamed("protein_id", "query")
     t = kmer_sets(targets, k).withColumnRenamed("protein_id", "target")
-    common = t.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
-    seeded = q.join(common, "kmer")
-    rarest = seeded.groupBy("query").agg(F.min("n").alias("least"), F.min_by("kmer", F.struct("n", "kmer")).alias("rare"))
-    seeds = seeded.join(rarest, "query").filter((F.col("n") <= most) | ((F.col("least") > most) & (F.col("kmer") == F.col("rare")))).select("query", "kmer")
-    pairs = seeds.join(t, "kmer").select("query", "target").distinct()
+    least = max(least_identity, coverage)
+    up = _candidates(q, t, "query", "target", least, most)
+    down = _candidates(t, q, "target", "query", least, most)
+    pairs = up.unionByName(down).distinct()
     sizes_q = q.groupBy("query").agg(F.count(F.lit(1)).alias("nq"))
     sizes_t = t.groupBy("target").agg(F.count(F.lit(1)).alias("nt"))
     shared = pairs.join(q, "query").join(t, ["target", "kmer"]).groupBy("query", "target").agg(F.count(F.lit(1)).alias("shared"))
