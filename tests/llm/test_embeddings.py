@@ -54,6 +54,20 @@ def test_against_brute_force(spark, monkeypatch):
     assert audit_recall(df, found, every=5) >= 0.95
 
 
+def test_links_found_from_the_later_side_only(spark, monkeypatch):
+    def backwards(query, unit, lists, start, threshold):
+        sims = unit @ query
+        found = np.flatnonzero(sims >= threshold)
+        return found[found < np.flatnonzero((unit == query).all(1))[0]], None
+
+    monkeypatch.setattr(embeddings, "range_search", backwards)
+    rows = [(i, v) for i, v in enumerate(corpus(4, 60))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.id: r.n_links for r in near_duplicate_vectors(df).collect()}
+    want = {i: n for i, n, _, _ in brute(rows)}
+    assert got == want and sum(want.values()) > 0
+
+
 def test_small_cases_are_exact(spark):
     one = [1.0] + [0.0] * 7
     rows = [(5, one), (5, one), (2, one), (None, one), (7, [0.0] * 8), (8, None), (9, [float("nan")] * 8), (10, [1.0, None]), (11, [float("inf")] * 8), (12, [2.0]), (13, []), (None, [0.0, 1.0]), (14, [1e-300, 0.0, 0.0]), (15, [1e300, 1e300])]

@@ -230,7 +230,7 @@ def find_links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 found, _ = range_search(unit[i], unit, lists, medoid, threshold - 1e-9)
                 own, _ = range_search(unit[i], unit, lists, i, threshold - 1e-9)
                 both = np.union1d(found, own)
-                both = both[both > i]
+                both = both[both != i]  # the graph is not symmetric: a link may show from one side only
                 both = both[np.einsum("ij,j->i", unit[both], unit[i]) >= threshold]
                 if len(both):
                     yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(both), pa.binary()), pa.array([names[j] for j in both], pa.binary())], names=["a", "b"])
