@@ -2,10 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from traitforge.llm import suffix_dedup
-from traitforge.llm.suffix_dedup import remove_repeats, repeat_report
+from traitforge.llm.suffix_dedup import previous_factors, previous_smaller, remove_repeats, repeat_report, suffix_ranks
 
 
 def brute(rows, length, keep="none"):
@@ -49,10 +50,11 @@ def corpus(seed, n=60):
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("spans", [1000, 3, 1])
+@pytest.mark.parametrize("spans", [500, 3, 1])
 def test_against_brute_force(spark, seed, spans, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP_SPANS", spans)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+    monkeypatch.setattr(suffix_dedup, "SPAN", 90)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     for keep in ("none", "first"):
@@ -92,3 +94,46 @@ def test_query_digest(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.kept_sha256 for r in suffix_dedup.op3_suffix_array_dedup(spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha256(kept).hexdigest() for i, *_, kept in brute(rows, 200)}
+
+
+def test_texts_that_agree_in_a_weak_hash(spark):
+    """Blocks in the pattern of the Thue-Morse sequence and its complement have equal polynomial
+    hashes modulo 2^64 under any odd base, though no 200 bytes are shared."""
+    low = "".join(chr(97 + (7 * k * k + k) % 26) for k in range(32))
+    block = {b: chr(65 + b) + "-" * 31 + low for b in (0, 1)}
+    sign = [bin(k).count("1") % 2 for k in range(64)]
+    texts = ["".join(block[b] for b in sign), "".join(block[1 - b] for b in sign)]
+    got = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in repeat_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(i, len(t), n, s, k) for i, t in enumerate(texts) for n, k, s in [(got[i][0], got[i][1], 0)]] == [(i, n, removed, 0, kept) for i, n, removed, _, kept in brute(list(enumerate(texts)), 200)]
+
+
+def test_previous_factors():
+    r = random.Random(11)
+    for _ in range(30):
+        length = r.choice([8, 10, 20])
+        data = np.frombuffer(bytes(r.choice(b"aab") for _ in range(r.randint(length, 200))), np.uint8)
+        n = len(data) - length + 1
+        levels = suffix_ranks(data, length)
+        reach = levels[-1][0]
+        place = np.array(r.sample(range(n), n))
+        order = np.lexsort((place, levels[-1][1][:n]))
+        got = np.zeros(n, int)
+        got[order] = previous_factors(levels, data, order, place[order], length)
+        text = bytes(data)
+
+        def common(i, j):
+            k = 0
+            while k < reach and max(i, j) + k < len(text) and text[i + k] == text[j + k]:
+                k += 1
+            return k
+
+        want = [max((common(i, j) for j in range(n) if place[j] < place[i]), default=0) for i in range(n)]
+        assert got.tolist() == [w if w >= length else 0 for w in want]
+
+
+def test_previous_smaller():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 200):
+        values, begins = r.permutation(n), np.repeat(np.arange(0, n, 13), 13)[:n]
+        want = [next((j for j in range(i - 1, begins[i] - 1, -1) if values[j] < values[i]), -1) for i in range(n)]
+        assert previous_smaller(values, begins).tolist() == want

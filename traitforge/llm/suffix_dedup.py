@@ -1,28 +1,34 @@
-"""Removal of byte strings that repeat anywhere, found with suffix arrays and previous factors.
+"""Removal of byte strings that repeat anywhere, by longest-previous-factor arrays.
 
 Every window of ``length`` bytes belongs to exactly one anchor, the smallest hash of its
 ``GRAM``-byte substrings, so equal windows have equal anchors wherever they stand. The windows
-of one anchor in a row form a span (about 300 bytes). Anchors of one span cannot repeat, unless
-windows repeat inside that span (as in periodic text), and are dropped by one aggregation and
-join. Spans with an identical copy are repeated as a whole. Only different spans that share an
-anchor, and spans that repeat inside, are compared byte by byte: their texts are dealt out by
-anchor, a suffix array over the texts of a group of anchors (prefix doubling, cut at
-``length`` bytes) orders their windows, and in that order, where windows that agree on
-``length`` bytes stand in order of place, the previous smaller position is the predecessor and
-the next smaller ones lie outside the run. A longest previous factor of ``length`` bytes or
-more therefore marks a later copy, a longest next factor an earlier one.
+of one anchor in a row form a span (about 300 bytes, ``SPAN`` windows at most). Anchors of one
+span cannot repeat, unless windows repeat inside that span (as in periodic text), and are dropped
+by one aggregation and join. Of spans that are copies of each other only the first and the last
+occurrence are compared; what stands between has an earlier and a later copy if these have.
+
+The texts are dealt out by anchor. A suffix array over the texts of a group of anchors (prefix
+multiplication, up to the first width of ``length`` bytes or more; ties in order of place) orders
+their windows, with the longest common prefixes of neighbours. The previous and the next smaller
+place of each window in that order give its longest previous factor, and with places reversed its
+longest next factor. A window with a previous factor of ``length`` bytes or more is a later copy,
+one with such a next factor an earlier copy; only these factors remove bytes.
 
 An anchor with more than ``GROUP_SPANS`` different spans is not left to one task. Its spans are cut
 into parts of up to ``PART`` windows that have most of their bytes in common, and these are dealt
-out by the common bytes; should such a group still be larger, its windows are dealt out one by one.
+out by the common bytes; should such a group still be larger, so are its single windows.
+
+Hashes of 64 bits only deal work out. Copies are told by 128-bit cryptographic digests, and their
+first and last occurrence again byte by byte.
 
 Occurrences are ordered by document id, then place. ``keep="first"`` removes what has an earlier
 copy; ``keep="none"`` removes every copy.
 
 Defined results: null texts count as empty and nothing is removed from texts shorter than
 ``length``; matches never cross documents; repeated rows are copies of each other under
-``keep="none"`` and stay alike under ``keep="first"``; a null id sorts first; empty tables give
-empty tables; other columns pass through unread.
+``keep="none"`` and stay alike under ``keep="first"``; a null id sorts first; very long texts are
+cut into overlapping pieces and lose nothing; empty tables give empty tables; other columns pass
+through unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,24 +37,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, prefix_hash, slices, small_batches, span_hash, table
+from .common import digests, materialize, prefix_hash, slices, small_batches, span_hash, table, text_print
 
 LENGTH = 200
 #: Bytes of an anchor's substring.
 GRAM = 32
 #: Bytes of texts handled at once, and of a piece of one long text.
 BLOCK, PIECE = 1 << 19, 1 << 18
+#: Windows of one span at most.
+SPAN = 1024
 #: Different spans of one anchor that one task may hold.
-GROUP_SPANS = 1_000
+GROUP_SPANS = 500
 #: Windows in a part of a span, whose common bytes are all but so many of a window.
 PART = 40
-#: Bytes of span texts that one suffix array covers; larger groups of anchors are halved.
-ARRAY_BYTES = 1 << 20
+#: Bytes of span texts that one suffix array covers before the next anchor starts another.
+ARRAY_BYTES = 1 << 19
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,19 +69,20 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 :])
 
 
-def spans_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Spans of all windows: owner, first window, number of windows, anchor hash, span hash, and
-    whether a window repeats inside the span."""
+def spans_of(texts: list[bytes], length: int, gram: int, named: bool) -> list[np.ndarray | list[bytes]]:
+    """Spans of all windows: their anchors' hashes, then, if ``named``, owner, first window, number
+    of windows and digest of each, or else whether a window repeats inside it."""
     pieces: list[tuple[int, int, bytes]] = []
     for k, text in enumerate(texts):
         pieces += [(k, at, text[at : at + PIECE + length - 1]) for at in range(0, len(text) - length + 1, PIECE)]
-    out: list[tuple[np.ndarray, ...]] = []
+    out: list[tuple] = []
     while pieces:
         block, size = [], 0
         while pieces and (not block or size + len(pieces[-1][2]) <= BLOCK):
             block.append(pieces.pop())
             size += len(block[-1][2])
-        data = np.frombuffer(b"".join(p[2] for p in block), np.uint8)
+        joined = b"".join(p[2] for p in block)
+        data = np.frombuffer(joined, np.uint8)
         sizes = np.array([len(p[2]) for p in block])
         begins = np.cumsum(sizes) - sizes
         prefix = prefix_hash(data)
@@ -83,13 +93,25 @@ def spans_of(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ..
         inside = np.arange(len(least)) + length <= (begins + sizes)[which]
         fresh = np.ones(len(least), bool)
         fresh[1:] = (least[1:] != least[:-1]) | (which[1:] != which[:-1])
+        opened = np.flatnonzero(fresh)
+        runs = np.diff(np.append(opened, len(least)))
+        if runs.max() > SPAN:  # periodic text: cut at every so many windows
+            fresh |= (np.arange(len(least)) - np.repeat(opened, runs)) % SPAN == 0
         starts = np.flatnonzero(fresh & inside)
         w = which[starts]
         ends = np.append(starts[1:], len(least))
         ends = np.minimum(ends, (begins + sizes)[w] - length + 1)
-        owner, base = np.array([p[0] for p in block])[w], np.array([p[1] for p in block])[w]
-        out.append((owner, starts - begins[w] + base, ends - starts, least[starts].view(np.int64), span_hash(prefix, starts, ends - 1 + length).view(np.int64), repeats_inside(prefix, grams, starts, ends, length, gram)))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in [np.int64] * 5 + [bool])
+        anchors = least[starts].view(np.int64)
+        if named:
+            whole = memoryview(joined)
+            names = digests([whole[s:e] for s, e in zip(starts.tolist(), (ends - 1 + length).tolist(), strict=True)])
+            owner, base = np.array([p[0] for p in block])[w], np.array([p[1] for p in block])[w]
+            out.append((anchors, owner, starts - begins[w] + base, ends - starts, names))
+        else:
+            out.append((anchors, repeats_inside(prefix, grams, starts, ends, length, gram)))
+    if not out:
+        out = [tuple([*(np.zeros(0, np.int64) for _ in range(4)), []]) if named else (np.zeros(0, np.int64), np.zeros(0, bool))]
+    return [np.concatenate(c) if isinstance(c[0], np.ndarray) else [d for part in c for d in part] for c in zip(*out, strict=True)]
 
 
 def repeats_inside(prefix: np.ndarray, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -110,54 +132,106 @@ def repeats_inside(prefix: np.ndarray, grams: np.ndarray, starts: np.ndarray, en
     return out
 
 
-def suffix_order(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all positions by their next ``length`` bytes (power of two), equal if they agree.
-    Positions nearer to the end than that are ranked as if zeros followed."""
+def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(width, ranks of all positions by their next ``width`` bytes), equal if these agree, for
+    widths of 8 bytes, 24, and so on up to the first of at least ``length``. Positions nearer to
+    the end are ranked as if zeros followed. Three ranks of 21 bits make one key."""
+    n = len(data)
+    if n >= 1 << 21:
+        raise ValueError("too many bytes for one suffix array")
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view(">u8").ravel().astype(np.uint64)
-    _, rank = np.unique(words, return_inverse=True)
-    have = 8
-    while have < length:
-        later = np.zeros(len(rank), np.int64)
-        later[:-have] = rank[have:] + 1
-        _, rank = np.unique(rank * (len(rank) + 1) + later, return_inverse=True)
-        have *= 2
-    return rank
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
+    levels = [(8, np.unique(words, return_inverse=True)[1].astype(np.int64))]
+    while levels[-1][0] < length:
+        width, rank = levels[-1]
+        key = (rank + 1) << 42
+        key[:-width] |= (rank[width:] + 1) << 21
+        key[: -2 * width] |= rank[2 * width :] + 1
+        levels.append((3 * width, np.unique(key, return_inverse=True)[1].astype(np.int64)))
+    return levels
+
+
+def common_prefixes(levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Longest common prefixes of the suffixes at ``a`` and ``b``, counted up to the last width."""
+    n = len(data)
+    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    for nth, (width, rank) in enumerate([*reversed(levels), (1, data)]):
+        for _ in range(1 if nth == 0 else 2 if width > 1 else 7):
+            x, y = a[live] + out[live], b[live] + out[live]
+            same = (x < n) & (y < n)
+            same &= rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]
+            out[live[same]] += width
+            if nth == 0:
+                live = live[~same]
+    return out
+
+
+def previous_smaller(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each index the nearest one before it, not before its ``begins``, whose value is smaller;
+    -1 if there is none. Minima of 1, 2, 4, ... values in a row are skipped, largest first."""
+    n = len(values)
+    here = np.arange(n)
+    minima = [values]
+    while 2 << len(minima) - 1 <= (here - begins).max(initial=0) + 1:
+        last, step = minima[-1], 1 << len(minima) - 1
+        minima.append(np.minimum(last[:-step], last[step:]))
+    stop = here.copy()
+    for k in reversed(range(len(minima))):
+        to = stop - (1 << k)
+        free = to >= begins
+        free[free] = minima[k][to[free]] > values[free]
+        stop[free] = to[free]
+    return np.where(stop > begins, stop - 1, -1)
+
+
+def previous_factors(levels: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factor of each window: the longest prefix, of ``length`` bytes or more (0 if
+    shorter), that also starts at a smaller ``place``. ``starts`` stand in suffix order."""
+    n = len(starts)
+    factors = np.zeros(n, np.int64)
+    near = common_prefixes(levels, data, starts[:-1], starts[1:]) >= length
+    run = np.concatenate(([0], np.cumsum(~near)))
+    member = np.flatnonzero(np.bincount(run)[run] > 1)
+    if not len(member):
+        return factors
+    start, value, run = starts[member], place[member], run[member]
+    edges = np.flatnonzero(np.diff(run, prepend=-1))
+    sizes = np.diff(np.append(edges, len(run)))
+    begins = np.repeat(edges, sizes)
+    before = previous_smaller(value, begins)
+    ends = np.repeat(edges + sizes, sizes)
+    after = previous_smaller(value[::-1], (len(run) - ends)[::-1])[::-1]
+    after = np.where(after >= 0, len(run) - 1 - after, -1)
+    best = np.zeros(len(member), np.int64)
+    for other in (before, after):
+        some = np.flatnonzero(other >= 0)
+        best[some] = np.maximum(best[some], common_prefixes(levels, data, start[some], start[other[some]]))
+    factors[member] = np.where(best >= length, best, 0)
+    return factors
 
 
 def repeated_windows(texts: list[bytes], places: list[tuple], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each text, which of its windows have an earlier and which a later equal window.
 
-    ``places`` orders the texts' first windows; inside a text windows follow each other.
+    ``places`` orders the texts' first windows by document, byte and occurrence; inside a text
+    windows follow each other.
     """
     counts = np.array([len(t) - length + 1 for t in texts])
     data = np.frombuffer(b"".join(texts), np.uint8)
     begins = np.cumsum([0] + [len(t) for t in texts[:-1]])
-    half = max(8, 1 << (length - 1).bit_length() - 1)
-    rank = suffix_order(data, half)
     owner = np.repeat(np.arange(len(texts)), counts)
     offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    start = begins[owner] + offset
-    key = rank[start] * (len(rank) + 1) + rank[start + length - half]
-    # place of a window: document, then byte; equal places are one and the same window
-    docs: dict = {}
-    for d in sorted({p[:-1] for p in places}):
-        docs[d] = len(docs)
-    doc = np.array([docs[p[:-1]] for p in places])[owner]
-    byte = np.array([p[-1] for p in places])[owner] + offset
-    order = np.lexsort((byte, doc, key))
-    same = key[order][1:] == key[order][:-1]  # neighbours in suffix order with a common prefix of full length
-    apart = (doc[order][1:] != doc[order][:-1]) | (byte[order][1:] != byte[order][:-1])
-    pairs = same & apart
-    run = np.concatenate(([0], np.cumsum(~same)))  # windows that agree on ``length`` bytes
-    step = np.concatenate(([0], np.cumsum(pairs)))
-    first = np.full(run[-1] + 1 if len(run) else 0, np.iinfo(np.int64).max)
-    last = np.zeros_like(first)
-    np.minimum.at(first, run, step)
-    np.maximum.at(last, run, step)
+    docs = {d: k for k, d in enumerate(sorted({p[:-2] for p in places}))}
+    doc = np.array([docs[p[:-2]] for p in places])[owner]
+    byte = np.array([p[-2] for p in places])[owner] + offset
+    place = np.empty(len(owner), np.int32)
+    place[np.lexsort((np.array([p[-1] for p in places])[owner], byte, doc))] = np.arange(len(owner), dtype=np.int32)
+    starts = begins[owner] + offset
+    levels = suffix_ranks(data, length)
+    order = np.lexsort((place, levels[-1][1][starts]))
     earlier, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    earlier[order] = step > first[run]
-    later[order] = step < last[run]
+    earlier[order] = previous_factors(levels, data, starts[order], place[order], length) >= length
+    later[order] = previous_factors(levels, data, starts[order], len(place) - 1 - place[order], length) >= length
     cuts = np.cumsum(counts)[:-1]
     return np.split(earlier, cuts), np.split(later, cuts)
 
@@ -167,7 +241,6 @@ def runs_of(flags: np.ndarray) -> list[list[int]]:
     return edges.reshape(-1, 2).tolist()
 
 
-RUNS = T.ArrayType(T.ArrayType(T.IntegerType()))
 _ARROW_RUNS = pa.list_(pa.list_(pa.int32()))
 
 
@@ -175,179 +248,187 @@ def _as_bytes(column: Column) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
-def _anchors(docs: DataFrame, id_type: T.DataType, length: int) -> DataFrame:
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("print", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("anchor", T.LongType()), T.StructField("span", T.LongType()), T.StructField("inner", T.BooleanType())])
+_PLACE = ("id", "print", "lo")
+
+
+def _typed(text: str, id_type: T.DataType) -> T.StructType:
+    return T.StructType([*T._parse_datatype_string(text).fields, T.StructField("id", id_type)])
+
+
+def _anchors(docs: DataFrame, length: int) -> DataFrame:
+    """(anchor, inner) of every span."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            anchor, inner = spans_of(batch.column(0).to_pylist(), length, GRAM, named=False)
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(inner)], names=["anchor", "inner"])
+
+    return docs.filter(F.octet_length("body") >= length).select("body").mapInArrow(cut, "anchor long, inner boolean")
+
+
+def _spans(docs: DataFrame, id_type: T.DataType, length: int) -> DataFrame:
+    """(anchor, span, n, print, lo, id) of every span, ``span`` being its digest."""
+    schema = _typed("anchor long, span binary, n int, print binary, lo int", id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "body"):
-            owner, lo, n, anchor, span, inner = spans_of(batch.column(2).to_pylist(), length, GRAM)
+            anchor, owner, lo, n, span = spans_of(batch.column("body").to_pylist(), length, GRAM, named=True)
             if len(owner):
                 at = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(anchor), pa.array(span), pa.array(inner)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(span, pa.binary()), pa.array(n, pa.int32()), batch.column("print").take(at), pa.array(lo, pa.int32()), batch.column("id").take(at)], names=schema.names)
 
     return docs.filter(F.octet_length("body") >= length).mapInArrow(cut, schema)
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH) -> DataFrame:
-    """Rows (id, print, lo, n, whole, copies, first, earlier, later) of spans that hold repeats.
-
-    ``copies``: occurrences of this very span; ``first``: the first of them; ``earlier`` and
-    ``later``: runs of the span's windows that stand at earlier or later places, in other spans or
-    in this one.
-    """
+    """Rows (id, print, lo, n, earlier, later) of spans that hold repeats: the runs of the span's
+    windows that also stand at earlier or at later places."""
     small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType
-    plain = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"), _as_bytes(F.col(text_col)).alias("body"))
-    anchors = _anchors(plain, id_type, length)
-    twice = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), F.bool_or("inner").alias("inner")).filter("count > 1 OR inner").select("anchor")
-    found = materialize(anchors.join(twice, "anchor"), "anchors")
-    spans = found.groupBy("anchor", "span", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "print", "lo")).alias("first"), F.bool_or("inner").alias("inner"))
-    spans = materialize(spans, "spans")
-    kinds = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.bool_or("inner").alias("inner")).filter("kinds > 1 OR inner").drop("inner")
-    mixed = spans.join(kinds, "anchor")
-    wanted = mixed.groupBy(F.col("first.id").alias("id"), F.col("first.print").alias("print")).agg(F.collect_list(F.struct("anchor", "span", "n", F.col("first.lo").alias("lo"), "kinds")).alias("spans"))
+    plain = docs.select(F.col(id_col).alias("id"), text_print(F.col(text_col)).alias("print"), _as_bytes(F.col(text_col)).alias("body"))
+    twice = _anchors(plain, length).groupBy("anchor").agg(F.count(F.lit(1)).alias("count"), F.bool_or("inner").alias("inner")).filter("count > 1 OR inner").select("anchor")
+    found = materialize(_spans(plain, id_type, length).join(twice, "anchor"), "anchors")
+    place = F.struct(*_PLACE)
+    spans = materialize(found.groupBy("anchor", "span", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")), "spans")
+    kinds = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    shown = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("rep"), "first.*"), F.struct(F.lit(1).alias("rep"), "last.*"))).otherwise(F.array(F.struct(F.lit(0).alias("rep"), "first.*")))
+    shown = spans.join(kinds, "anchor").select("anchor", "span", "n", "kinds", F.explode(shown).alias("at")).select("anchor", "span", "n", "kinds", "at.*")
+    wanted = shown.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "span", "n", "kinds", "rep", "lo")).alias("spans"))
     packed = _packed(plain.filter(F.octet_length("body") >= length))
     texts = packed.join(wanted, packed["id"].eqNullSafe(wanted["id"]) & (packed["print"] == wanted["print"])).select(packed["id"], packed["print"], "body", "spans")
-    cut_schema = T.StructType([*T._parse_datatype_string("anchor long, span long, n int, kinds long").fields, T.StructField("id", id_type), T.StructField("print", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("text", T.BinaryType())])
+    schema = _typed("anchor long, span binary, n int, kinds long, rep int, print binary, lo int, text binary", id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            rows: dict[str, list] = {name: [] for name in cut_schema.names}
-            for i, p, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                text = unpack(packed)
-                for s in wanted:
-                    for name, value in (("anchor", s["anchor"]), ("span", s["span"]), ("n", s["n"]), ("kinds", s["kinds"]), ("id", i), ("print", p), ("lo", s["lo"]), ("text", text[s["lo"] : s["lo"] + s["n"] - 1 + length])):
-                        rows[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], t) for f, t in zip(cut_schema.fields, [pa.int64(), pa.int64(), pa.int32(), pa.int64(), batch.column(0).type, pa.int64(), pa.int32(), pa.binary()], strict=True)], names=cut_schema.names)
-
-    # A repeated row joins as often as it stands there; one text of each span is enough.
-    pieces = materialize(texts.mapInArrow(cut, cut_schema).dropDuplicates(["anchor", "span", "n"]), "span-texts")
+            own, row = batch.column(3).flatten(), pc.list_parent_indices(batch.column(3))
+            lo, n = (own.field(c).to_numpy() for c in ("lo", "n"))
+            parts, text, last = [], b"", -1
+            for k, i, j in zip(row.to_pylist(), lo.tolist(), (lo + n - 1 + length).tolist(), strict=True):
+                if k != last:
+                    text, last = unpack(batch.column(2)[k].as_py()), k
+                parts.append(text[i:j])
+            yield pa.RecordBatch.from_arrays([*(own.field(c) for c in ("anchor", "span", "n", "kinds", "rep")), batch.column(1).take(row), own.field("lo"), pa.array(parts, pa.binary()), batch.column(0).take(row)], names=schema.names)
+
+    # A repeated row joins as often as it stands there; comparing drops what was sent twice.
+    pieces = materialize(texts.mapInArrow(cut, schema).withColumn("inst", F.col("rep")), "span-texts")
     small = _compare_groups(pieces.filter(F.col("kinds") <= GROUP_SPANS), length)
-    large = _compare_parts(pieces.filter(F.col("kinds") > GROUP_SPANS), length, id_type)
-    compared = materialize(small.unionByName(large), "compared")
-    marked = spans.drop("inner").join(compared, ["anchor", "span", "n"], "left").filter((F.col("copies") > 1) | (F.size("earlier") > 0) | (F.size("later") > 0))
-    return found.join(marked, ["anchor", "span", "n"]).drop("anchor", "span", "inner")
+    large = pieces.filter(F.col("kinds") > GROUP_SPANS)
+    if not large.isEmpty():
+        small = small.unionByName(_compare_parts(large.dropDuplicates(["anchor", "span", "n", "rep"]), length, id_type, PART))
+    compared = materialize(small, "compared")
+    return _told(found.join(spans.drop("copies").join(compared, ["anchor", "span", "n"]), ["anchor", "span", "n"]), place).drop("anchor", "span")
+
+
+#: Runs of windows with an earlier and a later copy, for the first and the last occurrence.
+_COMPARED = "anchor long, span binary, n int, e0 array<array<int>>, l0 array<array<int>>, e1 array<array<int>>, l1 array<array<int>>"
+
+
+def _told(rows: DataFrame, place: Column) -> DataFrame:
+    """``rows`` with what the comparison of their first and last copies says about each. Between
+    the two, a copy has earlier ones as the last has, and later ones as the first has."""
+    is_first, is_last = place.eqNullSafe(F.col("first")), place.eqNullSafe(F.col("last"))
+    earlier = F.when(is_first, F.col("e0")).otherwise(F.col("e1"))
+    later = F.when(is_last & ~is_first, F.col("l1")).otherwise(F.col("l0"))
+    return rows.withColumns({"earlier": earlier, "later": later}).drop("first", "last", "e0", "l0", "e1", "l1")
 
 
 def _compare_groups(pieces: DataFrame, length: int) -> DataFrame:
-    """Suffix arrays over the texts of groups of anchors; all spans of an anchor are in one group."""
+    """Factors over the texts of groups of anchors; all spans of an anchor are in one group."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        size, last = 0, None
+        size, last, key = 0, None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["anchor"] != last and size > ARRAY_BYTES:
                     yield _compared(held, length)
                     held, size = [], 0
-                held.append(row)
-                size += len(row["text"])
                 last = row["anchor"]
+                if (last, row["span"], row["n"], row["rep"]) != key:
+                    key = (last, row["span"], row["n"], row["rep"])
+                    held.append(row)
+                    size += len(row["text"])
         if held:
             yield _compared(held, length)
 
-    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(compare, "anchor long, span long, n int, earlier array<array<int>>, later array<array<int>>")
+    dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "span", "n", "rep")
+    return dealt.select("anchor", "span", "n", "rep", "id", "print", "lo", "inst", "text").mapInArrow(compare, _COMPARED)
 
 
 def _compared(rows: list[dict], length: int) -> pa.RecordBatch:
-    places = [((r["id"] is not None, r["id"] if r["id"] is not None else 0), r["print"], r["lo"]) for r in rows]
+    places = [((r["id"] is not None, r["id"] if r["id"] is not None else 0), r["print"], r["lo"], r["inst"]) for r in rows]
     earlier, later = repeated_windows([r["text"] for r in rows], places, length)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r["anchor"] for r in rows]), pa.array([r["span"] for r in rows]), pa.array([r["n"] for r in rows], pa.int32()), pa.array([runs_of(e) for e in earlier], _ARROW_RUNS), pa.array([runs_of(x) for x in later], _ARROW_RUNS)],
-        names=["anchor", "span", "n", "earlier", "later"],
-    )
+    out: dict[str, list] = {c: [] for c in ("anchor", "span", "n", "e0", "l0", "e1", "l1")}
+    for r, e, x in zip(rows, earlier, later, strict=True):
+        if r["rep"] == 0:
+            for c, v in (("anchor", r["anchor"]), ("span", r["span"]), ("n", r["n"]), ("e0", runs_of(e)), ("l0", runs_of(x)), ("e1", []), ("l1", [])):
+                out[c].append(v)
+        else:
+            out["e1"][-1], out["l1"][-1] = runs_of(e), runs_of(x)
+    return pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["span"], pa.binary()), pa.array(out["n"], pa.int32()), *(pa.array(out[c], _ARROW_RUNS) for c in ("e0", "l0", "e1", "l1"))], names=list(out))
 
 
-def parts_of(text: bytes, anchor: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Parts of a span: first window, number of windows, hash of their common bytes, text hash.
+def parts_of(text: bytes, anchor: int, length: int, gram: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Parts of a span: first window, number of windows, hash of their common bytes, text digest.
 
     A window's part follows from its own bytes: the offset of the anchor's first occurrence in it,
-    in steps of ``PART``.
+    in steps of ``step`` windows. With a step of 1 every window is a part of its own.
     """
+    if step == 1:
+        starts = np.arange(len(text) - length + 1)
+        names = digests(text[s : s + length] for s in starts.tolist())
+        return starts, np.ones_like(starts), np.array([int.from_bytes(d[:8], "little", signed=True) for d in names], np.int64), names
     prefix = prefix_hash(np.frombuffer(text, np.uint8))
     at = np.arange(len(text) - gram + 1)
     found = np.flatnonzero(span_hash(prefix, at, at + gram).view(np.int64) == anchor)
     k = np.arange(len(text) - length + 1)
     occurs = found[np.searchsorted(found, k)]
-    step = (occurs - k) // PART
+    nth = (occurs - k) // step
     new = np.ones(len(k), bool)
-    new[1:] = (occurs[1:] != occurs[:-1]) | (step[1:] != step[:-1])
+    new[1:] = (occurs[1:] != occurs[:-1]) | (nth[1:] != nth[:-1])
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(k))
-    common = occurs[starts] - step[starts] * PART
-    with np.errstate(over="ignore"):
-        key = mix64(span_hash(prefix, common, common + length - PART) + step[starts].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return starts, ends - starts, key.view(np.int64), span_hash(prefix, starts, ends - 1 + length).view(np.int64)
+    # Every window of the part holds the bytes from its last possible start to its first end.
+    common = occurs[starts] - nth[starts] * step
+    shared = digests(b"%d:" % q + text[c : c + length - step + 1] for q, c in zip(nth[starts].tolist(), common.tolist(), strict=True))
+    key = np.array([int.from_bytes(d[:8], "little", signed=True) for d in shared], np.int64)
+    return starts, ends - starts, key, digests(text[s : e - 1 + length] for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def _compare_parts(pieces: DataFrame, length: int, id_type: T.DataType) -> DataFrame:
+def _compare_parts(pieces: DataFrame, length: int, id_type: T.DataType, step: int) -> DataFrame:
     """The same for anchors with very many spans, by parts of spans and their common bytes."""
-    schema = T.StructType([*T._parse_datatype_string("anchor long, span long, n int, k int, key long, part long, m int, print long, lo int, text binary").fields, T.StructField("id", id_type)])
+    schema = _typed("anchor long, span binary, n int, rep int, inst int, print binary, lo int, k int, m int, key long, part binary", id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r, row in enumerate(batch.select(["anchor", "span", "n", "print", "lo", "text"]).to_pylist()):
-                k, m, key, part = parts_of(row["text"], row["anchor"], length, GRAM)
-                n = len(k)
-                texts = [row["text"][i : i + j - 1 + length] for i, j in zip(k.tolist(), m.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array([row[c]] * n, t) for c, t in (("anchor", pa.int64()), ("span", pa.int64()), ("n", pa.int32()))),
-                        pa.array(k, pa.int32()), pa.array(key), pa.array(part), pa.array(m, pa.int32()), pa.array([row["print"]] * n, pa.int64()), pa.array(k + row["lo"], pa.int32()), pa.array(texts, pa.binary()),
-                        batch.column("id").take(pa.array(np.full(n, r))),
-                    ],
-                    names=schema.names,
-                )
-
-    parts = materialize(pieces.select("anchor", "span", "n", "id", "print", "lo", "text").mapInArrow(cut, schema), "parts")
-    kinds = parts.groupBy("key", "part", "m").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("id", "print", "lo")).alias("first"))
-    kinds = materialize(kinds, "part-kinds")
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    one = kinds.join(mixed, "key").join(parts.select("key", "part", "m", "id", "print", "lo", "text"), ["key", "part", "m"])
-    one = one.filter(F.struct("id", "print", "lo").eqNullSafe(F.col("first"))).dropDuplicates(["key", "part", "m"])
-    one = materialize(one.select(F.col("key").alias("anchor"), F.col("part").alias("span"), F.col("m").alias("n"), "kinds", "id", "print", "lo", "text"), "part-texts")
-    small = _compare_groups(one.filter(F.col("kinds") <= GROUP_SPANS), length)
-    large = _compare_windows(one.filter(F.col("kinds") > GROUP_SPANS), length, id_type)
-    compared = small.unionByName(large).withColumnsRenamed({"anchor": "key", "span": "part", "n": "m"})
-    marked = kinds.join(compared, ["key", "part", "m"], "left").filter((F.col("copies") > 1) | (F.size("earlier") > 0) | (F.size("later") > 0))
-    owned = parts.drop("text").join(marked, ["key", "part", "m"])
-    none = F.array().cast(RUNS)
-    whole = F.array(F.array(F.lit(0), F.col("m")))
-    later_copy = (F.col("copies") > 1) & ~F.struct("id", "print", "lo").eqNullSafe(F.col("first"))
-    flags = owned.select("anchor", "span", "n", "k", F.when(later_copy, whole).otherwise(F.coalesce("earlier", none)).alias("e"), F.when(F.col("copies") > 1, whole).otherwise(F.coalesce("later", none)).alias("l"))
+            for r, (anchor, text) in enumerate(zip(batch.column("anchor").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+                k, m, key, part = parts_of(text, anchor, length, GRAM, step)
+                many = pa.array(np.full(len(k), r))
+                own = {c: batch.column(c).take(many) for c in ("anchor", "span", "n", "rep", "inst", "print", "lo", "id")}
+                own |= {"k": pa.array(k, pa.int32()), "m": pa.array(m, pa.int32()), "key": pa.array(key), "part": pa.array(part, pa.binary())}
+                yield pa.RecordBatch.from_arrays([own[c] for c in schema.names], names=schema.names)
+
+    parts = materialize(pieces.select("anchor", "span", "n", "rep", "inst", "id", "print", "lo", "text").mapInArrow(cut, schema), "parts")
+    place = F.struct("id", "print", (F.col("lo") + F.col("k")).alias("lo"), "inst", "anchor", "span", "n", "rep", "k")
+    kinds = materialize(parts.groupBy("key", "part", "m").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")), "part-kinds")
+    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most")).filter("kinds > 1 OR most > 1").drop("most")
+    pick = lambda rep, at: F.struct(F.lit(rep).alias("as"), f"{at}.*")
+    shown = F.when(F.col("copies") > 1, F.array(pick(0, "first"), pick(1, "last"))).otherwise(F.array(pick(0, "first")))
+    shown = kinds.join(mixed, "key").select("key", "part", "m", "kinds", F.explode(shown).alias("at")).select("key", "part", "m", "kinds", "at.*")
+    texts = shown.join(pieces.select("anchor", "span", "n", "rep", "text"), ["anchor", "span", "n", "rep"])
+    texts = texts.select(F.col("key").alias("anchor"), F.col("part").alias("span"), F.col("m").alias("n"), F.col("as").alias("rep"), "kinds", "id", "print", "lo", "inst", F.substring("text", F.col("k") + 1, F.col("m") - 1 + length).alias("text"))
+    texts = materialize(texts, "part-texts")
+    # Parts of one window that meet are equal, so there is no further step below.
+    compared = _compare_groups(texts.filter((F.col("kinds") <= GROUP_SPANS) | F.lit(step == 1)), length)
+    large = texts.filter((F.col("kinds") > GROUP_SPANS) & F.lit(step > 1))
+    if step > 1 and not large.isEmpty():
+        compared = compared.unionByName(_compare_parts(large, length, id_type, 1))
+    compared = compared.withColumnsRenamed({"anchor": "key", "span": "part", "n": "m"})
+    flags = _told(parts.join(kinds.drop("copies").join(compared, ["key", "part", "m"]), ["key", "part", "m"]), place)
     moved = lambda c: F.flatten(F.collect_list(F.transform(c, lambda r: F.array(r[0] + F.col("k"), r[1] + F.col("k")))))
-    return flags.groupBy("anchor", "span", "n").agg(moved("e").alias("earlier"), moved("l").alias("later"))
-
-
-def _compare_windows(pieces: DataFrame, length: int, id_type: T.DataType) -> DataFrame:
-    """The same for anchors with very many spans: windows meet by 64-bit hash under their anchor."""
-    schema = T.StructType([*T._parse_datatype_string("anchor long, span long, n int, k int, hash long, print long, at int").fields, T.StructField("id", id_type)])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, prints = batch.column("id"), batch.column("print")
-            for r, row in enumerate(batch.select(["anchor", "span", "n", "lo", "text"]).to_pylist()):
-                n = row["n"]
-                k = np.arange(n)
-                hashes = span_hash(prefix_hash(np.frombuffer(row["text"], np.uint8)), k, k + length).view(np.int64)
-                at = pa.array(np.full(n, r))
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(np.full(n, row[c]), t) for c, t in (("anchor", pa.int64()), ("span", pa.int64()), ("n", pa.int32()))), pa.array(k, pa.int32()), pa.array(hashes), prints.take(at), pa.array(k + row["lo"], pa.int32()), ids.take(at)],
-                    names=schema.names,
-                )
-
-    window = pieces.select("anchor", "span", "n", "id", "print", "lo", "text").mapInArrow(cut, schema).withColumn("place", F.struct("id", "print", "at")).drop("id", "print", "at")
-    ends = window.groupBy("anchor", "hash").agg(F.min("place").alias("least"), F.max("place").alias("most")).filter("least < most")
-    joined = window.join(ends, ["anchor", "hash"])
-    flags = joined.groupBy("anchor", "span", "n").agg(F.collect_set(F.when(F.col("least") < F.col("place"), F.col("k"))).alias("e"), F.collect_set(F.when(F.col("place") < F.col("most"), F.col("k"))).alias("l"))
-
-    def joined_up(name: str) -> Column:
-        single = F.transform(F.array_sort(name), lambda k: F.array(k, k + 1))
-        return F.aggregate(single, F.array().cast(RUNS), lambda done, r: F.when((F.size(done) > 0) & (F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(2)) == r[0]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(F.element_at(F.element_at(done, -1), 1), r[1])))).otherwise(F.concat(done, F.array(r))))
-
-    return flags.select("anchor", "span", "n", joined_up("e").alias("earlier"), joined_up("l").alias("later"))
+    own = lambda rep, c: moved(F.when(F.col("rep") == rep, F.col(c)))
+    return flags.groupBy("anchor", "span", "n").agg(own(0, "earlier").alias("e0"), own(0, "later").alias("l0"), own(1, "earlier").alias("e1"), own(1, "later").alias("l1"))
 
 
 def _packed(rows: DataFrame) -> DataFrame:
@@ -367,12 +448,7 @@ def removed_ranges(docs: DataFrame, id_col: str, text_col: str, keep: str, lengt
     if keep not in ("first", "none"):
         raise ValueError(f"keep must be 'first' or 'none', not {keep!r}")
     spans = repeated_spans(docs, id_col, text_col, length)
-    everything = F.array(F.array(F.lit(0), F.col("n")))
-    none = F.array().cast(RUNS)
-    own = F.concat(F.coalesce("earlier", none), F.coalesce("later", none)) if keep == "none" else F.coalesce("earlier", none)
-    other_first = ~F.struct("id", "print", "lo").eqNullSafe(F.col("first"))
-    whole = (F.col("copies") > 1) if keep == "none" else (F.col("copies") > 1) & other_first
-    windows = F.when(whole, everything).otherwise(own)
+    windows = F.concat("earlier", "later") if keep == "none" else F.col("earlier")
     rows = spans.select("id", "print", F.transform(windows, lambda r: F.struct((F.col("lo") + r[0]).alias("start"), (F.col("lo") + r[1] - 1 + length).alias("end"))).alias("ranges"))
     rows = rows.filter(F.size("ranges") > 0)
     return rows.groupBy("id", "print").agg(F.array_distinct(F.flatten(F.collect_list("ranges"))).alias("ranges"))
@@ -384,7 +460,7 @@ def _with_ranges(docs: DataFrame, id_col: str, text_col: str, keep: str, length:
     names = [f"c{k}" for k in range(len(docs.columns))]
     at, key = docs.columns.index(text_col), names[docs.columns.index(id_col)]
     rows = docs.toDF(*names)
-    mark = F.xxhash64(F.coalesce(F.col(names[at]), F.lit("")))
+    mark = text_print(F.col(names[at]))
     rows = rows.select(*[c for c in names if c != names[at]], F.col(names[at]).isNull().alias("absent"), mark.alias("mark"), _as_bytes(F.col(names[at])).alias("body"))
     packed = _packed(rows)
     return packed.join(ranges, packed[key].eqNullSafe(F.col("rid")) & (F.col("mark") == F.col("rprint")), "left").drop("rid", "rprint", "mark")
