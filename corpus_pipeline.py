@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traitforge.llm.bpe import encode_documents, tokenizer_path
-from traitforge.llm.common import materialize, table
+from traitforge.llm.common import materialize, table, text_print
 from traitforge.llm.decontaminate import remove_contamination
 from traitforge.llm.language import keep_identified, learn_languages
 from traitforge.llm.minhash import NearDuplicates
@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
     groups = materialize(NearDuplicates(docs, width=5, percent=80).groups(), "groups")
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    key = text_print(F.col("text"))
     same = lambda t: docs["doc_id"].eqNullSafe(t["id"]) & (key == t["print"])
     gone = groups.filter("NOT leader").select("id", "print").distinct()
     kept = docs.join(gone, same(gone), "left_anti")
@@ -44,7 +44,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Later copies of byte strings that repeat across documents or in one are cut out; documents
     of which nothing but white space stays go."""
     kept = remove_repeats(docs, keep="first")
-    return kept.filter(F.length(F.trim("text")) > 0)
+    return kept.filter(F.col("text").rlike(r"(?U)\S"))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

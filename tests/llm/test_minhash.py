@@ -98,3 +98,19 @@ def test_components_of_chain_star_and_ring(spark):
     edges = [(i, i + 1) for i in range(100)] + [(200, 201 + i) for i in range(50)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)] + [(400, 400)]
     got = dict(components(spark.createDataFrame(edges, "src long, dst long")).collect())
     assert got == {**{i: 0 for i in range(101)}, **{i: 200 for i in range(200, 251)}, **{i: 300 for i in range(300, 309)}}
+
+
+def test_texts_that_agree_in_a_weak_hash(spark):
+    """Words in the pattern of the Thue-Morse sequence and its complement agree in any polynomial
+    hash modulo 2^64 with an odd base; they are different words."""
+    sign = [bin(k).count("1") % 2 for k in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in sign)), (2, "".join("ba"[b] for b in sign)), (3, "A" + "".join("ab"[b] for b in sign)[1:])]
+    got = {r.id: r.component for r in NearDuplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).groups().collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_full_sets_are_told_by_both_halves_of_a_name():
+    x = np.array([(1, 1), (2, 5), (7, 7)], minhash.NAME)
+    y = np.array([(1, 1), (2, 6), (7, 7)], minhash.NAME)
+    assert minhash.common_names(x, y) == 2
+    assert minhash.common_names(x, x) == 3

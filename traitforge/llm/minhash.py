@@ -15,11 +15,17 @@ every member outside the key's main component with its nearest one, then, once t
 joined what they can, all that are still apart. Bitmaps of the sets, whose difference is never more
 than that of the sets, spare nearly all pairs that cannot link. Every link is confirmed on full sets.
 
+A shingle is named by 128 bits made from 128-bit cryptographic digests of its words, so that full
+sets are compared by these names. What is guaranteed: no pair is linked that is not similar enough,
+and every pair within the signature distance is linked or joined through others; a similar pair
+beyond the distance may be missed, with the probabilities above.
+
 Defined results: words are what stands between ASCII white space, A-Z lower-cased; null texts and
 texts without words have empty sets and link with nothing; with fewer words than the shingle
-length, the whole sequence is the only shingle; equal texts under any ids are one component,
-repeated rows included; a component's name is its smallest id that is not null, and a row without
-id is kept if it is alone; empty tables give empty tables; other columns are not read.
+length, the whole sequence is the only shingle; very long texts give sets as long;
+equal texts under any ids are one component, repeated rows included; a component's name is its smallest id that is not null, and a row without
+id is kept if it is alone; empty tables give empty tables; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import components
-from .common import U64, materialize, mix64, prefix_hash, slices, small_batches, span_hash, table
+from .common import U64, digests, materialize, mix64, slices, small_batches, table, text_print
 
 HASHES, BITS, DISTANCE, CHUNKS = 48, 16, 20, 11
 #: Members of one key that are compared with each other in one step.
@@ -43,63 +49,77 @@ BLOCK = 512
 BITMAP = 4096
 #: Bytes of text hashed at once.
 PIECE = 1 << 19
+#: Words whose digests a Python worker remembers.
+REMEMBERED = 200_000
 
-_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
-_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: A shingle's name: two numbers of 64 bits.
+NAME = np.dtype([("a", U64), ("b", U64)])
 with np.errstate(over="ignore"):
     _MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _PLACES = [mix64(np.array([k + 77], U64))[0] | U64(1) for k in range(16)]
 
 
-def hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and 64-bit hashes of the words of lower-cased bytes, in pieces cut at white space."""
-    starts, hashes, at = [], [], 0
-    while at < len(data):
-        stop = min(len(data), at + PIECE)
-        while stop < len(data):
-            white = np.flatnonzero(_WHITE[data[at:stop]])
-            if len(white):
-                stop = at + int(white[-1]) + 1
-                break
-            stop = min(len(data), stop + PIECE)
-        piece = data[at:stop]
-        edges = np.flatnonzero(np.diff(np.concatenate(([True], _WHITE[piece], [True])).astype(np.int8)))
-        s, e = edges[::2], edges[1::2]
-        hashes.append(span_hash(prefix_hash(piece), s, e))
-        starts.append(s + at)
-        at = stop
-    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, U64))
+_KNOWN: dict[bytes, int] = {}
+_NAMES = np.empty(0, NAME)
+
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of the words of all texts, one after the other, and the number of words of each."""
+    global _NAMES
+    split = [t.translate(_LOWER).split() for t in texts]
+    if len(_KNOWN) > REMEMBERED:
+        _KNOWN.clear()
+        _NAMES = _NAMES[:0]
+    had = len(_KNOWN)
+    at = np.fromiter((_KNOWN.setdefault(w, len(_KNOWN)) for words in split for w in words), np.int64)
+    if len(_KNOWN) > had:
+        fresh = list(_KNOWN)[had:]
+        _NAMES = np.concatenate([_NAMES, np.frombuffer(b"".join(digests(fresh)), NAME)])
+    return _NAMES[at], np.fromiter(map(len, split), np.int64, len(split))
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all texts, text by text in rising order, and the bounds of each."""
-    data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    starts, words = hash_words(data)
-    sizes = np.array([len(t) + 1 for t in texts])
-    firsts = np.searchsorted(starts, np.cumsum(sizes) - sizes)
-    counts = np.diff(np.append(firsts, len(words)))
+    """Distinct shingle names of all texts, text by text in rising order, and the bounds of each."""
+    words, counts = word_names(texts)
+    firsts = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(texts)), counts)
+    least = np.minimum(counts, width)
+    starts = np.flatnonzero(np.arange(len(words)) - firsts[owner] <= counts[owner] - least[owner])
+    owner = owner[starts]
+    sizes = least[owner]
+    value = np.empty(len(starts), NAME)
     with np.errstate(over="ignore"):
-        if len(words) >= width:
-            full = sum((words[k : len(words) - width + 1 + k] * _PLACES[k] for k in range(1, width)), words[: len(words) - width + 1] * _PLACES[0])
-        else:
-            full = np.zeros(0, U64)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        whole = (np.arange(len(words)) - firsts[owner] <= counts[owner] - width)[: len(full)]
-        owners, values = [owner[: len(full)][whole]], [full[whole]]
-        for n in range(1, width):
-            few = np.flatnonzero(counts == n)
-            if len(few):
-                owners.append(few)
-                values.append(sum((words[firsts[few] + k] * _PLACES[k] for k in range(n)), np.full(len(few), n, U64)))
-    owner, value = np.concatenate(owners), mix64(np.concatenate(values))
-    order = np.lexsort((value, owner))
+        for lane in NAME.names:
+            column = words[lane]
+            mixed = mix64(sizes.astype(U64))
+            for k in range(width):
+                # Shorter texts are one shingle of all their words.
+                more = slice(None) if k == 0 else sizes > k
+                mixed[more] = mix64(mixed[more] * U64(0x9E3779B97F4A7C15) + column[(starts + k)[more]])
+            value[lane] = mixed
+    order = np.lexsort((value["a"], owner))
     owner, value = owner[order], value[order]
+    close = (value["a"][1:] == value["a"][:-1]) & (owner[1:] == owner[:-1])
+    if (close & (value["b"][1:] != value["b"][:-1])).any():
+        order = np.lexsort((value["b"], value["a"], owner))
+        owner, value = owner[order], value[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
     owner, value = owner[new], value[new]
     return value, np.searchsorted(owner, np.arange(len(texts) + 1))
 
 
+def common_names(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sets of names."""
+    both = np.concatenate([x, y])
+    both = both[np.argsort(both["a"], kind="stable")]
+    same = both["a"][1:] == both["a"][:-1]
+    if (both["b"][1:] != both["b"][:-1])[same].any():
+        return len(set(x.tolist()) & set(y.tolist()))
+    return int(same.sum())
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """b-bit minimum hashes, one row for each set; rows of empty sets are zero."""
     filled = np.flatnonzero(np.diff(bounds))
@@ -107,7 +127,7 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     if len(filled):
         with np.errstate(over="ignore"):
             for k in range(HASHES):
-                least = np.minimum.reduceat(values * _MULTIPLIERS[k], bounds[:-1][filled])
+                least = np.minimum.reduceat(values["a"] * _MULTIPLIERS[k], bounds[:-1][filled])
                 out[filled, k] = (mix64(least) >> U64(64 - BITS)).astype(np.uint16)
     return out
 
@@ -141,10 +161,9 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches, "body", PIECE):
             values, bounds = shingle_sets(batch.column(2).to_pylist(), width)
             sigs = signatures(values, bounds)
-            with np.errstate(over="ignore"):
-                sums = [np.concatenate(([U64(0)], np.cumsum(mix64(values ^ U64(salt))))) for salt in (0, 0x5851F42D4C957F2D)]
-                digest = np.stack([mix64(s[bounds[1:]] - s[bounds[:-1]]) for s in sums], 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array([d.tobytes() for d in digest], pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=schema.names)
+            whole = memoryview(values.tobytes())
+            names = digests(whole[s * NAME.itemsize : e * NAME.itemsize] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(names, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(profile, schema)
 
@@ -232,7 +251,7 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80):
         small_batches(docs.sparkSession)
         self.width, self.percent = width, percent
-        self.docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("print"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
+        self.docs = docs.select(F.col(id_col).alias("id"), text_print(F.col(text_col)).alias("print"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body"))
         self.rows = materialize(_profiles(self.docs, width), "profiles")
 
     def _sets(self, asked: DataFrame, where: DataFrame) -> DataFrame:
@@ -263,11 +282,9 @@ class NearDuplicates:
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    keep.append(100 * common >= percent * (len(both) - common))
+                    x, y = np.frombuffer(x, NAME), np.frombuffer(y, NAME)
+                    common = common_names(x, y)
+                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         joined = pairs.join(full.withColumnsRenamed({"cls": "a", "hashes": "ha"}), "a").join(full.withColumnsRenamed({"cls": "b", "hashes": "hb"}), "b")
@@ -281,7 +298,7 @@ class NearDuplicates:
             for batch in batches:
                 sizes, maps = [], []
                 for hashes in batch.column(1).to_pylist():
-                    values = np.frombuffer(hashes, U64)
+                    values = np.frombuffer(hashes, NAME)["a"]
                     bits = np.zeros(BITMAP, bool)
                     bits[(values % U64(BITMAP)).astype(np.int64)] = True
                     sizes.append(len(values))
