@@ -4,9 +4,13 @@ import zlib
 import numpy as np
 import pytest
 
-from traitforge.llm import language, toxicity
+import zstandard
+from pyspark.sql import functions as F
+
+from traitforge.llm import language, learning, toxicity
+from traitforge.llm.decontaminate import words_of
 from traitforge.llm.language import posteriors
-from traitforge.llm.quality import op5_compression_quality, score_quality
+from traitforge.llm.quality import Sizer, op5_compression_quality, score_quality
 from traitforge.llm.toxicity import BlockMaxIndex, op10_tfidf_toxicity, score_toxicity
 
 CRC = lambda i, n: zlib.crc32(str(i).encode()) % n
@@ -79,13 +83,133 @@ def test_block_max_search_is_exact():
         terms = r.choice(30, r.integers(1, 6), replace=False)
         w = r.random(len(terms)) + 0.1
         w /= np.linalg.norm(w)
-        vectors.append({int(t): float(x) for t, x in zip(terms, w, strict=True)})
-    index = BlockMaxIndex(vectors, [str(i) for i in range(400)], [i % 2 for i in range(400)])
-    for q in vectors[:60]:
-        cos = {str(i): round(sum(q[t] * v.get(t, 0.0) for t in q), 9) for i, v in enumerate(vectors)}
-        want = sorted(((-c, k) for k, c in cos.items() if c > 0))[: toxicity.NEIGHBOURS]
-        got = [(-s, index.keys[p]) for s, p in index.nearest(q, toxicity.NEIGHBOURS)]
-        assert [k for _, k in got] == [k for _, k in want]
+        order = np.argsort(terms)
+        vectors.append((terms[order], w[order]))
+    plain = [dict(zip(t.tolist(), w.tolist(), strict=True)) for t, w in vectors]
+    index = BlockMaxIndex(vectors, [str(i) for i in range(400)], [i % 2 for i in range(400)], 30)
+    for i, q in enumerate(plain[:60]):
+        cos = {str(j): round(sum(w * v.get(t, 0.0) for t, w in q.items()), 9) for j, v in enumerate(plain)}
+        want = sorted((-c, k) for k, c in cos.items() if c > 0)
+        best, cosines = index.nearest(vectors[i], toxicity.NEIGHBOURS)
+        assert [(-c, index.keys[p]) for p, c in zip(best, cosines, strict=True)] == want[: toxicity.NEIGHBOURS]
+        best, _ = index.nearest(vectors[i], toxicity.NEIGHBOURS, index.place[i])
+        assert [index.keys[p] for p in best] == [k for _, k in want if k != str(i)][: toxicity.NEIGHBOURS]
+    assert len(index.nearest((np.zeros(0, int), np.zeros(0)), 3)[0]) == 0
+
+
+def test_toxicity_query_against_brute_force(spark, corpus, monkeypatch):
+    """Scores from plain dictionaries: all cosines, sorted, and Newton's method for the calibration."""
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 2)
+    path, docs, labels = corpus
+    text = {i: t for i, t, *_ in docs if t is not None and i is not None}
+    label = {i: t for i, _, t in labels if t is not None and i in text and CRC(i, 5)}
+    split = {i: words_of(t.lower()) for i, t, *_ in docs if i is not None and t}
+    unique = {}
+    for i in sorted(label, key=lambda i: (label[i], str(i))):
+        unique.setdefault(text[i] if len(text[i]) <= 16000 else i, i)
+    sample = list(unique.values())
+    vocabulary = {w for i in sample for w in split[i]}
+    df = {w: sum(w in set(words_of((t or "").lower())) for _, t, *_ in docs) for w in vocabulary}
+    sizes = [sum(label[i] == v for i in sample) for v in (0, 1)]
+
+    def weight(w):
+        seen = [sum(w in split[i] for i in sample if label[i] == v) for v in (0, 1)]
+        error = ((sum(seen) + 1) / len(sample) * (1 / sizes[0] + 1 / sizes[1])) ** 0.5
+        beyond = max(0.0, abs(seen[1] / sizes[1] - seen[0] / sizes[0]) / error - 5)
+        return (np.log((1 + len(docs)) / (1 + df[w])) + 1) * (0.02 + beyond / (5 + beyond))
+
+    weights = {w: weight(w) for w in vocabulary}
+
+    def vector(found):
+        v = {w: (1 + np.log(found.count(w))) * weights[w] for w in set(found) & vocabulary}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {i: vector(split[i]) for i in sample}
+
+    def vote(v, but=None):
+        near = sorted((-round(sum(x * vectors[j].get(w, 0.0) for w, x in v.items()), 9), str(j), j) for j in sample if j != but)[:15]
+        return sum(-c * (2 * label[j] - 1) for c, _, j in near if c) / 15
+
+    x, y = np.array([vote(vectors[i], i) for i in sample]), np.array([label[i] for i in sample], float)
+    counts = [sum(v == k for v in label.values()) for k in (0, 1)]
+    share = np.where(y == 1, counts[1] / sizes[1], counts[0] / sizes[0])
+    model = toxicity.logistic(x[:, None], y, share / share.mean(), ridge=1e-2)
+    got = {r.doc_id: r.score for r in op10_tfidf_toxicity(spark, path).collect()}
+    for i in [*list(split)[:150], 1003]:
+        assert abs(got[i] - toxicity.probability(model, np.array([[vote(vector(split[i]))]]))[0]) < 1e-6, i
+    assert abs(got[1000] - toxicity.probability(model, np.zeros((1, 1)))[0]) < 1e-6
+
+
+def test_language_query_against_brute_force(spark, corpus):
+    """Forward-backward one word after another, with each word's weights looked up on its own."""
+    path, docs, _ = corpus
+    model = language.learn_languages(spark.read.parquet(f"{path}/documents.parquet"))
+    got = {r.doc_id: r for r in language.op8_crf_language(spark, path).collect()}
+    for i, text, *_ in [*docs[:40], docs[600], docs[602]]:
+        found = language.words(text)
+        if not found:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        e = np.exp([model.table[language.word_features([w])[0]].sum(0).astype(float) for w in found])
+        move, a, b = np.exp(model.step), [np.exp(model.start) * e[0]], [np.ones(len(model.languages))]
+        for t in range(1, len(found)):
+            a.append((a[-1] @ move) * e[t])
+            a[-1] /= a[-1].sum()
+            b.append(move @ (e[-t] * b[-1]))
+            b[-1] /= b[-1].sum()
+        p = np.array(a) * np.array(b[::-1])
+        mean = (p / p.sum(1, keepdims=True)).mean(0)
+        assert got[i].lang_pred == model.languages[int(mean.argmax())] and abs(got[i].score - mean.max()) < 1e-4, i
+
+
+def test_sizes_against_plain_compression(spark, corpus):
+    r = random.Random(8)
+    good, bad = (("".join(r.choice(p) for _ in range(4000))).encode() for p in ("abcd ", "xyz|"))
+    sizer = Sizer(good, bad)
+    for text in ("", "abcd abcd", "x|y|z" * 3000, None):
+        data = (text or "").encode()
+        sizes = []
+        for raw in (good, bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(1 + sum(len(c.compress(data[k : k + 2048])) for k in range(0, len(data), 2048)))
+        a, b = sizes
+        assert sizer.features(text) == ((b - a) / max(a, b), a / (len(data) + 1), b / (len(data) + 1))
+
+
+def test_samples(spark, monkeypatch):
+    """The lowest lots of each label, long texts in pieces, labels without a text left out."""
+    monkeypatch.setattr(learning, "SAMPLE_CHARS", 40)
+    rows = [(i, f"text {i}" if i % 3 else None, "ab"[i % 2]) for i in range(300)] + [(900, "x" * 30 + "y" * 30 + "z" * 30, "a"), (7, "one more", None), (None, "no id", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found, total = learning.own_sample(docs, "lang", 4, 2, 20, 10)
+    usable = [(i, t, v) for i, t, v in rows if v and t and CRC("" if i is None else i, 4) != 2]
+    assert total == {v: sum(x == v for *_, x in usable) for v in "ab"}
+    lots = {r.i: r.h & ((1 << 63) - 1) for r in spark.sql("SELECT i, xxhash64(coalesce(cast(i AS string), '')) AS h FROM (SELECT explode(sequence(0, 900)) AS i UNION ALL SELECT null)").collect()}
+    for v in "ab":
+        want = sorted((lots[i], "" if i is None else str(i)) for i, _, x in usable if x == v)[:20]
+        assert sorted(key for label, key, _ in found if label == v) == sorted(key for _, key in want)
+    assert all(t is not None and "one more" not in t for *_, t in found)
+    assert learning.own_sample(docs, "lang", 4, 2, 20, 1)[1].keys() == {"b"}
+    every, _ = learning.own_sample(docs, "lang", 4, 2, 1000, 10)
+    assert {t for _, key, t in every if key == "900"} <= {"x" * 10 + "\n" + "x" * 4 + "y" * 6 + "\n" + "y" * 7 + "z" * 3 + "\n" + "z" * 10}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(5, 1), (5, 0), (2000, 1)], "doc_id long, toxic int")
+    found, total = learning.labelled_sample(docs, labels, "toxic", 5, 0, 1000)
+    want = sorted((i % 2, str(i), "one more" if i == 7 else t) for i, t, _ in rows[:300] if t and CRC(i, 5))
+    assert sorted(found) == want and total == {v: sum(w[0] == v for w in want) for v in (0, 1)}
+
+
+def test_empty_tables_and_clashing_columns(spark, corpus):
+    path = corpus[0]
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    more = docs.limit(40)
+    for name in ("id", "label", "lot", "depth", "score", "held_out", "text_", "count", "predicted"):
+        more = more.withColumn(name, F.lit("x"))
+    assert score_toxicity(docs.limit(0), labels).count() == 0
+    assert language.identify_language(docs.limit(0), language.learn_languages(docs.limit(0))).count() == 0
+    assert score_quality(more, labels.withColumn("text", F.lit(1))).count() == 40
+    assert score_toxicity(more, labels.withColumn("text", F.lit(1))).count() == 40
+    assert language.identify_language(more, language.learn_languages(more)).count() == 40
 
 
 def test_language_held_out(spark, corpus):

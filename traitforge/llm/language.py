@@ -5,14 +5,15 @@ character n-grams and from a lexicon entry for the word itself; transition weigh
 with them, from code-switched sequences spliced out of labelled documents. A document's language
 is the one with the largest mean probability over its words, which is its score.
 
-Learning reads a bounded sample (``PER_LANGUAGE`` documents of each language, at most
-``learning.SAMPLE_BYTES`` long) outside the held-out fold; prediction labels every word of every
-whole text.
+Learning reads a bounded sample outside the held-out fold: ``PER_LANGUAGE`` documents of each of the
+``LANGUAGES`` most frequent languages, of long ones pieces (``learning.sampled_text``). Prediction
+labels every word of every whole text.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything
 if nothing can be learned; with one learned language every text with a letter has it; rows with
-null lang are predicted but not learned from; repeated rows are predicted each; other columns are
-not read.
+null lang are predicted but not learned from, whatever other rows of their id say; equally likely
+languages go to the first by name; very long texts are labelled whole, in blocks; repeated rows are
+predicted each; empty tables give empty tables; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, fold, mix64, slices, small_batches, table
-from .learning import labelled_sample
+from .learning import own_sample
 
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE = 500
-#: Languages that can be learned; more than so many different labels is refused.
-MOST_LANGUAGES = 200
+#: Languages in the sample: labels beyond the most frequent ones are not learned.
+LANGUAGES = 200
 BUCKETS, GRAMS = 1 << 17, 4
 #: Training: sequences a step, words a sequence, mean words of a run of one language, steps.
 SEQUENCES, SEQUENCE, RUN, STEPS, RATE, DECAY = 192, 48, 12, 150, 0.08, 1e-4
@@ -245,12 +246,7 @@ class LanguageModel:
 
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    names = [r[0] for r in docs.filter(F.col(lang_col).isNotNull() & (fold(id_col, FOLDS) != HELD_OUT)).select(lang_col).distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not names:
-        return LanguageModel([], [])
-    sample, _ = labelled_sample(docs, docs.select(id_col, lang_col), lang_col, FOLDS, HELD_OUT, PER_LANGUAGE, id_col, text_col, tuple(sorted(names)))
+    sample, _ = own_sample(docs, lang_col, FOLDS, HELD_OUT, PER_LANGUAGE, LANGUAGES, id_col, text_col)
     found = {lang for lang, _, text in sample if words(text)}
     return LanguageModel(sample, sorted(found))
 

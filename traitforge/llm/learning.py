@@ -6,28 +6,87 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, materialize
 
-#: Sampled documents are at most so long; longer ones are scored, not learned from.
-SAMPLE_BYTES = 32 << 10
+#: Characters learned from of one document, and the even pieces that a longer one gives.
+SAMPLE_CHARS, PIECES = 16_000, 4
+
+
+def sampled_text(text: F.Column) -> F.Column:
+    """The whole text, or of a longer one ``PIECES`` pieces from its beginning to its end."""
+    size = SAMPLE_CHARS // PIECES
+    step = (F.length(text) - size) / (PIECES - 1)
+    cut = [F.substr(text, F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(PIECES)]
+    return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws("\n", *cut))
+
+
+def _lots(rows: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` with a hash ``lot`` of the id, and its ``depth``: 64 steps for each halving."""
+    lot = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
+    return rows.withColumn("lot", lot).withColumn("depth", F.floor((63 - F.log2(F.col("lot").cast("double") + 1)) * 64).cast("int"))
+
+
+def smallest_lots(counted: DataFrame, per_class: int, most_classes: int | None = None) -> tuple[dict, dict]:
+    """For each label, how deep rows must be for ``per_class`` of them or all, and its rows, from
+    (label, depth, count); of more labels than ``most_classes`` those with most rows."""
+    if most_classes is not None:
+        top = counted.groupBy("label").agg(F.sum("count").alias("total")).orderBy(F.desc("total"), "label").limit(most_classes)
+        counted = counted.join(F.broadcast(top), "label")
+    least: dict = {}
+    total: dict = {}
+    for r in sorted(counted.select("label", "depth", "count").collect(), key=lambda r: (str(r["label"]), -r["depth"])):
+        if total.get(r["label"], 0) < per_class:
+            least[r["label"]] = r["depth"]
+        total[r["label"]] = total.get(r["label"], 0) + r["count"]
+    return least, total
+
+
+def _deep_enough(least: dict) -> F.Column:
+    """Condition on (label, depth); one comparison for each label."""
+    if not least:
+        return F.lit(False)
+    bounds = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
+    return F.col("depth") >= F.try_element_at(bounds, F.col("label"))
+
+
+def _first(found: list, per_class: int) -> list[tuple]:
+    rows: list[tuple] = []
+    seen: dict = {}
+    for lot, label, key, text in sorted(found, key=lambda r: (r[0], str(r[1]), r[2], r[3])):
+        if seen.get(label, 0) < per_class:
+            seen[label] = seen.get(label, 0) + 1
+            rows.append((label, key, text))
+    return sorted(rows)
+
+
+def own_sample(docs: DataFrame, label_col: str, folds: int, held_out: int, per_class: int, most_classes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, str, str]], dict]:
+    """(label, id, text) of ``per_class`` rows of each label in ``docs`` itself, those whose ids
+    hash lowest, and the number of rows of each label. Rows of the held-out fold and rows without
+    label or text are left out; long texts give pieces. Two passes: one counts, one fetches."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
+    rows = _lots(rows.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (fold("id", folds) != held_out)), "id")
+    counted = materialize(rows.groupBy("label", "depth").count(), "lots")
+    least, total = smallest_lots(counted, per_class, most_classes)
+    if not least:
+        return [], {}
+    found = rows.filter(_deep_enough(least)).select("lot", "label", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), sampled_text(F.col("text")).alias("text")).distinct()
+    return _first([tuple(r) for r in found.collect()], per_class), total
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, held_out: int, per_class: int, id_col: str = "doc_id", text_col: str = "text", classes: tuple = (0, 1)) -> tuple[list[tuple[int, str, str]], dict]:
-    """(label, id, text) of at most ``per_class`` documents of each class, in order of a hash of
-    the id, and the number of labelled documents of each class. Rows of the held-out fold, null
-    labels, null texts and texts over ``SAMPLE_BYTES`` are left out."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != held_out))
-    known = known.groupBy(id_col).agg(F.max(label_col).alias("label"))
-    counts = {r["label"]: r["count"] for r in known.filter(F.col("label").isin(list(classes))).groupBy("label").count().collect()}
-    wanted = None
-    for value in classes:
-        part = known.filter(F.col("label") == value).orderBy(F.xxhash64(id_col), id_col).limit(per_class)
-        wanted = part if wanted is None else wanted.unionByName(part)
-    usable = docs.select(id_col, F.col(text_col).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    # ``wanted`` has at most per_class rows for each class; repeated documents count once.
-    found = usable.join(F.broadcast(wanted), id_col).groupBy(id_col, "label").agg(F.min("text").alias("text"))
-    rows = [(r["label"], str(r[id_col]), r["text"]) for r in found.collect()]
-    return sorted(rows), counts
+    """The same with labels from another table. A document labelled twice has its largest label,
+    one that stands there twice its smallest text; labels without a text are not counted."""
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(list(classes)) & (fold("id", folds) != held_out))
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    usable = materialize(_lots(known.join(texts.select("id"), "id", "left_semi"), "id"), "labelled")
+    least, total = smallest_lots(usable.groupBy("label", "depth").count(), per_class)
+    if not least:
+        return [], {}
+    # At most about per_class rows of each class.
+    wanted = usable.filter(_deep_enough(least)).drop("depth")
+    found = texts.join(F.broadcast(wanted), "id").groupBy("lot", "label", "id").agg(F.min(sampled_text(F.col("text"))).alias("text"))
+    return _first([(r["lot"], r["label"], str(r["id"]), r["text"]) for r in found.collect()], per_class), total
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1e-3, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
