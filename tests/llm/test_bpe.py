@@ -11,7 +11,7 @@ PATH = tokenizer_path()
 BPE = WordBpe(open(PATH, encoding="utf-8").read())
 LIBRARY = Tokenizer.from_file(PATH)
 HARD = [
-    None, "", " ", "hello world", "  The quick\tbrown\nfox's they'll WE'RE ", "ﬁne Ångström été naïve", "ΟΔΥΣΣΕΥΣ Σ", "İstanbul", "½²³ 12345 ٣٤", "!!!??..--'' ''s", "<|endoftext|>a<|startoftext|> b<|endoftext|", "x\x1cy\x1f z\x00\x01", "日本語テキスト 한국어", "🎉🎉👍🏽", "a" * 5000, "thththth" * 300, " wide　space\x85next x", "anblewh sttible athawh thonre oftionnten enti", "|||___ $$$%%% ***", "̀́ x", "don't can't 'tis 's 't", "᠎​﻿ x",
+    None, "", " ", "hello world", "  The quick\tbrown\nfox's they'll WE'RE ", "ﬁne Ångström été naïve", "ΟΔΥΣΣΕΥΣ Σ", "İstanbul", "½²³ 12345 ٣٤", "!!!??..--'' ''s", "<|endoftext|>a<|startoftext|> b<|endoftext|", "x\x1cy\x1f z\x00\x01", "<|ENDOFTEXT|>", "a <|EndOfText|> b", "<|ENDOFTEXT|><|endoftext|><|StartOfText|>", "<|endoftext|><|endoftext|>x<|endoftext", "<|<|endoftext|>|>", "\U0001fae8 \U0001fadc\U000e0fff new", "日本語テキスト 한국어", "🎉🎉👍🏽", "a" * 5000, "thththth" * 300, " wide　space\x85next x", "anblewh sttible athawh thonre oftionnten enti", "|||___ $$$%%% ***", "̀́ x", "don't can't 'tis 's 't", "᠎​﻿ x",
 ]
 
 

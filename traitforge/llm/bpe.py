@@ -8,8 +8,9 @@ of the boundary from the latest back to the first. Only pieces that fail go thro
 merging.
 
 Defined results: null text counts as empty, and empty texts have no tokens and decode to empty
-text; repeated rows are encoded each; strings of special tokens inside a text become their ids;
-other columns are not read.
+text; very long texts and words are encoded whole; repeated rows are encoded each; strings of
+special tokens inside a text, written exactly so, become their ids; empty tables give empty tables;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -59,6 +60,8 @@ class WordBpe:
             raise ValueError("this tokenizer file asks for steps that are not supported here")
         self.suffix = model["end_of_word_suffix"]
         self.vocab: dict[str, int] = model["vocab"]
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in data["added_tokens"]):
+            raise ValueError("this tokenizer file asks for added tokens that are not supported here")
         self.added = {t["content"]: t["id"] for t in data["added_tokens"]}
         size = max([*self.vocab.values(), *self.added.values()]) + 1
         self.tokens = [""] * size
@@ -85,9 +88,9 @@ class WordBpe:
         self.sound = np.zeros(size, bool)  # tokens that encode to themselves
         for text, i in self.vocab.items():
             self.sound[i] = self.merge(self.symbols(text)) == [i]
-        self.spec = spec
-        self.new: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
+        self.spec, self.library = spec, None
+        self.new: dict[str | int, tuple[str, int, str]] = {}
+        self.old: dict[str | int, tuple[str, int, str]] = {}
 
     def forget(self) -> None:
         """Drop the remembered chunks, which an idle worker has no use for."""
@@ -207,13 +210,15 @@ class WordBpe:
             proposals[k] = self.merge(ids) if len(ids) < 64 else self.merge_long(ids)
         return proposals
 
-    def chunks(self, text: str) -> list[str]:
-        """Normalised text cut at white space, which no piece spans; special tokens stand alone."""
-        if self.specials is None or "<|" not in text:
+    def chunks(self, text: str) -> list[str | int]:
+        """Normalised text cut at white space, which no piece spans; the ids of special tokens, which
+        are looked for in the text as it is, stand alone."""
+        parts = self.specials.split(text) if self.specials is not None else [text]
+        if len(parts) == 1:
             return self._plain(text)
-        out: list[str] = []
-        for k, part in enumerate(self.specials.split(text)):
-            out += [part] if k % 2 else self._plain(part)
+        out: list[str | int] = []
+        for k, part in enumerate(parts):
+            out += [self.added[part]] if k % 2 else self._plain(part)
         return out
 
     def _plain(self, text: str) -> list[str]:
@@ -230,11 +235,12 @@ class WordBpe:
         if chunk.isascii() or all(unicodedata.category(c) != "Cn" for c in chunk):
             return self.pieces.findall(chunk)
         # Characters newer than Python's Unicode tables: the library knows their classes and case.
-        from tokenizers import Tokenizer
+        if self.library is None:
+            from tokenizers import Tokenizer
 
-        library = Tokenizer.from_str(self.spec)
-        text = library.normalizer.normalize_str(chunk)
-        return [text[start:end] for _, (start, end) in library.pre_tokenizer.pre_tokenize_str(text)]
+            self.library = Tokenizer.from_str(self.spec)
+        text = self.library.normalizer.normalize_str(chunk)
+        return [text[start:end] for _, (start, end) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode_batch(self, texts: list[str | None]) -> tuple[list[str], list[int], list[str]]:
         """Per text: ids in decimal joined by a space, their number, and the decoded text."""
@@ -244,7 +250,9 @@ class WordBpe:
         for chunks in split:
             for c in chunks:
                 if c not in new:
-                    if (have := old.get(c)) is not None:
+                    if isinstance(c, int):
+                        new[c] = (str(c), 1, self.tokens[c])
+                    elif (have := old.get(c)) is not None:
                         new[c] = have
                     else:
                         missing[c] = None
@@ -257,7 +265,7 @@ class WordBpe:
             encoded = self.encode_pieces(pieces)
             tokens = self.tokens
             for c, (start, end) in zip(chunk_list, spans, strict=True):
-                ids = [self.added[c]] if c in self.added else [t for p in encoded[start:end] for t in p]
+                ids = [t for p in encoded[start:end] for t in p]
                 new[c] = (" ".join(map(str, ids)), len(ids), " ".join([tokens[t] for t in ids]))
         out = []
         for chunks in split:
