@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from traitforge.llm import suffix_dedup
-from traitforge.llm.suffix_dedup import previous_factors, previous_smaller, remove_repeats, repeat_report, suffix_ranks
+from traitforge.llm.suffix_dedup import previous_factors, previous_smaller, remove_repeats, repeat_report, window_keys
 
 
 def brute(rows, length, keep="none"):
@@ -49,10 +49,9 @@ def corpus(seed, n=60):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("spans", [500, 3, 1])
-def test_against_brute_force(spark, seed, spans, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "GROUP_SPANS", spans)
+@pytest.mark.parametrize(("seed", "size"), [(1, 1_500_000), (2, 2000), (3, 300), (1, 300)])
+def test_against_brute_force(spark, seed, size, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", size)
     monkeypatch.setattr(suffix_dedup, "PIECE", 700)
     monkeypatch.setattr(suffix_dedup, "SPAN", 90)
     rows = corpus(seed)
@@ -113,22 +112,15 @@ def test_previous_factors():
         length = r.choice([8, 10, 20])
         data = np.frombuffer(bytes(r.choice(b"aab") for _ in range(r.randint(length, 200))), np.uint8)
         n = len(data) - length + 1
-        levels = suffix_ranks(data, length)
-        reach = levels[-1][0]
-        place = np.array(r.sample(range(n), n))
-        order = np.lexsort((place, levels[-1][1][:n]))
+        keys, text = window_keys(data, np.arange(n), length), bytes(data)
+        order, place = np.argsort(keys), np.array(r.sample(range(n), n))
+        windows = [text[i : i + length] for i in order]
+        assert windows == sorted(windows)
+        lcp = [windows[i] == windows[i + 1] for i in range(n - 1)]
+        assert (keys[order][1:] == keys[order][:-1]).tolist() == lcp
         got = np.zeros(n, int)
-        got[order] = previous_factors(levels, data, order, place[order], length)
-        text = bytes(data)
-
-        def common(i, j):
-            k = 0
-            while k < reach and max(i, j) + k < len(text) and text[i + k] == text[j + k]:
-                k += 1
-            return k
-
-        want = [max((common(i, j) for j in range(n) if place[j] < place[i]), default=0) for i in range(n)]
-        assert got.tolist() == [w if w >= length else 0 for w in want]
+        got[order] = previous_factors(np.array(lcp, bool), place[order], length)
+        assert got.tolist() == [length if any(text[j : j + length] == text[i : i + length] and place[j] < place[i] for j in range(n)) else 0 for i in range(n)]
 
 
 def test_previous_smaller():

@@ -7,15 +7,15 @@ span cannot repeat, unless windows repeat inside that span (as in periodic text)
 by one aggregation and join. Of spans that are copies of each other only the first and the last
 occurrence are compared; what stands between has an earlier and a later copy if these have.
 
-The texts are dealt out by anchor. A suffix array over the texts of a group of anchors (prefix
-multiplication, up to the first width of ``length`` bytes or more; ties in order of place) orders
-their windows, with the longest common prefixes of neighbours. The previous and the next smaller
-place of each window in that order give its longest previous factor, and with places reversed its
-longest next factor. A window with a previous factor of ``length`` bytes or more is a later copy,
-one with such a next factor an earlier copy; only these factors remove bytes.
-
-An anchor with more than ``GROUP_SPANS`` different spans is not left to one task. Its spans are cut
-into parts of up to ``PART`` windows that have most of their bytes in common, and these are dealt
+The texts are dealt out by anchor. The suffixes of the texts of a group of anchors are ranked by
+prefix multiplication; that gives the suffix order of their windows, by ``length`` bytes, and the
+longest common prefixes of neighbours, of which those of ``length`` count. The previous and the next
+smaller place of each window in that order give its longest previous factor, and with places
+reversed its longest next factor. A window with a previous factor of ``length`` bytes is a later
+copy, one with such a next factor an earlier copy; only these factors remove bytes.
+
+An anchor with more than ``GROUP_BYTES`` of different spans is not left to one task. Its spans are
+cut into parts of up to ``PART`` windows that have most of their bytes in common, and these are dealt
 out by the common bytes; should such a group still be larger, so are its single windows.
 
 Hashes of 64 bits only deal work out. Copies are told by 128-bit cryptographic digests, and their
@@ -52,8 +52,8 @@ GRAM = 32
 BLOCK, PIECE = 1 << 19, 1 << 18
 #: Windows of one span at most.
 SPAN = 1024
-#: Different spans of one anchor that one task may hold.
-GROUP_SPANS = 500
+#: Bytes of different spans of one anchor that one task may hold.
+GROUP_BYTES = 1_500_000
 #: Windows in a part of a span, whose common bytes are all but so many of a window.
 PART = 40
 #: Bytes of span texts that one suffix array covers before the next anchor starts another.
@@ -132,38 +132,28 @@ def repeats_inside(prefix: np.ndarray, grams: np.ndarray, starts: np.ndarray, en
     return out
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
-    """(width, ranks of all positions by their next ``width`` bytes), equal if these agree, for
-    widths of 8 bytes, 24, and so on up to the first of at least ``length``. Positions nearer to
+def suffix_ranks(data: np.ndarray, length: int) -> tuple[int, np.ndarray]:
+    """A width and the ranks of all positions by their next ``width`` bytes, equal if these agree:
+    of widths of 8 bytes, 24, 72, ... the first of which three cover ``length``. Positions nearer to
     the end are ranked as if zeros followed. Three ranks of 21 bits make one key."""
-    n = len(data)
-    if n >= 1 << 21:
+    if len(data) >= 1 << 21:
         raise ValueError("too many bytes for one suffix array")
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[:n].copy().view(">u8").ravel().astype(np.uint64)
-    levels = [(8, np.unique(words, return_inverse=True)[1].astype(np.int64))]
-    while levels[-1][0] < length:
-        width, rank = levels[-1]
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)].copy().view(">u8").ravel().astype(np.uint64)
+    width, rank = 8, np.unique(words, return_inverse=True)[1].astype(np.int64)
+    while 3 * width < length:
         key = (rank + 1) << 42
         key[:-width] |= (rank[width:] + 1) << 21
         key[: -2 * width] |= rank[2 * width :] + 1
-        levels.append((3 * width, np.unique(key, return_inverse=True)[1].astype(np.int64)))
-    return levels
-
-
-def common_prefixes(levels: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Longest common prefixes of the suffixes at ``a`` and ``b``, counted up to the last width."""
-    n = len(data)
-    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
-    for nth, (width, rank) in enumerate([*reversed(levels), (1, data)]):
-        for _ in range(1 if nth == 0 else 2 if width > 1 else 7):
-            x, y = a[live] + out[live], b[live] + out[live]
-            same = (x < n) & (y < n)
-            same &= rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]
-            out[live[same]] += width
-            if nth == 0:
-                live = live[~same]
-    return out
+        width, rank = 3 * width, np.unique(key, return_inverse=True)[1].astype(np.int64)
+    return width, rank
+
+
+def window_keys(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Numbers that order the windows at ``starts`` by their ``length`` bytes (8 at least)."""
+    width, rank = suffix_ranks(data, length)
+    last = length - width
+    return rank[starts] << 42 | rank[starts + last // 2] << 21 | rank[starts + last]
 
 
 def previous_smaller(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -184,54 +174,43 @@ def previous_smaller(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.where(stop > begins, stop - 1, -1)
 
 
-def previous_factors(levels: list[tuple[int, np.ndarray]], data: np.ndarray, starts: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """Longest previous factor of each window: the longest prefix, of ``length`` bytes or more (0 if
-    shorter), that also starts at a smaller ``place``. ``starts`` stand in suffix order."""
-    n = len(starts)
-    factors = np.zeros(n, np.int64)
-    near = common_prefixes(levels, data, starts[:-1], starts[1:]) >= length
-    run = np.concatenate(([0], np.cumsum(~near)))
+def previous_factors(agree: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factors of windows in suffix order, counted up to ``length``, shorter ones
+    as 0: the longest prefix that a window at a smaller ``place`` has too. ``agree`` tells which
+    neighbours have a longest common prefix of ``length``.
+
+    It is the longer one of the common prefixes with the previous and with the next smaller place;
+    between two windows it is the least one of the neighbours between them, so only runs of
+    neighbours that agree are searched.
+    """
+    factors = np.zeros(len(place), np.int64)
+    run = np.concatenate(([0], np.cumsum(~agree)))
     member = np.flatnonzero(np.bincount(run)[run] > 1)
-    if not len(member):
-        return factors
-    start, value, run = starts[member], place[member], run[member]
+    value, run = place[member], run[member]
     edges = np.flatnonzero(np.diff(run, prepend=-1))
     sizes = np.diff(np.append(edges, len(run)))
-    begins = np.repeat(edges, sizes)
-    before = previous_smaller(value, begins)
-    ends = np.repeat(edges + sizes, sizes)
-    after = previous_smaller(value[::-1], (len(run) - ends)[::-1])[::-1]
-    after = np.where(after >= 0, len(run) - 1 - after, -1)
-    best = np.zeros(len(member), np.int64)
-    for other in (before, after):
-        some = np.flatnonzero(other >= 0)
-        best[some] = np.maximum(best[some], common_prefixes(levels, data, start[some], start[other[some]]))
-    factors[member] = np.where(best >= length, best, 0)
+    begins, ends = np.repeat(edges, sizes), np.repeat(edges + sizes, sizes)
+    before = previous_smaller(value, begins) >= 0
+    after = previous_smaller(value[::-1], (len(run) - ends)[::-1])[::-1] >= 0
+    factors[member] = np.where(before | after, length, 0)
     return factors
 
 
-def repeated_windows(texts: list[bytes], places: list[tuple], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text, which of its windows have an earlier and which a later equal window.
-
-    ``places`` orders the texts' first windows by document, byte and occurrence; inside a text
-    windows follow each other.
-    """
-    counts = np.array([len(t) - length + 1 for t in texts])
+def repeated_windows(texts: list[bytes], text_of: list[int], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each occurrence of a text, which of its windows have an earlier and which a later equal
+    window. Occurrences, and the windows inside each, stand in order of place."""
     data = np.frombuffer(b"".join(texts), np.uint8)
-    begins = np.cumsum([0] + [len(t) for t in texts[:-1]])
-    owner = np.repeat(np.arange(len(texts)), counts)
-    offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    docs = {d: k for k, d in enumerate(sorted({p[:-2] for p in places}))}
-    doc = np.array([docs[p[:-2]] for p in places])[owner]
-    byte = np.array([p[-2] for p in places])[owner] + offset
-    place = np.empty(len(owner), np.int32)
-    place[np.lexsort((np.array([p[-1] for p in places])[owner], byte, doc))] = np.arange(len(owner), dtype=np.int32)
-    starts = begins[owner] + offset
-    levels = suffix_ranks(data, length)
-    order = np.lexsort((place, levels[-1][1][starts]))
+    sizes = np.array([len(t) for t in texts])
+    begins = (np.cumsum(sizes) - sizes)[text_of]
+    counts = sizes[text_of] - length + 1
+    starts = np.arange(counts.sum()) + np.repeat(begins - (np.cumsum(counts) - counts), counts)
+    keys = window_keys(data, starts, length)
+    order = np.argsort(keys)
+    agree = keys[order][1:] == keys[order][:-1]
+    place = order.astype(np.int32)
     earlier, later = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    earlier[order] = previous_factors(levels, data, starts[order], place[order], length) >= length
-    later[order] = previous_factors(levels, data, starts[order], len(place) - 1 - place[order], length) >= length
+    earlier[order] = previous_factors(agree, place, length) == length
+    later[order] = previous_factors(agree, len(place) - 1 - place, length) == length
     cuts = np.cumsum(counts)[:-1]
     return np.split(earlier, cuts), np.split(later, cuts)
 
@@ -290,13 +269,29 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     found = materialize(_spans(plain, id_type, length).join(twice, "anchor"), "anchors")
     place = F.struct(*_PLACE)
     spans = materialize(found.groupBy("anchor", "span", "n").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")), "spans")
-    kinds = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    shown = F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("rep"), "first.*"), F.struct(F.lit(1).alias("rep"), "last.*"))).otherwise(F.array(F.struct(F.lit(0).alias("rep"), "first.*")))
-    shown = spans.join(kinds, "anchor").select("anchor", "span", "n", "kinds", F.explode(shown).alias("at")).select("anchor", "span", "n", "kinds", "at.*")
-    wanted = shown.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "span", "n", "kinds", "rep", "lo")).alias("spans"))
-    packed = _packed(plain.filter(F.octet_length("body") >= length))
+    sizes = (F.col("n") + (length - 1)) * F.when(F.col("copies") > 1, 2).otherwise(1)
+    large = materialize(spans.groupBy("anchor").agg(F.sum(sizes).alias("bytes")).filter(F.col("bytes") > GROUP_BYTES).select("anchor"), "large")
+    packed = plain.filter(F.octet_length("body") >= length)
+    if large.isEmpty():
+        compared = _compare_groups(_texts(packed, spans, id_type, length), length)
+    else:
+        small = _texts(packed, spans.join(large, "anchor", "left_anti"), id_type, length)
+        others = materialize(_texts(packed, spans.join(large, "anchor", "left_semi"), id_type, length).dropDuplicates(["anchor", "span", "n", "rep"]), "span-texts")
+        compared = _compare_groups(small, length).unionByName(_compare_parts(others, length, id_type, PART))
+    compared = materialize(compared, "compared")
+    return _told(found.join(spans.drop("copies").join(compared, ["anchor", "span", "n"]), ["anchor", "span", "n"]), place).drop("anchor", "span")
+
+
+def _texts(docs: DataFrame, spans: DataFrame, id_type: T.DataType, length: int) -> DataFrame:
+    """(anchor, span, n, rep, inst, print, lo, text, id) of the first (``rep`` 0) and last (1)
+    occurrences of ``spans``. A repeated row gives its spans as often as it stands there."""
+    place = lambda rep, at: F.struct(F.lit(rep).alias("rep"), f"{at}.*")
+    shown = F.when(F.col("copies") > 1, F.array(place(0, "first"), place(1, "last"))).otherwise(F.array(place(0, "first")))
+    shown = spans.select("anchor", "span", "n", F.explode(shown).alias("at")).select("anchor", "span", "n", "at.*")
+    wanted = shown.groupBy("id", "print").agg(F.collect_list(F.struct("anchor", "span", "n", "rep", "lo")).alias("spans"))
+    packed = _packed(docs)
     texts = packed.join(wanted, packed["id"].eqNullSafe(wanted["id"]) & (packed["print"] == wanted["print"])).select(packed["id"], packed["print"], "body", "spans")
-    schema = _typed("anchor long, span binary, n int, kinds long, rep int, print binary, lo int, text binary", id_type)
+    schema = _typed("anchor long, span binary, n int, rep int, inst int, print binary, lo int, text binary", id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -308,16 +303,9 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
                 if k != last:
                     text, last = unpack(batch.column(2)[k].as_py()), k
                 parts.append(text[i:j])
-            yield pa.RecordBatch.from_arrays([*(own.field(c) for c in ("anchor", "span", "n", "kinds", "rep")), batch.column(1).take(row), own.field("lo"), pa.array(parts, pa.binary()), batch.column(0).take(row)], names=schema.names)
-
-    # A repeated row joins as often as it stands there; comparing drops what was sent twice.
-    pieces = materialize(texts.mapInArrow(cut, schema).withColumn("inst", F.col("rep")), "span-texts")
-    small = _compare_groups(pieces.filter(F.col("kinds") <= GROUP_SPANS), length)
-    large = pieces.filter(F.col("kinds") > GROUP_SPANS)
-    if not large.isEmpty():
-        small = small.unionByName(_compare_parts(large.dropDuplicates(["anchor", "span", "n", "rep"]), length, id_type, PART))
-    compared = materialize(small, "compared")
-    return _told(found.join(spans.drop("copies").join(compared, ["anchor", "span", "n"]), ["anchor", "span", "n"]), place).drop("anchor", "span")
+            yield pa.RecordBatch.from_arrays([*(own.field(c) for c in ("anchor", "span", "n", "rep", "rep")), batch.column(1).take(row), own.field("lo"), pa.array(parts, pa.binary()), batch.column(0).take(row)], names=schema.names)
+
+    return texts.mapInArrow(cut, schema)
 
 
 #: Runs of windows with an earlier and a later copy, for the first and the last occurrence.
@@ -336,37 +324,52 @@ def _told(rows: DataFrame, place: Column) -> DataFrame:
 def _compare_groups(pieces: DataFrame, length: int) -> DataFrame:
     """Factors over the texts of groups of anchors; all spans of an anchor are in one group."""
 
+    columns = ["anchor", "span", "n", "rep", "id", "print", "lo", "inst", "text"]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        size, last, key = 0, None, None
+        held: list[tuple] = []
+        size, last = 0, None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["anchor"] != last and size > ARRAY_BYTES:
-                    yield _compared(held, length)
-                    held, size = [], 0
-                last = row["anchor"]
-                if (last, row["span"], row["n"], row["rep"]) != key:
-                    key = (last, row["span"], row["n"], row["rep"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[0] != last:
+                    if size > ARRAY_BYTES:
+                        yield _compared(held, length)
+                        held, size = [], 0
+                    last = row[0]
+                if not held or row[:4] != held[-1][:4]:
                     held.append(row)
-                    size += len(row["text"])
+                    size += len(row[8])
         if held:
             yield _compared(held, length)
 
     dealt = pieces.repartition("anchor").sortWithinPartitions("anchor", "span", "n", "rep")
-    return dealt.select("anchor", "span", "n", "rep", "id", "print", "lo", "inst", "text").mapInArrow(compare, _COMPARED)
-
-
-def _compared(rows: list[dict], length: int) -> pa.RecordBatch:
-    places = [((r["id"] is not None, r["id"] if r["id"] is not None else 0), r["print"], r["lo"], r["inst"]) for r in rows]
-    earlier, later = repeated_windows([r["text"] for r in rows], places, length)
-    out: dict[str, list] = {c: [] for c in ("anchor", "span", "n", "e0", "l0", "e1", "l1")}
-    for r, e, x in zip(rows, earlier, later, strict=True):
-        if r["rep"] == 0:
-            for c, v in (("anchor", r["anchor"]), ("span", r["span"]), ("n", r["n"]), ("e0", runs_of(e)), ("l0", runs_of(x)), ("e1", []), ("l1", [])):
-                out[c].append(v)
+    return dealt.select(*columns).mapInArrow(compare, _COMPARED)
+
+
+def _compared(rows: list[tuple], length: int) -> pa.RecordBatch:
+    """Rows (anchor, span, n, rep, id, print, lo, inst, text), a last occurrence after its first."""
+    by_place = sorted(range(len(rows)), key=lambda k: (rows[k][4] is not None, rows[k][4] if rows[k][4] is not None else 0, *rows[k][5:8]))
+    texts: list[bytes] = []
+    number: dict[bytes, int] = {}  # texts are equal byte by byte where they have one number
+    text_of = []
+    for k in by_place:
+        text = rows[k][8]
+        at = number.setdefault(text, len(texts))
+        if at == len(texts):
+            texts.append(text)
+        text_of.append(at)
+    found: list[tuple] = [()] * len(rows)
+    for k, e, x in zip(by_place, *repeated_windows(texts, text_of, length), strict=True):
+        found[k] = (runs_of(e), runs_of(x))
+    out: list[list] = [[] for _ in range(7)]
+    for row, (e, x) in zip(rows, found, strict=True):
+        if row[3] == 0:
+            for column, value in zip(out, (*row[:3], e, x, [], []), strict=True):
+                column.append(value)
         else:
-            out["e1"][-1], out["l1"][-1] = runs_of(e), runs_of(x)
-    return pa.RecordBatch.from_arrays([pa.array(out["anchor"], pa.int64()), pa.array(out["span"], pa.binary()), pa.array(out["n"], pa.int32()), *(pa.array(out[c], _ARROW_RUNS) for c in ("e0", "l0", "e1", "l1"))], names=list(out))
+            out[5][-1], out[6][-1] = e, x
+    kinds = [pa.int64(), pa.binary(), pa.int32(), *[_ARROW_RUNS] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["anchor", "span", "n", "e0", "l0", "e1", "l1"])
 
 
 def parts_of(text: bytes, anchor: int, length: int, gram: int, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -412,16 +415,17 @@ def _compare_parts(pieces: DataFrame, length: int, id_type: T.DataType, step: in
     parts = materialize(pieces.select("anchor", "span", "n", "rep", "inst", "id", "print", "lo", "text").mapInArrow(cut, schema), "parts")
     place = F.struct("id", "print", (F.col("lo") + F.col("k")).alias("lo"), "inst", "anchor", "span", "n", "rep", "k")
     kinds = materialize(parts.groupBy("key", "part", "m").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first"), F.max(place).alias("last")), "part-kinds")
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most")).filter("kinds > 1 OR most > 1").drop("most")
     pick = lambda rep, at: F.struct(F.lit(rep).alias("as"), f"{at}.*")
     shown = F.when(F.col("copies") > 1, F.array(pick(0, "first"), pick(1, "last"))).otherwise(F.array(pick(0, "first")))
-    shown = kinds.join(mixed, "key").select("key", "part", "m", "kinds", F.explode(shown).alias("at")).select("key", "part", "m", "kinds", "at.*")
+    sizes = (F.col("m") + (length - 1)) * F.when(F.col("copies") > 1, 2).otherwise(1)
+    mixed = kinds.groupBy("key").agg(F.sum(sizes).alias("bytes"), F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most")).filter("kinds > 1 OR most > 1").select("key", "bytes")
+    shown = kinds.join(mixed, "key").select("key", "part", "m", "bytes", F.explode(shown).alias("at")).select("key", "part", "m", "bytes", "at.*")
     texts = shown.join(pieces.select("anchor", "span", "n", "rep", "text"), ["anchor", "span", "n", "rep"])
-    texts = texts.select(F.col("key").alias("anchor"), F.col("part").alias("span"), F.col("m").alias("n"), F.col("as").alias("rep"), "kinds", "id", "print", "lo", "inst", F.substring("text", F.col("k") + 1, F.col("m") - 1 + length).alias("text"))
+    texts = texts.select(F.col("key").alias("anchor"), F.col("part").alias("span"), F.col("m").alias("n"), F.col("as").alias("rep"), "bytes", "id", "print", "lo", "inst", F.substring("text", F.col("k") + 1, F.col("m") - 1 + length).alias("text"))
     texts = materialize(texts, "part-texts")
     # Parts of one window that meet are equal, so there is no further step below.
-    compared = _compare_groups(texts.filter((F.col("kinds") <= GROUP_SPANS) | F.lit(step == 1)), length)
-    large = texts.filter((F.col("kinds") > GROUP_SPANS) & F.lit(step > 1))
+    compared = _compare_groups(texts.filter((F.col("bytes") <= GROUP_BYTES) | F.lit(step == 1)), length)
+    large = texts.filter((F.col("bytes") > GROUP_BYTES) & F.lit(step > 1))
     if step > 1 and not large.isEmpty():
         compared = compared.unionByName(_compare_parts(large, length, id_type, 1))
     compared = compared.withColumnsRenamed({"anchor": "key", "span": "part", "n": "m"})
