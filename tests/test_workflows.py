@@ -3,7 +3,7 @@ import random
 import pytest
 
 from traitforge import cli
-from traitforge.operators import model
+from traitforge.operators import model, select, split
 from traitforge.plans import workflows as W
 
 GRID = {"iterations": (5,), "rate": (0.3,), "depth": (2,)}
@@ -64,7 +64,7 @@ def test_family_workflow_end_to_end_and_resumes(spark, tmp_path):
         again = W.protein_family_workflow(spark, str(tmp_path / "w"), proteins, phenotypes, c)
     finally:
         merge.cutoff_tables = keep
-    assert {a for _, a in again["stages"].log} == {"reused"}
+    assert {a for _, a, _ in again["stages"].log} == {"reused"}
     assert out["metrics"].count() == 1 and out["predictive_proteins"].count() > 0
     assigned = W.assign_features(proteins, proteins, spark.read.parquet(str(tmp_path / "w" / "strain_families")), out["maps"], c)
     assert {tuple(r) for r in assigned.select("genome", "feature").collect()} == {tuple(r) for r in out["strain"].select("genome", "feature").collect()}
@@ -106,3 +106,85 @@ def test_command_line_knows_all_commands():
     assert (c.k, c.cutoffs, c.method) == (4, (1, 2), "rfe")
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["kmer-workflow", "--output", "c"])
+
+
+def test_prediction_with_phages_names_missing_features(spark, tmp_path):
+    """Strain and phage features end to end through the command line."""
+    r = random.Random(3)
+    strains = [f"s{i}" for i in range(12)]
+    has_s, has_p = {s: i % 2 for i, s in enumerate(strains)}, {f"p{j}": j % 2 for j in range(6)}
+    rows = [(f'["{s}","{p}"]', s, p, float(has_s[s] and has_p[p])) for s in strains for p in has_p]
+    s_assigned = [(s, f) for s in strains for f, v in (("sc_0", has_s[s]), ("sc_1", r.random() < 0.5)) if v] + [(s, None) for s in strains]
+    p_assigned = [(p, f) for p in has_p for f, v in (("pc_0", has_p[p]), ("pc_1", r.random() < 0.5)) if v] + [(p, None) for p in has_p]
+    df = spark.createDataFrame(rows, "row string, strain string, phage string, interaction double")
+    s_side, p_side = (spark.createDataFrame(t, "genome string, feature string").distinct() for t in (s_assigned, p_assigned))
+    c = W.Config(runs_modelling=1, grid=GRID)
+    present = W.row_features(df, s_side, p_side, c)
+    tables = spark.createDataFrame([(1, "sc_0"), (1, "pc_0")], "cut_off int, feature string")
+    stages = W.Stages(spark, str(tmp_path / "m"))
+    out = W.modelling(stages, df, present, tables, c)
+    assert out["importances"].count() == 2
+    other = W.Stages(spark, str(tmp_path / "m"))
+    W.modelling(other, df, present, tables, W.Config(runs_modelling=1, grid={**GRID, "depth": (3,)}))
+    assert ("predictions/cutoff_1/run_0", "made") in {row[:2] for row in other.log}
+    s_side.write.parquet(str(tmp_path / "in" / "strain_assignments"))
+    p_side.write.parquet(str(tmp_path / "phages"))
+    args = ["predict", "--input_dir", str(tmp_path / "in"), "--model_dir", str(tmp_path / "m" / "models"), "--cut_off", "1", "--output", str(tmp_path / "out")]
+    cli.run(spark, cli.parser().parse_args([*args, "--phage_assignments", str(tmp_path / "phages")]))
+    votes = {(v.strain, v.phage): v.prediction for v in spark.read.parquet(str(tmp_path / "out" / "all_predictions")).collect()}
+    assert len(votes) == 72 and sum(votes[s, p] == (has_s[s] and has_p[p]) for s, p in votes) >= 65
+    with pytest.raises(ValueError, match="pc_0"):
+        cli.run(spark, cli.parser().parse_args(args))
+    with pytest.raises(ValueError, match="phage_feature_map"):
+        cli.run(spark, cli.parser().parse_args([*args, "--input_phage", "x"]))
+
+
+def test_broken_models_are_skipped(spark, tmp_path):
+    (tmp_path / "models" / "cutoff_1" / "run_0").mkdir(parents=True)
+    strains = spark.createDataFrame([("a", "sc_0")], "genome string, feature string")
+    with pytest.warns(UserWarning, match="run_0 skipped"), pytest.raises(ValueError, match="no models"):
+        W.predict(spark, str(tmp_path / "models"), 1, strains, None, W.Config())
+
+
+def test_one_class_is_skipped_and_recorded(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{i}", f"s{i}", 1.0) for i in range(20)], "row string, strain string, interaction double")
+    present = spark.createDataFrame([(f"r{i}", f"sc_{j}") for i in range(20) for j in range(2)], "row string, feature string")
+    assert W.select_run(rows, present, W.Config(), 1, 0) == []
+    stages = W.Stages(spark, str(tmp_path / "w"))
+    out = W.modelling(stages, rows, present, spark.createDataFrame([(1, "sc_0")], "cut_off int, feature string"), W.Config(runs_modelling=1, grid=GRID))
+    assert out["predictions"].count() == 0 and any(a.startswith("skipped") for _, a, _ in stages.log)
+    stages.write_report({"rows": 20})
+    assert spark.read.option("header", True).csv(str(tmp_path / "w" / "reports")).count() == len(stages.log)
+    with pytest.raises(ValueError, match="no strain proteins"):
+        W.family_features(stages, spark.createDataFrame([], "genome string, protein_id string, sequence string"), W.Config(), "strain")
+
+
+def test_splits_leave_positives_on_both_sides(spark):
+    rows = spark.createDataFrame([(i, float(i < 3)) for i in range(40)], "i int, y double")
+    for seed in range(4):
+        folds = {r.fold: r.n for r in split.split_rows(rows, seed, positive=W.F.col("y") > 0).filter("y > 0").groupBy("fold").agg(W.F.count("*").alias("n")).collect()}
+        assert set(folds) == {"train", "test"}
+    groups = spark.createDataFrame([(i, "g") for i in range(39)], "i int, group string")
+    with pytest.raises(Exception, match="no group for i 39"):
+        split.map_groups(rows, groups, "i").collect()
+
+
+def test_elimination_steps_do_not_shrink():
+    assert [select.elimination_step(f, 50) for f in (200, 60, 51)] == [15, 1, 1]
+
+
+def test_kmer_coverage_workflow_and_its_early_ends(spark, tmp_path):
+    proteins = spark.createDataFrame([("a1", "MKLVV"), ("a2", "MKLAA")], "protein_id string, sequence string")
+    families = spark.createDataFrame([("f", "a1"), ("f", "a2")], "cluster string, protein_id string")
+    maps = spark.createDataFrame([("f_MKL", "sc_0"), ("f_LVV", "sc_1"), ("g_AAA", "sc_2"), ("f_WWW", "sc_3")], "cluster string, feature string")
+    aligned = spark.createDataFrame([("f", "a1", "--MK-LVV"), ("f", "a2", "--MK-LAA")], "family string, protein_id string, aligned string")
+
+    def run(name, features, aligned=aligned, **more):
+        selected = spark.createDataFrame([(f,) for f in features], "feature string")
+        return W.kmer_coverage_workflow(spark, str(tmp_path / name), selected, maps, families, proteins, aligned, k=3, **more)
+
+    assert run("a", ["none"])["status"] == "no k-mers" and run("b", ["sc_2"])["status"] == "no families" and run("c", ["sc_3"])["status"] == "no match"
+    assert run("d", ["sc_0"], None)["status"] == "no alignments" and run("e", ["sc_0"], quick=True)["matches"].count() == 2
+    done = run("f", ["sc_1"], gap_aware=True)
+    got = {(s.feature, s.protein_id, s.coverage, s.start, s.stop) for s in done["segments"].collect()}
+    assert done["status"] == "done" and got == {("sc_1", "a1", 0, 0, 2), ("sc_1", "a1", 1, 3, 6), (None, "a2", 0, 0, 5)}

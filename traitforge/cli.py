@@ -37,14 +37,18 @@ def parser() -> argparse.ArgumentParser:
         for i in inputs:
             p.add_argument(f"--{i}", required=True)
         p.add_argument("--output", required=True)
-        p.add_argument("--input_phage")
+        p.add_argument("--input_phage", help="phage proteins; to predict with them, give --phage_feature_map (and --phage_training) too")
+        p.add_argument("--phage_assignments", help="a table (genome, feature) of phages to predict with")
+        p.add_argument("--phage_feature_map")
+        p.add_argument("--phage_training", help="training folder of the phage side: proteins and phage_families")
         p.add_argument("--suffix", default="faa")
         p.add_argument("--force", action="store_true")
         p.add_argument("--cut_off", type=int)
-        for option, kind in (("strain", str), ("phage", str), ("phenotype", str), ("task", str), ("method", str), ("k", int), ("num_features", int), ("runs_selection", int), ("runs_modelling", int), ("split", str), ("weights_method", str), ("threshold", float), ("least_identity", float), ("coverage", float)):
+        for option, kind in (("strain", str), ("phage", str), ("phenotype", str), ("task", str), ("method", str), ("k", int), ("num_features", int), ("runs_selection", int), ("runs_modelling", int), ("split", str), ("weights_method", str), ("threshold", float), ("least_identity", float), ("coverage", float), ("prefilter", int), ("threads", int)):
             p.add_argument(f"--{option}", type=kind)
         p.add_argument("--one_gene", action="store_true", default=None)
         p.add_argument("--use_weights", action="store_true", default=None)
+        p.add_argument("--no_selection_scores", dest="score_selection", action="store_false", default=None)
         p.add_argument("--cutoffs", type=lambda s: tuple(map(int, s.split(","))))
     return top
 
@@ -65,16 +69,19 @@ def _phenotypes(spark: SparkSession, path: str, c: W.Config) -> DataFrame:
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     c, out, name = config(args), args.output.rstrip("/"), args.command
-    phages = _proteins(spark, args.input_phage, args.suffix)
     if name in ("cluster", "protein-family-workflow", "full-workflow", "kmer-workflow"):
         work = {"cluster": W.feature_table, "protein-family-workflow": W.protein_family_workflow, "full-workflow": W.full_workflow, "kmer-workflow": W.kmer_workflow}[name]
-        work(spark, out, _proteins(spark, args.input_strain, args.suffix), _phenotypes(spark, args.phenotype_matrix, c), c, phages=phages, force=args.force)
+        phages = _proteins(spark, args.input_phage, args.suffix)
+        made = work(spark, out, _proteins(spark, args.input_strain, args.suffix), _phenotypes(spark, args.phenotype_matrix, c), c, phages=phages, force=args.force)
+        if "stages" in made:
+            made["stages"].write_report({"command": name, "rows": made["rows"].count()})
     elif name in ("select-features", "train", "select-and-train"):
         stages = W.Stages(spark, out, args.force)
         rows, present = (spark.read.parquet(f"{args.input}/{t}") for t in ("rows", "row_features"))
         tables = spark.read.parquet(f"{args.input}/cutoff_tables") if name == "train" else W.selection(stages, rows, present, c)
         if name != "select-features":
-            W.modelling(stages, rows, present, tables, c)
+            files.write_table(W.modelling(stages, rows, present, tables, c)["metrics"], f"{out}/metrics_csv")
+        stages.write_report({"command": name})
     elif name == "annotate":
         selected = files.read_annotations(spark, args.feature_file_path).select("feature")
         proteins = annotate.predictive_proteins(selected, spark.read.parquet(args.feature2cluster_path), spark.read.parquet(args.cluster2protein_path))
@@ -82,25 +89,47 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         files.write_fasta(annotate.extract_sequences(_proteins(spark, args.fasta_dir_or_file, args.suffix), proteins), f"{out}/sequences")
     elif name == "predict":
         strains = spark.read.parquet(f"{args.input_dir}/strain_assignments")
-        _predict(spark, args, c, out, strains, None)
+        _predict(spark, args, c, out, strains, W.known_features(spark, args.input_dir))
     else:
         proteins, features = _proteins(spark, args.input_dir, args.suffix), spark.read.parquet(args.feature_map)
-        if name.startswith("kmer"):
-            assigned = W.assign_kmer_features(proteins, features, c)
-        else:
-            training = _proteins(spark, f"{args.training}/proteins", args.suffix)
-            assigned = W.assign_features(proteins, training, spark.read.parquet(f"{args.training}/strain_families"), features, c)
-        assigned.write.mode("overwrite").parquet(f"{out}/strain_assignments")
+        training = getattr(args, "training", None)
+        _assign(spark, args, c, proteins, features, training, "strain").write.mode("overwrite").parquet(f"{out}/strain_assignments")
+        features.select("feature").distinct().write.mode("overwrite").parquet(f"{out}/known_features")
         if name.endswith("predict"):
-            _predict(spark, args, c, out, spark.read.parquet(f"{out}/strain_assignments"), None)
+            _predict(spark, args, c, out, spark.read.parquet(f"{out}/strain_assignments"), features.select("feature"))
 
 
-def _predict(spark: SparkSession, args: argparse.Namespace, c: W.Config, out: str, strains: DataFrame, phages: DataFrame | None) -> None:
+def _assign(spark: SparkSession, args: argparse.Namespace, c: W.Config, proteins: DataFrame, features: DataFrame, training: str | None, side: str) -> DataFrame:
+    """(genome, feature) of new proteins: from k-mers, or by the families of a training folder."""
+    if training is None:
+        return W.assign_kmer_features(proteins, features, c)
+    return W.assign_features(proteins, _proteins(spark, f"{training}/proteins", args.suffix), spark.read.parquet(f"{training}/{side}_families"), features, c)
+
+
+def _phage_side(spark: SparkSession, args: argparse.Namespace, c: W.Config, out: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """(assignments, features looked for) of the phages that the command names, if any."""
+    if args.phage_assignments:
+        assigned = spark.read.parquet(args.phage_assignments)
+        return assigned, assigned.select("feature").na.drop().distinct()
+    if args.input_phage is None:
+        return None, None
+    if args.phage_feature_map is None:
+        raise ValueError("--input_phage needs --phage_feature_map to be predicted with")
+    features = spark.read.parquet(args.phage_feature_map)
+    _assign(spark, args, c, _proteins(spark, args.input_phage, args.suffix), features, args.phage_training, "phage").write.mode("overwrite").parquet(f"{out}/phage_assignments")
+    return spark.read.parquet(f"{out}/phage_assignments"), features.select("feature").distinct()
+
+
+def _predict(spark: SparkSession, args: argparse.Namespace, c: W.Config, out: str, strains: DataFrame, known: DataFrame | None) -> None:
     if args.cut_off is None:
         raise ValueError("--cut_off names the models to use")
-    every, votes = W.predict(spark, args.model_dir, args.cut_off, strains, phages, c)
+    phages, more = _phage_side(spark, args, c, out)
+    if known is not None and more is not None:
+        known = known.unionByName(more)
+    every, votes = W.predict(spark, args.model_dir, args.cut_off, strains, phages, c, known)
     every.write.mode("overwrite").parquet(f"{out}/all_predictions")
-    votes.write.mode("overwrite").option("header", True).csv(f"{out}/median_predictions")
+    files.write_table(spark.read.parquet(f"{out}/all_predictions"), f"{out}/all_predictions_csv")
+    files.write_table(votes, f"{out}/median_predictions")
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,13 @@ def scaled_by_max(rows: DataFrame, group: str, value: str, out: str = "scaled")
     return rows.join(most, group).withColumn(out, F.try_divide(F.col(value), F.col("_m"))).drop("_m")
 
 
+def family_members(families: DataFrame, proteins: DataFrame) -> DataFrame:
+    """(protein_id, family, member): all members of the first family of each protein."""
+    first = first_per_key(families.select("protein_id", "cluster").distinct(), "protein_id", ["cluster"]).join(proteins.select("protein_id").distinct(), "protein_id", "left_semi")
+    return first.join(families.select("cluster", F.col("protein_id").alias("member")).distinct(), "cluster").select("protein_id", F.col("cluster").alias("family"), "member")
+
+
 def first_per_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The first row of each key: first file wins where ids repeat."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_n = 1").drop("_n")
+    picked = F.min(F.struct(*order, *[c for c in rows.columns if c not in order])).alias("_first")
+    return rows.groupBy(F.col(key).alias("_key")).agg(picked).select(*[F.col(f"_first.{c}").alias(c) for c in rows.columns])

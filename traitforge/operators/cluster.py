@@ -79,12 +79,15 @@ def dense_groups(present: DataFrame, least_similarity: float = 0.8, least_neighb
     """(genome, group): density clusters of genomes by the Jaccard similarity of their features.
 
     Genomes with enough neighbours are cores; linked cores and their neighbours form a group;
-    what is left over is a group of its own. Similarity comes from a join on features, and
-    genomes are few beside their features.
+    what is left over is a group of its own. Two genomes that are similar enough share one of the
+    rarest features of the smaller one, so only those that do are compared: common features pair
+    nobody.
     """
     rows = present.select("genome", "cluster").distinct()
     sizes = rows.groupBy("genome").agg(F.count(F.lit(1)).alias("n"))
-    shared = rows.alias("a").join(rows.alias("b"), (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.genome") < F.col("b.genome"))).groupBy(F.col("a.genome").alias("a"), F.col("b.genome").alias("b")).agg(F.count(F.lit(1)).alias("s"))
+    small, large = (rows.select(F.col("genome").alias(c), F.col("cluster").alias("kmer")) for c in ("a", "b"))
+    pairs = _candidates(small, large, "a", "b", least_similarity, 1000).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    shared = pairs.join(small, "a").join(large, ["b", "kmer"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("s"))
     near = shared.join(sizes.withColumnsRenamed({"genome": "a", "n": "na"}), "a").join(sizes.withColumnsRenamed({"genome": "b", "n": "nb"}), "b")
     near = materialize(near.filter(F.col("s") >= least_similarity * (F.col("na") + F.col("nb") - F.col("s"))).select("a", "b"), "near")
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))

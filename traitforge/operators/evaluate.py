@@ -55,8 +55,10 @@ def _running(predictions: DataFrame, group: list[str], label: str, score: str) -
 
 
 def roc_points(predictions: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
-    """(group, threshold, fpr, tpr) at every distinct score."""
-    return _running(predictions, group, label, score).select(*group, F.col("score").alias("threshold"), M.ratio(F.col("fp"), F.col("n")).alias("fpr"), M.ratio(F.col("tp"), F.col("p")).alias("tpr"))
+    """(group, threshold, fpr, tpr) at every distinct score, and the start (0, 0) above all."""
+    points = _running(predictions, group, label, score).select(*group, F.col("score").cast("double").alias("threshold"), M.ratio(F.col("fp"), F.col("n")).alias("fpr"), M.ratio(F.col("tp"), F.col("p")).alias("tpr"))
+    start = points.select(*group).distinct().select(*group, F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    return points.unionByName(start)
 
 
 def pr_points(predictions: DataFrame, group: list[str], label: str, score: str) -> DataFrame:
@@ -142,6 +144,18 @@ def compare_methods(predictions: DataFrame, keys: list[str]) -> tuple[DataFrame,
     return best, classification_metrics(confusion(chosen, ["model", "cut_off", "run"], "label", "prediction"), ["model", "cut_off", "run"])
 
 
+def describe(rows: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
+    """One row: number, mean, deviation, least, median and most of ``value``, and how many values
+    reach each of ``thresholds`` (``reach_0``, ``reach_1``, ...)."""
+    v = F.col(value)
+    return rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("least"), F.median(v).alias("median"), F.max(v).alias("most"), *[F.count_if(v >= t).alias(f"reach_{k}") for k, t in enumerate(thresholds)])
+
+
+def by_dataset(rows: DataFrame, dataset: str, model: str, models: list, value: str) -> DataFrame:
+    """Datasets against models: the median of ``value`` in each cell."""
+    return spread(rows, dataset, model, models, F.median(value))
+
+
 def spread(rows: DataFrame, row: str, column: str, columns: list, value: Column) -> DataFrame:
     """A report table: one column for each of ``columns``, ``value`` aggregated in each cell, null
     where there is nothing."""

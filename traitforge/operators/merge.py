@@ -56,9 +56,25 @@ def drop_null_rows(table: DataFrame, columns: list[str] | None = None) -> DataFr
     return table.na.drop("any", subset=columns)
 
 
-def align_columns(table: DataFrame, needed: list[str]) -> DataFrame:
-    """The columns a model needs, in its order; the missing ones are named in the error."""
-    missing = [c for c in needed if c not in table.columns]
+def require_features(known: set[str], needed: list[str]) -> None:
+    """An error that names the features a model needs and the inputs do not know."""
+    missing = [c for c in needed if c not in known]
     if missing:
         raise ValueError(f"features missing from the table: {', '.join(missing)}")
+
+
+def align_columns(table: DataFrame, needed: list[str]) -> DataFrame:
+    """The columns a model needs, in its order; the missing ones are named in the error."""
+    require_features(set(table.columns), needed)
     return table.select(needed)
+
+
+def without_columns(table: DataFrame, names: list[str]) -> DataFrame:
+    """``table`` without the columns ``names``, of which some may not be there."""
+    return table.drop(*names)
+
+
+def entity_column(columns: list[str], wanted: str, word: str = "phage") -> str | None:
+    """``wanted`` if the table has it, else its first column with ``word`` in the name, else None:
+    then all files' entities are meant."""
+    return wanted if wanted in columns else next((c for c in columns if word in c.lower()), None)

@@ -1,16 +1,18 @@
 """Tree ensembles on selected features: fitting, grids, elimination, attribution, scoring.
 
-Tables here are wide over the selected features, which selection has made few.
+Rows carry their features either as one 0/1 column each or, for any number of features, as the
+names of those they have in an array column ``held``, of which sparse vectors are made.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
@@ -33,10 +35,28 @@ class Settings:
     #: Which of equally good configurations is kept, and the least score worth keeping.
     tie: str = "last"
     least: float | None = 0.0
+    #: Fits that run side by side.
+    threads: int = 4
+
+
+HELD = "held"
+
+
+def vector_stage(columns: list[str], features: list[str]) -> VectorAssembler | CountVectorizerModel:
+    """What makes the vectors ``features`` of a table with these ``columns``."""
+    if HELD in columns:
+        return CountVectorizerModel.from_vocabulary(features, inputCol=HELD, outputCol="features").setBinary(True)
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error")
+
+
+def names_of(model: PipelineModel) -> list[str]:
+    """The features that a fitted ensemble reads, in its order."""
+    first = model.stages[0]
+    return list(first.vocabulary if isinstance(first, CountVectorizerModel) else first.getInputCols())
 
 
 def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="error").transform(rows)
+    return vector_stage(rows.columns, features).transform(rows)
 
 
 def fit(rows: DataFrame, features: list[str], s: Settings, iterations: int, rate: float, depth: int, validation: str | None = None) -> PipelineModel:
@@ -47,9 +67,7 @@ def fit(rows: DataFrame, features: list[str], s: Settings, iterations: int, rate
         trees = trees.setWeightCol(s.weight)
     if validation:
         trees = trees.setValidationIndicatorCol(validation)
-    from pyspark.ml import Pipeline
-
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(rows)
+    return Pipeline(stages=[vector_stage(rows.columns, features), trees]).fit(rows)
 
 
 def score(model: PipelineModel, rows: DataFrame, task: str = "classification") -> DataFrame:
@@ -76,13 +94,23 @@ def better(new: float, old: float | None, tie: str) -> bool:
 def grid_search(train: DataFrame, test: DataFrame, features: list[str], s: Settings) -> tuple[PipelineModel | None, list[dict], DataFrame | None]:
     """The best ensemble of the grid on the test rows, every configuration's metrics, and the best
     one's predictions. Classifiers are ranked by MCC, with none kept below ``s.least``; regressors
-    by R squared."""
+    by R squared. Boosting stops early where the test rows gain no more. Fits run side by side."""
     key = "mcc" if s.task == "classification" else "r2"
-    best, best_score, table, predictions = None, None, [], None
-    for iterations, rate, depth in product(s.grid["iterations"], s.grid["rate"], s.grid["depth"]):
-        model = fit(train, features, s, iterations, rate, depth)
+    both = train.withColumn("_stop", F.lit(False)).unionByName(test.withColumn("_stop", F.lit(True)))
+    both = both.persist()
+
+    def one(setting: tuple) -> tuple:
+        model = fit(both, features, s, *setting, validation="_stop")
         scored = score(model, test, s.task)
-        found = measure(scored, s)
+        return setting, model, scored, measure(scored, s)
+
+    try:
+        with ThreadPool(max(1, s.threads)) as pool:
+            fitted = pool.map(one, list(product(s.grid["iterations"], s.grid["rate"], s.grid["depth"])))
+    finally:
+        both.unpersist()
+    best, best_score, table, predictions = None, None, [], None
+    for (iterations, rate, depth), model, scored, found in fitted:
         table.append({"iterations": iterations, "rate": rate, "depth": depth, **found})
         value = found[key]
         if value is not None and (s.task != "classification" or s.least is None or value >= s.least) and better(value, best_score, s.tie):
@@ -98,13 +126,13 @@ def importances(model: PipelineModel, features: list[str]) -> list[tuple[str, fl
     return sorted(zip(features, values, strict=True), key=lambda p: (-p[1], p[0]))
 
 
-def eliminate(rows: DataFrame, features: list[str], wanted: int, s: Settings, iterations: int = 50, rate: float = 0.1, depth: int = 4, row_id: str | None = None) -> list[str]:
-    """Recursive elimination, a tenth of the surplus at a time: by the trees' importance, or, with
-    ``row_id``, by mean absolute attribution."""
-    left = list(features)
+def eliminate(rows: DataFrame, features: list[str], wanted: int, s: Settings, iterations: int = 500, rate: float = 0.1, depth: int = 4, row_id: str | None = None) -> list[str]:
+    """Recursive elimination, a tenth of the first surplus at a time: by the trees' importance, or,
+    with ``row_id``, by mean absolute attribution."""
+    left, step = list(features), select.elimination_step(len(features), wanted)
     while len(left) > wanted:
         ranked = ranked_features(fit(rows, left, s, iterations, rate, depth), rows, left, row_id)
-        left = ranked[: len(left) - select.elimination_step(len(left), wanted)]
+        left = ranked[: max(wanted, len(left) - step)]
     return sorted(left)
 
 
@@ -131,8 +159,9 @@ def lasso(rows: DataFrame, features: list[str], wanted: int, s: Settings, thresh
 
 
 def attributions(model: PipelineModel, rows: DataFrame, features: list[str], row_id: str) -> DataFrame:
-    """(row_id, feature, attribution): each tree's change of prediction at every split of the
-    row's path, summed by the feature that splits; with the roots they add up to the raw score.
+    """(row_id, feature, value, attribution): each tree's change of prediction at every split of the
+    row's path, summed by the feature that splits, with the row's value of that feature; with the
+    roots they add up to the raw score.
 
     The trees are read back as a table of nodes, at most trees x 2^depth of them, and rows walk
     down level by level.
@@ -146,17 +175,17 @@ def attributions(model: PipelineModel, rows: DataFrame, features: list[str], row
     nodes = raw.select(F.col("treeID").cast("int").alias("tree"), "nodeData.*").join(weights, "tree")
     nodes = nodes.select("tree", F.col("id").alias("node"), "prediction", "weight", F.col("leftChild").alias("left"), F.col("rightChild").alias("right"), F.col("split.featureIndex").alias("index"), F.col("split.leftCategoriesOrThreshold")[0].alias("threshold"))
     child = nodes.select("tree", F.col("node").alias("next"), F.col("prediction").alias("after"))
-    values = rows.select(row_id, F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    values = model.stages[0].transform(rows).select(row_id, vector_to_array("features").alias("x"))
     at = values.crossJoin(F.broadcast(nodes.select("tree").distinct())).withColumn("node", F.lit(0))
     steps = None
     for _ in range(trees.getMaxDepth()):
         here = at.join(F.broadcast(nodes), ["tree", "node"]).filter("left >= 0")
         moved = here.withColumn("next", F.when(F.col("x")[F.col("index")] <= F.col("threshold"), F.col("left")).otherwise(F.col("right"))).join(F.broadcast(child), ["tree", "next"])
-        step = moved.select(row_id, "index", (F.col("weight") * (F.col("after") - F.col("prediction"))).alias("change"))
+        step = moved.select(row_id, "index", F.col("x")[F.col("index")].alias("value"), (F.col("weight") * (F.col("after") - F.col("prediction"))).alias("change"))
         steps = step if steps is None else steps.unionByName(step)
         at = moved.select(row_id, "x", "tree", F.col("next").alias("node"))
     names = spark.createDataFrame(list(enumerate(features)), "index int, feature string")
-    return steps.groupBy(row_id, "index").agg(F.sum("change").alias("attribution")).join(F.broadcast(names), "index").select(row_id, "feature", "attribution")
+    return steps.groupBy(row_id, "index").agg(F.max("value").alias("value"), F.sum("change").alias("attribution")).join(F.broadcast(names), "index").select(row_id, "feature", "value", "attribution")
 
 
 def score_all(models: list[tuple[str, PipelineModel]], rows: DataFrame, keys: list[str]) -> DataFrame:

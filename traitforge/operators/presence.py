@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize
 from .prefix import numbered
 
 
@@ -30,6 +31,11 @@ def assign_clusters(best: DataFrame, clusters: DataFrame, target: str, member: s
     return best.join(clusters.select(F.col(member).alias(target), cluster), target, "left")
 
 
+def count_unassigned(assigned: DataFrame, cluster: str) -> int:
+    """How many best hits point at a target that is in no cluster."""
+    return assigned.agg(F.count_if(F.col(cluster).isNull())).first()[0]
+
+
 def compare_clusters(clusters: DataFrame, best: DataFrame, on: str) -> DataFrame:
     """Clustering against search, rows of either side kept."""
     return clusters.join(best, on, "full")
@@ -48,6 +54,15 @@ def wide(present: DataFrame, row: str, column: str, columns: list[str], universe
     return table
 
 
+def spread_values(rows: DataFrame, row: str, column: str, columns: list[str], value: str) -> DataFrame:
+    """One column for each of ``columns`` with the cell's only value, 0 where there is none; two
+    values for one cell stop the job."""
+    twice = F.raise_error(F.concat_ws(" ", F.lit("two values for"), F.col(row).cast("string"), F.col(column).cast("string")))
+    cells = rows.groupBy(row, column).agg(F.count(F.lit(1)).alias("_n"), F.first(value).alias("_v"))
+    cells = cells.select(row, column, F.when(F.col("_n") == 1, F.col("_v")).otherwise(twice.cast(rows.schema[value].dataType)).alias("_v"))
+    return cells.groupBy(row).pivot(column, columns).agg(F.first("_v")).na.fill(0, [str(c) for c in columns])
+
+
 def long(table: DataFrame, row: str, columns: list[str], name: str = "cluster") -> DataFrame:
     """(row, name) for the cells of a wide table that are 1."""
     return table.unpivot([row], columns, name, "value").filter("value = 1").drop("value")
@@ -67,13 +82,17 @@ def shared_clusters(present: DataFrame, genomes: DataFrame | None = None, least:
 def collapse(present: DataFrame, prefix: str = "s", order: str = "cluster") -> DataFrame:
     """(cluster, feature): clusters with the same set of genomes share one feature.
 
-    Features are numbered by the first cluster, by ``order``, that belongs to them. The key is the
-    set itself, so no two sets can be taken for one.
+    Features are numbered by the first cluster, by ``order``, that belongs to them. A set is known by
+    its size and the sums of two 60-bit pieces of its members' SHA-256, so that sets of any size
+    combine before they are shuffled; the clusters' sets are written once. ``present`` is distinct.
     """
-    sets = present.groupBy("cluster").agg(F.array_sort(F.collect_set("genome")).alias("genomes"))
-    firsts = numbered(sets.groupBy("genomes").agg(F.min(order).alias("first")), [F.col("first")])
-    named = firsts.select("genomes", F.concat(F.lit(f"{prefix}c_"), F.col("n").cast("string")).alias("feature"))
-    return sets.join(named, "genomes").select("cluster", "feature")
+    digest = F.sha2(F.col("genome").cast("string"), 256)
+    piece = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")
+    sets = materialize(present.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(piece(1)).alias("s1"), F.sum(piece(16)).alias("s2")), "sets")
+    key = ["n", "s1", "s2"]
+    firsts = numbered(sets.groupBy(*key).agg(F.min(order).alias("first")), [F.col("first")], "at")
+    named = firsts.select(*key, F.concat(F.lit(f"{prefix}c_"), F.col("at").cast("string")).alias("feature"))
+    return sets.join(named, key).select("cluster", "feature")
 
 
 def assign_features(present: DataFrame, features: DataFrame) -> DataFrame:

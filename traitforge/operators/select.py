@@ -25,13 +25,14 @@ def _statistic(explained: Column, rest: Column) -> Column:
 
 
 def anova_f(present: DataFrame, labels: DataFrame, row: str, feature: str = "feature", label: str = "label") -> DataFrame:
-    """(feature, score): one-way analysis of variance of a 0/1 feature across classes."""
+    """(feature, score): one-way analysis of variance of a 0/1 feature across classes; null where
+    there is one class only, or as many classes as rows."""
     counts, _ = _class_counts(present, labels, row, feature, label)
     s, n = F.col("s").cast("double"), F.col("n").cast("double")
     sums = counts.groupBy(feature).agg(F.sum(s).alias("total"), F.sum(n).alias("rows"), F.sum(s * s / n).alias("between"), F.count(F.lit(1)).alias("k"))
     correction = F.col("total") * F.col("total") / F.col("rows")
     ssb, ssw = F.col("between") - correction, F.col("total") - F.col("between")
-    return sums.select(feature, _statistic(ssb / (F.col("k") - 1), ssw / (F.col("rows") - F.col("k"))).alias("score"))
+    return sums.select(feature, _statistic(F.try_divide(ssb, F.col("k") - 1), F.try_divide(ssw, F.col("rows") - F.col("k"))).alias("score"))
 
 
 def chi2(present: DataFrame, labels: DataFrame, row: str, feature: str = "feature", label: str = "label") -> DataFrame:
@@ -65,5 +66,5 @@ def drop_lowest(scores: DataFrame, n: int, feature: str = "feature") -> DataFram
 
 
 def elimination_step(features: int, wanted: int) -> int:
-    """Features dropped in one round of recursive elimination."""
-    return min(max(1, (features - wanted) // 10), features - wanted)
+    """Features dropped in each round of recursive elimination but a shorter last one."""
+    return max(1, (features - wanted) // 10)

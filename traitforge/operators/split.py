@@ -48,16 +48,32 @@ def split_by_group(rows: DataFrame, group: str, label: str, seed: int = 0, share
     sizes = [tuple(r) for r in group_sizes(rows, group, F.col(label) > 0).collect()]
     parts = split_groups(sizes, seed, share=share)
     if parts is None:
-        return split_rows(rows, seed, share)
+        return split_rows(rows, seed, share, F.col(label) > 0)
     spark = rows.sparkSession
     folds = spark.createDataFrame([(g, "train") for g in sorted(parts[0], key=str)] + [(g, "test") for g in sorted(parts[1], key=str)], rows.select(group).withColumn("fold", F.lit("")).schema)
     return rows.join(F.broadcast(folds), group)
 
 
-def split_rows(rows: DataFrame, seed: int = 0, share: float = 0.8) -> DataFrame:
-    """``rows`` with ``fold`` from a seeded hash of the row, which no repartitioning changes."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *rows.columns), F.lit(1_000_000)) / 1_000_000
-    return rows.withColumn("fold", F.when(u < share, "train").otherwise("test"))
+def split_rows(rows: DataFrame, seed: int = 0, share: float = 0.8, positive: Column | None = None, attempts: int = 10) -> DataFrame:
+    """``rows`` with ``fold`` from a seeded hash of the row, which no repartitioning changes. With
+    ``positive``, the first of ``attempts`` seeds that leaves a positive on both sides, if any does;
+    one aggregation tries them all."""
+
+    def in_train(s: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(s), *rows.columns), F.lit(1_000_000)) / 1_000_000 < share
+
+    seeds = [seed * 1000 + k * 17 for k in range(attempts if positive is not None else 1)]
+    chosen = seeds[0]
+    if positive is not None:
+        tried = rows.agg(*[(F.coalesce(F.bool_or(positive & in_train(s)), F.lit(False)) & F.coalesce(F.bool_or(positive & ~in_train(s)), F.lit(False))).alias(f"a{k}") for k, s in enumerate(seeds)]).first()
+        chosen = next((s for s, good in zip(seeds, tried, strict=True) if good), chosen)
+    return rows.withColumn("fold", F.when(in_train(chosen), "train").otherwise("test"))
+
+
+def map_groups(rows: DataFrame, groups: DataFrame, key: str, group: str = "group") -> DataFrame:
+    """``rows`` with the ``group`` of their ``key``; a key without one stops the job and is named."""
+    lost = F.raise_error(F.concat(F.lit(f"no {group} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return rows.join(groups.select(key, F.col(group).alias("_group")), key, "left").withColumn(group, F.coalesce(F.col("_group"), lost.cast(groups.schema[group].dataType))).drop("_group")
 
 
 def cumulative_split(rows: DataFrame, group: str, order: Column, share: float = 0.8) -> DataFrame:

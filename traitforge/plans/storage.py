@@ -4,28 +4,62 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; only where
-    that is unset (tests on one machine) a temporary folder is made and set."""
+    that is unset on a local master (tests on one machine) a temporary folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="traitforge-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Intermediate tables that this process wrote and has not released.
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """How many intermediate tables there are: a mark for :func:`release`."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Delete the intermediate tables written ``since`` a mark, which no DataFrame still in use may
+    read; with ``keep_last`` all but the last one."""
+    kept = [_WRITTEN.pop()] if keep_last and len(_WRITTEN) > since else []
+    for path in _WRITTEN[since:]:
+        fs, p = _file_system(spark, path)
+        fs.delete(p, True)
+    _WRITTEN[since:] = kept
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file_system(spark, path)
+    return fs.exists(p)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut lineage that any
     executor can reread after another one is lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -39,16 +73,10 @@ class Stages:
     def __init__(self, spark: SparkSession, folder: str, force: bool = False):
         self.spark, self.folder, self.force = spark, folder.rstrip("/"), force
         self.stale = force
-        self.log: list[tuple[str, str]] = []
-
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        self.log: list[tuple[str, str, float]] = []
 
     def exists(self, name: str) -> bool:
-        fs, p = self._fs(f"{self.folder}/{name}/_SUCCESS")
-        return fs.exists(p)
+        return exists(self.spark, f"{self.folder}/{name}/_SUCCESS")
 
     def _settings(self, name: str) -> str | None:
         if not self.exists(f"_settings/{name}"):
@@ -60,14 +88,25 @@ class Stages:
         if not self.stale and self.exists(name) and self._settings(name) == wanted:
             found = self.spark.read.parquet(path)
             if columns is None or set(columns) <= set(found.columns):
-                self.log.append((name, "reused"))
+                self.log.append((name, "reused", 0.0))
                 return found
         self.stale = True
-        self.log.append((name, "made"))
+        began = time.monotonic()
         made = make()
         made.write.mode("overwrite").parquet(path)
         self.spark.createDataFrame([(wanted,)], "settings string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/_settings/{name}")
+        self.log.append((name, "made", time.monotonic() - began))
         return self.spark.read.schema(made.schema).parquet(path)
 
+    def skipped(self, name: str, why: str) -> None:
+        """Record that a part of the work was left out, and why."""
+        self.log.append((name, f"skipped: {why}", 0.0))
+
     def report(self) -> DataFrame:
-        return self.spark.createDataFrame(self.log, "stage string, action string")
+        """(stage, action, seconds) of this run, in order."""
+        return self.spark.createDataFrame(self.log, "stage string, action string, seconds double")
+
+    def write_report(self, facts: dict | None = None) -> None:
+        """Append the report, with ``facts`` such as counts, to the folder's CSV reports."""
+        rows = self.report().withColumn("facts", F.lit(json.dumps(facts or {}, sort_keys=True, default=str)))
+        rows.coalesce(1).write.mode("append").option("header", True).csv(f"{self.folder}/reports")

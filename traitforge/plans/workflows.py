@@ -6,14 +6,16 @@ run with the same settings reads what is there and makes what is missing (see ``
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import annotate, cluster, evaluate, merge, model, presence, select, sequence, split
-from .storage import Stages
+from ..functions.sequences import family_of_label, kmer_of_label
+from ..operators import annotate, cluster, coverage, evaluate, merge, model, presence, select, sequence, split
+from .storage import Stages, exists
 
 METHODS = ("rfe", "shap_rfe", "shap", "select_k_best", "chi_squared", "lasso")
 
@@ -41,7 +43,13 @@ class Config:
     weights_method: str = "inverse_frequency"
     threshold: float = 0.001
     grid: dict = field(default_factory=lambda: dict(model.GRID))
-    eliminate_iterations: int = 50
+    eliminate_iterations: int = 500
+    #: Fit the grid in every selection run too, for its importances.
+    score_selection: bool = True
+    #: Off: elimination, attribution and L1 models start from all features. A number leaves them so
+    #: many of the best by a closed-form score.
+    prefilter: int | None = None
+    threads: int = 4
 
     def __post_init__(self):
         if self.task not in ("classification", "regression"):
@@ -54,8 +62,20 @@ class Config:
             raise ValueError(f"unknown split {self.split!r}")
 
 
+def _identity(c: Config) -> dict:
+    """The settings that results depend on."""
+    return {k: v for k, v in asdict(c).items() if k != "threads"}
+
+
+def require_rows(table: DataFrame, what: str) -> DataFrame:
+    if table.isEmpty():
+        raise ValueError(f"no {what}")
+    return table
+
+
 def family_features(stages: Stages, proteins: DataFrame, c: Config, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(presence, feature map, assignments) of one side's protein families."""
+    require_rows(proteins, f"{kind} proteins")
     families = stages.run(f"{kind}_families", lambda: cluster.protein_families(proteins, c.k, c.least_identity, c.coverage), {"k": c.k, "identity": c.least_identity, "coverage": c.coverage})
     present = stages.run(f"{kind}_presence", lambda: presence.presence(proteins.join(families, "protein_id"), "genome", "cluster"))
     return (present, *_collapsed(stages, present, kind))
@@ -65,26 +85,35 @@ def kmer_features(stages: Stages, proteins: DataFrame, c: Config, kind: str, fam
     """The same from k-mers, of all proteins or within families."""
 
     def make() -> DataFrame:
-        rows = proteins if families is None else proteins.join(families.withColumnRenamed("cluster", "family"), "protein_id")
+        # K-mers of proteins without a family have a null one, and support leaves null keys out.
+        rows = proteins if families is None else proteins.join(families.withColumnRenamed("cluster", "family"), "protein_id", "left")
         group = [] if families is None else ["family"]
         occ = sequence.explode_kmers(rows, c.k, ["genome", "protein_id", *group])
         found = sequence.kmer_features(occ, sequence.kmer_support(occ, group, one_gene=c.one_gene), group, "genome")
         return found.withColumnRenamed("feature", "cluster")
 
+    require_rows(proteins, f"{kind} proteins")
     present = stages.run(f"{kind}_kmer_presence", make, {"k": c.k, "one_gene": c.one_gene, "families": families is not None})
-    return (present, *_collapsed(stages, present, f"{kind}_kmer"))
+    return (present, *_collapsed(stages, present, f"{kind}_kmer", proteins))
 
 
-def _collapsed(stages: Stages, present: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+def _collapsed(stages: Stages, present: DataFrame, name: str, genomes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Features and assignments; ``genomes`` without any feature get a row with a null one."""
     features = stages.run(f"{name}_features", lambda: presence.collapse(present, "p" if name.startswith("phage") else "s"))
-    return features, stages.run(f"{name}_assignments", lambda: presence.assign_features(present, features))
+
+    def assign() -> DataFrame:
+        assigned = presence.assign_features(present, features)
+        return assigned if genomes is None else presence.add_missing_genomes(assigned, genomes)
+
+    return features, stages.run(f"{name}_assignments", assign)
 
 
 def phenotype_rows(phenotypes: DataFrame, c: Config) -> DataFrame:
-    """Phenotype rows without nulls, keyed ``row`` by the entities in them."""
+    """Phenotype rows without nulls, keyed ``row`` by the entities in them, as JSON so that no two
+    combinations have one key."""
     keys = [k for k in (c.strain, c.phage) if k in phenotypes.columns]
     rows = merge.drop_null_rows(phenotypes.select(*[F.col(k).cast("string").alias(k) for k in keys], F.col(c.phenotype).cast("double").alias(c.phenotype)))
-    return rows.withColumn("row", F.concat_ws("|", *keys))
+    return rows.withColumn("row", F.to_json(F.array(*keys)))
 
 
 def row_features(rows: DataFrame, strain: DataFrame | None, phage: DataFrame | None, c: Config) -> DataFrame:
@@ -95,11 +124,17 @@ def row_features(rows: DataFrame, strain: DataFrame | None, phage: DataFrame | N
         known = known.join(s.select(F.col("genome").alias(key)).distinct(), key, "left_semi")
     out = None
     for key, s in sides:
-        part = known.select("row", key).join(s.withColumnRenamed("genome", key), key).select("row", "feature")
+        part = known.select("row", key).distinct().join(s.filter("feature IS NOT NULL").withColumnRenamed("genome", key), key).select("row", "feature")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def held_table(rows: DataFrame, present: DataFrame, features: DataFrame) -> DataFrame:
+    """``rows`` with ``held``, the names among ``features`` (feature) that each of them has."""
+    held = present.join(F.broadcast(features), "feature", "left_semi").groupBy("row").agg(F.collect_set("feature").alias(model.HELD))
+    return rows.join(held, "row", "left").withColumn(model.HELD, F.coalesce(model.HELD, F.array().cast("array<string>")))
+
+
 def wide_table(rows: DataFrame, present: DataFrame, features: list[str]) -> DataFrame:
     wanted = present.filter(F.col("feature").isin(features)) if len(features) <= 1000 else present.join(F.broadcast(present.sparkSession.createDataFrame([(f,) for f in features], "feature string")), "feature", "left_semi")
     return presence.wide(wanted, "row", "feature", features, rows).join(rows, "row")
@@ -108,38 +143,63 @@ def wide_table(rows: DataFrame, present: DataFrame, features: list[str]) -> Data
 def _fold(rows: DataFrame, c: Config, seed: int) -> DataFrame:
     if c.split == "group" and c.strain in rows.columns:
         return split.split_by_group(rows, c.strain, c.phenotype, seed)
-    return split.split_rows(rows, seed)
+    return split.split_rows(rows, seed, positive=F.col(c.phenotype) > 0 if c.task == "classification" else None)
+
+
+def _one_class(rows: DataFrame, c: Config) -> bool:
+    """Whether there is nothing to tell apart: no rows, or classes of one kind only."""
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(c.phenotype) > 0).alias("p")).first()
+    return found.n == 0 or c.task == "classification" and found.p in (0, found.n)
 
 
 def _settings(c: Config, seed: int) -> model.Settings:
-    return model.Settings(task=c.task, label=c.phenotype, weight="weight" if c.use_weights else None, seed=seed, grid=c.grid)
+    return model.Settings(task=c.task, label=c.phenotype, weight="weight" if c.use_weights else None, seed=seed, grid=c.grid, threads=c.threads)
 
 
 def select_run(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seed: int) -> list[str]:
-    """One run's selected features, from its training rows, of those that both folds have."""
+    """One run's selected features, from its training rows, of those that both folds have; none if
+    the training rows are of one class."""
     folded = _fold(rows, c, seed)
     train, test = folded.filter("fold = 'train'"), folded.filter("fold = 'test'")
+    if _one_class(train, c):
+        return []
     trained = present.join(train.select("row"), "row", "left_semi")
     both = split.common_features(trained, present.join(test.select("row"), "row", "left_semi"))
     trained = trained.join(both, "feature", "left_semi")
-    if c.method in ("select_k_best", "chi_squared"):
-        label = train.select("row", F.col(c.phenotype).alias("label"))
+    label = train.select("row", F.col(c.phenotype).alias("label")).distinct()
+    closed = c.method in ("select_k_best", "chi_squared")
+    if closed or c.prefilter is not None:
         score = select.chi2 if c.method == "chi_squared" else select.anova_f if c.task == "classification" else None
         scores = score(trained, label, "row") if score else select.regression_f(trained, label.withColumnRenamed("label", "target"), "row")
-        return sorted(r.feature for r in select.top_features(scores, wanted).collect())
-    # Trees and L1 models take a wide table: of the features that closed-form scores leave.
-    label = train.select("row", F.col(c.phenotype).alias("label"))
-    scores = select.anova_f(trained, label, "row") if c.task == "classification" else select.regression_f(trained, label.withColumnRenamed("label", "target"), "row")
-    names = sorted(r.feature for r in select.top_features(scores, max(4 * wanted, 200)).collect())
+        names = sorted(r.feature for r in select.top_features(scores, wanted if closed else c.prefilter).collect())
+        if closed:
+            return names
+    else:
+        names = sorted(r.feature for r in both.collect())  # the columns of a model
     if not names:
         return []
-    table = wide_table(train.drop("fold"), trained, names)
-    table, s = _weighed(table, c), _settings(c, seed)
-    if c.method == "lasso":
-        return model.lasso(table, names, wanted, s)
-    if c.method == "shap":
-        return sorted(model.ranked_features(model.fit(table, names, s, c.eliminate_iterations, 0.1, 4), table, names, "row")[:wanted])
-    return model.eliminate(table, names, wanted, s, c.eliminate_iterations, row_id="row" if c.method == "shap_rfe" else None)
+    spark = rows.sparkSession
+    table = held_table(train.drop("fold"), trained, spark.createDataFrame([(f,) for f in names], "feature string"))
+    table, s = _weighed(table, c).persist(), _settings(c, seed)
+    try:
+        if c.method == "lasso":
+            return model.lasso(table, names, wanted, s)
+        if c.method == "shap":
+            return sorted(model.ranked_features(model.fit(table, names, s, c.eliminate_iterations, 0.1, 4), table, names, "row")[:wanted])
+        return model.eliminate(table, names, wanted, s, c.eliminate_iterations, row_id="row" if c.method == "shap_rfe" else None)
+    finally:
+        table.unpersist()
+
+
+def fit_run(rows: DataFrame, present: DataFrame, c: Config, names: list[str], seed: int) -> tuple:
+    """(model, grid metrics, predictions) of one run's grid on ``names``; the model is None if no
+    configuration is worth keeping, or if a fold has one class only."""
+    table = _weighed(held_table(rows, present, rows.sparkSession.createDataFrame([(f,) for f in names], "feature string")), c)
+    folded = _fold(table, c, seed)
+    train, test = (folded.filter(F.col("fold") == f).drop("fold") for f in ("train", "test"))
+    if not names or _one_class(train, c) or _one_class(test, c):
+        return None, [], None
+    return model.grid_search(train, test, names, _settings(c, seed))
 
 
 def _weighed(table: DataFrame, c: Config) -> DataFrame:
@@ -149,14 +209,32 @@ def _weighed(table: DataFrame, c: Config) -> DataFrame:
     return split.row_weights(table, split.class_weights(table, group, c.phenotype, c.weights_method), group, c.phenotype)
 
 
+IMPORTANCES = "run string, feature string, importance double"
+
+
 def selection(stages: Stages, rows: DataFrame, present: DataFrame, c: Config) -> DataFrame:
-    """(cut_off, feature): features by the number of runs that selected them."""
+    """(cut_off, feature): features by the number of runs that selected them. Each run's grid is
+    fitted too, and the importances of its best model kept under ``selection_importances``."""
     spark = rows.sparkSession
     n = rows.count()
     wanted = c.num_features or merge.selected_features_per_run(n)
     runs = None
     for seed in range(c.runs_selection):
-        part = stages.run(f"selection/run={seed}", lambda seed=seed: spark.createDataFrame([(f"run_{seed}", f) for f in select_run(rows, present, c, wanted, seed)], "run string, feature string"), {"method": c.method, "wanted": wanted})
+
+        def pick(seed=seed) -> DataFrame:
+            found = select_run(rows, present, c, wanted, seed)
+            if not found:
+                stages.skipped(f"selection/run={seed}", "one class or no common features")
+            return spark.createDataFrame([(f"run_{seed}", f) for f in found], "run string, feature string")
+
+        def weigh(seed=seed) -> DataFrame:
+            names = sorted(r.feature for r in part.collect())
+            best, _, _ = fit_run(rows, present, c, names, seed)
+            return spark.createDataFrame([(f"run_{seed}", f, float(v)) for f, v in model.importances(best, names)] if best is not None else [], IMPORTANCES)
+
+        part = stages.run(f"selection/run={seed}", pick, {**_identity(c), "wanted": wanted})
+        if c.score_selection:
+            stages.run(f"selection_importances/run={seed}", weigh, {**_identity(c), "wanted": wanted})
         runs = part if runs is None else runs.unionByName(part)
     occurrence = merge.occurrences(runs)
     return stages.run("cutoff_tables", lambda: merge.cutoff_tables(occurrence, list(c.cutoffs), n), {"cutoffs": c.cutoffs})
@@ -166,6 +244,7 @@ def modelling(stages: Stages, rows: DataFrame, present: DataFrame, tables: DataF
     """Models, predictions and importances of every cut-off and run, and their evaluation."""
     spark = rows.sparkSession
     keys = [k for k in (c.strain, c.phage) if k in rows.columns]
+    named = ", ".join(f"{k} string" for k in ["row", *keys])
     cutoffs = sorted(r.cut_off for r in tables.select("cut_off").distinct().collect())
     predicted = weighed = None
     for cut in cutoffs:
@@ -174,29 +253,27 @@ def modelling(stages: Stages, rows: DataFrame, present: DataFrame, tables: DataF
             base, run = f"cutoff_{cut}/run_{seed}", f"run_{seed}"
 
             def make(names=names, seed=seed, cut=cut, base=base, run=run) -> DataFrame:
-                table = _weighed(wide_table(rows, present, names), c)
-                folded = _fold(table, c, seed)
-                s = _settings(c, seed)
-                best, _, scored = model.grid_search(folded.filter("fold = 'train'").drop("fold"), folded.filter("fold = 'test'").drop("fold"), names, s)
-                empty = spark.createDataFrame([], "row string, label double, prediction double, confidence double, cut_off int, run string")
+                best, _, scored = fit_run(rows, present, c, names, seed)
                 if best is None:
-                    return empty
-                best.write().overwrite().save(f"{stages.folder}/models/{base}")
-                ranked = model.importances(best, names)
-                spark.createDataFrame([(cut, run, f, float(v)) for f, v in ranked], "cut_off int, run string, feature string, importance double").write.mode("overwrite").parquet(f"{stages.folder}/importances/{base}")
-                confidence = F.col("confidence") if c.task == "classification" else F.lit(None).cast("double")
-                return scored.select("row", F.col(c.phenotype).alias("label"), F.col("prediction").cast("double").alias("prediction"), confidence.alias("confidence"), F.lit(cut).alias("cut_off"), F.lit(run).alias("run"))
-
-            part = stages.run(f"predictions/{base}", make)
+                    stages.skipped(f"predictions/{base}", "one class or no model worth keeping")
+                    ranked: list = []
+                    out = spark.createDataFrame([], f"{named}, label double, prediction double, confidence double, cut_off int, run string")
+                else:
+                    best.write().overwrite().save(f"{stages.folder}/models/{base}")
+                    ranked = model.importances(best, names)
+                    confidence = F.col("confidence") if c.task == "classification" else F.lit(None).cast("double")
+                    out = scored.select("row", *keys, F.col(c.phenotype).alias("label"), F.col("prediction").cast("double").alias("prediction"), confidence.alias("confidence"), F.lit(cut).alias("cut_off"), F.lit(run).alias("run"))
+                spark.createDataFrame([(cut, run, f, float(v)) for f, v in ranked], f"cut_off int, {IMPORTANCES}").write.mode("overwrite").parquet(f"{stages.folder}/importances/{base}")
+                return out
+
+            part = stages.run(f"predictions/{base}", make, {**_identity(c), "features": names})
             predicted = part if predicted is None else predicted.unionByName(part)
-            if stages._fs(f"{stages.folder}/importances/{base}")[0].exists(stages._fs(f"{stages.folder}/importances/{base}/_SUCCESS")[1]):
-                more = spark.read.parquet(f"{stages.folder}/importances/{base}")
-                weighed = more if weighed is None else weighed.unionByName(more)
+            more = spark.read.schema(f"cut_off int, {IMPORTANCES}").parquet(f"{stages.folder}/importances/{base}")
+            weighed = more if weighed is None else weighed.unionByName(more)
     if predicted is None:
         raise ValueError("no cut-off left a table of features to model")
-    predictions = predicted.join(rows.select("row", *keys), "row")
-    metrics = stages.run("metrics", lambda: evaluate_predictions(predictions, c))
-    return {"predictions": predictions, "metrics": metrics, "importances": weighed}
+    metrics = stages.run("metrics", lambda: evaluate_predictions(predicted, c), _identity(c))
+    return {"predictions": predicted, "metrics": metrics, "importances": weighed}
 
 
 def evaluate_predictions(predictions: DataFrame, c: Config) -> DataFrame:
@@ -223,8 +300,8 @@ def feature_table(spark: SparkSession, folder: str, strains: DataFrame, phenotyp
     p_map = p_features = None
     if phages is not None:
         _, p_map, p_features = family_features(stages, phages, c, "phage")
-    rows = stages.run("rows", lambda: phenotype_rows(phenotypes, c), asdict(c))
-    present = stages.run("row_features", lambda: row_features(rows, s_features, p_features, c))
+    rows = stages.run("rows", lambda: phenotype_rows(phenotypes, c), _identity(c))
+    present = stages.run("row_features", lambda: require_rows(row_features(rows, s_features, p_features, c), "phenotype rows with features"), _identity(c))
     maps = s_map if p_map is None else s_map.unionByName(p_map)
     return {"stages": stages, "rows": rows, "present": present, "maps": maps, "strain": s_features, "phage": p_features}
 
@@ -246,8 +323,8 @@ def kmer_workflow(spark: SparkSession, folder: str, strains: DataFrame, phenotyp
     stages = Stages(spark, folder, force)
     _, s_map, s_features = kmer_features(stages, strains, c, "strain", families)
     p_features = kmer_features(stages, phages, c, "phage")[2] if phages is not None else None
-    rows = stages.run("rows", lambda: phenotype_rows(phenotypes, c), asdict(c))
-    present = stages.run("row_features", lambda: row_features(rows, s_features, p_features, c))
+    rows = stages.run("rows", lambda: phenotype_rows(phenotypes, c), _identity(c))
+    present = stages.run("row_features", lambda: require_rows(row_features(rows, s_features, p_features, c), "phenotype rows with features"), _identity(c))
     tables = selection(stages, rows, present, c)
     out = modelling(stages, rows, present, tables, c)
     return {**out, "stages": stages, "rows": rows, "present": present, "maps": s_map, "tables": tables, "best_cutoff": best_cutoff(out["metrics"], c)}
@@ -262,16 +339,18 @@ def full_workflow(spark: SparkSession, folder: str, strains: DataFrame, phenotyp
 
 
 def assign_features(proteins: DataFrame, training: DataFrame, families: DataFrame, features: DataFrame, c: Config) -> DataFrame:
-    """(genome, feature) of new genomes: each protein takes the family of its best hit."""
+    """(genome, feature) of new genomes: each protein takes the family of its best hit. Genomes that
+    get no feature have a row with a null one."""
     hits = cluster.homology_hits(proteins.select("protein_id", "sequence"), training.select("protein_id", "sequence"), c.k, c.least_identity)
     best = presence.best_of(hits, "query", [-F.col("identity"), -F.col("target_coverage"), F.col("target")], ["target"])
     assigned = presence.assign_clusters(best, families, "target", "protein_id", "cluster").filter("cluster IS NOT NULL").select(F.col("query").alias("protein_id"), "cluster")
-    return presence.transfer_features(assigned, proteins.select("protein_id", "genome"), features)
+    return presence.add_missing_genomes(presence.transfer_features(assigned, proteins.select("protein_id", "genome"), features), proteins)
 
 
 def assign_kmer_features(proteins: DataFrame, features: DataFrame, c: Config) -> DataFrame:
-    """(genome, feature) of new genomes from the k-mers of a feature map (cluster, feature)."""
-    kmers = features.select("cluster", "feature", F.substring_index("cluster", "_", -1).alias("kmer"))
+    """(genome, feature) of new genomes from the k-mers of a feature map (cluster, feature). Genomes
+    that get no feature have a row with a null one."""
+    kmers = features.select("cluster", "feature", kmer_of_label(F.col("cluster")).alias("kmer"))
     # Proteins meet k-mers through their own k-mers, an equality, not by testing every pair.
     own = sequence.explode_kmers(proteins, c.k, ["genome"]).distinct()
     hits = own.join(kmers, "kmer").select("genome", "feature", "cluster", "kmer").distinct()
@@ -279,27 +358,75 @@ def assign_kmer_features(proteins: DataFrame, features: DataFrame, c: Config) ->
     counts = hits.groupBy("genome", "feature").agg(F.count(F.lit(1)).alias("hits")).join(totals, "feature")
     from ..functions.metrics import at_least
 
-    return counts.filter(at_least(F.col("hits"), F.col("total"), c.threshold)).select("genome", "feature")
+    called = counts.filter(at_least(F.col("hits"), F.col("total"), c.threshold)).select("genome", "feature")
+    return presence.add_missing_genomes(called, proteins)
 
 
-def predict(spark: SparkSession, models: str, cut_off: int, strains: DataFrame, phages: DataFrame | None, c: Config) -> tuple[DataFrame, DataFrame]:
+def kmer_coverage_workflow(spark: SparkSession, folder: str, selected: DataFrame, maps: DataFrame, families: DataFrame, proteins: DataFrame, aligned: DataFrame | None = None, k: int = 5, gap_aware: bool = False, quick: bool = False, force: bool = False) -> dict:
+    """Where the selected k-mer features lie in their families' proteins.
+
+    ``selected`` (feature) and ``maps`` (cluster, feature) name the k-mers, ``families`` (cluster,
+    protein_id) and ``proteins`` (protein_id, sequence) the proteins that may hold them, ``aligned``
+    (family, protein_id, aligned) their alignments. The work ends early, with a ``status`` that says
+    why, where a step leaves nothing, where ``quick`` asks for the matches only, or without
+    alignments.
+    """
+    stages = Stages(spark, folder, force)
+    label = F.col("cluster")
+    kmers = stages.run("selected_kmers", lambda: maps.join(selected.select("feature").distinct(), "feature", "left_semi").select("feature", family_of_label(label).alias("family"), kmer_of_label(label).alias("kmer")).distinct(), {"k": k})
+    if kmers.isEmpty():
+        return {"status": "no k-mers", "stages": stages}
+    members = stages.run("family_proteins", lambda: families.withColumnRenamed("cluster", "family").join(kmers.select("family").distinct(), "family", "left_semi").join(proteins.select("protein_id", "sequence"), "protein_id"))
+    if members.isEmpty():
+        return {"status": "no families", "stages": stages, "kmers": kmers}
+    # Proteins meet k-mers through their own k-mers, an equality.
+    own = sequence.explode_kmers(members, k, ["family", "protein_id"]).distinct()
+    matches = stages.run("kmer_matches", lambda: own.join(kmers, ["family", "kmer"]), {"k": k})
+    found = {"stages": stages, "kmers": kmers, "members": members, "matches": matches}
+    if matches.isEmpty():
+        return {"status": "no match", **found}
+    if quick:
+        return {"status": "quick run", **found}
+    if aligned is None or aligned.isEmpty():
+        return {"status": "no alignments", **found}
+    cut = stages.run("trimmed_alignments", lambda: coverage.trim_leading_gaps(aligned))
+    placed = coverage.kmer_ranges(cut.join(matches, ["family", "protein_id"]), gap_aware)
+    segments = stages.run("segments", lambda: coverage.add_uncovered(coverage.segments(coverage.residue_coverage(placed)), cut), {"gap_aware": gap_aware})
+    return {"status": "done", **found, "segments": segments}
+
+
+def predict(spark: SparkSession, models: str, cut_off: int, strains: DataFrame, phages: DataFrame | None, c: Config, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """All runs' predictions for every strain with every phage, and the vote on them.
 
-    ``strains`` and ``phages`` are (genome, feature); every model is given the columns it knows.
+    ``strains`` and ``phages`` are (genome, feature), ``known`` (feature) are the features that were
+    looked for in them; without it those that some genome has. A model that needs others stops the
+    work with their names. Models that cannot be read are skipped with a warning.
     """
     grid = merge.prediction_grid(strains.select(F.col("genome").alias(c.strain)).distinct(), phages.select(F.col("genome").alias(c.phage)).distinct() if phages is not None else None)
     keys = [k for k in (c.strain, c.phage) if k in grid.columns]
-    rows = grid.withColumn("row", F.concat_ws("|", *keys))
+    rows = grid.withColumn("row", F.to_json(F.array(*keys)))
     present = row_features(rows, strains, phages, c)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(f"{models}/cutoff_{cut_off}")
+    if known is None:
+        known = present.select("feature")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{models}/cutoff_{cut_off}")
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = None
+    if not fs.exists(root):
+        raise ValueError(f"no models under {models}/cutoff_{cut_off}")
+    out = table = None
     for status in sorted(fs.listStatus(root), key=lambda s: s.getPath().getName()):
         run = status.getPath().getName()
-        found = PipelineModel.load(str(status.getPath()))
-        names = found.stages[0].getInputCols()
-        part = model.score(found, wide_table(rows, present, names), c.task)
+        try:
+            found = PipelineModel.load(str(status.getPath()))
+        except Exception as e:  # whatever a broken folder makes the reader raise
+            warnings.warn(f"model {run} skipped: {e}", stacklevel=2)
+            continue
+        names = model.names_of(found)
+        asked = spark.createDataFrame([(f,) for f in names], "feature string")
+        lacking = sorted(r.feature for r in asked.join(known, "feature", "left_anti").collect())
+        if lacking:
+            merge.require_features(set(names) - set(lacking), names)
+        table = held_table(rows, present, asked)
+        part = model.score(found, table, c.task)
         part = part.select("row", *keys, F.col("confidence") if c.task == "classification" else F.lit(None).cast("double").alias("confidence"), "prediction", F.lit(run).alias("run"))
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -307,3 +434,13 @@ def predict(spark: SparkSession, models: str, cut_off: int, strains: DataFrame,
     if c.task == "classification":
         return out, evaluate.ensemble(out, keys)
     return out, out.groupBy(*keys).agg(F.avg("prediction").alias("prediction"))
+
+
+def known_features(spark: SparkSession, folder: str) -> DataFrame | None:
+    """(feature): the features that a folder's assignments were made from, if it says."""
+    out = None
+    for name in ("known_features", "strain_features", "phage_features", "strain_kmer_features", "phage_kmer_features"):
+        if exists(spark, f"{folder}/{name}/_SUCCESS"):
+            part = spark.read.parquet(f"{folder}/{name}").select("feature").distinct()
+            out = part if out is None else out.unionByName(part)
+    return out

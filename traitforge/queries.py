@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import metrics, sequences
 from .operators import annotate, cluster, coverage, evaluate, merge, model, presence, select, sequence, split
+from .plans.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,14 +73,14 @@ def kmer_range(spark, d):
 
 @query("""
 WITH g AS (SELECT p_partkey, p_brand AS genome, p_name, p_type AS feature FROM part),
-km AS (SELECT DISTINCT p_type AS feature, p_size AS cluster, substr(p_name, 1, 3) AS kmer FROM part WHERE length(p_name) >= 3),
+km AS (SELECT DISTINCT p_type AS feature, p_size % 5 AS cluster, substr(p_name, i, 3) AS kmer FROM (SELECT *, unnest(range(1, length(p_name) - 1)) AS i FROM part)),
 hit AS (SELECT genome, km.feature, cluster, kmer, max(CASE WHEN contains(p_name, kmer) THEN 1 ELSE 0 END) AS h FROM g JOIN km ON g.feature = km.feature GROUP BY ALL),
 calls AS (SELECT genome, feature, CASE WHEN sum(h) / count(*) >= 0.5 THEN 1 ELSE 0 END AS present FROM hit GROUP BY ALL)
 SELECT genome, feature, CAST(coalesce(present, 0) AS INTEGER) AS present FROM (SELECT DISTINCT genome, p_type AS feature FROM (SELECT genome FROM g), part) LEFT JOIN calls USING (genome, feature)
 """)
 def kmer_containment_call(spark, d):
     part = _t(spark, d, "part")
-    kmers = part.filter(F.length("p_name") >= 3).select(F.col("p_type").alias("feature"), F.col("p_size").alias("cluster"), F.substring("p_name", 1, 3).alias("kmer")).distinct()
+    kmers = sequence.explode_kmers(part.select(F.col("p_type").alias("feature"), (F.col("p_size") % 5).alias("cluster"), F.col("p_name").alias("sequence")), 3, ["feature", "cluster"]).distinct()
     names = part.select(F.col("p_brand").alias("genome"), F.col("p_name").alias("sequence"), F.col("p_type").alias("feature")).distinct()
     hits = sequence.contained(names.join(kmers, "feature"))
     return sequence.call_features(hits, part.select(F.col("p_type").alias("feature")), 0.5)
@@ -105,12 +106,20 @@ def id_parsing(spark, d):
     )
 
 
-@query("SELECT p_partkey AS protein_id, CAST(i - 1 AS INTEGER) AS start, CAST(i AS INTEGER) AS stop FROM (SELECT *, unnest(range(1, length(p_name))) AS i FROM part) WHERE substr(p_name, i, 2) = 're'")
+@query("SELECT p_partkey AS protein_id, CAST(i - 1 + r AS INTEGER) AS start, CAST(i + 1 + r AS INTEGER) AS stop FROM (SELECT *, length(substr(p_name, 1, i - 1)) - length(replace(substr(p_name, 1, i - 1), 'r', '')) AS r FROM (SELECT *, unnest(range(1, length(p_name))) AS i FROM part)) WHERE substr(p_name, i, 2) = 're'")
 def kmer_positions(spark, d):
-    ranges = sequences.gap_tolerant_ranges(F.col("sequence"), F.lit("re"))
+    """Places in names in which a gap follows every r, so that each occurrence spans one."""
+    gapped = F.replace(F.col("sequence"), F.lit("r"), F.lit("r-"))
+    ranges = sequences.gap_tolerant_ranges(gapped, F.lit("re"), gap_aware=True)
     return _parts(spark, d).select("protein_id", F.explode(ranges).alias("r")).select("protein_id", F.col("r.start").alias("start"), F.col("r.stop").alias("stop"))
 
 
+@query(f"WITH {_KMERS_SQL}, sup AS (SELECT family, kmer FROM occ GROUP BY family, kmer HAVING count(DISTINCT protein_id) > 1) SELECT DISTINCT protein_id % 10 AS genome, family || '_' || kmer AS feature FROM occ JOIN sup USING (family, kmer)")
+def kmer_feature_rows(spark, d):
+    occurrences = sequence.explode_kmers(_parts(spark, d).withColumn("genome", F.col("protein_id") % 10), 3, ["genome", "protein_id", "family"])
+    return sequence.kmer_features(occurrences, sequence.kmer_support(occurrences, ["family"]), ["family"], "genome")
+
+
 # --- hits, presence, collapse, merge --------------------------------------------------------
 
 _BEST_SQL = "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_discount, l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) WHERE n = 1"
@@ -161,7 +170,7 @@ def feature_collapse(spark, d):
 
 @query(f"WITH {_COLLAPSE_SQL} SELECT DISTINCT genome, feature FROM words JOIN sets USING (cluster) JOIN firsts USING (genomes)")
 def feature_assignment(spark, d):
-    present = _words(spark, d).select("genome", "cluster").distinct()
+    present = materialize(_words(spark, d).select("genome", "cluster").distinct(), "present")
     return presence.assign_features(present, presence.collapse(present))
 
 
@@ -209,9 +218,9 @@ def listed_and_present(spark, d):
     return merge.listed_and_present(_t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), _t(spark, d, "customer").filter("c_acctbal > 0"), "c_custkey")
 
 
-@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem")
+@query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def missing_genomes(spark, d):
-    return merge.absent(_t(spark, d, "part"), _t(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+    return merge.absent(_t(spark, d, "part"), _t(spark, d, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
 
 
 @query("SELECT event_type AS feature, count(DISTINCT user_id) AS occurrence FROM events GROUP BY 1")
@@ -258,6 +267,11 @@ def group_split(spark, d):
     return split.cumulative_split(_t(spark, d, "orders"), "o_custkey", F.md5(F.col("o_custkey").cast("string").cast("binary")))
 
 
+@query("SELECT o_custkey, count(*) AS size, coalesce(bool_or(o_totalprice > 200000), false) AS has_positive FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1")
+def group_sizes(spark, d):
+    return split.group_sizes(_t(spark, d, "orders"), "o_custkey", F.col("o_totalprice") > 200000)
+
+
 def _labelled(spark, d) -> DataFrame:
     return _t(spark, d, "documents").join(_t(spark, d, "labels"), "doc_id")
 
@@ -308,6 +322,13 @@ def anova_f(spark, d):
     return select.anova_f(*_tokens(spark, d), "doc_id").withColumn("score", _r("score", 4))
 
 
+@query(f"WITH {_WORDS_SQL} SELECT DISTINCT cluster AS feature, CAST(NULL AS DOUBLE) AS score FROM words JOIN labels USING (doc_id) WHERE quality = 1")
+def single_class_scores(spark, d):
+    """Where there is one class only, nothing is told apart and every score is null."""
+    words, labels = _tokens(spark, d)
+    return select.anova_f(words, labels.filter("label = 1"), "doc_id")
+
+
 @query(f"WITH {_SCORED_SQL} {_CHI_SQL}")
 def chi2_scores(spark, d):
     return select.chi2(*_tokens(spark, d), "doc_id").withColumn("score", _r("score", 4))
@@ -359,7 +380,7 @@ def auc(spark, d):
 _CURVE_SQL = f"WITH {_SCORES_SQL}, c AS (SELECT lang, score, sum(toxic) AS pos, sum(1 - toxic) AS neg FROM sc GROUP BY ALL), q AS (SELECT lang, score, sum(pos) OVER (PARTITION BY lang ORDER BY score DESC) AS tp, sum(neg) OVER (PARTITION BY lang ORDER BY score DESC) AS fp, sum(pos) OVER (PARTITION BY lang) AS p, sum(neg) OVER (PARTITION BY lang) AS n FROM c)"
 
 
-@query(f"{_CURVE_SQL} SELECT lang, round(score, 9) AS threshold, round(CASE WHEN n > 0 THEN fp / n ELSE 0.0 END, 6) AS fpr, round(CASE WHEN p > 0 THEN tp / p ELSE 0.0 END, 6) AS tpr FROM q")
+@query(f"{_CURVE_SQL} SELECT lang, round(score, 9) AS threshold, round(CASE WHEN n > 0 THEN fp / n ELSE 0.0 END, 6) AS fpr, round(CASE WHEN p > 0 THEN tp / p ELSE 0.0 END, 6) AS tpr FROM q UNION ALL SELECT DISTINCT lang, CAST('inf' AS DOUBLE), 0.0, 0.0 FROM sc")
 def roc_points(spark, d):
     return evaluate.roc_points(_scored(spark, d), ["lang"], "toxic", "score").select("lang", _r("threshold", 9).alias("threshold"), _r("fpr").alias("fpr"), _r("tpr").alias("tpr"))
 
@@ -399,9 +420,33 @@ def mannwhitney_u(spark, d):
     return evaluate.mann_whitney(_t(spark, d, "events"), "event_type", "value").select("a", "b", _r("u", 1).alias("u"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT event_type AS g, value AS v FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL), p AS (SELECT x.g AS a, y.g AS b FROM (SELECT DISTINCT g FROM e) x, (SELECT DISTINCT g FROM e) y WHERE x.g < y.g),
+m AS (SELECT a, b, g = a AS of_a, v FROM p, e WHERE g = a OR g = b), r AS (SELECT a, b, of_a, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS r FROM m),
+u AS (SELECT a, b, CAST(count(*) FILTER (WHERE of_a) AS DOUBLE) AS na, CAST(count(*) FILTER (WHERE NOT of_a) AS DOUBLE) AS nb, CAST(sum(r) FILTER (WHERE of_a) AS DOUBLE) AS s FROM r GROUP BY a, b),
+t AS (SELECT a, b, sum(n * n * n - n) AS ties FROM (SELECT a, b, v, CAST(count(*) AS DOUBLE) AS n FROM m GROUP BY ALL) GROUP BY a, b),
+z AS (SELECT a, b, s - na * (na + 1) / 2 AS u, greatest(0, (abs(s - na * (na + 1) / 2 - na * nb / 2) - 0.5) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1))))) / sqrt(2) AS x FROM u JOIN t USING (a, b)),
+q AS (SELECT *, 1 / (1 + 0.5 * x) AS k FROM z)
+SELECT a, b, round(u, 1) AS u, round(least(1.0, k * exp(-x * x - 1.26551223 + k * (1.00002368 + k * (0.37409196 + k * (0.09678418 + k * (-0.18628806 + k * (0.27886807 + k * (-1.13520398 + k * (1.48851587 + k * (-0.82215223 + k * 0.17087277)))))))))), 6) AS p_value FROM q
+""")
 def mannwhitney_p(spark, d):
-    return evaluate.mann_whitney(_t(spark, d, "events"), "event_type", "value")
+    return evaluate.mann_whitney(_t(spark, d, "events"), "event_type", "value").select("a", "b", _r("u", 1).alias("u"), _r("p_value").alias("p_value"))
+
+
+@query("SELECT count(n_chars) AS n, round(avg(n_chars), 4) AS mean, round(stddev_samp(n_chars), 4) AS sd, min(n_chars) AS least, CAST(median(n_chars) AS DOUBLE) AS median, max(n_chars) AS most, count(*) FILTER (WHERE n_chars >= 100) AS reach_0, count(*) FILTER (WHERE n_chars >= 1000) AS reach_1, count(*) FILTER (WHERE n_chars >= 10000) AS reach_2 FROM documents")
+def length_description(spark, d):
+    out = evaluate.describe(_t(spark, d, "documents"), "n_chars", [100, 1000, 10000])
+    return out.withColumns({"mean": _r("mean", 4), "sd": _r("sd", 4)})
+
+
+@query("SELECT l_linestatus, " + ", ".join(f"median(l_quantity) FILTER (WHERE l_returnflag = '{f}') AS {f}" for f in "ANR") + " FROM lineitem GROUP BY 1")
+def dataset_medians(spark, d):
+    return evaluate.by_dataset(_t(spark, d, "lineitem"), "l_linestatus", "l_returnflag", ["A", "N", "R"], "l_quantity")
+
+
+@query("SELECT l_orderkey, " + ", ".join(f'coalesce(max(l_quantity) FILTER (WHERE l_linenumber = {n}), 0) AS "{n}"' for n in range(1, 8)) + " FROM lineitem GROUP BY 1")
+def unique_cells(spark, d):
+    return presence.spread_values(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct(), "l_orderkey", "l_linenumber", list(range(1, 8)), "l_quantity")
 
 
 @query("SELECT event_type AS run, user_id % 10 AS feature, CAST(event_id % 2 AS BIGINT) AS value, round(median(value), 6) AS median FROM events GROUP BY 1, 2, 3")
@@ -429,6 +474,17 @@ def predictive_proteins(spark, d):
     return annotate.predictive_proteins(part.filter("p_size > 25").select(F.col("p_type").alias("feature")), features, part.select(F.col("p_brand").alias("cluster"), F.col("p_partkey").alias("protein_id")))
 
 
+@query("SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) = 1")
+def first_per_key(spark, d):
+    return annotate.first_per_key(_t(spark, d, "lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey"), "l_partkey", ["l_orderkey", "l_linenumber", "l_suppkey"])
+
+
+@query("SELECT f.protein_id, family, member FROM (SELECT p_name AS protein_id, min(p_type) AS family FROM part GROUP BY 1) f JOIN (SELECT DISTINCT p_type, p_name AS member FROM part) m ON p_type = family")
+def family_members(spark, d):
+    part = _t(spark, d, "part").select(F.col("p_type").alias("cluster"), F.col("p_name").alias("protein_id"))
+    return annotate.family_members(part, part)
+
+
 @query("SELECT genome, feature, protein_id FROM (SELECT p_partkey AS protein_id, p_type AS feature FROM part) JOIN (SELECT DISTINCT l_partkey AS protein_id, l_suppkey AS genome FROM lineitem) USING (protein_id) JOIN (SELECT DISTINCT s_suppkey AS genome, p_type AS feature FROM supplier, (SELECT DISTINCT p_type FROM part) WHERE s_acctbal > 5000) USING (genome, feature)")
 def feature_overview(spark, d):
     part = _t(spark, d, "part").select(F.col("p_partkey").alias("protein_id"), F.col("p_type").alias("feature"))
@@ -468,6 +524,13 @@ def residue_coverage(spark, d):
     return coverage.residue_coverage(coverage.kmer_ranges(aligned))
 
 
+@query("WITH a AS (SELECT p_partkey AS protein_id, p_brand AS family, p_size % 4 + 1 AS lead, repeat('-', p_size % 4 + 1) || p_name AS al FROM part), s AS (SELECT family, min(lead) AS shared FROM a GROUP BY 1) SELECT family, protein_id, substr(al, shared + 1) AS aligned, CAST(lead - shared AS INTEGER) AS start_index FROM a JOIN s USING (family)")
+def trimmed_alignments(spark, d):
+    lead = F.expr("repeat('-', CAST(p_size % 4 + 1 AS INT))")
+    aligned = _t(spark, d, "part").select(F.col("p_partkey").alias("protein_id"), F.col("p_brand").alias("family"), F.concat(lead, "p_name").alias("aligned"))
+    return coverage.trim_leading_gaps(aligned).select("family", "protein_id", "aligned", "start_index")
+
+
 @query("WITH seg AS (SELECT p_partkey AS protein_id, p_brand AS family, 'f' AS feature, 1 AS coverage, CAST(p_size AS BIGINT) AS segment_id, 0 AS start, p_size AS stop FROM part WHERE p_size > 25) SELECT * FROM seg UNION ALL SELECT p_partkey, p_brand, NULL, 0, NULL, 0, CAST(length(replace(p_name, '-', '')) AS INTEGER) FROM part WHERE p_partkey NOT IN (SELECT protein_id FROM seg)")
 def uncovered_union(spark, d):
     part = _t(spark, d, "part")
@@ -511,7 +574,12 @@ def homology_hits(spark, d):
     return cluster.homology_hits(names, names, k=4, least_identity=0.4).select("query", "target", _r("identity").alias("identity"))
 
 
-@query()
+@query("""
+WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part WHERE length(p_name) >= 4), k AS (SELECT DISTINCT p_name, substr(p_name, i, 4) AS m FROM (SELECT *, unnest(range(1, length(p_name) - 2)) AS i FROM n)), s AS (SELECT p_name, count(*) AS c FROM k GROUP BY 1),
+link AS (SELECT a.p_name AS a, b.p_name AS b FROM k a JOIN k b USING (m) JOIN s x ON x.p_name = a.p_name JOIN s y ON y.p_name = b.p_name GROUP BY 1, 2 HAVING count(*) / least(any_value(x.c), any_value(y.c)) >= 0.6 AND count(*) / any_value(x.c) >= 0.5 AND count(*) / any_value(y.c) >= 0.5),
+reach AS (SELECT DISTINCT p_name AS a, p_name AS b FROM part UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT min(b) AS cluster, a AS protein_id FROM reach GROUP BY a
+""")
 def family_clusters(spark, d):
     names = _t(spark, d, "part").select("p_name").distinct().select(F.col("p_name").alias("protein_id"), F.col("p_name").alias("sequence"))
     return cluster.protein_families(names, k=4, least_identity=0.6, coverage=0.5)
@@ -523,18 +591,28 @@ def hierarchical_clusters(spark, d):
     return cluster.genome_clusters(vectors, "vec_id", [f"e{i}" for i in range(64)], 10)
 
 
-@query()
+@query("""
+WITH RECURSIVE p AS (SELECT DISTINCT o_custkey % 200 AS genome, l_partkey % 40 AS cluster FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 40),
+s AS (SELECT genome, count(*) AS n FROM p GROUP BY 1), near AS (SELECT x.genome AS a, y.genome AS b FROM p x JOIN p y ON x.cluster = y.cluster AND x.genome <> y.genome JOIN s t ON t.genome = x.genome JOIN s u ON u.genome = y.genome GROUP BY 1, 2 HAVING count(*) >= 0.6 * (any_value(t.n) + any_value(u.n) - count(*))),
+core AS (SELECT a FROM near GROUP BY 1 HAVING count(*) >= 2), link AS (SELECT a, b FROM near WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT a, a AS b FROM core UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a), own AS (SELECT a, min(CAST(b AS VARCHAR)) AS g FROM reach GROUP BY a),
+border AS (SELECT b, min(g) AS g FROM near JOIN own USING (a) GROUP BY b)
+SELECT CAST(s.genome AS VARCHAR) AS genome, coalesce(own.g, border.g, CAST(s.genome AS VARCHAR)) AS "group" FROM s LEFT JOIN own ON own.a = s.genome LEFT JOIN border ON border.b = s.genome
+""")
 def dense_groups(spark, d):
-    return cluster.dense_groups(_present(spark, d).select(F.col("genome").cast("string").alias("genome"), "cluster"))
+    rows = _t(spark, d, "orders").join(_t(spark, d, "lineitem").filter("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return cluster.dense_groups(rows.select((F.col("o_custkey") % 200).cast("string").alias("genome"), (F.col("l_partkey") % 40).alias("cluster")), 0.6)
 
 
 @query()
 def gbt_ensemble(spark, d):
-    """Trees on word presence against quality: the votes of three seeds on all labelled rows."""
+    """Trees on word presence against quality: the votes of three seeds on all labelled rows, with
+    words chosen and trees fitted on the training fold."""
     words, labels = _tokens(spark, d)
-    best = [r.feature for r in select.top_features(select.anova_f(words, labels, "doc_id"), 20).collect()]
-    rows = presence.wide(words.filter(F.col("feature").isin(best)), "doc_id", "feature", best, labels).join(labels, "doc_id")
-    names = [f"f{i}" for i in range(len(best))]
-    rows = rows.select("doc_id", "label", *[F.col(f"`{b}`").alias(n) for b, n in zip(best, names, strict=True)])
-    models = [(f"run_{i}", model.fit(rows, names, model.Settings(label="label", seed=i), 5, 0.1, 3)) for i in range(3)]
+    labels = materialize(split.split_rows(labels, 0, positive=F.col("label") > 0), "labels")
+    train = labels.filter("fold = 'train'").drop("fold")
+    best = [r.feature for r in select.top_features(select.anova_f(words, train, "doc_id"), 20).collect()]
+    held = words.filter(F.col("feature").isin(best)).groupBy("doc_id").agg(F.collect_set("feature").alias(model.HELD))
+    rows = materialize(labels.join(held, "doc_id", "left").withColumn(model.HELD, F.coalesce(model.HELD, F.array().cast("array<string>"))), "held")
+    models = [(f"run_{i}", model.fit(rows.filter("fold = 'train'"), best, model.Settings(label="label", seed=i), 5, 0.1, 3)) for i in range(3)]
     return evaluate.ensemble(model.score_all(models, rows, ["doc_id"]), ["doc_id"])

@@ -44,6 +44,20 @@ def write_fasta(proteins: DataFrame, path: str, id_col: str = "protein_id", sequ
     proteins.select(F.concat(F.lit(">"), F.col(id_col), F.lit("\n"), F.col(sequence)).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_table(rows: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
+    """A delimited export, with or without a line of names."""
+    rows.write.mode("overwrite").csv(path, sep=sep, header=header)
+
+
+def write_hits(rows: DataFrame, path: str) -> None:
+    """Best hits as tab-separated text without names, as :func:`read_best_hits` reads it."""
+    write_table(rows.select(*BEST_HITS.names), path, "\t", header=False)
+
+
+def read_best_hits(spark: SparkSession, path: str) -> DataFrame:
+    return read_delimited(spark, path, BEST_HITS, "\t", header=False)
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ",", header: bool = True) -> DataFrame:
     return spark.read.schema(schema).csv(path, sep=sep, header=header)
 
