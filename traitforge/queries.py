@@ -444,20 +444,10 @@ def dataset_medians(spark, d):
     return evaluate.by_dataset(_t(spark, d, "lineitem"), "l_linestatus", "l_returnflag", ["A", "N", "R"], "l_quantity")
 
 
-@query("SELECT l_orderkey, " + ", ".join(f'coalesce(max(l_quantity) FILTER (WHERE l_linenumber = {n}), 0) AS "{n}"' for n in range(1, 8)) + " FROM lineitem GROUP BY 1")
+@query("SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{t}') AS {t}" for t in ("click", "error", "view")) + " FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY 1")
 def unique_cells(spark, d):
-    return presence.spread_values(_t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").distinct(), "l_orderkey", "l_linenumber", list(range(1, 8)), "l_quantity")
-
-
-@query("SELECT event_type AS run, user_id % 10 AS feature, CAST(event_id % 2 AS BIGINT) AS value, round(median(value), 6) AS median FROM events GROUP BY 1, 2, 3")
-def shap_rollup(spark, d):
-    e = _t(spark, d, "events").select(F.col("event_type").alias("run"), (F.col("user_id") % 10).alias("feature"), (F.col("event_id") % 2).alias("v"), F.col("value").alias("shap_value"))
-    return evaluate.median_by_run(e, "run", "feature", "v", "shap_value").select("run", "feature", F.col("v").alias("value"), _r("median").alias("median"))
-
-
-@query("SELECT user_id AS feature, round(avg(abs(value)), 6) AS mean_abs FROM events GROUP BY 1 ORDER BY avg(abs(value)) DESC, 1 LIMIT 20")
-def top_attributions(spark, d):
-    return evaluate.top_by_mean_abs(_t(spark, d, "events").withColumnRenamed("user_id", "feature"), "feature", "value").withColumn("mean_abs", _r("mean_abs"))
+    counts = _t(spark, d, "events").filter(F.col("event_type").isin("click", "error", "view")).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return presence.spread_values(counts, "user_id", "event_type", ["click", "error", "view"], "n")
 
 
 # --- annotation and coverage ----------------------------------------------------------------
