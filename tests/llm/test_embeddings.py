@@ -54,6 +54,20 @@ def test_against_brute_force(spark, monkeypatch):
     assert audit_recall(df, found, every=5) >= 0.95
 
 
+def test_large_shards_are_dealt_out_again(spark, monkeypatch):
+    for name, value in (("SHARD", 40), ("BLOCK", 50), ("CENTROIDS", 4), ("LARGE", 100), ("PORTION", 70)):
+        monkeypatch.setattr(embeddings, name, value)
+    rows = [(i, v) for i, v in enumerate(corpus(4, 500))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    classes = embeddings._classes(df, "vec_id", "embedding").select("cls", "unit").dropDuplicates(["cls"])
+    shards = embeddings._sharded(classes, 8)
+    sizes = [r["count"] for r in shards.filter("p = q AND own = p").groupBy("shard").count().collect()]
+    assert len(sizes) > 4 and shards.select("cls").distinct().count() == classes.count()
+    found = near_duplicate_vectors(df).withColumnRenamed("unit", "u").collect()
+    true = sum(n for _, n, _, _ in brute(rows).elements())
+    assert sum(r.n_links for r in found) >= 0.95 * true
+
+
 def test_links_found_from_the_later_side_only(spark, monkeypatch):
     def backwards(query, unit, lists, start, threshold):
         sims = unit @ query

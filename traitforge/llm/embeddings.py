@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a robust-pruned flat graph, built on overlapping cluster shards.
 
 Equal vectors are one class. Class vectors go to the shards of their ``OVERLAP`` nearest
-centroids (spherical k-means on a bounded sample). Each shard links every vector to near ones,
+centroids (spherical k-means on a bounded sample); shards that are still large are dealt out once
+more by centroids of their own, so that shards keep their size as the table grows. Each shard links every vector to near ones,
 pruned so that a link is dropped when a kept one is a clear detour towards it; the shards'
 adjacency lists are united. Every vector is then searched for in its shards: greedily from the
 shard's medoid over the united lists, and once within range, on through everything found within a
@@ -12,8 +13,9 @@ queries against brute force; the README gives its figures.
 
 Defined results: vectors that are null, zero or hold null or non-finite components link with
 nothing; shorter vectors count as padded with zeros; equal vectors are linked with each other,
-repeated rows included; a component's name is its smallest id that is not null, and a row without
-id is kept if it is alone; labels and other columns are not read; empty tables give empty tables.
+repeated rows included; vectors of any length are compared whole; a component's name is its smallest
+id that is not null, and a row without id is kept if it is alone; labels and other columns, whatever
+their names, are not read; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ THRESHOLD = 0.95
 #: Vectors a shard should hold, and shards each vector is in; larger shards are built in pairs of
 #: blocks of ``BLOCK`` vectors, so no vectors of a shard are kept apart.
 SHARD, OVERLAP, BLOCK = 1500, 3, 3000
-#: Centroids at most, and sampled vectors for each.
-CENTROIDS, SAMPLE_PER_CENTROID = 4096, 24
+#: Centroids of one dealing at most, and sampled vectors for each.
+CENTROIDS, SAMPLE_PER_CENTROID = 1024, 24
+#: Vectors above which a shard is dealt out once more, in portions of ``PORTION`` of them.
+LARGE, PORTION = 12_000, 50_000
 #: Links of a vector in one shard, candidates for them, and how clear a detour must be.
 DEGREE, CANDIDATES, DETOUR = 20, 48, 1.2
 #: Vectors that greedy search keeps in view, and the cosine below the threshold it still follows.
@@ -190,15 +194,57 @@ def _sharded(classes: DataFrame, width: int) -> DataFrame:
             sims = as_matrix(batch.column(1).to_pylist(), width) @ centres.value.T
             near = np.argsort(-sims, axis=1, kind="stable")[:, :overlap]
             at = pa.array(np.repeat(np.arange(batch.num_rows), overlap))
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(at), batch.column(1).take(at)], names=["shard", "cls", "unit"])
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(at), batch.column(1).take(at)], names=["shard", "cls", "unit"])
 
-    dealt = materialize(classes.select("cls", "unit").mapInArrow(assign, "shard int, cls binary, unit binary"), "shards")
+    dealt = materialize(classes.select("cls", "unit").mapInArrow(assign, "shard long, cls binary, unit binary"), "shards")
+    counts = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size"))
+    large = materialize(counts.filter(F.col("size") > LARGE), "large")
+    if not large.isEmpty():
+        dealt = materialize(dealt.join(large, "shard", "left_anti").unionByName(_dealt_again(dealt.join(large, "shard"), width)), "shards")
     sizes = dealt.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
     own = dealt.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return materialize(own.select("shard", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "cls", "unit"), "blocks")
 
 
+def _dealt_again(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (shard, cls, unit, size) under new shards, by centroids fitted in each old one."""
+    k = F.least(F.lit(CENTROIDS), F.ceil(F.col("size") / SHARD)).cast("int")
+    rows = rows.withColumn("k", k).withColumn("portions", F.ceil(F.col("size") / PORTION).cast("int"))
+    sample = rows.filter(F.pmod(F.xxhash64("cls"), F.col("size")) < F.col("k") * SAMPLE_PER_CENTROID)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches, ["shard"]):
+            centres = fit_centroids(as_matrix([r["unit"] for r in group], width), min(group[0]["k"], len(group)))
+            n = len(centres)
+            yield pa.RecordBatch.from_arrays([pa.array([group[0]["shard"]] * n, pa.int64()), pa.array([group[0]["portions"]] * n, pa.int32()), pa.array([c.tobytes() for c in centres], pa.binary())], names=["shard", "portions", "unit"])
+
+    centres = materialize(sample.repartition("shard").sortWithinPartitions("shard", "cls").mapInArrow(fit, "shard long, portions int, unit binary"), "centres")
+    # Every portion of a shard meets all of its centres, which stand before the vectors.
+    first = centres.select("shard", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(None).cast("binary").alias("cls"), "unit")
+    both = first.unionByName(rows.select("shard", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("portions")).cast("int").alias("portion"), "cls", "unit"))
+    both = both.repartition("shard", "portion").sortWithinPartitions("shard", "portion", F.col("cls").asc_nulls_first(), "unit")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, units = None, []
+        for batch in batches:
+            shard, portion, cls, unit = (c.to_pylist() for c in batch.columns)
+            out: list[tuple] = []
+            for at, name, u in zip(zip(shard, portion, strict=True), cls, unit, strict=True):
+                if at != key:
+                    key, units, centre = at, [], None
+                if name is None:
+                    units.append(u)
+                else:
+                    centre = as_matrix(units, width) if centre is None else centre
+                    near = np.argsort(-(centre @ as_matrix([u], width)[0]), kind="stable")[:OVERLAP]
+                    out += [(at[0] * CENTROIDS + int(j) + CENTROIDS, name, u) for j in near]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "cls", "unit"])
+
+    # A vector meets the same new shard once for each old one it was in, which are different numbers.
+    return both.select("shard", "portion", "cls", "unit").mapInArrow(assign, "shard long, cls binary, unit binary")
+
+
 GROUP = ["shard", "p", "q"]
 
 
