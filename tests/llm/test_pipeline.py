@@ -48,7 +48,7 @@ def test_run_against_brute_force(spark, tmp_path):
     kept = {i for i, _, component, k in test_minhash.brute(rows, 5) if k}
     rows = [r for r in rows if r[0] in kept]
     rows = [(i, b.decode("utf-8", "ignore")) for i, *_, b in test_suffix_dedup.brute(rows, 200, "first")]
-    rows = [r for r in rows if r[1].strip(" ")]
+    rows = [r for r in rows if r[1].strip()]
     final = []
     for (i, t), (_, n, hit, _) in zip(rows, test_decontaminate.brute(rows, items), strict=True):
         if hit <= 0.5 * n:
@@ -74,6 +74,17 @@ def hit_ranges(text, items):
     return [tuple(x) for x in runs]
 
 
+def test_gibberish_goes_and_clean_documents_stay(spark):
+    r = random.Random(7)
+    syllables = {"en": ["the", "ing", "er", "on"], "fr": ["eau", "tion", "é", "oi"], "de": ["sch", "ung", "ß", "ein"], "es": ["ción", "os", "ñ", "ar"]}
+    pools = {k: ["".join(r.choice(v) for _ in range(r.randint(2, 3))) for _ in range(400)] for k, v in syllables.items()}
+    rows = [(i, " ".join(r.choice(pools[lang]) for _ in range(r.randint(3, 60))), lang) for i in range(400) for lang in [r.choice(list(pools))]]
+    rows += [(1000 + i, " ".join("".join(r.choice("qxzjkvwbpf") for _ in range(r.randint(3, 8))) for _ in range(60)), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert kept >= set(range(400)) and len(kept) <= 404
+
+
 def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     _, items = corpus(1)
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -84,6 +95,24 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
 
 
+def test_clashing_columns_white_space_and_very_long_texts(spark, tmp_path):
+    """Columns named like the stages' own pass through; what leaves only line breaks goes."""
+    passage = " ".join(f"the{k}" for k in range(60))
+    long = " ".join(f"the ing{k % 5003} on" for k in range(60_000))
+    rows = [(1, passage, "en"), (2, f"\n{passage}\n\n", "en"), (3, long, "en"), (4, "er on the " * 5, "fr"), (5, "er on", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": corpus_pipeline.F.lit("s"), "n_chars": corpus_pipeline.F.length("text")})
+    for name in ("id", "print", "body", "hits", "items", "spans", "ranges", "rid", "mark", "absent", "c0", "component", "leader", "key", "lot", "label"):
+        docs = docs.withColumn(name, corpus_pipeline.F.lit("x"))
+    spark.createDataFrame([(1, "not there at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_repeated_passages(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 5]
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+    assert {1, 3} <= {r.doc_id for r in at.collect()}
+
+
 def test_repeated_rows_of_a_group_leave_one(spark, tmp_path):
     rows = [(1, "a b c d e f g", "en", "s", 1)] * 3 + [(0, "A b c d e f g", "en", "s", 1), (5, None, None, None, None), (5, None, None, None, None), (None, "x y z", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
