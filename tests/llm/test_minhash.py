@@ -110,7 +110,7 @@ def test_texts_that_agree_in_a_weak_hash(spark):
 
 
 def test_full_sets_are_told_by_both_halves_of_a_name():
-    x = np.array([(1, 1), (2, 5), (7, 7)], minhash.NAME)
-    y = np.array([(1, 1), (2, 6), (7, 7)], minhash.NAME)
+    x = np.array([(1, 1), (2, 5), (7, 7)], np.uint64)
+    y = np.array([(1, 1), (2, 6), (7, 7)], np.uint64)
     assert minhash.common_names(x, y) == 2
     assert minhash.common_names(x, x) == 3

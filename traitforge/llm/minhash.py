@@ -31,6 +31,7 @@ their names, are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,15 +54,15 @@ PIECE = 1 << 19
 REMEMBERED = 200_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: A shingle's name: two numbers of 64 bits.
-NAME = np.dtype([("a", U64), ("b", U64)])
+#: Bytes of a shingle's name, two numbers of 64 bits: sets are arrays of two columns.
+NAME_BYTES = 16
 with np.errstate(over="ignore"):
     _MULTIPLIERS = mix64(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
 _PLACES = [mix64(np.array([k + 77], U64))[0] | U64(1) for k in range(16)]
 
 
 _KNOWN: dict[bytes, int] = {}
-_NAMES = np.empty(0, NAME)
+_NAMES = np.empty((0, 2), U64)
 
 
 def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,53 +72,57 @@ def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(_KNOWN) > REMEMBERED:
         _KNOWN.clear()
         _NAMES = _NAMES[:0]
-    had = len(_KNOWN)
-    at = np.fromiter((_KNOWN.setdefault(w, len(_KNOWN)) for words in split for w in words), np.int64)
-    if len(_KNOWN) > had:
-        fresh = list(_KNOWN)[had:]
-        _NAMES = np.concatenate([_NAMES, np.frombuffer(b"".join(digests(fresh)), NAME)])
-    return _NAMES[at], np.fromiter(map(len, split), np.int64, len(split))
+    fresh = list(set().union(*split).difference(_KNOWN))
+    if fresh:
+        _KNOWN.update(zip(fresh, range(len(_KNOWN), len(_KNOWN) + len(fresh)), strict=True))
+        _NAMES = np.concatenate([_NAMES, np.frombuffer(b"".join(digests(fresh)), U64).reshape(-1, 2)])
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    at = np.fromiter(map(_KNOWN.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+    return _NAMES[at], sizes
 
 
 def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle names of all texts, text by text in rising order, and the bounds of each."""
     words, counts = word_names(texts)
-    firsts = np.cumsum(counts) - counts
-    owner = np.repeat(np.arange(len(texts)), counts)
-    least = np.minimum(counts, width)
-    starts = np.flatnonzero(np.arange(len(words)) - firsts[owner] <= counts[owner] - least[owner])
-    owner = owner[starts]
-    sizes = least[owner]
-    value = np.empty(len(starts), NAME)
+    shingles = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    owner = np.repeat(np.arange(len(texts)), shingles)
+    starts = np.arange(len(owner)) + (np.cumsum(counts) - counts - (np.cumsum(shingles) - shingles))[owner]
+    short = np.flatnonzero(counts[owner] < width)  # a text of few words is one shingle of them all
+    lanes = []
     with np.errstate(over="ignore"):
-        for lane in NAME.names:
-            column = words[lane]
-            mixed = mix64(sizes.astype(U64))
-            for k in range(width):
-                # Shorter texts are one shingle of all their words.
-                more = slice(None) if k == 0 else sizes > k
-                mixed[more] = mix64(mixed[more] * U64(0x9E3779B97F4A7C15) + column[(starts + k)[more]])
-            value[lane] = mixed
-    order = np.lexsort((value["a"], owner))
-    owner, value = owner[order], value[order]
-    close = (value["a"][1:] == value["a"][:-1]) & (owner[1:] == owner[:-1])
-    if (close & (value["b"][1:] != value["b"][:-1])).any():
-        order = np.lexsort((value["b"], value["a"], owner))
-        owner, value = owner[order], value[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    owner, value = owner[new], value[new]
-    return value, np.searchsorted(owner, np.arange(len(texts) + 1))
+        for lane in (0, 1):
+            column = np.append(words[:, lane], np.zeros(width, U64))
+            mixed = column[starts]
+            for k in range(1, width):
+                mixed = mix64(mixed * U64(0x9E3779B97F4A7C15) + column[starts + k])
+            for i in short.tolist():
+                x = column[starts[i] : starts[i] + 1]
+                for k in range(1, counts[owner[i]]):
+                    x = mix64(x * U64(0x9E3779B97F4A7C15) + column[starts[i] + k])
+                mixed[i] = mix64(x + U64(counts[owner[i]]))[0]
+            lanes.append(mixed)
+    a, b = lanes
+    order = np.lexsort((a, owner))
+    owner, a, b = owner[order], a[order], b[order]
+    same = (a[1:] == a[:-1]) & (owner[1:] == owner[:-1])
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((b, a, owner))
+        owner, a, b = owner[order], a[order], b[order]
+        same = (a[1:] == a[:-1]) & (owner[1:] == owner[:-1]) & (b[1:] == b[:-1])
+    new = np.ones(len(a), bool)
+    new[1:] = ~same
+    return np.stack([a[new], b[new]], 1), np.searchsorted(owner[new], np.arange(len(texts) + 1))
 
 
 def common_names(x: np.ndarray, y: np.ndarray) -> int:
     """Size of the intersection of two sets of names."""
     both = np.concatenate([x, y])
-    both = both[np.argsort(both["a"], kind="stable")]
-    same = both["a"][1:] == both["a"][:-1]
-    if (both["b"][1:] != both["b"][:-1])[same].any():
-        return len(set(x.tolist()) & set(y.tolist()))
-    return int(same.sum())
+    order = np.argsort(both[:, 0])
+    a = both[order, 0]
+    same = np.flatnonzero(a[1:] == a[:-1])
+    if (both[order[same + 1], 1] != both[order[same], 1]).any():
+        return len(set(map(tuple, x.tolist())) & set(map(tuple, y.tolist())))
+    return len(same)
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -125,9 +130,10 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     filled = np.flatnonzero(np.diff(bounds))
     out = np.zeros((len(bounds) - 1, HASHES), np.uint16)
     if len(filled):
+        first = np.ascontiguousarray(values[:, 0])
         with np.errstate(over="ignore"):
             for k in range(HASHES):
-                least = np.minimum.reduceat(values["a"] * _MULTIPLIERS[k], bounds[:-1][filled])
+                least = np.minimum.reduceat(first * _MULTIPLIERS[k], bounds[:-1][filled])
                 out[filled, k] = (mix64(least) >> U64(64 - BITS)).astype(np.uint16)
     return out
 
@@ -162,7 +168,7 @@ def _profiles(docs: DataFrame, width: int) -> DataFrame:
             values, bounds = shingle_sets(batch.column(2).to_pylist(), width)
             sigs = signatures(values, bounds)
             whole = memoryview(values.tobytes())
-            names = digests(whole[s * NAME.itemsize : e * NAME.itemsize] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+            names = digests(whole[s * NAME_BYTES : e * NAME_BYTES] for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds)), pa.array(names, pa.binary()), pa.array([s.tobytes() for s in sigs], pa.binary())], names=schema.names)
 
     return docs.mapInArrow(profile, schema)
@@ -282,7 +288,7 @@ class NearDuplicates:
             for batch in batches:
                 keep = []
                 for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, NAME), np.frombuffer(y, NAME)
+                    x, y = (np.frombuffer(v, U64).reshape(-1, 2) for v in (x, y))
                     common = common_names(x, y)
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -298,7 +304,7 @@ class NearDuplicates:
             for batch in batches:
                 sizes, maps = [], []
                 for hashes in batch.column(1).to_pylist():
-                    values = np.frombuffer(hashes, NAME)["a"]
+                    values = np.frombuffer(hashes, U64)[::2]
                     bits = np.zeros(BITMAP, bool)
                     bits[(values % U64(BITMAP)).astype(np.int64)] = True
                     sizes.append(len(values))
