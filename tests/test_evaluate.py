@@ -36,7 +36,7 @@ def test_metrics_from_counts(spark):
 def test_curves_end_where_they_should(spark):
     rows = scored(spark, [(0.9, 1), (0.8, 0), (0.8, 1), (0.3, 0)])
     roc = {(r.fpr, r.tpr) for r in evaluate.roc_points(rows, ["g"], "y", "score").collect()}
-    assert roc == {(0, 0.5), (0.5, 1), (1, 1)}
+    assert roc == {(0, 0), (0, 0.5), (0.5, 1), (1, 1)}
     pr = {(r.precision, r.recall) for r in evaluate.pr_points(rows, ["g"], "y", "score").collect()}
     assert pr == {(1.0, 0.5), (2 / 3, 1.0), (0.5, 1.0), (1.0, 0.0)}
 

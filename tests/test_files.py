@@ -55,7 +55,7 @@ def test_stages_resume_and_invalidate(spark, tmp_path):
     assert made == ["b"]
     stages = Stages(spark, str(tmp_path / "s"))
     assert stages.run("a", lambda: make("a"), {"k": 2}, columns=["x"]).count() == 1
-    assert [tuple(r) for r in stages.report().collect()] == [("a", "reused")]
+    assert [tuple(r)[:2] for r in stages.report().collect()] == [("a", "reused")]
 
 
 def test_streams(spark, tmp_path):

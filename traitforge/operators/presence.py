@@ -84,11 +84,11 @@ def collapse(present: DataFrame, prefix: str = "s", order: str = "cluster") -> D
 
     Features are numbered by the first cluster, by ``order``, that belongs to them. A set is known by
     its size and the sums of two 60-bit pieces of its members' SHA-256, so that sets of any size
-    combine before they are shuffled; the clusters' sets are written once. ``present`` is distinct.
+    combine before they are shuffled; the clusters' sets are written once.
     """
     digest = F.sha2(F.col("genome").cast("string"), 256)
     piece = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")
-    sets = materialize(present.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(piece(1)).alias("s1"), F.sum(piece(16)).alias("s2")), "sets")
+    sets = materialize(present.select("genome", "cluster").distinct().groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum(piece(1)).alias("s1"), F.sum(piece(16)).alias("s2")), "sets")
     key = ["n", "s1", "s2"]
     firsts = numbered(sets.groupBy(*key).agg(F.min(order).alias("first")), [F.col("first")], "at")
     named = firsts.select(*key, F.concat(F.lit(f"{prefix}c_"), F.col("at").cast("string")).alias("feature"))
