@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, fixity, language, minhash, preference, quality, suffix_dedup, toxicity
+from . import bpe, decontaminate, embeddings, fixity, language, minhash, preference, quality, resample, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_merkle_fixity": fixity.op1_merkle_fixity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_crf_language": language.op8_crf_language,
     "op9_minhash_hamming_join": minhash.op9_minhash_hamming_join,
     "op10_tfidf_toxicity": toxicity.op10_tfidf_toxicity,
+    "op11_crc_resampling": resample.op11_crc_resampling,
 }
 
 ORACLE_SQL = {
@@ -23,4 +24,5 @@ ORACLE_SQL = {
     "op6_pruned_graph": embeddings.OP6_SQL,
     "op9_minhash_hamming_join": minhash.OP9_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op11_crc_resampling": resample.OP11_SQL,
 }
