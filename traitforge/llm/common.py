@@ -114,3 +114,27 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     with np.errstate(over="ignore"):
         raw = (prefix[ends] - prefix[starts]) * powers(len(prefix), inverse=True)[starts]
     return mix64(raw + (ends - starts).astype(U64))
+
+
+#: Part of a recursive DuckDB query: ``crc`` (f, crc) from ``hashed`` (f, its bytes x in hexadecimal,
+#: their number n) and ``longest`` (n). CRC-32 is linear: a text's value is the sum (exclusive or) of
+#: what each byte gives at its distance from the end and of what the start gives at the text's length.
+CRC_SQL = """
+byte_step AS (
+  SELECT b, b AS c, 0 AS k FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM byte_step WHERE k < 8),
+crc_table AS (SELECT b, c FROM byte_step WHERE k = 8),
+shifted AS (
+  SELECT b, c, 0 AS after FROM crc_table
+  UNION ALL
+  SELECT s.b, xor(s.c >> 8, t.c), s.after + 1 FROM shifted s JOIN crc_table t ON t.b = s.c & 255 WHERE s.after < (SELECT n FROM longest)),
+begun AS (
+  SELECT CAST(4294967295 AS BIGINT) AS c, 0 AS n
+  UNION ALL
+  SELECT xor(s.c >> 8, t.c), s.n + 1 FROM begun s JOIN crc_table t ON t.b = s.c & 255 WHERE s.n < (SELECT n FROM longest)),
+crc AS (
+  SELECT f, xor(xor(bit_xor(s.c), any_value(begun.c)), 4294967295) AS crc
+  FROM (SELECT f, n, CAST('0x' || x[2 * p + 1 : 2 * p + 2] AS BIGINT) AS b, n - 1 - p AS after FROM (SELECT *, unnest(range(n)) AS p FROM hashed)) u
+  JOIN shifted s USING (b, after) JOIN begun USING (n) GROUP BY f),
+"""

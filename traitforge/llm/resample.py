@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.prefix import numbered
-from .common import materialize, slices, small_batches, table, text_print
+from .common import CRC_SQL, materialize, slices, small_batches, table, text_print
 
 BUCKETS = 10_000
 #: Longest run of words.
@@ -177,15 +177,9 @@ def op11_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw(scores).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-#: CRC-32 is linear: a text's value is the sum (exclusive or) of what each byte gives at its
-#: distance from the end and of what the start gives at the text's length.
-OP11_SQL = r"""
-WITH RECURSIVE byte_step AS (
-  SELECT b, b AS c, 0 AS k FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
-  UNION ALL
-  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM byte_step WHERE k < 8),
-crc_table AS (SELECT b, c FROM byte_step WHERE k = 8),
-word AS (
+OP11_SQL = (
+    r"""
+WITH RECURSIVE word AS (
   SELECT 'd' AS side, rowid AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM (SELECT row_number() OVER () AS rowid, text FROM documents)
   UNION ALL
@@ -195,20 +189,12 @@ feature AS (
   SELECT side, r, array_to_string(w[i : i + n - 1], ' ') AS f, count(*) AS times
   FROM (SELECT side, r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM word, (SELECT unnest([1, 2, 3]) AS n) WHERE len(w) >= n)
   GROUP BY side, r, f),
-distinct_feature AS (SELECT f, hex(encode(f)) AS x, octet_length(encode(f)) AS n FROM (SELECT DISTINCT f FROM feature)),
-longest AS (SELECT max(n) AS n FROM distinct_feature),
-shifted AS (
-  SELECT b, c, 0 AS after FROM crc_table
-  UNION ALL
-  SELECT s.b, xor(s.c >> 8, t.c), s.after + 1 FROM shifted s JOIN crc_table t ON t.b = s.c & 255 WHERE s.after < (SELECT n FROM longest)),
-begun AS (
-  SELECT CAST(4294967295 AS BIGINT) AS c, 0 AS n
-  UNION ALL
-  SELECT xor(s.c >> 8, t.c), s.n + 1 FROM begun s JOIN crc_table t ON t.b = s.c & 255 WHERE s.n < (SELECT n FROM longest)),
-bucket AS (
-  SELECT f, xor(xor(bit_xor(s.c), any_value(begun.c)), 4294967295) % 10000 AS bucket
-  FROM (SELECT f, n, CAST('0x' || x[2 * p + 1 : 2 * p + 2] AS BIGINT) AS b, n - 1 - p AS after FROM (SELECT *, unnest(range(n)) AS p FROM distinct_feature)) u
-  JOIN shifted s USING (b, after) JOIN begun USING (n) GROUP BY f),
+hashed AS (SELECT f, hex(encode(f)) AS x, octet_length(encode(f)) AS n FROM (SELECT DISTINCT f FROM feature)),
+longest AS (SELECT max(n) AS n FROM hashed),
+"""
+    + CRC_SQL
+    + r"""
+bucket AS (SELECT f, crc % 10000 AS bucket FROM crc),
 placed AS (SELECT side, r, bucket, times FROM feature JOIN bucket USING (f)),
 held AS (
   SELECT k.bucket, coalesce(sum(times) FILTER (WHERE side = 'd'), 0) AS s, coalesce(sum(times) FILTER (WHERE side = 'b'), 0) AS t
@@ -224,3 +210,4 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY coalesce(n_words, 0) >= 20 ORDER BY score DESC, doc_id NULLS FIRST, n_features) AS p, count(*) FILTER (WHERE n_words >= 20) OVER () AS able FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND p <= able * 5 // 100 THEN CAST(p AS BIGINT) END AS rank FROM ranked
 """
+)
