@@ -53,12 +53,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+#: Has Spark delete a query's shuffle files when it ends, instead of when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a cut lineage that any
-    executor can reread after another one is lost."""
+    executor can reread after another one is lost. The shuffle files of the write go with it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
