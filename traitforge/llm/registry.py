@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embeddings, fixity, language, minhash, preference, quality, repair, resample, suffix_dedup, toxicity
+from . import bpe, decontaminate, embeddings, fixity, language, minhash, preference, quality, recompress, repair, resample, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_merkle_fixity": fixity.op1_merkle_fixity,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_minhash_hamming_join": minhash.op9_minhash_hamming_join,
     "op10_tfidf_toxicity": toxicity.op10_tfidf_toxicity,
     "op11_crc_resampling": resample.op11_crc_resampling,
+    "op12_recompression_dedup": recompress.op12_recompression_dedup,
     "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
@@ -26,5 +27,6 @@ ORACLE_SQL = {
     "op9_minhash_hamming_join": minhash.OP9_SQL,
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op11_crc_resampling": resample.OP11_SQL,
+    "op12_recompression_dedup": recompress.OP12_SQL,
     "op13_conversation_repair": repair.OP13_SQL,
 }
