@@ -50,13 +50,15 @@ TREES = "fit string, tree int, codes array<int>, leaves array<double>, covers ar
 
 @dataclass(frozen=True)
 class Fit:
-    """One ensemble to grow: its name, its run, and its settings."""
+    """One ensemble to grow: its name, its run (whose features it may use), its settings, and the
+    folds that it goes by, if these are not named like the run."""
 
     name: str
     run: str
     rate: float
     depth: int
     iterations: int
+    folds: str | None = None
 
 
 @dataclass
@@ -92,13 +94,33 @@ def cells(examples: DataFrame, present: DataFrame, codes: DataFrame, runs: list[
     at = spark.createDataFrame([(r, i) for i, r in enumerate(runs)], "run string, i int")
     fold = F.when(F.col("fold") == "train", 1).when(F.col("fold") == "test", 2).otherwise(0)
     own = examples.na.drop(subset=["row", "label"]).join(F.broadcast(at), "run")
-    own = own.groupBy("row", "label").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct(fold.alias("fold"), F.coalesce(F.col("weight").cast("double"), F.lit(1.0)).alias("weight"))))).alias("of"))
+    # A row that stands there twice weighs twice.
+    own = own.groupBy("row", "label", "i").agg(F.max(fold).alias("fold"), F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("weight"))
+    own = own.groupBy("row", "label").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("fold", "weight")))).alias("of"))
     each = F.sequence(F.lit(0), F.lit(len(runs) - 1))
     own = own.select("row", "label", F.transform(each, lambda i: F.coalesce(F.col("of")[i]["fold"], F.lit(0))).alias("fold"), F.transform(each, lambda i: F.coalesce(F.col("of")[i]["weight"], F.lit(0.0))).alias("weight"))
     held = present.join(codes, "feature").groupBy("row").agg(F.collect_set("code").alias("held"))
     return own.join(held, "row", "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
 
 
+def common_codes(data: DataFrame, runs: list[str]) -> DataFrame:
+    """(run, code): the features that some training and some test row of a run hold. Folds become bits,
+    63 runs to a number, so each cell is read once for all runs."""
+    words = range(0, len(runs), 63)
+
+    def bits(side: int, first: int) -> Column:
+        own = [F.when(F.col("fold")[k] == side, F.lit(1 << (k - first))).otherwise(0) for k in range(first, min(first + 63, len(runs)))]
+        out = F.lit(0).cast("long")
+        for c in own:
+            out = out.bitwiseOR(c.cast("long"))
+        return out
+
+    rows = data.select("held", *[bits(side, w).alias(f"b{side}_{w}") for side in (1, 2) for w in words])
+    seen = rows.select(F.explode("held").alias("code"), *rows.columns[1:]).groupBy("code").agg(*[F.bit_or(c).alias(c) for c in rows.columns[1:]])
+    tests = [F.struct(F.lit(r).alias("run"), (F.getbit(F.col(f"b1_{k // 63 * 63}").bitwiseAND(F.col(f"b2_{k // 63 * 63}")), F.lit(k % 63)) == 1).alias("both")) for k, r in enumerate(runs)]
+    return seen.select("code", F.explode(F.array(*tests)).alias("r")).filter("r.both").select(F.col("r.run").alias("run"), "code")
+
+
 # What tasks do with a batch of rows.
 
 
@@ -178,9 +200,10 @@ def _parts(n: int, wide: int) -> Iterator[slice]:
 class Forest:
     """Ensembles that grow together over one table of cells."""
 
-    def __init__(self, data: DataFrame, fits: list[Fit], runs: list[str], allowed: DataFrame | None, task: str):
+    def __init__(self, data: DataFrame, fits: list[Fit], runs: list[str], allowed: DataFrame | None, task: str, validate: bool = True):
         self.spark, self.fits, self.task, self.runs = data.sparkSession, fits, task, runs
-        self.run_of = np.array([runs.index(f.run) for f in fits])
+        self.run_of = np.array([runs.index(f.folds or f.run) for f in fits])
+        self.validate = validate
         self.grown = [Grown(f) for f in fits]
         self.allowed = allowed
         self.data = data
@@ -221,11 +244,11 @@ class Forest:
     def totals(self, live: list[int]) -> dict[int, tuple[float, float, float, float]]:
         """For each live fit the sums of gradients and curvatures of its training rows, and the loss
         and number of its test rows: one row a fit."""
-        task, own = self.task, np.array(live, np.int32)
+        task, own, validate = self.task, np.array(live, np.int32), self.validate
 
         def total(rows, codes, label, fold, weight, score, leaf):
             g, h = gradients(label, score, weight * (fold == 1), task)
-            tested = fold == 2
+            tested = (fold == 2) & validate
             yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(v) for v in (g.sum(0), h.sum(0), (losses(label, score, task) * tested).sum(0), tested.sum(0).astype(float)))], names=["fit", "g", "h", "loss", "n"])
 
         found = self._scored(total, "fit int, g double, h double, loss double, n double", live, [[] for _ in live])
@@ -358,12 +381,13 @@ def split_gain(leaves: list[tuple[Column, Column, Column, Column]]) -> Column:
     return gain
 
 
-def fit_all(data: DataFrame, fits: list[Fit], runs: list[str], allowed: DataFrame | None = None, task: str = "classification") -> tuple[DataFrame, list[Grown]]:
-    """(trees, what is known of each ensemble). ``data`` is a table of :func:`cells` over ``runs``;
-    ``allowed`` (run, code) names the features that each run may use."""
+def fit_all(data: DataFrame, fits: list[Fit], runs: list[str], allowed: DataFrame | None = None, task: str = "classification", validate: bool = True) -> tuple[DataFrame, list[Grown]]:
+    """(trees, what is known of each ensemble). ``data`` is a table of :func:`cells` over the folds
+    ``runs``; ``allowed`` (run, code) names the features that each run may use; the test folds end
+    and cut ensembles if ``validate``."""
     trees, grown = None, []
     for at in range(0, len(fits), FITS):
-        forest = Forest(data, fits[at : at + FITS], runs, allowed, task)
+        forest = Forest(data, fits[at : at + FITS], runs, allowed, task, validate)
         part = forest.grow()
         trees = part if trees is None else trees.unionByName(part)
         grown += forest.grown
@@ -392,9 +416,18 @@ def collect_models(trees: DataFrame) -> dict[str, list[tuple]]:
     return out
 
 
-def score_rows(rows: DataFrame, models: dict[str, list[tuple]], starts: dict[str, float], task: str = "classification") -> DataFrame:
-    """(row, fit, raw, confidence, prediction) of ``rows`` (row, held) under every ensemble; confidence
-    is null for regression."""
+def _wanted(batch: pa.RecordBatch, within: tuple[dict[str, int], int] | None, names: list[str]) -> np.ndarray:
+    """Which (row, ensemble) are asked for: all, or those whose fold is the one ``within`` names."""
+    if within is None:
+        return np.ones((batch.num_rows, len(names)), bool)
+    fold = batch.column("fold")
+    return _matrix(fold, len(fold.flatten()) // max(1, len(fold)))[:, [within[0][n] for n in names]] == within[1]
+
+
+def score_rows(rows: DataFrame, models: dict[str, list[tuple]], starts: dict[str, float], task: str = "classification", within: tuple[dict[str, int], int] | None = None) -> DataFrame:
+    """(row, fit, raw, confidence, prediction) of ``rows`` (row, held) under every ensemble of
+    ``starts``; confidence is null for regression. ``within`` asks for the rows of one fold only: the
+    places of the ensembles' folds in the array ``fold``, and 1 (train) or 2 (test)."""
     names = sorted(starts)
     packed = _packed([[(c, v) for c, v, _ in models.get(n, [])] for n in names])
     base = np.array([starts[n] for n in names])
@@ -405,10 +438,10 @@ def score_rows(rows: DataFrame, models: dict[str, list[tuple]], starts: dict[str
                 batch = whole.slice(part.start, part.stop - part.start)
                 raw = np.tile(base, (batch.num_rows, 1))
                 _add_scores(raw, *_held(batch.column("held")), packed)
-                many = pa.array(np.repeat(np.arange(batch.num_rows), len(names)))
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(many), pa.array(names * batch.num_rows), pa.array(raw.ravel())], names=["row", "fit", "raw"])
+                row, fit = np.nonzero(_wanted(batch, within, names))
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(row)), pa.array(names, pa.string()).take(pa.array(fit)), pa.array(raw[row, fit])], names=["row", "fit", "raw"])
 
-    found = rows.select("row", "held").mapInArrow(score, "row string, fit string, raw double")
+    found = rows.select("row", "held", *(["fold"] if within else [])).mapInArrow(score, "row string, fit string, raw double")
     if task != "classification":
         return found.withColumns({"confidence": F.lit(None).cast("double"), "prediction": F.col("raw")})
     return found.withColumn("confidence", 1 / (1 + F.exp(-F.col("raw")))).withColumn("prediction", (F.col("raw") > 0).cast("double"))
@@ -437,10 +470,11 @@ def expected(model: list[tuple], start: float) -> float:
     return start + sum(path_changes(v, w, len(c))[0] for c, v, w in model)
 
 
-def attributions(rows: DataFrame, models: dict[str, list[tuple]]) -> DataFrame:
+def attributions(rows: DataFrame, models: dict[str, list[tuple]], within: tuple[dict[str, int], int] | None = None) -> DataFrame:
     """(row, fit, code, held, attribution): by feature, the changes of the mean at the splits along a
     row's paths; with :func:`expected` they add up to the raw score. Only features that some tree of
-    an ensemble splits on have rows, whatever the number of features."""
+    an ensemble splits on have rows, whatever the number of features; ``within`` as in
+    :func:`score_rows`."""
     plans = []
     for name, model in sorted(models.items()):
         wanted = np.unique([c for levels, _, _ in model for c in levels]).astype(np.int64)
@@ -454,6 +488,7 @@ def attributions(rows: DataFrame, models: dict[str, list[tuple]]) -> DataFrame:
                     continue
                 for part in _parts(whole.num_rows, 4 * len(wanted)):
                     batch = whole.slice(part.start, part.stop - part.start)
+                    batch = batch.filter(pa.array(_wanted(batch, within, [name])[:, 0]))
                     n = batch.num_rows
                     holds = _holds(*_held(batch.column("held")), n, wanted)
                     total = np.zeros((n, len(wanted)))
@@ -465,5 +500,5 @@ def attributions(rows: DataFrame, models: dict[str, list[tuple]]) -> DataFrame:
                     many = pa.array(np.repeat(np.arange(n), len(wanted)))
                     yield pa.RecordBatch.from_arrays([batch.column("row").take(many), pa.array([name] * len(many)), pa.array(np.tile(wanted, n).astype(np.int32)), pa.array(holds[:, : len(wanted)].ravel()), pa.array(total.ravel())], names=["row", "fit", "code", "held", "attribution"])
 
-    return rows.select("row", "held").mapInArrow(walk, "row string, fit string, code int, held boolean, attribution double")
+    return rows.select("row", "held", *(["fold"] if within else [])).mapInArrow(walk, "row string, fit string, code int, held boolean, attribution double")
 

@@ -70,6 +70,39 @@ def split_rows(rows: DataFrame, seed: int = 0, share: float = 0.8, positive: Col
     return rows.withColumn("fold", F.when(in_train(chosen), "train").otherwise("test"))
 
 
+def split_rows_runs(rows: DataFrame, runs: dict[str, int], share: float = 0.8, positive: Column | None = None, attempts: int = 10) -> DataFrame:
+    """``rows`` once for each of ``runs`` (name to seed) with ``run`` and ``fold``, the folds that
+    :func:`split_rows` gives with that seed. One aggregation tries the attempts of all runs; a row for
+    each attempt reaches the driver."""
+
+    def in_train(s: Column) -> Column:
+        return F.pmod(F.xxhash64(s, *rows.columns), F.lit(1_000_000)) / 1_000_000 < share
+
+    tries = {name: [seed * 1000 + k * 17 for k in range(attempts if positive is not None else 1)] for name, seed in runs.items()}
+    chosen = {name: seeds[0] for name, seeds in tries.items()}
+    if positive is not None:
+        every = F.explode(F.array(*[F.lit(s) for s in sorted({s for seeds in tries.values() for s in seeds})]))
+        held = rows.filter(positive).withColumn("_s", every).groupBy("_s")
+        sides = held.agg(F.bool_or(in_train(F.col("_s"))).alias("a"), F.bool_or(~in_train(F.col("_s"))).alias("b"))
+        good = {r["_s"] for r in sides.collect() if r.a and r.b}
+        chosen = {name: next((s for s in seeds if s in good), seeds[0]) for name, seeds in tries.items()}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("run"), F.lit(s).alias("seed")) for name, s in chosen.items()]))
+    return rows.withColumn("_r", each).select(*rows.columns, F.col("_r.run").alias("run"), F.when(in_train(F.col("_r.seed")), "train").otherwise("test").alias("fold"))
+
+
+def split_by_group_runs(rows: DataFrame, group: str, label: str, runs: dict[str, int], share: float = 0.8) -> DataFrame:
+    """The same with whole groups, as :func:`split_by_group` deals them; group sizes are counted once
+    for all runs."""
+    sizes = [tuple(r) for r in group_sizes(rows, group, F.col(label) > 0).collect()]
+    parts = {name: split_groups(sizes, seed, share=share) for name, seed in runs.items()}
+    dealt = [(name, g, fold) for name, sides in parts.items() if sides for fold, side in zip(("train", "test"), sides, strict=True) for g in sorted(side, key=str)]
+    kind = rows.schema[group].dataType.simpleString()
+    folds = rows.sparkSession.createDataFrame(dealt, f"run string, _g {kind}, fold string")
+    out = rows.join(F.broadcast(folds), F.col(group) == F.col("_g")).select(*rows.columns, "run", "fold")
+    lost = {name: runs[name] for name, sides in parts.items() if sides is None}
+    return out.unionByName(split_rows_runs(rows, lost, share, F.col(label) > 0)) if lost else out
+
+
 def map_groups(rows: DataFrame, groups: DataFrame, key: str, group: str = "group") -> DataFrame:
     """``rows`` with the ``group`` of their ``key``; a key without one stops the job and is named."""
     lost = F.raise_error(F.concat(F.lit(f"no {group} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))

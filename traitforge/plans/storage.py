@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -119,3 +120,45 @@ class Stages:
         """Append the report, with ``facts`` such as counts, to the folder's CSV reports."""
         rows = self.report().withColumn("facts", F.lit(json.dumps(facts or {}, sort_keys=True, default=str)))
         rows.coalesce(1).write.mode("append").option("header", True).csv(f"{self.folder}/reports")
+
+
+class RunTable:
+    """Tables of many runs in one folder, partitioned by ``keys`` (such as cut-off and run).
+
+    Each write replaces the partitions that it holds and no others. A manifest says which runs are
+    done, with which settings; it is written after their tables, so what a killed sweep left half
+    done is not read, and is written again. All runs are read in one scan, which is pruned by key.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: tuple[str, ...]):
+        self.spark, self.folder, self.keys = spark, folder.rstrip("/"), keys
+        self._entries = ", ".join(f"{k} {'int' if k == 'cut_off' else 'string'}" for k in keys)
+
+    def _manifest(self) -> DataFrame | None:
+        path = f"{self.folder}/_manifest"
+        return self.spark.read.schema(f"{self._entries}, settings string, status string, written double").parquet(path) if exists(self.spark, path) else None
+
+    def done(self) -> dict[tuple, tuple[str, str]]:
+        """(settings, status) of each run that is done, by its keys: one row a run."""
+        rows = self._manifest()
+        if rows is None:
+            return {}
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct("settings", "status"), "written").alias("m"))
+        return {tuple(r[k] for k in self.keys): tuple(r.m) for r in last.collect()}
+
+    def write(self, name: str, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.keys).parquet(f"{self.folder}/{name}")
+
+    def record(self, entries: list[tuple]) -> None:
+        """Rows (keys, settings, status); ``made`` ones are read from now on."""
+        rows = self.spark.createDataFrame([(*e, time.time()) for e in entries], f"{self._entries}, settings string, status string, written double")
+        rows.coalesce(1).write.mode("append").parquet(f"{self.folder}/_manifest")
+
+    def read(self, name: str, schema: str) -> DataFrame:
+        """The rows of all runs whose last state is ``made``; ``schema`` is that of the other columns."""
+        whole = T._parse_datatype_string(f"{schema}, {self._entries}")
+        path, made = f"{self.folder}/{name}", [k for k, (_, status) in self.done().items() if status == "made"]
+        if not made or not exists(self.spark, path):
+            return self.spark.createDataFrame([], whole)
+        rows = self.spark.read.schema(whole).parquet(path)
+        return rows.join(F.broadcast(self.spark.createDataFrame(made, self._entries)), list(self.keys), "left_semi").select(*whole.names)

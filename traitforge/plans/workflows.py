@@ -6,6 +6,7 @@ run with the same settings reads what is there and makes what is missing (see ``
 
 from __future__ import annotations
 
+import time
 import warnings
 from dataclasses import asdict, dataclass, field
 
@@ -14,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import family_of_label, kmer_of_label
-from ..operators import annotate, cluster, coverage, evaluate, merge, model, presence, select, sequence, split
+from ..operators import annotate, boosting, cluster, coverage, evaluate, merge, model, presence, select, sequence, split
+from . import sweeps
 from .storage import Stages, exists
 
 METHODS = ("rfe", "shap_rfe", "shap", "select_k_best", "chi_squared", "lasso")
@@ -37,8 +39,16 @@ class Config:
     runs_selection: int = 25
     runs_modelling: int = 50
     cutoffs: tuple[int, ...] = tuple(range(3, 51, 2))
+    #: ``random`` rows, whole strains (``group``), or whole clusters of strains (``cluster``).
     split: str = "random"
+    #: How a cluster split finds them: ``hierarchical`` (Ward) or ``hdbscan``; clusters of the first.
+    cluster_method: str = "hierarchical"
     group_clusters: int = 20
+    #: Least size of a cluster of the second, and features must occur in so many clusters (0: any).
+    least_cluster: int = 5
+    least_presence: int = 0
+    #: Keep the attributions of modelling runs on their training rows.
+    attributions: bool = True
     use_weights: bool = False
     weights_method: str = "inverse_frequency"
     threshold: float = 0.001
@@ -58,8 +68,10 @@ class Config:
             raise ValueError(f"unknown selection method {self.method!r}; there are {', '.join(METHODS)}")
         if self.task == "regression" and self.method == "chi_squared":
             raise ValueError("chi_squared needs classes")
-        if self.split not in ("random", "group"):
+        if self.split not in ("random", "group", "cluster"):
             raise ValueError(f"unknown split {self.split!r}")
+        if self.cluster_method not in ("hierarchical", "hdbscan"):
+            raise ValueError(f"unknown cluster method {self.cluster_method!r}")
 
 
 def _identity(c: Config) -> dict:
@@ -140,12 +152,6 @@ def wide_table(rows: DataFrame, present: DataFrame, features: list[str]) -> Data
     return presence.wide(wanted, "row", "feature", features, rows).join(rows, "row")
 
 
-def _fold(rows: DataFrame, c: Config, seed: int) -> DataFrame:
-    if c.split == "group" and c.strain in rows.columns:
-        return split.split_by_group(rows, c.strain, c.phenotype, seed)
-    return split.split_rows(rows, seed, positive=F.col(c.phenotype) > 0 if c.task == "classification" else None)
-
-
 def _one_class(rows: DataFrame, c: Config) -> bool:
     """Whether there is nothing to tell apart: no rows, or classes of one kind only."""
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(c.phenotype) > 0).alias("p")).first()
@@ -156,10 +162,28 @@ def _settings(c: Config, seed: int) -> model.Settings:
     return model.Settings(task=c.task, label=c.phenotype, weight="weight" if c.use_weights else None, seed=seed, grid=c.grid, threads=c.threads)
 
 
-def select_run(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seed: int) -> list[str]:
+TREE_METHODS = ("rfe", "shap_rfe", "shap")
+
+
+def select_runs(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seeds: list[int], groups: DataFrame | None = None) -> tuple[DataFrame, sweeps.Table | None]:
+    """(run, feature) that trees select in all runs at once, and the table of cells that they were
+    grown on. Runs whose training rows are of one class have none."""
+    examples = sweeps.materialize(sweeps.run_folds(rows, c, seeds, groups), "examples")
+    runs = sorted(sweeps.usable_runs(examples, c, both=False), key=lambda r: int(r[4:]))
+    if not runs:
+        return rows.sparkSession.createDataFrame([], "run string, feature string"), None
+    table = sweeps.Table(examples.filter(F.col("run").isin(runs)), present, c.phenotype, runs)
+    kept = sweeps.select_by_trees(table, runs, boosting.common_codes(table.data, runs), wanted, c)
+    return sweeps.with_names(kept, table.codes).select("run", "feature"), table
+
+
+def select_run(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seed: int, groups: DataFrame | None = None) -> list[str]:
     """One run's selected features, from its training rows, of those that both folds have; none if
     the training rows are of one class."""
-    folded = _fold(rows, c, seed)
+    if c.method in TREE_METHODS and c.prefilter is None:
+        found, _ = select_runs(rows, present, c, wanted, [seed], groups)
+        return sorted(r.feature for r in found.collect())
+    folded = sweeps.run_folds(rows, c, [seed], groups).drop("run", "weight")
     train, test = folded.filter("fold = 'train'"), folded.filter("fold = 'test'")
     if _one_class(train, c):
         return []
@@ -178,30 +202,18 @@ def select_run(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seed
         names = sorted(r.feature for r in both.collect())  # the columns of a model
     if not names:
         return []
-    spark = rows.sparkSession
-    table = held_table(train.drop("fold"), trained, spark.createDataFrame([(f,) for f in names], "feature string"))
+    named = rows.sparkSession.createDataFrame([(f,) for f in names], "feature string")
+    if c.method in TREE_METHODS:
+        found, _ = select_runs(rows, present.join(named, "feature", "left_semi"), c, wanted, [seed], groups)
+        return sorted(r.feature for r in found.collect())
+    table = held_table(train.drop("fold"), trained, named)
     table, s = _weighed(table, c).persist(), _settings(c, seed)
     try:
-        if c.method == "lasso":
-            return model.lasso(table, names, wanted, s)
-        if c.method == "shap":
-            return sorted(model.ranked_features(model.fit(table, names, s, c.eliminate_iterations, 0.1, 4), table, names, "row")[:wanted])
-        return model.eliminate(table, names, wanted, s, c.eliminate_iterations, row_id="row" if c.method == "shap_rfe" else None)
+        return model.lasso(table, names, wanted, s)
     finally:
         table.unpersist()
 
 
-def fit_run(rows: DataFrame, present: DataFrame, c: Config, names: list[str], seed: int) -> tuple:
-    """(model, grid metrics, predictions) of one run's grid on ``names``; the model is None if no
-    configuration is worth keeping, or if a fold has one class only."""
-    table = _weighed(held_table(rows, present, rows.sparkSession.createDataFrame([(f,) for f in names], "feature string")), c)
-    folded = _fold(table, c, seed)
-    train, test = (folded.filter(F.col("fold") == f).drop("fold") for f in ("train", "test"))
-    if not names or _one_class(train, c) or _one_class(test, c):
-        return None, [], None
-    return model.grid_search(train, test, names, _settings(c, seed))
-
-
 def _weighed(table: DataFrame, c: Config) -> DataFrame:
     if not c.use_weights:
         return table
@@ -209,71 +221,150 @@ def _weighed(table: DataFrame, c: Config) -> DataFrame:
     return split.row_weights(table, split.class_weights(table, group, c.phenotype, c.weights_method), group, c.phenotype)
 
 
-IMPORTANCES = "run string, feature string, importance double"
+def _run_label(kind: str):
+    return lambda key: f"{kind}/run={key[-1][4:]}" if len(key) == 1 else f"{kind}/cutoff_{key[0]}/{key[1]}"
 
 
-def selection(stages: Stages, rows: DataFrame, present: DataFrame, c: Config) -> DataFrame:
+def selection(stages: Stages, rows: DataFrame, present: DataFrame, c: Config, groups: DataFrame | None = None) -> DataFrame:
     """(cut_off, feature): features by the number of runs that selected them. Each run's grid is
-    fitted too, and the importances of its best model kept under ``selection_importances``."""
+    fitted too, and the importances of its best model kept under ``selection_importances``.
+
+    Selection by trees and the grids grow all runs together; the closed forms and L1 models take a
+    few jobs a run.
+    """
     spark = rows.sparkSession
     n = rows.count()
     wanted = c.num_features or merge.selected_features_per_run(n)
-    runs = None
-    for seed in range(c.runs_selection):
-
-        def pick(seed=seed) -> DataFrame:
-            found = select_run(rows, present, c, wanted, seed)
-            if not found:
-                stages.skipped(f"selection/run={seed}", "one class or no common features")
-            return spark.createDataFrame([(f"run_{seed}", f) for f in found], "run string, feature string")
-
-        def weigh(seed=seed) -> DataFrame:
-            names = sorted(r.feature for r in part.collect())
-            best, _, _ = fit_run(rows, present, c, names, seed)
-            return spark.createDataFrame([(f"run_{seed}", f, float(v)) for f, v in model.importances(best, names)] if best is not None else [], IMPORTANCES)
-
-        part = stages.run(f"selection/run={seed}", pick, {**_identity(c), "wanted": wanted})
-        if c.score_selection:
-            stages.run(f"selection_importances/run={seed}", weigh, {**_identity(c), "wanted": wanted})
-        runs = part if runs is None else runs.unionByName(part)
+    sweep = sweeps.Sweep(stages, "selection", ("run",), {None: {**_identity(c), "wanted": wanted}})
+    label = _run_label("selection")
+    todo = [int(run[4:]) for (run,) in sweep.open([(f"run_{s}",) for s in range(c.runs_selection)], label)]
+    began = time.monotonic()
+    if todo and c.method in TREE_METHODS and c.prefilter is None:
+        found, _ = select_runs(rows, present, c, wanted, todo, groups)
+        _selected(sweep, found, todo, label, began)
+    else:
+        for seed in todo:
+            names = select_run(rows, present, c, wanted, seed, groups)
+            _selected(sweep, spark.createDataFrame([(f"run_{seed}", f) for f in names], "run string, feature string"), [seed], label, began)
+    runs = sweep.table.read("features", "feature string")
+    if c.score_selection:
+        _selection_importances(stages, rows, present, runs, c, wanted, groups)
     occurrence = merge.occurrences(runs)
     return stages.run("cutoff_tables", lambda: merge.cutoff_tables(occurrence, list(c.cutoffs), n), {"cutoffs": c.cutoffs})
 
 
-def modelling(stages: Stages, rows: DataFrame, present: DataFrame, tables: DataFrame, c: Config) -> dict[str, DataFrame]:
-    """Models, predictions and importances of every cut-off and run, and their evaluation."""
+def _selected(sweep: sweeps.Sweep, found: DataFrame, seeds: list[int], label, began: float) -> None:
+    found = sweeps.materialize(found, "selected")
+    sweep.table.write("features", found)
+    with_some = {r.run for r in found.select("run").distinct().collect()}
+    for seed in seeds:
+        if f"run_{seed}" not in with_some:
+            sweep.stages.skipped(f"selection/run={seed}", "one class or no common features")
+    sweep.record({(f"run_{s}",): "made" if f"run_{s}" in with_some else "skipped" for s in seeds}, label, time.monotonic() - began)
+
+
+def _selection_importances(stages: Stages, rows: DataFrame, present: DataFrame, runs: DataFrame, c: Config, wanted: int, groups: DataFrame | None) -> None:
+    sweep = sweeps.Sweep(stages, "selection_importances", ("run",), {None: {**_identity(c), "wanted": wanted}})
+    label = _run_label("selection_importances")
+    for batch in sweeps._batches(sweep.open([(f"run_{s}",) for s in range(c.runs_selection)], label), c):
+        began = time.monotonic()
+        names = [run for (run,) in batch]
+        found, table = _grids(rows, present, runs.filter(F.col("run").isin(names)), {r: r for r in names}, c, groups)
+        trees = sweeps.best_trees(found) if found else None
+        if trees is not None:
+            shares = sweeps.with_names(boosting.feature_gains(trees), table.codes)
+            sweep.table.write("importances", shares.select(F.col("fit").alias("run"), "feature", "importance"))
+        kept = found["best"] if found else {}
+        sweep.record({(r,): "made" if r in kept else "skipped" for r in names}, label, time.monotonic() - began)
+
+
+def _grids(rows: DataFrame, present: DataFrame, features: DataFrame, ensembles: dict[str, str], c: Config, groups: DataFrame | None) -> tuple[dict | None, sweeps.Table | None]:
+    """The grids of ``ensembles`` (name to its run) on ``features`` (run: the ensemble's name, feature), of those
+    runs that have several classes on both sides; None if none has."""
+    seeds = sorted({int(run[4:]) for run in ensembles.values()})
+    examples = sweeps.materialize(sweeps.run_folds(rows, c, seeds, groups), "examples")
+    usable = sweeps.usable_runs(examples, c, both=True)
+    kept = {name: run for name, run in ensembles.items() if run in usable}
+    if not kept:
+        return None, None
+    runs = sorted(usable, key=lambda r: int(r[4:]))
+    asked = present.join(features.select("feature").distinct(), "feature", "left_semi")
+    table = sweeps.Table(examples.filter(F.col("run").isin(runs)), asked, c.phenotype, runs)
+    return sweeps.fit_grids(table, kept, sweeps.materialize(table.coded(features), "allowed"), c), table
+
+
+def modelling(stages: Stages, rows: DataFrame, present: DataFrame, tables: DataFrame, c: Config, groups: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Models, predictions, importances and attributions of every cut-off and run, and their
+    evaluation. All cut-offs and runs of a batch grow together; each table is read in one scan."""
     spark = rows.sparkSession
     keys = [k for k in (c.strain, c.phage) if k in rows.columns]
-    named = ", ".join(f"{k} string" for k in ["row", *keys])
-    cutoffs = sorted(r.cut_off for r in tables.select("cut_off").distinct().collect())
-    predicted = weighed = None
-    for cut in cutoffs:
-        names = sorted(r.feature for r in tables.filter(F.col("cut_off") == cut).select("feature").collect())
-        for seed in range(c.runs_modelling):
-            base, run = f"cutoff_{cut}/run_{seed}", f"run_{seed}"
-
-            def make(names=names, seed=seed, cut=cut, base=base, run=run) -> DataFrame:
-                best, _, scored = fit_run(rows, present, c, names, seed)
-                if best is None:
-                    stages.skipped(f"predictions/{base}", "one class or no model worth keeping")
-                    ranked: list = []
-                    out = spark.createDataFrame([], f"{named}, label double, prediction double, confidence double, cut_off int, run string")
-                else:
-                    best.write().overwrite().save(f"{stages.folder}/models/{base}")
-                    ranked = model.importances(best, names)
-                    confidence = F.col("confidence") if c.task == "classification" else F.lit(None).cast("double")
-                    out = scored.select("row", *keys, F.col(c.phenotype).alias("label"), F.col("prediction").cast("double").alias("prediction"), confidence.alias("confidence"), F.lit(cut).alias("cut_off"), F.lit(run).alias("run"))
-                spark.createDataFrame([(cut, run, f, float(v)) for f, v in ranked], f"cut_off int, {IMPORTANCES}").write.mode("overwrite").parquet(f"{stages.folder}/importances/{base}")
-                return out
-
-            part = stages.run(f"predictions/{base}", make, {**_identity(c), "features": names})
-            predicted = part if predicted is None else predicted.unionByName(part)
-            more = spark.read.schema(f"cut_off int, {IMPORTANCES}").parquet(f"{stages.folder}/importances/{base}")
-            weighed = more if weighed is None else weighed.unionByName(more)
-    if predicted is None:
+    names: dict[int, list[str]] = {}
+    for r in tables.select("cut_off", "feature").distinct().collect():  # a few thousand names
+        names.setdefault(r.cut_off, []).append(r.feature)
+    if not names:
         raise ValueError("no cut-off left a table of features to model")
+    every = [(cut, f"run_{seed}") for cut in sorted(names) for seed in range(c.runs_modelling)]
+    settings = {cut: {**_identity(c), "features": sorted(own)} for cut, own in names.items()}
+    sweep = sweeps.Sweep(stages, "models", ("cut_off", "run"), {key: settings[key[0]] for key in every})
+    label = _run_label("predictions")
+    for batch in sweeps._batches(sweep.open(every, label), c):
+        began = time.monotonic()
+        kept = _model_batch(sweep.table, rows, present, batch, names, keys, c, groups)
+        for key in batch:
+            if key not in kept:
+                stages.skipped(label(key), "one class or no model worth keeping")
+        sweep.record({key: "made" if key in kept else "skipped" for key in batch}, label, time.monotonic() - began)
+    named = "".join(f", {k} string" for k in keys)
+    predicted = sweep.table.read("predictions", f"row string{named}, label double, prediction double, confidence double")
     metrics = stages.run("metrics", lambda: evaluate_predictions(predicted, c), _identity(c))
-    return {"predictions": predicted, "metrics": metrics, "importances": weighed}
+    out = {"predictions": predicted, "metrics": metrics, "importances": sweep.table.read("importances", sweeps.IMPORTANCES)}
+    if c.attributions:
+        shares = sweep.table.read("attributions", sweeps.ATTRIBUTIONS)
+        out["attributions"] = shares
+        out["attribution_medians"] = stages.run("attribution_medians", lambda: median_attributions(shares), _identity(c))
+    return out
+
+
+def median_attributions(shares: DataFrame) -> DataFrame:
+    """(cut_off, run, feature, value, median) of all runs' attributions."""
+    keyed = shares.withColumn("_run", F.to_json(F.struct("cut_off", "run")))
+    rolled = evaluate.median_by_run(keyed, "_run", "feature", "value", "attribution")
+    own = F.from_json("_run", "cut_off int, run string")
+    return rolled.select(own["cut_off"].alias("cut_off"), own["run"].alias("run"), "feature", "value", "median")
+
+
+def _model_batch(table: sweeps.RunTable, rows: DataFrame, present: DataFrame, batch: list[tuple], names: dict[int, list[str]], keys: list[str], c: Config, groups: DataFrame | None) -> set[tuple]:
+    """Write the results of the runs of ``batch``; gives those that have a model worth keeping."""
+    spark = rows.sparkSession
+    key_of = {f"{cut}|{run}": (cut, run) for cut, run in batch}
+    features = spark.createDataFrame([(name, f) for name, (cut, _) in key_of.items() for f in names[cut]], "run string, feature string")
+    found, cells = _grids(rows, present, features, {name: run for name, (_, run) in key_of.items()}, c, groups)
+    trees = sweeps.best_trees(found) if found else None
+    if trees is None:
+        return set()
+    best, codes = found["best"], cells.codes
+    trees = sweeps.materialize(trees, "best-trees")
+    own = F.split("fit", r"\|")
+    keyed = lambda df: df.withColumns({"cut_off": own[0].cast("int"), "run": own[1]}).drop("fit")
+    chosen = spark.createDataFrame([(full, name) for name, (full, _, _) in best.items()], "fit string, name string")
+    scored = found["scored"].join(F.broadcast(chosen), "fit").select("row", F.col("name").alias("fit"), "label", "prediction", "confidence")
+    table.write("predictions", keyed(scored.join(rows.select("row", *keys).distinct(), "row").select("row", *keys, "label", "prediction", "confidence", "fit")))
+    table.write("importances", keyed(sweeps.with_names(boosting.feature_gains(trees), codes)))
+    placed = trees.select("fit", "tree", "leaves", "covers", F.posexplode("codes").alias("level", "code"))
+    named = sweeps.with_names(placed, codes).groupBy("fit", "tree", "leaves", "covers").agg(F.sort_array(F.collect_list(F.struct("level", "feature"))).alias("s"))
+    table.write("trees", keyed(named.select("fit", "tree", F.col("s.feature").alias("features"), "leaves", "covers")))
+    facts = [(name, float(g.start), iterations, g.fit.rate, g.fit.depth, sorted(names[key_of[name][0]])) for name, (_, g, iterations) in best.items()]
+    table.write("ensembles", keyed(spark.createDataFrame(facts, f"fit string, {sweeps.ENSEMBLES}")))
+    if c.attributions:
+        within = {name: key_of[name][1] for name in best}
+
+        def share(part: list[str]) -> DataFrame:
+            models = boosting.collect_models(trees.filter(F.col("fit").isin(part)))
+            return boosting.attributions(cells.data, models, cells.within({n: within[n] for n in models}, 1))
+
+        shares = sweeps.with_names(sweeps._in_parts(sorted(best), share), codes)
+        table.write("attributions", keyed(shares.select("row", "feature", F.col("held").cast("double").alias("value"), "attribution", "fit")))
+    return {key_of[name] for name in best}
 
 
 def evaluate_predictions(predictions: DataFrame, c: Config) -> DataFrame:
@@ -408,32 +499,64 @@ def predict(spark: SparkSession, models: str, cut_off: int, strains: DataFrame,
     present = row_features(rows, strains, phages, c)
     if known is None:
         known = present.select("feature")
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{models}/cutoff_{cut_off}")
+    found = sweeps.read_models(spark, models, cut_off)
+    out = None if found is None else _predict_runs(rows, present, known, *found, keys, c)
+    older = _predict_pipelines(spark, f"{models}/cutoff_{cut_off}", rows, present, known, keys, c)
+    if older is not None:
+        out = older if out is None else out.unionByName(older)
+    if out is None:
+        raise ValueError(f"no models under {models} for cut-off {cut_off}")
+    if c.task == "classification":
+        return out, evaluate.ensemble(out, keys)
+    return out, out.groupBy(*keys).agg(F.avg("prediction").alias("prediction"))
+
+
+def _require_known(spark: SparkSession, known: DataFrame, names: list[str]) -> None:
+    asked = spark.createDataFrame([(f,) for f in names], "feature string")
+    lacking = sorted(r.feature for r in asked.join(known, "feature", "left_anti").collect())
+    if lacking:
+        merge.require_features(set(names) - set(lacking), names)
+
+
+def _predict_runs(rows: DataFrame, present: DataFrame, known: DataFrame, trees: DataFrame, ensembles: DataFrame, keys: list[str], c: Config) -> DataFrame:
+    """Predictions of all runs of a table of models, in one plan."""
+    spark = rows.sparkSession
+    facts = {r.run: r for r in ensembles.collect()}  # one row a run
+    _require_known(spark, known, sorted({f for r in facts.values() for f in r.features}))
+    used = sorted(r.feature for r in trees.select(F.explode("features").alias("feature")).distinct().collect())
+    code = {f: i for i, f in enumerate(used)}
+    codes = spark.createDataFrame(list(code.items()), "feature string, code int")
+    held = present.join(codes, "feature").groupBy("row").agg(F.collect_set("code").alias("held"))
+    cells = rows.select("row").join(held, "row", "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
+
+    def score(runs: list[str]) -> DataFrame:
+        named = trees.filter(F.col("run").isin(runs)).select(F.col("run").alias("fit"), "tree", F.col("features").alias("codes"), "leaves", "covers")
+        models = {run: [([code[f] for f in fs], v, w) for fs, v, w in own] for run, own in boosting.collect_models(named).items()}
+        return boosting.score_rows(cells, models, {r: facts[r].start for r in runs}, c.task)
+
+    scored = sweeps._in_parts(sorted(facts), score)
+    return scored.join(rows.select("row", *keys), "row").select("row", *keys, "confidence", "prediction", F.col("fit").alias("run"))
+
+
+def _predict_pipelines(spark: SparkSession, folder: str, rows: DataFrame, present: DataFrame, known: DataFrame, keys: list[str], c: Config) -> DataFrame | None:
+    """Predictions of fitted pipelines that stand in a folder each; broken ones are skipped."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        raise ValueError(f"no models under {models}/cutoff_{cut_off}")
-    out = table = None
-    for status in sorted(fs.listStatus(root), key=lambda s: s.getPath().getName()):
+    out = None
+    for status in sorted(fs.listStatus(root), key=lambda s: s.getPath().getName()) if fs.exists(root) else []:
         run = status.getPath().getName()
         try:
-            found = PipelineModel.load(str(status.getPath()))
+            fitted = PipelineModel.load(str(status.getPath()))
         except Exception as e:  # whatever a broken folder makes the reader raise
-            warnings.warn(f"model {run} skipped: {e}", stacklevel=2)
+            warnings.warn(f"model {run} skipped: {e}", stacklevel=3)
             continue
-        names = model.names_of(found)
-        asked = spark.createDataFrame([(f,) for f in names], "feature string")
-        lacking = sorted(r.feature for r in asked.join(known, "feature", "left_anti").collect())
-        if lacking:
-            merge.require_features(set(names) - set(lacking), names)
-        table = held_table(rows, present, asked)
-        part = model.score(found, table, c.task)
+        names = model.names_of(fitted)
+        _require_known(spark, known, names)
+        table = held_table(rows, present, spark.createDataFrame([(f,) for f in names], "feature string"))
+        part = model.score(fitted, table, c.task)
         part = part.select("row", *keys, F.col("confidence") if c.task == "classification" else F.lit(None).cast("double").alias("confidence"), "prediction", F.lit(run).alias("run"))
         out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise ValueError(f"no models under {models}/cutoff_{cut_off}")
-    if c.task == "classification":
-        return out, evaluate.ensemble(out, keys)
-    return out, out.groupBy(*keys).agg(F.avg("prediction").alias("prediction"))
+    return out
 
 
 def known_features(spark: SparkSession, folder: str) -> DataFrame | None:
