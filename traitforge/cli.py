@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--suffix", default="faa")
         p.add_argument("--force", action="store_true")
         p.add_argument("--cut_off", type=int)
-        for option, kind in (("strain", str), ("phage", str), ("phenotype", str), ("task", str), ("method", str), ("k", int), ("num_features", int), ("runs_selection", int), ("runs_modelling", int), ("split", str), ("weights_method", str), ("threshold", float), ("least_identity", float), ("coverage", float), ("prefilter", int), ("threads", int)):
+        for option, kind in (("strain", str), ("phage", str), ("phenotype", str), ("task", str), ("method", str), ("k", int), ("num_features", int), ("runs_selection", int), ("runs_modelling", int), ("split", str), ("cluster_method", str), ("group_clusters", int), ("least_cluster", int), ("least_presence", int), ("weights_method", str), ("threshold", float), ("least_identity", float), ("coverage", float), ("prefilter", int), ("threads", int)):
             p.add_argument(f"--{option}", type=kind)
         p.add_argument("--one_gene", action="store_true", default=None)
         p.add_argument("--use_weights", action="store_true", default=None)
@@ -78,9 +78,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif name in ("select-features", "train", "select-and-train"):
         stages = W.Stages(spark, out, args.force)
         rows, present = (spark.read.parquet(f"{args.input}/{t}") for t in ("rows", "row_features"))
-        tables = spark.read.parquet(f"{args.input}/cutoff_tables") if name == "train" else W.selection(stages, rows, present, c)
+        groups = W.strain_groups(stages, spark.read.parquet(f"{args.input}/strain_assignments"), c) if c.split == "cluster" else None
+        present = W.widespread(rows, present, groups, c)
+        tables = spark.read.parquet(f"{args.input}/cutoff_tables") if name == "train" else W.selection(stages, rows, present, c, groups)
         if name != "select-features":
-            files.write_table(W.modelling(stages, rows, present, tables, c)["metrics"], f"{out}/metrics_csv")
+            files.write_table(W.modelling(stages, rows, present, tables, c, groups)["metrics"], f"{out}/metrics_csv")
         stages.write_report({"command": name})
     elif name == "annotate":
         selected = files.read_annotations(spark, args.feature_file_path).select("feature")

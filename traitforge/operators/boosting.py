@@ -278,18 +278,19 @@ class Forest:
         run = self.spark.createDataFrame([(k, self.fits[k].run) for k in live], "fit int, run string")
         return sums.join(F.broadcast(run), "fit").join(self.allowed.select("run", "code"), ["run", "code"], "left_semi").drop("run")
 
-    def best_splits(self, live: list[int], levels: list[list[int]], known: list[list[tuple[float, float]]]) -> dict[int, tuple]:
-        """For each live fit (gain, code, sums of the leaves that hold it): the best split of the next
-        level, one row a fit; ``known`` are the sums of the leaves there are."""
-        totals = [(fit, [g for g, _ in own], [h for _, h in own]) for fit, own in zip(live, known, strict=True)]
+    def gains(self, live: list[int], levels: list[list[int]], known: list[list[tuple[float, float]]]) -> DataFrame:
+        """(fit, code, gain, sums): for each live fit and feature the gain of a split of the next level, and
+        the sums of the rows in each leaf that hold it; ``known`` are the sums of the leaves there are."""
         width = 1 << max(len(c) for c in levels)
-        padded = [(f, g + [0.0] * (width - len(g)), h + [0.0] * (width - len(h))) for f, g, h in totals]
+        padded = [(fit, [g for g, _ in own] + [0.0] * (width - len(own)), [h for _, h in own] + [0.0] * (width - len(own))) for fit, own in zip(live, known, strict=True)]
         all_sums = self.spark.createDataFrame(padded, "fit int, all_g array<double>, all_h array<double>")
         found = self.histogram(live, levels).join(F.broadcast(all_sums), "fit")
         gain = split_gain([(F.col(f"g{k}"), F.col(f"h{k}"), F.col("all_g")[k], F.col("all_h")[k]) for k in range(width)])
-        sums = F.array(*[F.array(f"g{k}", f"h{k}") for k in range(width)])
-        ranked = found.select("fit", "code", F.round(gain, 9).alias("gain"), sums.alias("sums"))
-        best = ranked.groupBy("fit").agg(F.max_by(F.struct("gain", "code", "sums"), F.struct(F.col("gain"), -F.col("code"))).alias("b"))
+        return found.select("fit", "code", F.round(gain, 9).alias("gain"), F.array(*[F.array(f"g{k}", f"h{k}") for k in range(width)]).alias("sums"))
+
+    def best_splits(self, live: list[int], levels: list[list[int]], known: list[list[tuple[float, float]]]) -> dict[int, tuple]:
+        """For each live fit (gain, code, sums of the leaves that hold it) of the best split, one row a fit."""
+        best = self.gains(live, levels, known).groupBy("fit").agg(F.max_by(F.struct("gain", "code", "sums"), F.struct(F.col("gain"), -F.col("code"))).alias("b"))
         return {r.fit: (r.b.gain, r.b.code, [tuple(s) for s in r.b.sums]) for r in best.collect()}
 
     def grow_round(self) -> bool:

@@ -30,7 +30,9 @@ def run_folds(rows: DataFrame, c, seeds: list[int], groups: DataFrame | None = N
     if c.split == "cluster":
         if groups is None:
             raise ValueError("a split by clusters needs the clusters of strains")
-        grouped = split.map_groups(rows, groups, c.strain)
+        # A strain without features is a cluster of its own; map_groups stops the job for any other.
+        lone = rows.select(c.strain).distinct().join(groups, c.strain, "left_anti").select(c.strain, F.col(c.strain).alias("group"))
+        grouped = split.map_groups(rows, groups.select(c.strain, F.col("group").cast("string")).unionByName(lone), c.strain)
         folded = split.split_by_group_runs(grouped, "group", c.phenotype, runs).drop("group")
     elif c.split == "group" and c.strain in rows.columns:
         folded = split.split_by_group_runs(rows, c.strain, c.phenotype, runs)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import family_of_label, kmer_of_label
-from ..operators import annotate, boosting, cluster, coverage, evaluate, merge, model, presence, select, sequence, split
+from ..operators import annotate, boosting, cluster, coverage, evaluate, hierarchy, merge, model, presence, select, sequence, split
 from . import sweeps
 from .storage import Stages, exists
 
@@ -221,6 +221,32 @@ def _weighed(table: DataFrame, c: Config) -> DataFrame:
     return split.row_weights(table, split.class_weights(table, group, c.phenotype, c.weights_method), group, c.phenotype)
 
 
+def strain_groups(stages: Stages, assigned: DataFrame, c: Config) -> DataFrame | None:
+    """(strain, group): the clusters of strains by their features (genome, feature) that a cluster
+    split keeps whole; None for other splits."""
+    if c.split != "cluster":
+        return None
+
+    def make() -> DataFrame:
+        vectors, names = hierarchy.presence_vectors(assigned, "genome", "feature")
+        if c.cluster_method == "hdbscan":
+            found = hierarchy.hdbscan_groups(vectors, names, "genome", c.least_cluster)
+        else:
+            found = hierarchy.ward_groups(vectors, names, "genome", max(1, min(c.group_clusters, names.count() - 1)))
+        return found.withColumnRenamed("genome", c.strain)
+
+    return stages.run("strain_groups", make, {"method": c.cluster_method, "clusters": c.group_clusters, "least": c.least_cluster})
+
+
+def widespread(rows: DataFrame, present: DataFrame, groups: DataFrame | None, c: Config) -> DataFrame:
+    """``present`` without the features that occur in fewer than ``least_presence`` clusters of strains."""
+    if groups is None or c.least_presence < 1:
+        return present
+    held = present.join(rows.select("row", F.col(c.strain).alias("genome")), "row").select("genome", F.col("feature").alias("cluster")).distinct()
+    kept = cluster.filter_by_groups(held, groups.withColumnRenamed(c.strain, "genome"), c.least_presence)
+    return present.join(kept.select(F.col("cluster").alias("feature")).distinct(), "feature", "left_semi")
+
+
 def _run_label(kind: str):
     return lambda key: f"{kind}/run={key[-1][4:]}" if len(key) == 1 else f"{kind}/cutoff_{key[0]}/{key[1]}"
 
@@ -400,9 +426,11 @@ def feature_table(spark: SparkSession, folder: str, strains: DataFrame, phenotyp
 def protein_family_workflow(spark: SparkSession, folder: str, strains: DataFrame, phenotypes: DataFrame, c: Config, phages: DataFrame | None = None, force: bool = False) -> dict:
     """From proteins and phenotypes to models, metrics, and the proteins behind the best features."""
     made = feature_table(spark, folder, strains, phenotypes, c, phages, force)
-    stages, rows, present = made["stages"], made["rows"], made["present"]
-    tables = selection(stages, rows, present, c)
-    out = modelling(stages, rows, present, tables, c)
+    stages, rows = made["stages"], made["rows"]
+    groups = strain_groups(stages, made["strain"], c)
+    present = widespread(rows, made["present"], groups, c)
+    tables = selection(stages, rows, present, c, groups)
+    out = modelling(stages, rows, present, tables, c, groups)
     best = best_cutoff(out["metrics"], c)
     families = spark.read.parquet(f"{folder}/strain_families")
     proteins = stages.run("predictive_proteins", lambda: annotate.predictive_proteins(tables.filter(F.col("cut_off") == best), made["maps"], families))
@@ -416,8 +444,10 @@ def kmer_workflow(spark: SparkSession, folder: str, strains: DataFrame, phenotyp
     p_features = kmer_features(stages, phages, c, "phage")[2] if phages is not None else None
     rows = stages.run("rows", lambda: phenotype_rows(phenotypes, c), _identity(c))
     present = stages.run("row_features", lambda: require_rows(row_features(rows, s_features, p_features, c), "phenotype rows with features"), _identity(c))
-    tables = selection(stages, rows, present, c)
-    out = modelling(stages, rows, present, tables, c)
+    groups = strain_groups(stages, s_features, c)
+    present = widespread(rows, present, groups, c)
+    tables = selection(stages, rows, present, c, groups)
+    out = modelling(stages, rows, present, tables, c, groups)
     return {**out, "stages": stages, "rows": rows, "present": present, "maps": s_map, "tables": tables, "best_cutoff": best_cutoff(out["metrics"], c)}
 
 

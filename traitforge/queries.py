@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, sequences
-from .operators import annotate, cluster, coverage, evaluate, merge, model, presence, select, sequence, split
+from .operators import annotate, boosting, cluster, coverage, evaluate, hierarchy, merge, model, presence, select, sequence, split
 from .plans.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -586,8 +586,35 @@ def family_clusters(spark, d):
     return cluster.protein_families(names, k=4, least_identity=0.6, coverage=0.5)
 
 
-@query()
+@query("""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), size AS (SELECT count(*) AS n FROM v),
+s AS (
+  SELECT 0 AS step, x.vec_id AS a, y.vec_id AS b, round(list_sum(list_transform(list_zip(x.e, y.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 9) AS d, 1 AS na, 1 AS nb FROM v x JOIN v y ON x.vec_id < y.vec_id
+  UNION ALL
+  (WITH least_d AS (SELECT min(d) AS d FROM s), m AS (SELECT s.* FROM s JOIN least_d USING (d) ORDER BY a, b LIMIT 1),
+  near AS (
+    SELECT m.step, m.a, m.na + m.nb AS n, CASE WHEN s.a IN (m.a, m.b) THEN s.b ELSE s.a END AS other, any_value(CASE WHEN s.a IN (m.a, m.b) THEN s.nb ELSE s.na END) AS nk, sum((CASE WHEN s.a IN (m.a, m.b) THEN s.na ELSE s.nb END + CASE WHEN s.a IN (m.a, m.b) THEN s.nb ELSE s.na END) * s.d) AS w, m.d
+    FROM s, m WHERE (s.a IN (m.a, m.b)) <> (s.b IN (m.a, m.b)) GROUP BY ALL)
+  SELECT s.step + 1, s.a, s.b, s.d, s.na, s.nb FROM s, m, size WHERE s.a NOT IN (m.a, m.b) AND s.b NOT IN (m.a, m.b) AND s.step < size.n - 11
+  UNION ALL
+  SELECT step + 1, least(a, other), greatest(a, other), round((w - nk * d) / (near.n + nk), 9), CASE WHEN a < other THEN near.n ELSE nk END, CASE WHEN a < other THEN nk ELSE near.n END FROM near, size WHERE step < size.n - 11)),
+merged AS (SELECT m.b AS child, m.a AS parent FROM (SELECT min({'d': d, 'a': a, 'b': b}) AS m FROM s GROUP BY step)),
+up AS (SELECT vec_id, vec_id AS "group" FROM v UNION ALL SELECT up.vec_id, parent FROM up JOIN merged ON up."group" = child)
+SELECT vec_id, min("group") AS "group" FROM up GROUP BY vec_id
+""")
 def hierarchical_clusters(spark, d):
+    """Ward's ten clusters of all vectors."""
+    return hierarchy.ward_groups(*hierarchy.dense_vectors(_t(spark, d, "embeddings"), "vec_id", "embedding"), "vec_id", 10)
+
+
+@query()
+def density_clusters(spark, d):
+    """HDBSCAN of all vectors."""
+    return hierarchy.hdbscan_groups(*hierarchy.dense_vectors(_t(spark, d, "embeddings"), "vec_id", "embedding"), "vec_id", 5)
+
+
+@query()
+def bisected_clusters(spark, d):
     vectors = _t(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
     return cluster.genome_clusters(vectors, "vec_id", [f"e{i}" for i in range(64)], 10)
 
@@ -617,3 +644,54 @@ def gbt_ensemble(spark, d):
     rows = materialize(labels.join(held, "doc_id", "left").withColumn(model.HELD, F.coalesce(model.HELD, F.array().cast("array<string>"))), "held")
     models = [(f"run_{i}", model.fit(rows.filter("fold = 'train'"), best, model.Settings(label="label", seed=i), 5, 0.1, 3)) for i in range(3)]
     return evaluate.ensemble(model.score_all(models, rows, ["doc_id"]), ["doc_id"])
+
+
+def _boosting_examples(spark, d) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Documents' words against quality in five runs, each of which leaves out a fifth of the rows."""
+    words, labels = _tokens(spark, d)
+    runs = [f"run_{k}" for k in range(5)]
+    each = labels.select(F.col("doc_id").cast("string").alias("row"), "label", F.col("doc_id"), F.explode(F.array(*map(F.lit, range(5)))).alias("k"))
+    examples = each.select(F.concat(F.lit("run_"), F.col("k").cast("string")).alias("run"), "row", F.col("label").cast("double").alias("label"), F.lit(1.0).alias("weight"), F.when(F.col("doc_id") % 5 == F.col("k"), "test").otherwise("train").alias("fold"))
+    return examples, words.select(F.col("doc_id").cast("string").alias("row"), "feature"), runs
+
+
+@query(f"""
+WITH {_WORDS_SQL}, ex AS (SELECT 'run_' || k AS run, doc_id, CASE WHEN quality > 0 THEN 0.5 ELSE -0.5 END AS g, 0.25 AS h FROM labels, (SELECT unnest(range(5)) AS k) WHERE doc_id % 5 <> k AND quality IS NOT NULL),
+cell AS (SELECT run, w.cluster AS feature, doc_id, g, h FROM ex JOIN (SELECT DISTINCT doc_id, cluster FROM words) w USING (doc_id)),
+whole AS (SELECT run, sum(g) AS g, sum(h) AS h FROM ex GROUP BY run),
+held AS (SELECT run, feature, sum(g) AS g, sum(h) AS h FROM cell GROUP BY 1, 2),
+zero AS (SELECT run, feature, round(x.g * x.g / (x.h + 3) + (w.g - x.g) * (w.g - x.g) / (w.h - x.h + 3) - w.g * w.g / (w.h + 3), 9) AS gain FROM held x JOIN whole w USING (run)),
+first AS (SELECT run, feature FROM zero QUALIFY row_number() OVER (PARTITION BY run ORDER BY gain DESC, feature) = 1),
+leaf AS (SELECT ex.run, ex.doc_id, count(cell.doc_id) AS leaf FROM ex JOIN first USING (run) LEFT JOIN cell ON cell.run = ex.run AND cell.doc_id = ex.doc_id AND cell.feature = first.feature GROUP BY 1, 2),
+whole1 AS (SELECT run, leaf, sum(g) AS g, sum(h) AS h FROM ex JOIN leaf USING (run, doc_id) GROUP BY 1, 2),
+held1 AS (SELECT run, feature, leaf, sum(g) AS g, sum(h) AS h FROM cell JOIN leaf USING (run, doc_id) GROUP BY 1, 2, 3),
+one AS (SELECT run, feature, sum(x.g * x.g / (x.h + 3) + (w.g - x.g) * (w.g - x.g) / (w.h - x.h + 3) - w.g * w.g / (w.h + 3)) AS gain FROM held1 x JOIN whole1 w USING (run, leaf) GROUP BY 1, 2)
+SELECT run, 0 AS level, feature, round(gain, 6) AS gain FROM zero UNION ALL SELECT run, 1, feature, round(gain, 6) FROM one
+""")
+def boosting_gains(spark, d):
+    """The gains of every word at the first two levels of a tree, for five runs at once."""
+    examples, words, runs = _boosting_examples(spark, d)
+    codes = materialize(boosting.number_features(words), "codes")
+    fits = [boosting.Fit(r, r, 0.1, 2, 1) for r in runs]
+    forest = boosting.Forest(boosting.cells(examples, words, codes, runs), fits, runs, None, "classification")
+    live = list(range(len(fits)))
+    totals = forest.totals(live)
+    start = [[totals[k][:2]] for k in live]
+    best = forest.best_splits(live, [[] for _ in live], start)
+    split_sums = [[(g - a, h - b), (a, b)] for ((g, h),), ((a, b),) in ((start[k], best[k][2]) for k in live)]
+    found = [forest.gains(live, [[] for _ in live], start), forest.gains(live, [[best[k][1]] for k in live], split_sums)]
+    names = spark.createDataFrame([(k, f.run) for k, f in enumerate(fits)], "fit int, run string")
+    rows = [df.select("fit", "code", "gain", F.lit(level).alias("level")) for level, df in enumerate(found)]
+    return rows[0].unionByName(rows[1]).join(F.broadcast(names), "fit").join(codes, "code").select("run", "level", "feature", _r("gain").alias("gain"))
+
+
+@query()
+def boosted_ensemble(spark, d):
+    """Symmetric trees on all words against quality: the votes of five runs on all labelled rows."""
+    examples, words, runs = _boosting_examples(spark, d)
+    codes = materialize(boosting.number_features(words), "codes")
+    data = materialize(boosting.cells(examples, words, codes, runs), "cells")
+    trees, grown = boosting.fit_all(data, [boosting.Fit(r, r, 0.3, 2, 3) for r in runs], runs)
+    models = boosting.collect_models(boosting.cut_trees(trees, {g.fit.name: g.length() for g in grown}))
+    scored = boosting.score_rows(data, models, {g.fit.name: g.start for g in grown})
+    return evaluate.ensemble(scored.select(F.col("row").cast("long").alias("doc_id"), F.col("fit").alias("run"), "confidence"), ["doc_id"])
