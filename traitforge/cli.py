@@ -28,11 +28,15 @@ INPUTS = {
     "assign-predict": ("input_dir", "training", "feature_map", "model_dir"),
 }
 
+#: Commands beyond these. ``kmer-coverage`` reads the folders of two workflows: a k-mer workflow's
+#: (``--input``) and the family workflow's whose proteins its k-mers come from (``--families``).
+MORE = {"kmer-coverage": ("input", "families", "proteins")}
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="traitforge")
     commands = top.add_subparsers(dest="command", required=True)
-    for name, inputs in INPUTS.items():
+    for name, inputs in (INPUTS | MORE).items():
         p = commands.add_parser(name)
         for i in inputs:
             p.add_argument(f"--{i}", required=True)
@@ -49,6 +53,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--one_gene", action="store_true", default=None)
         p.add_argument("--use_weights", action="store_true", default=None)
         p.add_argument("--no_selection_scores", dest="score_selection", action="store_false", default=None)
+        p.add_argument("--kmer_families", help="a table (cluster, protein_id): k-mer features within families")
+        p.add_argument("--alignments", help="a folder of aligned FASTA files, one a family; made here if there is none")
+        p.add_argument("--gap_aware", action="store_true")
         p.add_argument("--cutoffs", type=lambda s: tuple(map(int, s.split(","))))
     return top
 
@@ -72,7 +79,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if name in ("cluster", "protein-family-workflow", "full-workflow", "kmer-workflow"):
         work = {"cluster": W.feature_table, "protein-family-workflow": W.protein_family_workflow, "full-workflow": W.full_workflow, "kmer-workflow": W.kmer_workflow}[name]
         phages = _proteins(spark, args.input_phage, args.suffix)
-        made = work(spark, out, _proteins(spark, args.input_strain, args.suffix), _phenotypes(spark, args.phenotype_matrix, c), c, phages=phages, force=args.force)
+        more = {"families": spark.read.parquet(args.kmer_families)} if name == "kmer-workflow" and args.kmer_families else {}
+        made = work(spark, out, _proteins(spark, args.input_strain, args.suffix), _phenotypes(spark, args.phenotype_matrix, c), c, phages=phages, force=args.force, **more)
         if "stages" in made:
             made["stages"].write_report({"command": name, "rows": made["rows"].count()})
     elif name in ("select-features", "train", "select-and-train"):
@@ -84,6 +92,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         if name != "select-features":
             files.write_table(W.modelling(stages, rows, present, tables, c, groups)["metrics"], f"{out}/metrics_csv")
         stages.write_report({"command": name})
+    elif name == "kmer-coverage":
+        _kmer_coverage(spark, args, c, out)
     elif name == "annotate":
         selected = files.read_annotations(spark, args.feature_file_path).select("feature")
         proteins = annotate.predictive_proteins(selected, spark.read.parquet(args.feature2cluster_path), spark.read.parquet(args.cluster2protein_path))
@@ -101,6 +111,19 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             _predict(spark, args, c, out, spark.read.parquet(f"{out}/strain_assignments"), features.select("feature"))
 
 
+def _kmer_coverage(spark: SparkSession, args: argparse.Namespace, c: W.Config, out: str) -> None:
+    """Where a k-mer workflow's selected features lie in their families."""
+    tables = spark.read.parquet(f"{args.input}/cutoff_tables")
+    selected = tables.filter(F.col("cut_off") == args.cut_off) if args.cut_off is not None else tables
+    aligned = None
+    if args.alignments:
+        rows = files.read_fasta(spark, args.alignments)
+        aligned = rows.select(F.col("genome").alias("family"), "protein_id", F.col("sequence").alias("aligned"))
+    maps, families = spark.read.parquet(f"{args.input}/strain_kmer_features"), spark.read.parquet(f"{args.families}/strain_families")
+    found = W.kmer_coverage_workflow(spark, out, selected.select("feature"), maps, families, _proteins(spark, args.proteins, args.suffix), aligned, c.k, args.gap_aware, force=args.force, make_alignments=True)
+    found["stages"].write_report({"command": args.command, "status": found["status"]})
+
+
 def _assign(spark: SparkSession, args: argparse.Namespace, c: W.Config, proteins: DataFrame, features: DataFrame, training: str | None, side: str) -> DataFrame:
     """(genome, feature) of new proteins: from k-mers, or by the families of a training folder."""
     if training is None:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.sequences import family_of_label, kmer_of_label
-from ..operators import annotate, boosting, cluster, coverage, evaluate, hierarchy, merge, model, presence, select, sequence, split
+from ..operators import align, annotate, boosting, cluster, coverage, evaluate, hierarchy, merge, model, presence, select, sequence, split
 from . import sweeps
 from .storage import Stages, exists
 
@@ -88,7 +88,7 @@ def require_rows(table: DataFrame, what: str) -> DataFrame:
 def family_features(stages: Stages, proteins: DataFrame, c: Config, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(presence, feature map, assignments) of one side's protein families."""
     require_rows(proteins, f"{kind} proteins")
-    families = stages.run(f"{kind}_families", lambda: cluster.protein_families(proteins, c.k, c.least_identity, c.coverage), {"k": c.k, "identity": c.least_identity, "coverage": c.coverage})
+    families = stages.run(f"{kind}_families", lambda: align.protein_families(proteins, c.k, c.least_identity, c.coverage), {"k": c.k, "identity": c.least_identity, "coverage": c.coverage})
     present = stages.run(f"{kind}_presence", lambda: presence.presence(proteins.join(families, "protein_id"), "genome", "cluster"))
     return (present, *_collapsed(stages, present, kind))
 
@@ -462,8 +462,8 @@ def full_workflow(spark: SparkSession, folder: str, strains: DataFrame, phenotyp
 def assign_features(proteins: DataFrame, training: DataFrame, families: DataFrame, features: DataFrame, c: Config) -> DataFrame:
     """(genome, feature) of new genomes: each protein takes the family of its best hit. Genomes that
     get no feature have a row with a null one."""
-    hits = cluster.homology_hits(proteins.select("protein_id", "sequence"), training.select("protein_id", "sequence"), c.k, c.least_identity)
-    best = presence.best_of(hits, "query", [-F.col("identity"), -F.col("target_coverage"), F.col("target")], ["target"])
+    hits = align.alignment_hits(proteins.select("protein_id", "sequence"), training.select("protein_id", "sequence"), c.k, c.least_identity)
+    best = presence.best_of(hits, "query", [-F.col("score"), -F.col("identity"), -F.col("target_coverage"), F.col("target")], ["target"])
     assigned = presence.assign_clusters(best, families, "target", "protein_id", "cluster").filter("cluster IS NOT NULL").select(F.col("query").alias("protein_id"), "cluster")
     return presence.add_missing_genomes(presence.transfer_features(assigned, proteins.select("protein_id", "genome"), features), proteins)
 
@@ -483,12 +483,13 @@ def assign_kmer_features(proteins: DataFrame, features: DataFrame, c: Config) ->
     return presence.add_missing_genomes(called, proteins)
 
 
-def kmer_coverage_workflow(spark: SparkSession, folder: str, selected: DataFrame, maps: DataFrame, families: DataFrame, proteins: DataFrame, aligned: DataFrame | None = None, k: int = 5, gap_aware: bool = False, quick: bool = False, force: bool = False) -> dict:
+def kmer_coverage_workflow(spark: SparkSession, folder: str, selected: DataFrame, maps: DataFrame, families: DataFrame, proteins: DataFrame, aligned: DataFrame | None = None, k: int = 5, gap_aware: bool = False, quick: bool = False, force: bool = False, make_alignments: bool = False) -> dict:
     """Where the selected k-mer features lie in their families' proteins.
 
     ``selected`` (feature) and ``maps`` (cluster, feature) name the k-mers, ``families`` (cluster,
     protein_id) and ``proteins`` (protein_id, sequence) the proteins that may hold them, ``aligned``
-    (family, protein_id, aligned) their alignments. The work ends early, with a ``status`` that says
+    (family, protein_id, aligned) their alignments; with ``make_alignments`` they are made here, of families
+    named by a member. The work ends early, with a ``status`` that says
     why, where a step leaves nothing, where ``quick`` asks for the matches only, or without
     alignments.
     """
@@ -508,6 +509,8 @@ def kmer_coverage_workflow(spark: SparkSession, folder: str, selected: DataFrame
         return {"status": "no match", **found}
     if quick:
         return {"status": "quick run", **found}
+    if aligned is None and make_alignments:
+        aligned = stages.run("alignments", lambda: align.align_families(members))
     if aligned is None or aligned.isEmpty():
         return {"status": "no alignments", **found}
     cut = stages.run("trimmed_alignments", lambda: coverage.trim_leading_gaps(aligned))

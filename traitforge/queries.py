@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import metrics, sequences
-from .operators import annotate, boosting, cluster, coverage, evaluate, hierarchy, merge, model, presence, select, sequence, split
+from .operators import align, annotate, boosting, cluster, coverage, evaluate, hierarchy, merge, model, presence, select, sequence, split
 from .plans.storage import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -586,6 +586,32 @@ def family_clusters(spark, d):
     return cluster.protein_families(names, k=4, least_identity=0.6, coverage=0.5)
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL), k AS (SELECT DISTINCT p_name, substr(p_name, i, 4) AS m FROM (SELECT *, unnest(range(1, length(p_name) - 2)) AS i FROM n WHERE length(p_name) >= 4)), s AS (SELECT p_name, count(*) AS c FROM k GROUP BY 1),
+link AS (SELECT a.p_name AS a, b.p_name AS b FROM k a JOIN k b USING (m) JOIN s x ON x.p_name = a.p_name JOIN s y ON y.p_name = b.p_name WHERE a.p_name <> b.p_name GROUP BY 1, 2 HAVING count(*) / least(any_value(x.c), any_value(y.c)) >= 0.4),
+ranked AS (SELECT p_name, row_number() OVER (ORDER BY count(b) DESC, length(p_name) DESC, p_name) AS p FROM n LEFT JOIN link ON a = p_name GROUP BY p_name),
+near AS (SELECT x.p, x.p_name, list(y.p) FILTER (WHERE y.p < x.p) AS before FROM ranked x LEFT JOIN link ON link.a = x.p_name LEFT JOIN ranked y ON y.p_name = link.b GROUP BY x.p, x.p_name),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS p, CAST([] AS BIGINT[]) AS heads
+  UNION ALL
+  SELECT near.p, CASE WHEN list_has_any(coalesce(near.before, []), heads) THEN heads ELSE list_append(heads, near.p) END FROM walk JOIN near ON near.p = walk.p + 1),
+heads AS (SELECT unnest(heads) AS h FROM walk WHERE p = (SELECT count(*) FROM n)),
+joined AS (SELECT p, p_name, coalesce((SELECT min(h) FROM heads WHERE list_contains(before, h)), p) AS h FROM near)
+SELECT r.p_name AS cluster, joined.p_name AS protein_id FROM joined JOIN ranked r ON r.p = joined.h
+""")
+def family_cover(spark, d):
+    """Families by greedy set cover of the names that share k-mers."""
+    names = _t(spark, d, "part").select("p_name").distinct().select(F.col("p_name").alias("protein_id"), F.col("p_name").alias("sequence"))
+    return align.cover_families(names, cluster.homology_hits(names, names, k=4, least_identity=0.4))
+
+
+@query()
+def alignment_hits(spark, d):
+    """Local alignments of all part names that share seeds."""
+    names = _t(spark, d, "part").select("p_name").distinct().select(F.col("p_name").alias("protein_id"), F.upper("p_name").alias("sequence"))
+    return align.alignment_hits(names, names, k=4, least_identity=0.4, least_shared=0.3).select("query", "target", _r("score").alias("score"), _r("identity").alias("identity"), "query_start", "query_end", "target_start", "target_end")
+
+
 @query("""
 WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), size AS (SELECT count(*) AS n FROM v),
 s AS (
