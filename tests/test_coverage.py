@@ -1,4 +1,7 @@
 import random
+import time
+
+from pyspark.sql import functions as F
 
 from traitforge.operators import annotate, coverage
 
@@ -48,3 +51,32 @@ def test_back_mapping(spark):
     selected = spark.createDataFrame([("sc_0",)], "feature string")
     rows = annotate.predictive_proteins(selected, features, clusters).collect()
     assert {(r.protein_id, r.unique_clusters, r.unique_proteins) for r in rows} == {("a", 2, 3), ("b", 2, 3), ("c", 2, 3)}
+
+
+def test_one_pass_equals_ranges_of_each_kmer(spark):
+    r = random.Random(3)
+    aligned, kmers = [], []
+    for p in range(12):
+        text = "".join(r.choice("AK-T") for _ in range(r.randint(0, 40)))
+        aligned.append(("fam", f"p{p}", text))
+        kmers += [(f"f{r.randint(0, 2)}", "fam", f"p{p}", "".join(r.choice("AKT") for _ in range(r.randint(1, 3)))) for _ in range(4)]
+    a = spark.createDataFrame([*aligned, ("fam", "none", None)], "family string, protein_id string, aligned string")
+    k = spark.createDataFrame([*kmers, kmers[0], ("f0", "fam", "none", "A")], "feature string, family string, protein_id string, kmer string")
+    for gap_aware in (False, True):
+        want = coverage.residue_coverage(coverage.kmer_ranges(a.join(k, ["family", "protein_id"]), gap_aware))
+        got = coverage.covered_residues(a, k, gap_aware)
+        assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_long_rows_take_seconds_not_minutes(spark):
+    from traitforge.functions.sequences import gap_tolerant_starts, kmers
+
+    text = "".join(random.Random(1).choice("ACDEFGHIKL") for _ in range(35_000))
+    df = spark.createDataFrame([("f", "fam", "p", text, text[100:106])], "feature string, family string, protein_id string, aligned string, kmer string")
+    coverage.covered_residues(df.select("family", "protein_id", "aligned"), df).agg({"coverage": "sum"}).collect()  # warm
+    for work in (lambda: coverage.covered_residues(df.select("family", "protein_id", "aligned"), df).agg({"coverage": "sum"}).first()[0] >= 6, lambda: 100 in df.select(gap_tolerant_starts(F.col("aligned"), F.col("kmer"))).first()[0], lambda: len(df.select(kmers(F.col("aligned"), 6)).first()[0]) == 34_995):
+        began = time.monotonic()
+        assert work()
+        took = time.monotonic() - began
+        assert took < 8, took
+        print(took)

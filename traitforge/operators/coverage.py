@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.sequences import gap_tolerant_ranges
 
@@ -15,6 +20,54 @@ def kmer_ranges(aligned: DataFrame, gap_aware: bool = False) -> DataFrame:
     return aligned.withColumn("ranges", gap_tolerant_ranges(F.col("aligned"), F.col("kmer"), gap_aware))
 
 
+def covered_residues(aligned: DataFrame, kmers: DataFrame, gap_aware: bool = False) -> DataFrame:
+    """(keys, index, residue, coverage): what :func:`kmer_ranges` and :func:`residue_coverage` give for
+    every feature of ``kmers`` (feature, family, protein_id, kmer) in ``aligned`` (family, protein_id,
+    aligned), in time linear in the residues, whatever the number of k-mers.
+
+    A protein's k-mers meet its residues once: every substring of their lengths is looked up, the
+    ranges of a feature are united on a line, and only then residues become rows.
+    """
+    keys = ["family", "protein_id"]
+    asked = kmers.dropDuplicates([*KEYS, "kmer"]).groupBy(*keys).agg(F.collect_list(F.struct("feature", "kmer")).alias("asked"))
+    rows = aligned.dropDuplicates([*keys, "aligned"]).join(asked, keys).select(*keys, "aligned", "asked")
+    feature, own = kmers.schema["feature"], [aligned.schema[k] for k in keys]
+    schema = T.StructType([feature, *own, *T._parse_datatype_string("index int, residue string, coverage int").fields])
+    at = rows.columns.index("asked")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, (text, wanted) in enumerate(zip(batch.column("aligned").to_pylist(), batch.column(at).to_pylist(), strict=True)):
+                if text is None:
+                    continue
+                letters = np.array(list(text))
+                place = np.flatnonzero(letters != "-")
+                plain = "".join(letters[place])
+                table: dict[str, list[int]] = {}
+                names = list(dict.fromkeys(x["feature"] for x in wanted))
+                number = {f: i for i, f in enumerate(names)}
+                for x in wanted:
+                    if x["kmer"]:
+                        table.setdefault(x["kmer"], []).append(number[x["feature"]])
+                # Where ranges begin and end, for each feature, on the line of the alignment.
+                edges = np.zeros((len(names), len(text) + 1), np.int32)
+                for k in {len(m) for m in table}:
+                    for i in range(len(plain) - k + 1):
+                        for f in table.get(plain[i : i + k], ()):
+                            start = place[i]
+                            stop = place[i + k - 1] if gap_aware else start + k - 1
+                            edges[f, start] += 1
+                            edges[f, min(stop + 1, len(text))] -= 1
+                covered = (np.cumsum(edges, 1)[:, :-1][:, place] > 0).astype(np.int32)
+                for f, name in enumerate(names):
+                    n = pa.array(np.full(len(place), r))
+                    keyed = [batch.column(c).take(n) for c in keys]
+                    one = pa.array([name], batch.column(at).type.value_type.field("feature").type).take(pa.array(np.zeros(len(place), np.int64)))
+                    yield pa.RecordBatch.from_arrays([one, *keyed, pa.array(place.astype(np.int32)), pa.array(letters[place].tolist(), pa.string()), pa.array(covered[f])], names=schema.names)
+
+    return rows.mapInArrow(walk, schema)
+
+
 def residue_coverage(ranges: DataFrame) -> DataFrame:
     """(keys, index, residue, coverage): 1 where some k-mer of the protein covers the residue.
 

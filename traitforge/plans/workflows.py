@@ -514,8 +514,8 @@ def kmer_coverage_workflow(spark: SparkSession, folder: str, selected: DataFrame
     if aligned is None or aligned.isEmpty():
         return {"status": "no alignments", **found}
     cut = stages.run("trimmed_alignments", lambda: coverage.trim_leading_gaps(aligned))
-    placed = coverage.kmer_ranges(cut.join(matches, ["family", "protein_id"]), gap_aware)
-    segments = stages.run("segments", lambda: coverage.add_uncovered(coverage.segments(coverage.residue_coverage(placed)), cut), {"gap_aware": gap_aware})
+    covered = coverage.covered_residues(cut, matches, gap_aware)
+    segments = stages.run("segments", lambda: coverage.add_uncovered(coverage.segments(covered), cut), {"gap_aware": gap_aware})
     return {"status": "done", **found, "segments": segments}
 
 

@@ -519,6 +519,21 @@ def coverage_segments(spark, d):
     return _event_segments(spark, d)
 
 
+@query("""
+WITH p AS (SELECT p_partkey AS protein_id, p_name, p_brand AS family FROM part), k AS (SELECT * FROM (VALUES ('f', 're'), ('f', 'in'), ('f', 'ink'), ('g', 'al')) v(feature, kmer)),
+h AS (SELECT feature, protein_id, i - 1 AS a, i + length(kmer) - 2 AS b FROM (SELECT *, unnest(range(1, length(p_name) + 1)) AS i FROM p), k WHERE substr(p_name, i, length(kmer)) = kmer),
+r AS (SELECT feature, protein_id, family, p_name, j - 1 AS i FROM (SELECT *, unnest(range(1, length(p_name) + 1)) AS j FROM p), (SELECT DISTINCT feature FROM k))
+SELECT r.feature, family, r.protein_id, CAST(i AS INTEGER) AS "index", substr(p_name, i + 1, 1) AS residue, CAST(max(CASE WHEN h.protein_id IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS coverage
+FROM r LEFT JOIN h ON r.protein_id = h.protein_id AND r.feature = h.feature AND i BETWEEN a AND b GROUP BY ALL
+""")
+def many_kmer_coverage(spark, d):
+    """Residues that the k-mers of two features cover, all looked up in one pass of each name."""
+    parts = _parts(spark, d)
+    kmers = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(k).alias("kmer")) for f, k in (("f", "re"), ("f", "in"), ("f", "ink"), ("g", "al"))]))
+    asked = parts.select("family", "protein_id", kmers.alias("k")).select("k.feature", "family", "protein_id", "k.kmer")
+    return coverage.covered_residues(parts.withColumnRenamed("sequence", "aligned"), asked)
+
+
 @query("WITH p AS (SELECT p_partkey AS protein_id, p_name, p_brand AS family FROM part), h AS (SELECT protein_id, i - 1 AS a, i AS b FROM (SELECT *, unnest(range(1, length(p_name))) AS i FROM p) WHERE substr(p_name, i, 2) = 're'), r AS (SELECT protein_id, family, p_name, j - 1 AS i FROM (SELECT *, unnest(range(1, length(p_name) + 1)) AS j FROM p)) SELECT 'f' AS feature, family, r.protein_id, CAST(i AS INTEGER) AS \"index\", substr(p_name, i + 1, 1) AS residue, CAST(max(CASE WHEN h.protein_id IS NOT NULL THEN 1 ELSE 0 END) AS INTEGER) AS coverage FROM r LEFT JOIN h ON r.protein_id = h.protein_id AND i BETWEEN a AND b WHERE true GROUP BY ALL")
 def residue_coverage(spark, d):
     aligned = _parts(spark, d).select(F.lit("f").alias("feature"), "family", "protein_id", F.col("sequence").alias("aligned"), F.lit("re").alias("kmer"))
