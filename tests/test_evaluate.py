@@ -138,3 +138,36 @@ def test_prefix_sums_over_groups_and_ranges(spark):
         assert got[(g, k)] == (before + next(v for h, j, v in rows if (h, j) == (g, k)), before)
     down = {x.k: x.n for x in numbered(df.filter("g = 'big'"), [F.col("k").desc()]).collect()}
     assert down == {k: 299 - k for k in range(300)}
+
+
+def test_exact_medians_with_nulls_and_ties(spark):
+    import statistics
+
+    r = random.Random(6)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1.0, 2.0, 2.5, r.random()])) for _ in range(200)] + [("none", None), ("one", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = evaluate.exact_median(df, ["g"], "v")
+    got = {x.g: x.median for x in found.collect()}
+    want = {g: (statistics.median(v) if (v := [x for k, x in rows if k == g and x is not None]) else None) for g in {k for k, _ in rows}}
+    assert got == want
+    assert "percentile" not in found._jdf.queryExecution().toString() and "median(" not in found._jdf.queryExecution().toString()
+    assert evaluate.exact_median(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_distribution_of_u_against_enumeration():
+    from itertools import combinations
+
+    for m, n in ((1, 4), (3, 5), (4, 4), (2, 9)):
+        ways = [0] * (m * n + 1)
+        for ranks in combinations(range(m + n), m):
+            ways[sum(ranks) - m * (m - 1) // 2] += 1
+        assert evaluate.u_distribution(m, n, m * n).tolist() == ways
+        assert evaluate.u_distribution(m, n, 2).tolist() == ways[:3]
+
+
+def test_small_groups_have_exact_p(spark):
+    rows = [("a", float(v)) for v in (1, 2, 3, 4)] + [("b", float(v)) for v in (5, 6, 7, 8, 9)] + [("c", float(v)) for v in (1, 2.5, 9.5)]
+    got = {(x.a, x.b): (x.u, x.p_value) for x in evaluate.mann_whitney(spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    assert got["a", "b"][0] == 0 and abs(got["a", "b"][1] - 2 / 126) < 1e-12
+    # "a" and "c" share a value: the approximation.
+    assert 0 < got["a", "c"][1] <= 1 and got["b", "c"][0] == 10 and abs(got["b", "c"][1] - 2 * 17 / 56) < 0.3

@@ -6,8 +6,13 @@ counts, so equal scores share a rank, and in ranges, so no group has to fit one
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import metrics as M
 from .prefix import prefix_sums
@@ -15,7 +20,24 @@ from .prefix import prefix_sums
 
 def ensemble(predictions: DataFrame, keys: list[str], confidence: str = "confidence") -> DataFrame:
     """Median confidence of each key over the runs, and the vote on it."""
-    return predictions.na.drop(subset=keys).groupBy(*keys).agg(F.median(confidence).alias("confidence")).withColumn("prediction", M.vote(F.col("confidence")))
+    return exact_median(predictions.na.drop(subset=keys), keys, confidence, "confidence").withColumn("prediction", M.vote(F.col("confidence")))
+
+
+def exact_median(rows: DataFrame, group: list[str], value: str, name: str = "median") -> DataFrame:
+    """(group, ``name``): the median of ``value`` in each group, null where it has no value. Values are
+    counted and their counts added up in ranges, so a group of any size is nowhere in one buffer."""
+    counts = rows.groupBy(*group, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    running = prefix_sums(counts.filter("_v IS NOT NULL"), group, [F.col("_v")], {"_upto": F.col("_n")})
+    totals = counts.groupBy(*group).agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))), F.lit(0)).alias("_t"))
+    totals = totals.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], "_t")
+    same = F.lit(True)
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    at = lambda k: F.max(F.when((F.col("_upto") - F.col("_n") < k) & (F.col("_upto") >= k), F.col("_v")))
+    low, high = at(F.floor((F.col("_t") + 1) / 2)), at(F.floor(F.col("_t") / 2) + 1)
+    joined = totals.join(running, same, "left")
+    found = joined.groupBy(*[f"_g{k}" for k in range(len(group))]).agg(((low + high) / 2).alias(name))
+    return found.select(*[F.col(f"_g{k}").alias(g) for k, g in enumerate(group)], name)
 
 
 def confusion(predictions: DataFrame, group: list[str], label: str, prediction: str) -> DataFrame:
@@ -93,7 +115,8 @@ def best_first(rows: DataFrame, score: str, tie: list[str]) -> DataFrame:
 
 
 def mann_whitney(values: DataFrame, group: str, value: str) -> DataFrame:
-    """(a, b, u, p_value) for each pair of groups a < b: U of a, two-sided p by the normal
+    """(a, b, u, p_value) for each pair of groups a < b: U of a and its two-sided p. That is exact where
+    the smaller group has at most ``EXACT`` values and no value is in the pair twice, else by the normal
     approximation with tie and continuity correction. Only counts at distinct values are paired."""
     counts = values.na.drop(subset=[group, value]).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy(group).agg(F.sum("n").alias("size"))
@@ -108,7 +131,39 @@ def mann_whitney(values: DataFrame, group: str, value: str) -> DataFrame:
     n = na + nb
     sd = F.sqrt(na * nb / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
     z = F.greatest(F.lit(0.0), F.try_divide(F.abs(F.col("u") - na * nb / 2) - 0.5, sd))
-    return u.select("a", "b", F.col("u").cast("double").alias("u"), F.least(F.lit(1.0), _two_sided(F.coalesce(z, F.lit(0.0)))).alias("p_value"))
+    # One row a pair: the exact distribution takes a task some milliseconds a row.
+    exact = _exact_p(F.col("na"), F.col("nb"), F.least(F.col("u"), na * nb - F.col("u")))
+    small = (F.col("ties") == 0) & (F.least("na", "nb") <= EXACT)
+    p = F.when(small, exact).otherwise(F.least(F.lit(1.0), _two_sided(F.coalesce(z, F.lit(0.0)))))
+    return u.select("a", "b", F.col("u").cast("double").alias("u"), p.alias("p_value"))
+
+
+#: Values of the smaller group up to which the distribution of U is computed.
+EXACT = 8
+
+
+def u_distribution(m: int, n: int, most: int) -> np.ndarray:
+    """How many of the ways to draw ``m`` of ``m + n`` ranks have U = 0, 1, ..., ``most``: coefficients of
+    the Gaussian binomial, as products of (1 - q^(n + i)) / (1 - q^i)."""
+    ways = np.zeros(most + 1)
+    ways[0] = 1.0
+    for i in range(1, m + 1):
+        if n + i <= most:
+            ways[n + i :] -= ways[: most + 1 - n - i].copy()
+        for first in range(min(i, most + 1)):  # divide: running sums of every i-th
+            ways[first::i] = np.cumsum(ways[first::i])
+    return ways
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(na: pd.Series, nb: pd.Series, u: pd.Series) -> pd.Series:
+    def one(a: float, b: float, least: float) -> float | None:
+        m, n = sorted((int(a), int(b)))
+        if m > EXACT:
+            return None
+        return min(1.0, 2 * float(u_distribution(m, n, int(least)).sum()) / math.comb(m + n, m))
+
+    return pd.Series([one(*x) for x in zip(na, nb, u, strict=True)], dtype="float64")
 
 
 def _two_sided(z: Column) -> Column:
@@ -125,7 +180,7 @@ def _two_sided(z: Column) -> Column:
 
 def median_by_run(shap: DataFrame, run: str, feature: str, value: str, shap_value: str) -> DataFrame:
     """(run, feature, value, median): attribution rolled up for each value of a feature."""
-    return shap.groupBy(run, feature, value).agg(F.median(shap_value).alias("median"))
+    return exact_median(shap, [run, feature, value], shap_value)
 
 
 def top_by_mean_abs(shap: DataFrame, feature: str, shap_value: str, k: int = 20) -> DataFrame:
@@ -153,7 +208,7 @@ def describe(rows: DataFrame, value: str, thresholds: list[float]) -> DataFrame:
 
 def by_dataset(rows: DataFrame, dataset: str, model: str, models: list, value: str) -> DataFrame:
     """Datasets against models: the median of ``value`` in each cell."""
-    return spread(rows, dataset, model, models, F.median(value))
+    return spread(exact_median(rows, [dataset, model], value), dataset, model, models, F.max("median"))
 
 
 def spread(rows: DataFrame, row: str, column: str, columns: list, value: Column) -> DataFrame:

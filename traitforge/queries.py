@@ -433,6 +433,28 @@ def mannwhitney_p(spark, d):
     return evaluate.mann_whitney(_t(spark, d, "events"), "event_type", "value").select("a", "b", _r("u", 1).alias("u"), _r("p_value").alias("p_value"))
 
 
+@query("""
+WITH v AS (SELECT r_name AS g, n_name, sum(c_acctbal) AS v FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL), size AS (SELECT g, count(*) AS n FROM v GROUP BY g),
+p AS (SELECT x.g AS a, y.g AS b, x.n AS na, y.n AS nb FROM size x JOIN size y ON x.g < y.g), u AS (SELECT a, b, na, nb, count(*) FILTER (WHERE x.v > y.v) AS u FROM p JOIN v x ON x.g = a JOIN v y ON y.g = b GROUP BY ALL),
+draw AS (SELECT na, nb, mask, [i FOR i IN range(1, na + nb + 1) IF (mask >> (i - 1)) & 1 = 1] AS ranks FROM (SELECT DISTINCT na, nb FROM p) s, LATERAL (SELECT unnest(range(CAST(pow(2, na + nb) AS BIGINT))) AS mask)),
+way AS (SELECT na, nb, list_sum(ranks) - na * (na + 1) / 2 AS u FROM draw WHERE len(ranks) = na),
+exact AS (SELECT u.a, u.b, u.u, least(1.0, 2.0 * count(*) FILTER (WHERE way.u <= least(u.u, u.na * u.nb - u.u)) / count(*)) AS p FROM u JOIN way USING (na, nb) GROUP BY ALL)
+SELECT a, b, CAST(u AS DOUBLE) AS u, round(p, 9) AS p_value FROM exact
+""")
+def mannwhitney_exact(spark, d):
+    """Regions by their nations' balances: few values without ties, so the exact distribution of U."""
+    nations = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).join(_t(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
+    sums = nations.groupBy(F.col("r_name").alias("g"), "n_name").agg(F.sum("c_acctbal").alias("v"))
+    return evaluate.mann_whitney(sums, "g", "v").select("a", "b", "u", _r("p_value", 9).alias("p_value"))
+
+
+@query("SELECT l_returnflag, CAST(median(l_extendedprice) AS DOUBLE) AS price, CAST(median(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY 1")
+def exact_medians(spark, d):
+    """Medians of groups of a third of all rows each, by counted values."""
+    rows = _t(spark, d, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("l_extendedprice"), F.col("l_quantity").cast("double").alias("l_quantity"))
+    return evaluate.exact_median(rows, ["l_returnflag"], "l_extendedprice", "price").join(evaluate.exact_median(rows, ["l_returnflag"], "l_quantity", "quantity"), "l_returnflag")
+
+
 @query("SELECT count(n_chars) AS n, round(avg(n_chars), 4) AS mean, round(stddev_samp(n_chars), 4) AS sd, min(n_chars) AS least, CAST(median(n_chars) AS DOUBLE) AS median, max(n_chars) AS most, count(*) FILTER (WHERE n_chars >= 100) AS reach_0, count(*) FILTER (WHERE n_chars >= 1000) AS reach_1, count(*) FILTER (WHERE n_chars >= 10000) AS reach_2 FROM documents")
 def length_description(spark, d):
     out = evaluate.describe(_t(spark, d, "documents"), "n_chars", [100, 1000, 10000])
