@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import annotate
+from .operators import annotate, merge
 from .plans import workflows as W
 from .sources import files
 
@@ -71,6 +71,9 @@ def _proteins(spark: SparkSession, path: str | None, suffix: str) -> DataFrame |
 
 def _phenotypes(spark: SparkSession, path: str, c: W.Config) -> DataFrame:
     table = files.read_annotations(spark, path)
+    named = merge.entity_column(table.columns, c.phage)
+    if named is not None:
+        table = table.withColumnRenamed(named, c.phage)
     return table.withColumn(c.phenotype, F.col(c.phenotype).cast("double"))
 
 
@@ -127,7 +130,8 @@ def _kmer_coverage(spark: SparkSession, args: argparse.Namespace, c: W.Config, o
 def _assign(spark: SparkSession, args: argparse.Namespace, c: W.Config, proteins: DataFrame, features: DataFrame, training: str | None, side: str) -> DataFrame:
     """(genome, feature) of new proteins: from k-mers, or by the families of a training folder."""
     if training is None:
-        return W.assign_kmer_features(proteins, features, c)
+        # Of proteins that several files hold under one id the first file's counts.
+        return W.assign_kmer_features(annotate.first_per_key(proteins, "protein_id", ["genome", "sequence"]), features, c)
     return W.assign_features(proteins, _proteins(spark, f"{training}/proteins", args.suffix), spark.read.parquet(f"{training}/{side}_families"), features, c)
 
 
