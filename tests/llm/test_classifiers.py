@@ -256,3 +256,48 @@ def test_forward_backward_against_plain_recursion():
         want.append(p / p.sum(1, keepdims=True))
         at += n
     assert np.allclose(posteriors(emission, lengths, start, step), np.concatenate(want), atol=1e-9)
+
+
+def test_sample_of_one_id_or_none_is_bounded(spark, monkeypatch):
+    """Rows of a null or repeated id are told apart by their texts, and only some thousand are fetched."""
+    rows = spark.range(60_000).selectExpr("CAST(NULL AS long) AS doc_id", "concat('word ', id) AS text", "'a' AS lang").unionByName(spark.range(3000).selectExpr("5L AS doc_id", "'same text' AS text", "'b' AS lang"))
+    fetched, first = [], learning._first
+    monkeypatch.setattr(learning, "_first", lambda found, n: fetched.append(len(found)) or first(found, n))
+    found, total = learning.own_sample(rows, "lang", 4, 9, 500)
+    assert fetched[0] < 2000 and total == {"a": 60_000, "b": 1}
+    assert len(found) == 501 and len({t for lang, _, t in found if lang == "a"}) == 500
+
+
+def test_languages_share_the_sample(spark):
+    docs = spark.range(900).selectExpr("id AS doc_id", "concat('t', id) AS text", "concat('l', id % 300) AS lang")
+    found, total = learning.own_sample(docs, "lang", 4, 9, 500, in_all=600, fewest=1)
+    assert len(total) == 300 and len(found) == 600
+    found, _ = learning.own_sample(docs, "lang", 4, 9, 500, in_all=10, fewest=3)
+    assert len(found) == 900
+
+
+def test_word_by_word_equals_blocks(monkeypatch):
+    r = np.random.RandomState(0)
+    emission, lengths, start, step = r.randn(300, 5), np.array([100, 1, 0, 70, 129]), r.randn(5), r.randn(5, 5)
+    want = posteriors(emission.copy(), lengths, start, step)
+    monkeypatch.setattr(language, "BLOCKWISE", 1)
+    np.testing.assert_allclose(posteriors(emission.copy(), lengths, start, step), want, atol=1e-12)
+
+
+def test_three_hundred_languages(monkeypatch):
+    """All are learned and told apart, within some memory, and in a time that is not their cube."""
+    import random
+    import time
+
+    monkeypatch.setattr(language, "STEPS", 25)
+    r, names = random.Random(1), [f"l{i:03d}" for i in range(300)]
+    parts = {n: ["".join(random.Random(f"{n}{j}").choices("abcdefghijklmnopqrstuvwxyzéöü", k=3)) for j in range(20)] for n in names}
+    text = lambda n, m: " ".join("".join(r.choices(parts[n], k=2)) for _ in range(m))
+    model = language.LanguageModel([(n, str(j), text(n, 200)) for n in names for j in range(6)], names)
+    assert model.usable and model.table.size <= language.WEIGHTS
+    some = names[::10]
+    began = time.monotonic()
+    means, _ = model.label([text(n, 500) for n in some])
+    took = time.monotonic() - began
+    assert np.mean([names[m.argmax()] == n for m, n in zip(means, some, strict=True)]) > 0.9
+    assert took < 10, took

@@ -5,10 +5,16 @@ character n-grams and from a lexicon entry for the word itself; transition weigh
 with them, from code-switched sequences spliced out of labelled documents. A document's language
 is the one with the largest mean probability over its words, which is its score.
 
-Learning reads a bounded sample outside the held-out fold: ``PER_LANGUAGE`` documents of each of the
-``LANGUAGES`` most frequent languages, of long ones pieces (``learning.sampled_text``). Prediction
+Learning reads a bounded sample outside the held-out fold: ``PER_LANGUAGE`` documents of each
+language, of very many languages an even share of ``IN_ALL`` documents, but ``FEWEST``, of long ones
+pieces (``learning.sampled_text``). Every language that has a text with a letter there is learned.
+The emission table has at most ``WEIGHTS`` weights: the more languages, the fewer buckets. Prediction
 labels every word of every whole text.
 
+Few languages run through forward-backward in blocks side by side, which takes their number to the third
+power for a word; more than ``BLOCKWISE`` run word by word, all texts of a batch side by side: one matrix
+product of the transitions a step.
+
 Defined results: null texts and texts without a letter are ``und`` with score 0, as is everything
 if nothing can be learned; with one learned language every text with a letter has it; rows with
 null lang are predicted but not learned from, whatever other rows of their id say; equally likely
@@ -32,9 +38,14 @@ from .learning import own_sample
 
 FOLDS, HELD_OUT = 4, 2
 PER_LANGUAGE = 500
-#: Languages in the sample: labels beyond the most frequent ones are not learned.
-LANGUAGES = 200
-BUCKETS, GRAMS = 1 << 17, 4
+#: Documents learned from in all, where languages are very many, but at least so many of each.
+IN_ALL, FEWEST = 8000, 8
+#: Buckets of features, and weights of all languages together; the order of n-grams.
+BUCKETS, WEIGHTS, GRAMS = 1 << 17, 1 << 25, 4
+#: Words times languages of the texts labelled at once, or of one text.
+WORDS_BY_LANGUAGES = 1 << 23
+#: Languages up to which blocks run side by side.
+BLOCKWISE = 8
 #: Training: sequences a step, words a sequence, mean words of a run of one language, steps.
 SEQUENCES, SEQUENCE, RUN, STEPS, RATE, DECAY = 192, 48, 12, 150, 0.08, 1e-4
 #: Words of a block in forward-backward.
@@ -50,7 +61,12 @@ def words(text: str | None) -> list[str]:
     return [w for w in found if w.isalpha() or any(c.isalpha() for c in w)]
 
 
-def word_features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def buckets_for(languages: int) -> int:
+    """A power of two so that no more than ``WEIGHTS`` weights are kept, 1024 at least."""
+    return max(1024, min(BUCKETS, 1 << (max(1, WEIGHTS // max(1, languages)).bit_length() - 1)))
+
+
+def word_features(vocabulary: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of all words in one array, and where each word's begin.
 
     n-grams of bytes inside ``<word>``: those that touch the marks are its affixes; the hash of
@@ -76,7 +92,7 @@ def word_features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
         whole = np.add.reduceat(mix64(raw + (at - begins[owner]).astype(U64) * U64(0x9E3779B97F4A7C15)), begins)
     rows.append(np.arange(len(begins)))
     features.append(mix64(whole))
-    owners, values = np.concatenate(rows), (np.concatenate(features) >> U64(40)).astype(np.int64) % BUCKETS
+    owners, values = np.concatenate(rows), (np.concatenate(features) >> U64(40)).astype(np.int64) % buckets
     order = np.argsort(owners, kind="stable")
     return values[order], np.searchsorted(owners[order], np.arange(len(begins)))
 
@@ -91,6 +107,8 @@ def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, ste
     lengths = lengths[lengths > 0]
     if not len(lengths):
         return np.zeros((0, k))
+    if k > BLOCKWISE:
+        return _side_by_side(emission, lengths, start, step)
     scores = np.exp(emission - emission.max(1, keepdims=True))
     start, step = np.exp(start - start.max()), np.exp(step - step.max())
     counts = -(-lengths // SPAN)
@@ -147,19 +165,58 @@ def posteriors(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, ste
     return out / out.sum(1, keepdims=True)
 
 
+def _side_by_side(emission: np.ndarray, lengths: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The same word by word, for all sequences that still have one at once, the longest first."""
+    emission -= emission.max(1, keepdims=True)
+    scores = np.exp(emission, out=emission)
+    kind = scores.dtype
+    move, state = np.exp(step - step.max()).astype(kind), np.exp(start - start.max()).astype(kind)
+    order = np.argsort(-lengths, kind="stable")
+    size, begin = lengths[order], (np.cumsum(lengths) - lengths)[order]
+    alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # sequences longer than each place
+    out = np.empty_like(scores)
+    now = np.broadcast_to(state, (len(size), len(state)))
+    for t in range(int(size[0])):
+        at = begin[: alive[t]] + t
+        after = (now[: alive[t]] @ move if t else now) * scores[at]
+        after /= after.sum(1, keepdims=True)
+        out[at] = now = after
+    back = np.ones((len(size), len(state)), kind)
+    for t in range(int(size[0]) - 1, -1, -1):
+        n = alive[t]
+        at = begin[:n] + t
+        out[at] *= back[:n]
+        after = (scores[at] * back[:n]) @ move.T
+        after /= after.sum(1, keepdims=True)
+        back[:n] = after
+    out /= out.sum(1, keepdims=True)
+    return out
+
+
 class LanguageModel:
     """Emission table, start and transition weights of the languages learned."""
 
     def __init__(self, sample: list[tuple[str, str, str]], languages: list[str], seed: int = 7):
         self.languages = languages
         k = len(languages)
-        self.table, self.start, self.step = np.zeros((BUCKETS, k), np.float32), np.zeros(k), np.zeros((k, k))
-        texts = [[words(t) for lang, _, t in sample if lang == name] for name in languages]
-        pools = [[w for w in docs if w] for docs in texts]
+        self.buckets = buckets_for(k)
+        self.table, self.start, self.step = np.zeros((self.buckets, k), np.float32), np.zeros(k), np.zeros((k, k))
+        texts: dict[str, list[list[str]]] = {}
+        for lang, _, t in sample:
+            texts.setdefault(lang, []).append(words(t))
+        pools = [[w for w in texts.get(name, []) if w] for name in languages]
         self.usable = bool(languages) and all(pools)
         if self.usable and k > 1:
             self._learn(pools, np.random.default_rng(seed))
 
+    def emission(self, vocabulary: list[str]) -> np.ndarray:
+        """Summed weights of each word's features, some hundred words at a time."""
+        features, begins = word_features(vocabulary, self.buckets)
+        ends = np.append(begins[1:], len(features))
+        part = max(1, (1 << 22) // (64 * len(self.languages)))
+        out = [np.add.reduceat(self.table[features[begins[i] : ends[min(i + part, len(begins)) - 1]]], begins[i : i + part] - begins[i], axis=0) for i in range(0, len(begins), part)]
+        return np.concatenate(out)
+
     def _splice(self, pools: list[list[list[str]]], r: np.random.Generator) -> tuple[list[str], np.ndarray]:
         """Code-switched sequences: runs of words from documents of changing languages."""
         found: list[str] = []
@@ -177,22 +234,25 @@ class LanguageModel:
     def _learn(self, pools: list[list[list[str]]], r: np.random.Generator) -> None:
         """Adaptive gradient ascent on the conditional likelihood of the labels."""
         k = len(self.languages)
-        table, start, step = np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k))
-        size_t, size_a, size_s = np.full(BUCKETS, 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
-        lengths = np.full(SEQUENCES, SEQUENCE)
+        table, start, step = self.table, self.start, self.step
+        size_t, size_a, size_s = np.full(self.buckets, 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
+        lengths, slope = np.full(SEQUENCES, SEQUENCE), np.empty_like(table)
         for _ in range(STEPS):
             found, gold = self._splice(pools, r)
             vocabulary: dict[str, int] = {}
             at = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in found])
-            features, begins = word_features(list(vocabulary))
-            emission = np.add.reduceat(table[features], begins, axis=0)[at]
-            given = posteriors(emission, lengths, start, step)
-            error = np.eye(k)[gold] - given
-            by_word = np.stack([np.bincount(at, error[:, c], len(vocabulary)) for c in range(k)], 1)
-            spread = by_word[np.repeat(np.arange(len(vocabulary)), np.diff(np.append(begins, len(features))))]
-            slope = np.stack([np.bincount(features, spread[:, c], BUCKETS) for c in range(k)], 1) / SEQUENCES - DECAY * table
-            size_t += (slope * slope).sum(1)
-            table += RATE * slope / np.sqrt(size_t)[:, None]
+            features, begins = word_features(list(vocabulary), self.buckets)
+            emission = self.emission(list(vocabulary))[at].astype(float)
+            given = posteriors(emission.copy(), lengths, start, step)
+            error = -given
+            error[np.arange(len(gold)), gold] += 1
+            owner = np.repeat(np.arange(len(vocabulary)), np.diff(np.append(begins, len(features))))
+            for c in range(k):  # one language at a time: all features of all would be large
+                by_word = np.bincount(at, error[:, c], len(vocabulary))
+                slope[:, c] = np.bincount(features, by_word[owner], self.buckets) / SEQUENCES - DECAY * table[:, c]
+            size_t += np.einsum("ij,ij->i", slope, slope)
+            slope *= (RATE / np.sqrt(size_t)).astype(np.float32)[:, None]
+            table += slope
             # Expected transitions from neighbouring words' joint probabilities.
             p = given.reshape(SEQUENCES, SEQUENCE, k)
             scores = np.exp(emission - emission.max(1, keepdims=True)).reshape(SEQUENCES, SEQUENCE, k)
@@ -206,7 +266,6 @@ class LanguageModel:
             slope_s = (np.bincount(g[:, 0], minlength=k) - p[:, 0].sum(0)) / SEQUENCES
             size_s += slope_s * slope_s
             start += RATE * slope_s / np.sqrt(size_s)
-        self.table, self.start, self.step = table.astype(np.float32), start, step
 
     @staticmethod
     def _pairs(scores: np.ndarray, start: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -221,23 +280,27 @@ class LanguageModel:
         total, b = np.zeros_like(move), np.ones_like(a[0])
         for t in range(n - 1, 0, -1):
             y = scores[:, t] * b
-            joint = a[t - 1][:, :, None] * move * y[:, None, :]
-            total += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
             b = y @ move.T
+            whole = (a[t - 1] * b).sum(1, keepdims=True)
+            total += (a[t - 1] / whole).T @ y
             b /= b.sum(1, keepdims=True)
-        return total
+        return total * move
 
     def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean label probabilities of each text's words, and their number."""
         split = [words(t) for t in texts]
         lengths = np.array([len(w) for w in split])
         means = np.zeros((len(texts), len(self.languages)))
+        words_at_once = max(1, WORDS_BY_LANGUAGES // max(1, len(self.languages)))
+        if lengths.sum() > words_at_once and len(texts) > 1:
+            half = len(texts) // 2
+            return tuple(np.concatenate(x) for x in zip(self.label(texts[:half]), self.label(texts[half:]), strict=True))
         if not lengths.sum():
             return means, lengths
         vocabulary: dict[str, int] = {}
         at = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for ws in split for w in ws), np.int64, int(lengths.sum()))
-        features, begins = word_features(list(vocabulary))
-        emission = np.add.reduceat(self.table[features], begins, axis=0)[at].astype(float)
+        kind = float if len(self.languages) <= BLOCKWISE else np.float32
+        emission = self.emission(list(vocabulary))[at].astype(kind)
         given = posteriors(emission, lengths, self.start, self.step)
         filled = np.flatnonzero(lengths)
         starts = (np.cumsum(lengths) - lengths)[filled]
@@ -246,7 +309,7 @@ class LanguageModel:
 
 
 def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    sample, _ = own_sample(docs, lang_col, FOLDS, HELD_OUT, PER_LANGUAGE, LANGUAGES, id_col, text_col)
+    sample, _ = own_sample(docs, lang_col, FOLDS, HELD_OUT, PER_LANGUAGE, None, id_col, text_col, IN_ALL, FEWEST)
     found = {lang for lang, _, text in sample if words(text)}
     return LanguageModel(sample, sorted(found))
 

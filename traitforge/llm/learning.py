@@ -20,33 +20,43 @@ def sampled_text(text: F.Column) -> F.Column:
     return F.when(F.length(text) <= SAMPLE_CHARS, text).otherwise(F.concat_ws("\n", *cut))
 
 
+def _depth(lot: F.Column) -> F.Column:
+    """How rare so small a lot is: 64 steps for each halving."""
+    return F.floor((63 - F.log2(lot.cast("double") + 1)) * 64).cast("int")
+
+
 def _lots(rows: DataFrame, id_col: str) -> DataFrame:
-    """``rows`` with a hash ``lot`` of the id, and its ``depth``: 64 steps for each halving."""
+    """``rows`` with a hash ``lot`` of the id, and its ``depth``."""
     lot = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).bitwiseAND(F.lit((1 << 63) - 1))
-    return rows.withColumn("lot", lot).withColumn("depth", F.floor((63 - F.log2(F.col("lot").cast("double") + 1)) * 64).cast("int"))
+    return rows.withColumn("lot", lot).withColumn("depth", _depth(F.col("lot")))
 
 
-def smallest_lots(counted: DataFrame, per_class: int, most_classes: int | None = None) -> tuple[dict, dict]:
+def smallest_lots(counted: DataFrame, per_class: int, most_classes: int | None = None, in_all: int | None = None, fewest: int = 1) -> tuple[dict, dict, int]:
     """For each label, how deep rows must be for ``per_class`` of them or all, and its rows, from
-    (label, depth, count); of more labels than ``most_classes`` those with most rows."""
+    (label, depth, count), and the number for each: where there are so many labels that these are more
+    than ``in_all`` rows, an even share, but ``fewest``. Of more labels than ``most_classes`` those with
+    most rows."""
     if most_classes is not None:
         top = counted.groupBy("label").agg(F.sum("count").alias("total")).orderBy(F.desc("total"), "label").limit(most_classes)
         counted = counted.join(F.broadcast(top), "label")
+    rows = sorted(counted.select("label", "depth", "count").collect(), key=lambda r: (str(r["label"]), -r["depth"]))
+    if in_all is not None:
+        per_class = max(fewest, min(per_class, in_all // max(1, len({r["label"] for r in rows}))))
     least: dict = {}
     total: dict = {}
-    for r in sorted(counted.select("label", "depth", "count").collect(), key=lambda r: (str(r["label"]), -r["depth"])):
+    for r in rows:
         if total.get(r["label"], 0) < per_class:
             least[r["label"]] = r["depth"]
         total[r["label"]] = total.get(r["label"], 0) + r["count"]
-    return least, total
+    return least, total, per_class
 
 
-def _deep_enough(least: dict) -> F.Column:
+def _deep_enough(least: dict, depth: str = "depth") -> F.Column:
     """Condition on (label, depth); one comparison for each label."""
     if not least:
         return F.lit(False)
     bounds = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-    return F.col("depth") >= F.try_element_at(bounds, F.col("label"))
+    return F.col(depth) >= F.try_element_at(bounds, F.col("label"))
 
 
 def _first(found: list, per_class: int) -> list[tuple]:
@@ -59,17 +69,27 @@ def _first(found: list, per_class: int) -> list[tuple]:
     return sorted(rows)
 
 
-def own_sample(docs: DataFrame, label_col: str, folds: int, held_out: int, per_class: int, most_classes: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[str, str, str]], dict]:
-    """(label, id, text) of ``per_class`` rows of each label in ``docs`` itself, those whose ids
-    hash lowest, and the number of rows of each label. Rows of the held-out fold and rows without
-    label or text are left out; long texts give pieces. Two passes: one counts, one fetches."""
+def own_sample(docs: DataFrame, label_col: str, folds: int, held_out: int, per_class: int, most_classes: int | None = None, id_col: str = "doc_id", text_col: str = "text", in_all: int | None = None, fewest: int = 1) -> tuple[list[tuple[str, str, str]], dict]:
+    """(label, id, text) of ``per_class`` different rows of each label in ``docs`` itself, those whose
+    ids hash lowest, and the number of different rows of each label; of very many labels an even share
+    of ``in_all`` rows, but ``fewest``. Where many rows share an id, or have none, those are taken whose
+    texts hash lowest, so that some more than ``per_class`` rows of a label are fetched at most. Rows of
+    the held-out fold and rows without label or text are left out; long texts give pieces."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
     rows = _lots(rows.filter(F.col("label").isNotNull() & F.col("text").isNotNull() & (fold("id", folds) != held_out)), "id")
-    counted = materialize(rows.groupBy("label", "depth").count(), "lots")
-    least, total = smallest_lots(counted, per_class, most_classes)
+    rows = rows.withColumn("print", F.xxhash64("text").bitwiseAND(F.lit((1 << 63) - 1))).withColumn("inner", _depth(F.col("print")))
+    slim = rows.select("label", "lot", "depth", "print", "inner").distinct()
+    counted = materialize(slim.groupBy("label", "depth").count(), "lots")
+    least, total, per_class = smallest_lots(counted, per_class, most_classes, in_all, fewest)
     if not least:
         return [], {}
-    found = rows.filter(_deep_enough(least)).select("lot", "label", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), sampled_text(F.col("text")).alias("text")).distinct()
+    wanted = _deep_enough(least)
+    many = {r.label for r in counted.filter(wanted).groupBy("label").agg(F.sum("count").alias("n")).filter(F.col("n") > 2 * per_class).collect()}
+    if many:
+        own = slim.filter(wanted & F.col("label").isin(list(many))).groupBy("label", F.col("inner").alias("depth")).count()
+        inner, _, _ = smallest_lots(own, per_class)
+        wanted = wanted & (~F.col("label").isin(list(many)) | _deep_enough(inner, "inner"))
+    found = rows.filter(wanted).select("lot", "label", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), sampled_text(F.col("text")).alias("text")).distinct()
     return _first([tuple(r) for r in found.collect()], per_class), total
 
 
@@ -80,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     usable = materialize(_lots(known.join(texts.select("id"), "id", "left_semi"), "id"), "labelled")
-    least, total = smallest_lots(usable.groupBy("label", "depth").count(), per_class)
+    least, total, _ = smallest_lots(usable.groupBy("label", "depth").count(), per_class)
     if not least:
         return [], {}
     # At most about per_class rows of each class.
