@@ -129,3 +129,25 @@ def test_previous_smaller():
         values, begins = r.permutation(n), np.repeat(np.arange(0, n, 13), 13)[:n]
         want = [next((j for j in range(i - 1, begins[i] - 1, -1) if values[j] < values[i]), -1) for i in range(n)]
         assert previous_smaller(values, begins).tolist() == want
+
+
+def test_repeated_rows_give_their_spans_once(spark, monkeypatch):
+    """Of very many equal rows an anchor holds the first and the last occurrence, once each."""
+    r = random.Random(11)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(120))
+    docs = spark.createDataFrame([(5, text)] * 500 + [(6, text), (7, "else " + text[:300])], "doc_id long, text string").repartition(4)
+    seen, texts = [], suffix_dedup._texts
+
+    def counted(*args):
+        found = texts(*args)
+        seen.append(found.groupBy("anchor", "span", "rep").count().agg({"count": "max"}).first()[0])
+        return found
+
+    monkeypatch.setattr(suffix_dedup, "_texts", counted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Counter((x.doc_id, x.n_removed) for x in repeat_report(docs, keep="none").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {(5, len(text)): 500, (6, len(text)): 1, (7, 300): 1} and max(seen) == 1

@@ -284,7 +284,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
 
 def _texts(docs: DataFrame, spans: DataFrame, id_type: T.DataType, length: int) -> DataFrame:
     """(anchor, span, n, rep, inst, print, lo, text, id) of the first (``rep`` 0) and last (1)
-    occurrences of ``spans``. A repeated row gives its spans as often as it stands there."""
+    occurrences of ``spans``. Repeated rows, which a join leaves next to each other, give them once."""
     place = lambda rep, at: F.struct(F.lit(rep).alias("rep"), f"{at}.*")
     shown = F.when(F.col("copies") > 1, F.array(place(0, "first"), place(1, "last"))).otherwise(F.array(place(0, "first")))
     shown = spans.select("anchor", "span", "n", F.explode(shown).alias("at")).select("anchor", "span", "n", "at.*")
@@ -294,8 +294,11 @@ def _texts(docs: DataFrame, spans: DataFrame, id_type: T.DataType, length: int)
     schema = _typed("anchor long, span binary, n int, rep int, inst int, print binary, lo int, text binary", id_type)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, before = zstandard.ZstdDecompressor().decompress, None
         for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            batch = batch.filter(pa.array([k != p for k, p in zip(keys, [before, *keys[:-1]], strict=True)], pa.bool_()))
+            before = keys[-1] if keys else before
             own, row = batch.column(3).flatten(), pc.list_parent_indices(batch.column(3))
             lo, n = (own.field(c).to_numpy() for c in ("lo", "n"))
             parts, text, last = [], b"", -1
