@@ -93,3 +93,25 @@ def test_query_against_sql(spark, tmp_path, seed):
     want = sql(tmp_path, preference.OP4_SQL, "conversations")
     columns = sorted(got.columns)
     assert Counter(tuple(x[c] for c in columns) for x in got.collect()) == Counter(want.select(*columns).fetchall())
+
+
+def test_preferences_of_long_turns_empty_tables_and_clashing_columns(spark):
+    long = "wörd " * 200_000
+    rows = [(1, 0, "user", "hi", "x", 1), (1, 1, "assistant", long, "x", 1), (None, 0, "user", "lost", "x", 1)]
+    schema = "conv_id long, turn long, role string, text string, chosen string, n int"
+    a = spark.createDataFrame(rows, schema)
+    b = spark.createDataFrame([rows[0], (1, 1, "assistant", "no", "y", 2)], schema)
+    pair = lambda x, y: format_preferences(gather_turns(x, "conv_id", "chosen"), gather_turns(y, "conv_id", "rejected"), "conv_id")
+    (row,) = pair(a, b).collect()
+    start, end = map(int, row.chosen_trained.split("-"))
+    assert row.prompt_turns == 1 and row.chosen[start:end] == long + "<|im_end|>\n"
+    assert pair(a.limit(0), b).count() == pair(a, b.limit(0)).count() == pair(a.limit(0), b.limit(0)).count() == 0
+
+
+def test_fixity_of_long_pages_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "u", "<p>" + "x" * 2_000_000, "f", 0, "d"), (2, "v", "", "f", 1, "e"), (2, "v", "", "f", 1, "e"), (None, None, None, None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, file string, offset long, digest string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op1_merkle_fixity(spark, str(tmp_path))
+    want = sql(tmp_path, fixity.OP1_SQL, "pages")
+    columns = sorted(got.columns)
+    assert Counter(tuple(r[c] for c in columns) for r in got.collect()) == Counter(want.select(*[f'"{c}"' for c in columns]).fetchall())

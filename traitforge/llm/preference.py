@@ -8,7 +8,8 @@ array of turns for each conversation, which is the unit that is rendered.
 Defined results: turns stand in order of their number, then role and text; a null role or text is
 empty; turns without a conversation id belong to none and are left out; repeated turns are turns;
 if one conversation is a prefix of the other, its completion is empty; a pair with one side only
-is left out; other columns are not read.
+is left out; very long turns are rendered whole; empty tables give empty tables; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
