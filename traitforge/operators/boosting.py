@@ -275,7 +275,7 @@ class Forest:
         sums = parts.groupBy("fit", "code").agg(*[F.sum(n).alias(n) for n in names[2:]])
         if self.allowed is None:
             return sums
-        run = self.spark.createDataFrame([(k, self.fits[k].run) for k in live], "fit int, run string")
+        run = self.spark.createDataFrame(pa.table({"fit": pa.array(live, pa.int32()), "run": pa.array([self.fits[k].run for k in live], pa.string())}))
         return sums.join(F.broadcast(run), "fit").join(self.allowed.select("run", "code"), ["run", "code"], "left_semi").drop("run")
 
     def gains(self, live: list[int], levels: list[list[int]], known: list[list[tuple[float, float]]]) -> DataFrame:
@@ -283,7 +283,9 @@ class Forest:
         the sums of the rows in each leaf that hold it; ``known`` are the sums of the leaves there are."""
         width = 1 << max(len(c) for c in levels)
         padded = [(fit, [g for g, _ in own] + [0.0] * (width - len(own)), [h for _, h in own] + [0.0] * (width - len(own))) for fit, own in zip(live, known, strict=True)]
-        all_sums = self.spark.createDataFrame(padded, "fit int, all_g array<double>, all_h array<double>")
+        fit, all_g, all_h = zip(*padded, strict=True)
+        lists = pa.list_(pa.float64())
+        all_sums = self.spark.createDataFrame(pa.table({"fit": pa.array(fit, pa.int32()), "all_g": pa.array(all_g, lists), "all_h": pa.array(all_h, lists)}))
         found = self.histogram(live, levels).join(F.broadcast(all_sums), "fit")
         gain = split_gain([(F.col(f"g{k}"), F.col(f"h{k}"), F.col("all_g")[k], F.col("all_h")[k]) for k in range(width)])
         return found.select("fit", "code", F.round(gain, 9).alias("gain"), F.array(*[F.array(f"g{k}", f"h{k}") for k in range(width)]).alias("sums"))
