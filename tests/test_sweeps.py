@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from traitforge.operators import boosting, split
+from traitforge.operators import boosting, select, split
 from traitforge.plans import sweeps
 from traitforge.plans import workflows as W
 from traitforge.plans.storage import RunTable, Stages
@@ -111,3 +111,23 @@ def test_elimination_of_all_runs(spark):
         for r in found.collect():
             chosen.setdefault(r.run, set()).add(r.feature)
         assert all(len(v) == 2 and "sc_0" in v for v in chosen.values()) and len(chosen) == 3, (method, chosen)
+
+
+def test_closed_scores_of_all_runs_equal_those_of_each(spark):
+    rows, present, _ = interactions(spark)
+    for task, method in (("classification", "select_k_best"), ("classification", "chi_squared"), ("regression", "select_k_best")):
+        c = W.Config(task=task, method=method)
+        examples = sweeps.run_folds(rows, c, [0, 1]).cache()
+        table = sweeps.Table(examples, present, "interaction", ["run_0", "run_1"])
+        got = {(r.run, r.feature): r.score for r in sweeps.with_names(sweeps.closed_scores(table, c), table.codes).collect()}
+        want = {}
+        for run in ("run_0", "run_1"):
+            train = examples.filter((F.col("run") == run) & (F.col("fold") == "train"))
+            held = present.join(train.select("row"), "row", "left_semi")
+            labels = train.select("row", F.col("interaction").alias("label" if task == "classification" else "target"))
+            found = select.regression_f(held, labels, "row") if task == "regression" else (select.chi2 if method == "chi_squared" else select.anova_f)(held, labels, "row")
+            want |= {(run, r.feature): r.score for r in found.collect()}
+        assert got == {k: pytest.approx(v, rel=1e-6, abs=1e-9) for k, v in want.items()}
+        chosen, _ = W.select_runs(rows, present, c, 2, [0, 1])
+        assert {r["count"] for r in chosen.groupBy("run").count().collect()} == {2}
+        assert chosen.filter("feature = 'sc_0'").count() == 2

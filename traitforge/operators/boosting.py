@@ -98,7 +98,9 @@ def cells(examples: DataFrame, present: DataFrame, codes: DataFrame, runs: list[
     own = own.groupBy("row", "label", "i").agg(F.max(fold).alias("fold"), F.sum(F.coalesce(F.col("weight").cast("double"), F.lit(1.0))).alias("weight"))
     own = own.groupBy("row", "label").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("fold", "weight")))).alias("of"))
     each = F.sequence(F.lit(0), F.lit(len(runs) - 1))
-    own = own.select("row", "label", F.transform(each, lambda i: F.coalesce(F.col("of")[i]["fold"], F.lit(0))).alias("fold"), F.transform(each, lambda i: F.coalesce(F.col("of")[i]["weight"], F.lit(0.0))).alias("weight"))
+    folds = F.transform(each, lambda i: F.coalesce(F.col("of")[i]["fold"], F.lit(0)))
+    weights = F.transform(each, lambda i: F.coalesce(F.col("of")[i]["weight"], F.lit(0.0)))
+    own = own.select("row", "label", folds.alias("fold"), weights.alias("weight"))
     held = present.join(codes, "feature").groupBy("row").agg(F.collect_set("code").alias("held"))
     return own.join(held, "row", "left").withColumn("held", F.coalesce("held", F.array().cast("array<int>")))
 
@@ -249,7 +251,8 @@ class Forest:
         def total(rows, codes, label, fold, weight, score, leaf):
             g, h = gradients(label, score, weight * (fold == 1), task)
             tested = (fold == 2) & validate
-            yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(v) for v in (g.sum(0), h.sum(0), (losses(label, score, task) * tested).sum(0), tested.sum(0).astype(float)))], names=["fit", "g", "h", "loss", "n"])
+            sums = (g.sum(0), h.sum(0), (losses(label, score, task) * tested).sum(0), tested.sum(0).astype(float))
+            yield pa.RecordBatch.from_arrays([pa.array(own), *map(pa.array, sums)], names=["fit", "g", "h", "loss", "n"])
 
         found = self._scored(total, "fit int, g double, h double, loss double, n double", live, [[] for _ in live])
         return {r.fit: (r.g, r.h, r.loss, r.n) for r in found.groupBy("fit").agg(*[F.sum(c).alias(c) for c in ("g", "h", "loss", "n")]).collect()}
@@ -501,7 +504,9 @@ def attributions(rows: DataFrame, models: dict[str, list[tuple]], within: tuple[
                             bits |= holds[:, column].astype(np.int64) << level
                             total[:, column] += change[bits]
                     many = pa.array(np.repeat(np.arange(n), len(wanted)))
-                    yield pa.RecordBatch.from_arrays([batch.column("row").take(many), pa.array([name] * len(many)), pa.array(np.tile(wanted, n).astype(np.int32)), pa.array(holds[:, : len(wanted)].ravel()), pa.array(total.ravel())], names=["row", "fit", "code", "held", "attribution"])
+                    codes, held = np.tile(wanted, n).astype(np.int32), holds[:, : len(wanted)].ravel()
+                    columns = [pa.array([name] * len(many), pa.string()), pa.array(codes), pa.array(held), pa.array(total.ravel())]
+                    yield pa.RecordBatch.from_arrays([batch.column("row").take(many), *columns], names=["row", "fit", "code", "held", "attribution"])
 
     return rows.select("row", "held", *(["fold"] if within else [])).mapInArrow(walk, "row string, fit string, code int, held boolean, attribution double")
 

@@ -41,7 +41,9 @@ def dense_vectors(table: DataFrame, key: str, column: str) -> tuple[DataFrame, D
     """(vectors, names) of rows with an array of numbers; names are (id, ``key``)."""
     names = materialize(numbered(table.select(key, F.col(column).cast("array<double>").alias("v")).na.drop(subset=[key]), [F.col(key)], "id"), "vectors")
     at = F.transform("v", lambda _, i: i.cast("int"))
-    return names.select(F.col("id").cast("long").alias("id"), F.lit(1.0).alias("n"), F.coalesce(at, F.array().cast("array<int>")).alias("at"), F.coalesce("v", F.array().cast("array<double>")).alias("v")), names.select(F.col("id").cast("long").alias("id"), key)
+    number = F.col("id").cast("long").alias("id")
+    places, values = F.coalesce(at, F.array().cast("array<int>")), F.coalesce("v", F.array().cast("array<double>"))
+    return names.select(number, F.lit(1.0).alias("n"), places.alias("at"), values.alias("v")), names.select(number, key)
 
 
 def presence_vectors(present: DataFrame, key: str, feature: str) -> tuple[DataFrame, DataFrame]:
@@ -342,7 +344,9 @@ def hdbscan_groups(vectors: DataFrame, names: DataFrame, key: str, least: int =
     own. With fewer than ``fewest`` labels, noise being one, Ward's ``fewest`` clusters instead."""
     vectors = materialize(vectors, "vectors")
     links = spanning_tree(vectors, least)
-    every = links.withColumn("id", F.lit(None).cast("long")).unionByName(vectors.select(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("d"), "id"))
+    none = F.lit(None).cast("long")
+    alone = vectors.select(none.alias("a"), none.alias("b"), F.lit(None).cast("double").alias("d"), "id")
+    every = links.withColumn("id", none).unionByName(alone)
 
     def label(rows: pa.Table) -> pa.Table:
         listed = list(zip(*(rows.column(c).to_pylist() for c in ("a", "b", "d", "id")), strict=True))

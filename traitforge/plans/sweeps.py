@@ -85,6 +85,47 @@ def _keep_best(left: DataFrame, scores: DataFrame, keep: dict[str, int]) -> Data
     return numbered.join(F.broadcast(wanted), "run").filter("at < keep").select("run", "code")
 
 
+def closed_scores(table: Table, c) -> DataFrame:
+    """(run, code, score): the closed-form score of every feature in every run's training rows, as
+    ``operators.select`` has it for one run. One aggregation counts for all runs, a column each; per
+    class and run one number reaches the driver."""
+    runs = table.runs
+    trained = [F.col("fold")[k] == 1 for k in range(len(runs))]
+    each = table.data.select("label", "fold", F.explode("held").alias("code"))
+    if c.task != "classification":
+        y = F.col("label")
+        sums = lambda of: [of(k, t) for k, t in enumerate(trained)]
+        counted = each.groupBy("code").agg(*sums(lambda k, t: F.count_if(t).alias(f"s{k}")), *sums(lambda k, t: F.sum(F.when(t, y)).alias(f"y{k}")))
+        whole = table.data.agg(*sums(lambda k, t: F.count_if(t).alias(f"n{k}")), *sums(lambda k, t: F.sum(F.when(t, y)).alias(f"y{k}")), *sums(lambda k, t: F.sum(F.when(t, y * y)).alias(f"z{k}"))).first()
+        facts = [F.struct(F.lit(r).alias("run"), F.col(f"s{k}").cast("double").alias("sx"), F.coalesce(f"y{k}", F.lit(0.0)).alias("sxy"), F.lit(float(whole[f"n{k}"])).alias("n"), F.lit(float(whole[f"y{k}"] or 0)).alias("sy"), F.lit(float(whole[f"z{k}"] or 0)).alias("syy")) for k, r in enumerate(runs)]
+        rows = counted.select("code", F.explode(F.array(*facts)).alias("f")).select("code", "f.*").filter("sx > 0")
+        cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
+        r2 = F.try_divide(cov * cov, (F.col("n") * F.col("sx") - F.col("sx") * F.col("sx")) * (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")))
+        return rows.select("run", "code", select._statistic(r2 * (F.col("n") - 2), 1 - r2).alias("score"))
+    counts = [F.count_if(t).alias(f"s{k}") for k, t in enumerate(trained)]
+    sizes = [(runs[k], float(r.label), float(r[f"s{k}"])) for r in table.data.groupBy("label").agg(*counts).collect() for k in range(len(runs)) if r[f"s{k}"]]
+    held = each.groupBy("code", "label").agg(*counts)
+    one = F.explode(F.array(*[F.struct(F.lit(r).alias("run"), F.col(f"s{k}").cast("double").alias("s")) for k, r in enumerate(runs)])).alias("x")
+    spark = table.data.sparkSession
+    by_class = spark.createDataFrame(sizes, "run string, label double, n double")
+    by_run = by_class.groupBy("run").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("k"))
+    rows = held.select("code", "label", one).select("code", "label", "x.run", "x.s").filter("s > 0").join(F.broadcast(by_class), ["run", "label"])
+    sums = rows.groupBy("run", "code").agg(F.sum("s").alias("total"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between")).join(F.broadcast(by_run), "run")
+    total, between, n = F.col("total"), F.col("between"), F.col("rows")
+    if c.method == "chi_squared":
+        # Observed sums against the classes' shares of the feature's sum, the squares multiplied out.
+        return sums.select("run", "code", (n / total * between - total).alias("score"))
+    ssb, ssw = between - total * total / n, total - between
+    return sums.select("run", "code", select._statistic(F.try_divide(ssb, F.col("k") - 1), F.try_divide(ssw, n - F.col("k"))).alias("score"))
+
+
+def select_by_scores(table: Table, allowed: DataFrame, wanted: int, c) -> DataFrame:
+    """(run, code): the ``wanted`` features of each run with the highest closed-form scores."""
+    left = materialize(allowed, "left")
+    scores = closed_scores(table, c).withColumn("score", F.coalesce(F.round("score", 9), F.lit(-1.0)))
+    return _keep_best(left, scores, dict.fromkeys(table.runs, wanted))
+
+
 #: Ensembles whose trees are sent to tasks at once.
 SENT = 32
 

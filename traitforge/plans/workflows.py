@@ -162,25 +162,26 @@ def _settings(c: Config, seed: int) -> model.Settings:
     return model.Settings(task=c.task, label=c.phenotype, weight="weight" if c.use_weights else None, seed=seed, grid=c.grid, threads=c.threads)
 
 
-TREE_METHODS = ("rfe", "shap_rfe", "shap")
+TREE_METHODS, CLOSED_METHODS = ("rfe", "shap_rfe", "shap"), ("select_k_best", "chi_squared")
 
 
 def select_runs(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seeds: list[int], groups: DataFrame | None = None) -> tuple[DataFrame, sweeps.Table | None]:
-    """(run, feature) that trees select in all runs at once, and the table of cells that they were
-    grown on. Runs whose training rows are of one class have none."""
+    """(run, feature) that trees or closed forms select in all runs at once, and the table of cells that
+    they read. Runs whose training rows are of one class have none."""
     examples = sweeps.materialize(sweeps.run_folds(rows, c, seeds, groups), "examples")
     runs = sorted(sweeps.usable_runs(examples, c, both=False), key=lambda r: int(r[4:]))
     if not runs:
         return rows.sparkSession.createDataFrame([], "run string, feature string"), None
     table = sweeps.Table(examples.filter(F.col("run").isin(runs)), present, c.phenotype, runs)
-    kept = sweeps.select_by_trees(table, runs, boosting.common_codes(table.data, runs), wanted, c)
+    allowed = boosting.common_codes(table.data, runs)
+    kept = sweeps.select_by_scores(table, allowed, wanted, c) if c.method in CLOSED_METHODS else sweeps.select_by_trees(table, runs, allowed, wanted, c)
     return sweeps.with_names(kept, table.codes).select("run", "feature"), table
 
 
 def select_run(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seed: int, groups: DataFrame | None = None) -> list[str]:
     """One run's selected features, from its training rows, of those that both folds have; none if
     the training rows are of one class."""
-    if c.method in TREE_METHODS and c.prefilter is None:
+    if c.method in CLOSED_METHODS or c.method in TREE_METHODS and c.prefilter is None:
         found, _ = select_runs(rows, present, c, wanted, [seed], groups)
         return sorted(r.feature for r in found.collect())
     folded = sweeps.run_folds(rows, c, [seed], groups).drop("run", "weight")
@@ -191,13 +192,10 @@ def select_run(rows: DataFrame, present: DataFrame, c: Config, wanted: int, seed
     both = split.common_features(trained, present.join(test.select("row"), "row", "left_semi"))
     trained = trained.join(both, "feature", "left_semi")
     label = train.select("row", F.col(c.phenotype).alias("label")).distinct()
-    closed = c.method in ("select_k_best", "chi_squared")
-    if closed or c.prefilter is not None:
-        score = select.chi2 if c.method == "chi_squared" else select.anova_f if c.task == "classification" else None
+    if c.prefilter is not None:
+        score = select.anova_f if c.task == "classification" else None
         scores = score(trained, label, "row") if score else select.regression_f(trained, label.withColumnRenamed("label", "target"), "row")
-        names = sorted(r.feature for r in select.top_features(scores, wanted if closed else c.prefilter).collect())
-        if closed:
-            return names
+        names = sorted(r.feature for r in select.top_features(scores, c.prefilter).collect())
     else:
         names = sorted(r.feature for r in both.collect())  # the columns of a model
     if not names:
@@ -255,8 +253,8 @@ def selection(stages: Stages, rows: DataFrame, present: DataFrame, c: Config, gr
     """(cut_off, feature): features by the number of runs that selected them. Each run's grid is
     fitted too, and the importances of its best model kept under ``selection_importances``.
 
-    Selection by trees and the grids grow all runs together; the closed forms and L1 models take a
-    few jobs a run.
+    Closed forms are counted, and trees and grids grown, for all runs together; L1 models take a few jobs
+    a run.
     """
     spark = rows.sparkSession
     n = rows.count()
@@ -265,7 +263,7 @@ def selection(stages: Stages, rows: DataFrame, present: DataFrame, c: Config, gr
     label = _run_label("selection")
     todo = [int(run[4:]) for (run,) in sweep.open([(f"run_{s}",) for s in range(c.runs_selection)], label)]
     began = time.monotonic()
-    if todo and c.method in TREE_METHODS and c.prefilter is None:
+    if todo and (c.method in CLOSED_METHODS or c.method in TREE_METHODS and c.prefilter is None):
         found, _ = select_runs(rows, present, c, wanted, todo, groups)
         _selected(sweep, found, todo, label, began)
     else:
@@ -587,7 +585,8 @@ def _predict_pipelines(spark: SparkSession, folder: str, rows: DataFrame, presen
         _require_known(spark, known, names)
         table = held_table(rows, present, spark.createDataFrame([(f,) for f in names], "feature string"))
         part = model.score(fitted, table, c.task)
-        part = part.select("row", *keys, F.col("confidence") if c.task == "classification" else F.lit(None).cast("double").alias("confidence"), "prediction", F.lit(run).alias("run"))
+        confidence = F.col("confidence") if c.task == "classification" else F.lit(None).cast("double")
+        part = part.select("row", *keys, confidence.alias("confidence"), "prediction", F.lit(run).alias("run"))
         out = part if out is None else out.unionByName(part)
     return out
 
