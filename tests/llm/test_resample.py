@@ -38,7 +38,7 @@ def corpus(seed, n=300):
     r = random.Random(seed)
     word = lambda: "".join(r.choice(["Ti", "on", "é", "ing", "ß9", "the"]) for _ in range(r.randint(1, 3)))
     rows = [(k, r.choice([" ", "-", "\n"]).join(word() for _ in range(r.randint(0, 80)))) for k in range(n)]
-    rows += [(None, "lost words " * 15), (None, None), (3, None), (7, "twice " * 30), (7, "twice " * 30), (n, "x"), (n + 1, "word " * 30_000)]
+    rows += [(None, "lost words " * 15), (None, None), (3, None), (7, "twice " * 30), (7, "twice " * 30), (n, "x"), (n + 1, "word " * 3000)]
     return rows, [rows[5][1], "the ing", None, ""]
 
 
