@@ -80,3 +80,17 @@ def test_long_rows_take_seconds_not_minutes(spark):
         took = time.monotonic() - began
         assert took < 8, took
         print(took)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+
+
+def test_residues_become_rows_last(spark):
+    """Rows of one protein meet before residues are rows, also those of different sequences."""
+    rows = [("f", "fam", "p", "KTA", "KT"), ("f", "fam", "p", "KTA", "TA"), ("f", "fam", "p", "K-TC", "C"), ("f", "fam", "p", None, "K"), ("f", "fam", "q", "AA", "K")]
+    aligned = spark.createDataFrame(rows, "feature string, family string, protein_id string, aligned string, kmer string")
+    found = coverage.residue_coverage(coverage.kmer_ranges(aligned))
+    got = sorted((r.protein_id, r["index"], r.residue, r.coverage) for r in found.collect())
+    assert got == [("p", 0, "K", 1), ("p", 1, "T", 1), ("p", 2, "A", 1), ("p", 2, "T", 0), ("p", 3, "C", 1), ("q", 0, "A", 0), ("q", 1, "A", 0)]
+    assert plan_of(found).index("Generate") < plan_of(found).index("Exchange")

@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.sequences import gap_tolerant_ranges
+from ..functions.sequences import bound, gap_tolerant_ranges
 
 KEYS = ["feature", "family", "protein_id"]
 
@@ -71,12 +71,27 @@ def covered_residues(aligned: DataFrame, kmers: DataFrame, gap_aware: bool = Fal
 def residue_coverage(ranges: DataFrame) -> DataFrame:
     """(keys, index, residue, coverage): 1 where some k-mer of the protein covers the residue.
 
-    Gaps are no residues. Each row's own sequence is marked by its own ranges, and rows of several
-    k-mers meet in one aggregation; no join of places is needed.
+    Gaps are no residues. Rows are dealt out by their keys and the ranges of equal sequences united, so
+    only the result is as long as the residues; different sequences with the same keys are united in order of index.
     """
-    marked = F.transform(F.split("aligned", ""), lambda r, i: F.struct(i.alias("index"), r.alias("residue"), F.exists("ranges", lambda x: i.between(x["start"], x["stop"])).cast("int").alias("hit")))
-    rows = ranges.select(*KEYS, F.explode(F.filter(marked, lambda m: ~m["residue"].isin("-", ""))).alias("m"))
-    return rows.groupBy(*KEYS, F.col("m.index").alias("index"), F.col("m.residue").alias("residue")).agg(F.max("m.hit").alias("coverage"))
+    own = ranges.filter("aligned IS NOT NULL").select(*KEYS, "aligned", "ranges").repartition(*KEYS)
+    united = own.groupBy(*KEYS, "aligned").agg(F.when(F.count("ranges") > 0, F.flatten(F.collect_list("ranges"))).alias("ranges"))
+    texts = united.groupBy(*KEYS).agg(F.collect_list(F.struct("aligned", "ranges")).alias("texts"))
+
+    def marked(text: Column) -> Column:
+        hit = lambda i: F.exists(text["ranges"], lambda x: i.between(x["start"], x["stop"])).cast("int")
+        each = F.transform(F.split(text["aligned"], ""), lambda r, i: F.struct(i.alias("index"), r.alias("residue"), F.coalesce(-hit(i), F.lit(1)).alias("miss")))
+        return F.filter(each, lambda m: ~m["residue"].isin("-", ""))
+
+    def firsts(rows: Column) -> Column:
+        """Of equal index and residue the first, that is the covered one if any is."""
+        before = lambda i: F.get(rows, i - 1)
+        return F.filter(rows, lambda m, i: (i == 0) | (before(i)["index"] != m["index"]) | (before(i)["residue"] != m["residue"]))
+
+    one = bound(F.get("texts", F.lit(0)), marked)
+    many = bound(F.sort_array(F.flatten(F.transform("texts", marked))), firsts)
+    rows = texts.select(*KEYS, F.explode(F.when(F.size("texts") == 1, one).otherwise(many)).alias("m"))
+    return rows.select(*KEYS, F.col("m.index").alias("index"), F.col("m.residue").alias("residue"), F.when(F.col("m.miss") < 1, -F.col("m.miss")).alias("coverage"))
 
 
 def segments(covered: DataFrame, keys: list[str] | None = None, order: list[str] | None = None, flag: str = "coverage") -> DataFrame:
