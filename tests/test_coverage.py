@@ -94,3 +94,13 @@ def test_residues_become_rows_last(spark):
     got = sorted((r.protein_id, r["index"], r.residue, r.coverage) for r in found.collect())
     assert got == [("p", 0, "K", 1), ("p", 1, "T", 1), ("p", 2, "A", 1), ("p", 2, "T", 0), ("p", 3, "C", 1), ("q", 0, "A", 0), ("q", 1, "A", 0)]
     assert plan_of(found).index("Generate") < plan_of(found).index("Exchange")
+
+
+def test_many_short_rows_take_seconds(spark):
+    """Residues are handed over many proteins at a time."""
+    rows = spark.range(30_000).select(F.lit("fam").alias("family"), F.col("id").alias("protein_id"), F.lit("largering").alias("aligned"))
+    kmers = rows.select(F.explode(F.array(F.lit("f"), F.lit("g"), F.lit("h"))).alias("feature"), "family", "protein_id", F.lit("ri").alias("kmer"))
+    coverage.covered_residues(rows.limit(1), kmers.limit(1)).count()  # warm
+    began = time.monotonic()
+    assert coverage.covered_residues(rows, kmers).agg(F.count(F.lit(1)), F.sum("coverage")).first()[:] == (810_000, 180_000)
+    assert time.monotonic() - began < 12

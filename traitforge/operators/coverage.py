@@ -9,10 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.sequences import bound, gap_tolerant_ranges
 
 KEYS = ["feature", "family", "protein_id"]
+#: Residues that a task hands over at once.
+RESIDUES = 200_000
 
 
 def kmer_ranges(aligned: DataFrame, gap_aware: bool = False) -> DataFrame:
@@ -29,45 +32,67 @@ def covered_residues(aligned: DataFrame, kmers: DataFrame, gap_aware: bool = Fal
     ranges of a feature are united on a line, and only then residues become rows.
     """
     keys = ["family", "protein_id"]
-    asked = kmers.dropDuplicates([*KEYS, "kmer"]).groupBy(*keys).agg(F.collect_list(F.struct("feature", "kmer")).alias("asked"))
-    rows = aligned.dropDuplicates([*keys, "aligned"]).join(asked, keys).select(*keys, "aligned", "asked")
+    # Dealt out by protein before anything is aggregated: a small file may be one task.
+    asked = kmers.select(*KEYS, "kmer").repartition(*keys).groupBy(*keys).agg(F.collect_set(F.struct("feature", "kmer")).alias("asked"))
+    rows = aligned.select(*keys, "aligned").repartition(*keys).dropDuplicates().join(asked, keys).select(*keys, "aligned", "asked")
     feature, own = kmers.schema["feature"], [aligned.schema[k] for k in keys]
     schema = T.StructType([feature, *own, *T._parse_datatype_string("index int, residue string, coverage int").fields])
     at = rows.columns.index("asked")
 
+    kind = rows.schema["asked"].dataType.elementType["feature"].dataType
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found, n = [], 0
             for r, (text, wanted) in enumerate(zip(batch.column("aligned").to_pylist(), batch.column(at).to_pylist(), strict=True)):
-                if text is None:
-                    continue
-                letters = np.array(list(text))
-                place = np.flatnonzero(letters != "-")
-                plain = "".join(letters[place])
-                table: dict[str, list[int]] = {}
-                names = list(dict.fromkeys(x["feature"] for x in wanted))
-                number = {f: i for i, f in enumerate(names)}
-                for x in wanted:
-                    if x["kmer"]:
-                        table.setdefault(x["kmer"], []).append(number[x["feature"]])
-                # Where ranges begin and end, for each feature, on the line of the alignment.
-                edges = np.zeros((len(names), len(text) + 1), np.int32)
-                for k in {len(m) for m in table}:
-                    for i in range(len(plain) - k + 1):
-                        for f in table.get(plain[i : i + k], ()):
-                            start = place[i]
-                            stop = place[i + k - 1] if gap_aware else start + k - 1
-                            edges[f, start] += 1
-                            edges[f, min(stop + 1, len(text))] -= 1
-                covered = (np.cumsum(edges, 1)[:, :-1][:, place] > 0).astype(np.int32)
-                for f, name in enumerate(names):
-                    n = pa.array(np.full(len(place), r))
-                    keyed = [batch.column(c).take(n) for c in keys]
-                    one = pa.array([name], batch.column(at).type.value_type.field("feature").type).take(pa.array(np.zeros(len(place), np.int64)))
-                    yield pa.RecordBatch.from_arrays([one, *keyed, pa.array(place.astype(np.int32)), pa.array(letters[place].tolist(), pa.string()), pa.array(covered[f])], names=schema.names)
+                if text is not None:
+                    found.append((r, *_covered(text, wanted, gap_aware)))
+                    n += found[-1][2].size
+                if n >= RESIDUES:
+                    yield together(batch, found)
+                    found, n = [], 0
+            if found:
+                yield together(batch, found)
+
+    def together(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
+        """One batch of the residues of many proteins, feature by feature in each."""
+        sizes = np.array([covered.size for _, _, covered, *_ in found])
+        of = pa.array(np.repeat([r for r, *_ in found], sizes))
+        lengths = np.concatenate([np.full(len(names), len(place)) for _, names, _, place, _ in found])
+        names = pa.array([f for _, names, *_ in found for f in names], to_arrow_type(kind)).take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+        place = np.concatenate([np.tile(place, len(names)) for _, names, _, place, _ in found]).astype(np.int32)
+        letters = np.concatenate([np.tile(letters, len(names)) for _, names, _, _, letters in found])
+        covered = np.concatenate([covered.ravel() for _, _, covered, *_ in found])
+        columns = [names, *[batch.column(c).take(of) for c in keys], pa.array(place), pa.array(letters.tolist(), pa.string()), pa.array(covered)]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(walk, schema)
 
 
+def _covered(text: str, wanted: list[dict], gap_aware: bool) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, coverage by feature and residue, the residues' places, the residues) of one protein."""
+    letters = np.array(list(text), "U1")
+    place = np.flatnonzero(letters != "-")
+    plain = text.replace("-", "")
+    names = list(dict.fromkeys(x["feature"] for x in wanted))
+    number = {f: i for i, f in enumerate(names)}
+    table: dict[str, list[int]] = {}
+    for x in wanted:
+        if x["kmer"]:
+            table.setdefault(x["kmer"], []).append(number[x["feature"]])
+    # Where ranges begin and end, for each feature, on the line of the alignment.
+    edges = np.zeros((len(names), len(text) + 1), np.int32)
+    for k in {len(m) for m in table}:
+        for i in range(len(plain) - k + 1):
+            for f in table.get(plain[i : i + k], ()):
+                start = place[i]
+                stop = place[i + k - 1] if gap_aware else start + k - 1
+                edges[f, start] += 1
+                edges[f, min(stop + 1, len(text))] -= 1
+    covered = (np.cumsum(edges, 1)[:, :-1][:, place] > 0).astype(np.int32)
+    return names, covered, place, letters[place]
+
+
 def residue_coverage(ranges: DataFrame) -> DataFrame:
     """(keys, index, residue, coverage): 1 where some k-mer of the protein covers the residue.
 
