@@ -70,3 +70,11 @@ def test_gapped_positions_match_a_regular_expression(spark, texts, kmer):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, a string")
     got = {r.i: r.s for r in df.select("i", S.gap_tolerant_starts(F.col("a"), F.lit(kmer)).alias("s")).collect()}
     assert got == {i: [m.start() for m in pattern.finditer(t)] for i, t in enumerate(texts)}
+
+
+def test_proteins_are_dealt_out_before_their_kmers_are_rows(spark):
+    proteins = spark.createDataFrame([("a", "MKTM"), ("b", "MKT"), ("b", "MKT"), ("c", None)], "protein_id string, sequence string").coalesce(1)
+    found = sequence.explode_kmers(proteins, 3, ["protein_id"])
+    assert sorted(map(tuple, found.collect())) == [("a", "KTM"), ("a", "MKT"), ("b", "MKT"), ("b", "MKT")]
+    plan = found._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.index("Generate") < plan.index("Exchange hashpartitioning(protein_id")

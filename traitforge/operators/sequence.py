@@ -10,8 +10,11 @@ from ..functions.sequences import kmer_range, kmers
 
 
 def explode_kmers(proteins: DataFrame, k: int, keep: list[str], sequence: str = "sequence") -> DataFrame:
-    """One row for each occurrence: the columns ``keep`` and ``kmer``."""
-    return proteins.select(*keep, F.explode(kmers(F.col(sequence), k)).alias("kmer"))
+    """One row for each occurrence: the columns ``keep`` and ``kmer``. Proteins are dealt out first, since
+    the k-mers of a small file, which is one task, may be many; streams stay as they are."""
+    used = list(dict.fromkeys([*keep, sequence]))
+    dealt = proteins if proteins.isStreaming else proteins.select(*used).repartition(*used)
+    return dealt.select(*keep, F.explode(kmers(F.col(sequence), k)).alias("kmer"))
 
 
 def explode_kmer_range(proteins: DataFrame, least: int, most: int, keep: list[str], sequence: str = "sequence") -> DataFrame:
