@@ -142,3 +142,20 @@ def test_few_labels_fall_back_to_ward_and_edge_cases(spark):
     assert groups_of(H.ward_groups(v, names, "genome", 9)) == {frozenset({i}) for i in (1, 2, 3, 4)}
     v, names = H.presence_vectors(present.limit(0), "genome", "feature")
     assert H.ward_groups(v, names, "genome", 3).count() == 0
+
+
+def test_what_a_search_sends_grows_with_the_vectors(spark, monkeypatch):
+    """Sixty blocks' worth of vectors are searched in about ``TASKS`` pairs of blocks, not in 3,600."""
+    monkeypatch.setattr(H, "BLOCK", 10)
+    v, _ = vectors(spark, np.random.RandomState(1).rand(600, 3))
+    pairs = H._searched(v, v, lambda a, b: H.pa.table({"id": H.pa.array([1], H.pa.int64())}), "id long").count()
+    assert 32 <= pairs <= 72, pairs
+
+
+def test_vectors_that_keep_what_they_found_do_not_search_again(spark, monkeypatch):
+    asked, search = [], H.nearest_outside
+    monkeypatch.setattr(H, "nearest_outside", lambda queries, rows: asked.append(queries.count()) or search(queries, rows))
+    r = np.random.RandomState(6)
+    v, _ = vectors(spark, np.concatenate([r.randn(30, 2) * 0.1 + c for c in ((0, 0), (5, 0), (0, 7))]))
+    assert H.spanning_tree(v, 3).count() == 89
+    assert asked[0] == 90 and asked[-1] < 90, asked

@@ -1,8 +1,10 @@
 """Ward's hierarchy and HDBSCAN over many vectors, exact, in rounds of block searches.
 
 A search answers for each vector of a query set which other ones are nearest. Queries and vectors
-are dealt into blocks; each pair of blocks is one task's matrix product, of which only each query's
-best leave the task, so no pair is a row. Vectors are sparse (places and values), so
+are dealt into blocks, and each pair of blocks is one task's, of which only each query's best leave the
+task, so no pair is a row. There are about ``TASKS`` pairs of blocks whatever the number of vectors, as long
+as a block holds no more than ``VALUES`` values, so what is sent grows with the vectors and not with their
+square. A task multiplies ``BLOCK`` by ``BLOCK`` vectors at a time. Vectors are sparse (places and values), so
 presence of any number of features fits; the product runs over ``PLACES`` of them at a time.
 
 Ward: two clusters that are nearest to each other merge, all such pairs of a round at once, and the
@@ -12,7 +14,9 @@ those whose nearest one merged, search again. The last ``SMALL`` clusters are me
 
 HDBSCAN: distances to the ``least``-th nearest (itself counted) are cores; the distance of two vectors
 is at least either's core. Rounds of Boruvka join each component to its nearest other one until one
-is left: its links are the minimum spanning tree. One row a vector, they give the tree of clusters of
+is left: its links are the minimum spanning tree. What a vector found holds until that joins its own
+component, and is a lower bound from then on; it searches again only if that bound is within what others of
+its component still hold. One row a vector, they give the tree of clusters of
 at least ``least`` vectors, of which those are kept that are most stable.
 
 Defined results: distances count to 9 digits; of equally near ones those of smaller numbers are
@@ -22,17 +26,24 @@ fewer vectors than groups asked for are groups of their own.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.storage import materialize
 from .graph import components
 from .prefix import numbered
 
-#: Vectors in a block, places of them multiplied at once, and clusters that one task merges.
+#: Vectors and places of them multiplied at once, and clusters that one task merges.
 BLOCK, PLACES, SMALL = 1000, 4096, 2048
+#: Pairs of blocks of a search, and values in a block at most.
+TASKS, VALUES = 64, 8_000_000
 
 VECTORS = "id long, n double, at array<int>, v array<double>"
 
@@ -56,91 +67,162 @@ def presence_vectors(present: DataFrame, key: str, feature: str) -> tuple[DataFr
     return rows.select("id", F.lit(1.0).alias("n"), "at", F.transform("at", lambda _: F.lit(1.0)).alias("v")), names.select("id", key)
 
 
-def _sparse(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, value) of all values."""
-    at, v = (table.column(c).combine_chunks() for c in ("at", "v"))
-    sizes = at.value_lengths().to_numpy()
-    return np.repeat(np.arange(len(sizes)), sizes), at.flatten().to_numpy(), v.flatten().to_numpy()
-
-
-def square_distances(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """Squared distances of the means of two blocks, rows of ``a`` by rows of ``b``."""
-    (ra, pa_, va), (rb, pb, vb) = _sparse(a), _sparse(b)
-    na, nb = (t.column("n").to_numpy() for t in (a, b))
-    va, vb = va / na[ra], vb / nb[rb]
-    square = [np.bincount(r, v * v, len(n)) for r, v, n in ((ra, va, na), (rb, vb, nb))]
-    places = np.union1d(pa_, pb)
-    ia, ib = np.searchsorted(places, pa_), np.searchsorted(places, pb)
-    product = np.zeros((len(na), len(nb)))
-    for first in range(0, len(places), PLACES):
-        width = min(PLACES, len(places) - first)
-        parts = []
-        for r, i, v, n in ((ra, ia, va, na), (rb, ib, vb, nb)):
-            own = (i >= first) & (i < first + width)
-            dense = np.zeros((len(n), width))
-            dense[r[own], i[own] - first] = v[own]
-            parts.append(dense)
-        product += parts[0] @ parts[1].T
-    return np.maximum(square[0][:, None] + square[1][None, :] - 2 * product, 0.0)
-
-
-def ward_distances(a: pa.Table, b: pa.Table) -> np.ndarray:
+class Block:
+    """Vectors of a block in order of their numbers: means by row, and what else their table holds."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("id")
+        self.table, self.ids, self.n = table, table.column("id").to_numpy(), table.column("n").to_numpy()
+        at, v = (table.column(c).combine_chunks() for c in ("at", "v"))
+        self.sizes = at.value_lengths().to_numpy()
+        self.first = np.concatenate([[0], np.cumsum(self.sizes)])
+        row = np.repeat(np.arange(len(self.ids)), self.sizes)
+        self.at, self.v = at.flatten().to_numpy(), v.flatten().to_numpy() / self.n[row]
+        self.square = np.bincount(row, self.v * self.v, len(self.ids))
+
+    def column(self, name: str) -> np.ndarray:
+        return self.table.column(name).to_numpy()
+
+    def tiles(self) -> list[slice]:
+        return [slice(i, min(i + BLOCK, len(self.ids))) for i in range(0, len(self.ids), BLOCK)]
+
+    def held(self, rows: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of some rows."""
+        return self.at[self.first[rows.start] : self.first[rows.stop]], self.v[self.first[rows.start] : self.first[rows.stop]]
+
+    def dense(self, rows: slice, places: np.ndarray) -> np.ndarray:
+        """Some rows' values at ``places`` (in order), 0 where there are none."""
+        out = np.zeros((rows.stop - rows.start, len(places)))
+        if len(places):
+            at, v = self.held(rows)
+            row = np.repeat(np.arange(len(out)), self.sizes[rows])
+            i = np.minimum(np.searchsorted(places, at), len(places) - 1)
+            own = places[i] == at
+            out[row[own], i[own]] = v[own]
+        return out
+
+
+def squared_tiles(a: Block, b: Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """(rows of ``a``, rows of ``b``, squared distances of their means), ``a`` tile by tile."""
+    places = np.union1d(a.at, b.at)
+    # Few places: each side is spread out once. Many: only those of a tile, and so many at a time.
+    spread = len(places) <= PLACES and len(b.ids) * len(places) <= 2 * VALUES
+    sides = [(rows, b.dense(rows, places)) for rows in b.tiles()] if spread else [(rows, None) for rows in b.tiles()]
+    for rows in a.tiles():
+        own = a.dense(rows, places) if spread else None
+        for others, side in sides:
+            if spread:
+                d = own @ side.T
+            else:
+                d, seen = np.zeros((rows.stop - rows.start, others.stop - others.start)), np.intersect1d(a.held(rows)[0], b.held(others)[0])
+                for first in range(0, len(seen), PLACES):
+                    some = seen[first : first + PLACES]
+                    d += a.dense(rows, some) @ b.dense(others, some).T
+            d *= -2
+            d += a.square[rows, None]
+            d += b.square[None, others]
+            yield rows, others, np.maximum(d, 0.0, out=d)
+
+
+def ward_costs(a: Block, b: Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
     """What the squared deviations from the mean grow by (twice that) if two clusters merge."""
-    na, nb = (t.column("n").to_numpy() for t in (a, b))
-    return np.round(square_distances(a, b) * (2 * na[:, None] * nb[None, :] / (na[:, None] + nb[None, :])), 9)
+    for rows, others, d in squared_tiles(a, b):
+        na, nb = a.n[rows, None], b.n[None, others]
+        if (na == 1).all() and (nb == 1).all():
+            yield rows, others, d
+        else:
+            d *= 2 * na * nb
+            d /= na + nb
+            yield rows, others, d
 
 
 def _searched(queries: DataFrame, rows: DataFrame, answer, schema: str) -> DataFrame:
-    """``answer(queries, rows)`` for each pair of blocks, both Arrow tables."""
-    nq, nr = (max(1, -(-df.count() // BLOCK)) for df in (queries, rows))
+    """``answer(queries, rows)`` for each pair of blocks, both :class:`Block`."""
+    nq, nr = _blocks(*(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first() for df in (queries, rows)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # The two may be one table, whose columns need names of their own on either side.
     fresh = lambda df: df.toDF(*[f"_{c}" for c in df.columns]).toDF(*df.columns)
     q = fresh(queries).withColumn("qb", block(nq)).withColumn("rb", every(nr))
     r = fresh(rows).withColumn("rb", block(nr)).withColumn("qb", every(nq))
-    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(answer, schema)
+    empty = T._parse_datatype_string(schema)
+
+    def work(a: pa.Table, b: pa.Table) -> pa.Table:
+        return answer(Block(a), Block(b)) if a.num_rows and b.num_rows else to_arrow_schema(empty).empty_table()
+
+    return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(work, schema)
+
+
+def _blocks(queries: tuple[int, int], rows: tuple[int, int]) -> tuple[int, int]:
+    """Blocks of the queries and of the rows, of which numbers and values are given: about ``TASKS``
+    pairs that send least, none of less than ``BLOCK`` or more than ``VALUES``."""
+    most = [max(1, -(-n // BLOCK)) for n, _ in (queries, rows)]
+    least = [max(1, -(-values // VALUES)) for _, values in (queries, rows)]
+    nq = max(least[0], min(most[0], round(math.sqrt(TASKS * max(1, queries[0]) / max(1, rows[0])))), 1)
+    return nq, max(least[1], min(most[1], -(-TASKS // nq)))
 
 
 NEAREST = "id long, other long, d double"
-_NEAREST = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("d", pa.float64())])
 
 
-def _pick(ids: np.ndarray, others: np.ndarray, d: np.ndarray) -> pa.Table:
-    """Each row's nearest column; equal ones by number, which orders the pairs as well."""
-    if not d.size:
-        return _NEAREST.empty_table()
-    order = np.argsort(others, kind="stable")
-    d, others = d[:, order], others[order]
-    best = d.argmin(1)
-    least = d[np.arange(len(ids)), best]
-    some = np.isfinite(least)
-    return pa.table([pa.array(ids[some]), pa.array(others[best[some]]), pa.array(least[some])], schema=_NEAREST)
+def _nearest(a: Block, b: Block, tiles: Iterator[tuple[slice, slice, np.ndarray]], root: bool = False) -> pa.Table:
+    """Each of ``a``'s nearest of ``b``: by distance to 9 digits (``root``: ``tiles`` hold squares), equal ones by
+    number, which orders the pairs as well. What is infinitely far is left out."""
+    exact = (lambda x: np.round(np.sqrt(x), 9)) if root else (lambda x: np.round(x, 9))
+    # What may be equal to 9 digits.
+    slack = (lambda x: (np.sqrt(x) + 2e-9) ** 2) if root else (lambda x: x + 2e-9)
+    least, other = np.full(len(a.ids), np.inf), np.zeros(len(a.ids), np.int64)
+    for rows, others, d in tiles:
+        low = d.min(1)
+        near = np.flatnonzero(np.isfinite(low) & (exact(low) <= least[rows]))
+        if not len(near):
+            continue
+        some = d[near]
+        r, c = np.nonzero(some <= slack(low[near])[:, None])
+        at, found = exact(some[r, c]), b.ids[others][c]
+        r = near[r] + rows.start
+        order = np.lexsort((found, at, r))
+        r, at, found = r[order], at[order], found[order]
+        first = np.concatenate([[True], r[1:] != r[:-1]])
+        r, at, found = r[first], at[first], found[first]
+        better = (at < least[r]) | (at == least[r]) & (found < other[r])
+        least[r[better]], other[r[better]] = at[better], found[better]
+    known = np.isfinite(least)
+    return pa.table({"id": a.ids[known], "other": other[known], "d": least[known]})
 
 
 def nearest_clusters(queries: DataFrame, clusters: DataFrame) -> DataFrame:
     """(id, other, d): for each query the cluster that it would merge with at least cost."""
 
-    def answer(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _NEAREST.empty_table()
-        ids, others = a.column("id").to_numpy(), b.column("id").to_numpy()
-        d = ward_distances(a, b)
-        d[ids[:, None] == others[None, :]] = np.inf
-        return _pick(ids, others, d)
+    def answer(a: Block, b: Block) -> pa.Table:
+        def others():
+            for rows, cols, d in ward_costs(a, b):
+                _put(d, a.ids[rows], b.ids[cols], np.inf)
+                yield rows, cols, d
+
+        return _nearest(a, b, others())
 
     found = _searched(queries, clusters, answer, NEAREST)
     return found.groupBy("id").agg(F.min(F.struct("d", "other")).alias("b")).select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
 
 
+def _put(d: np.ndarray, own: np.ndarray, others: np.ndarray, value: float) -> None:
+    """Set the cells of vectors and themselves; ``others`` are in order."""
+    i = np.minimum(np.searchsorted(others, own), len(others) - 1)
+    same = np.flatnonzero(others[i] == own)
+    d[same, i[same]] = value
+
+
 MERGES = "a long, b long, height double"
 
 
 def merge_in_task(clusters: pa.Table) -> pa.Table:
     """All merges of a bounded number of clusters, by the recurrence for Ward's distance."""
-    clusters = clusters.sort_by("id")
-    ids, n = clusters.column("id").to_numpy(), clusters.column("n").to_numpy().copy()
-    d = ward_distances(clusters, clusters)
+    block = Block(clusters)
+    ids, n = block.ids, block.n.copy()
+    d = np.zeros((len(ids), len(ids)))
+    for rows, cols, costs in ward_costs(block, block):
+        d[rows, cols] = np.round(costs, 9)
     np.fill_diagonal(d, np.inf)
     alive, out = np.ones(len(ids), bool), []
     while alive.sum() > 1:
@@ -207,46 +289,69 @@ def core_distances(vectors: DataFrame, least: int) -> DataFrame:
     """(id, core): the distance to the ``least``-th nearest vector, itself counted; to the farthest if
     there are fewer."""
 
-    def answer(a: pa.Table, b: pa.Table) -> pa.Table:
-        schema = pa.schema([("id", pa.int64()), ("d", pa.list_(pa.float64()))])
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-        d = np.round(np.sqrt(_apart(a, b)), 9)
-        return pa.table([a.column("id"), pa.array(np.sort(d, 1)[:, :least].tolist(), pa.list_(pa.float64()))], schema=schema)
+    def answer(a: Block, b: Block) -> pa.Table:
+        kept = np.full((len(a.ids), least), np.inf)
+        for rows, cols, d in squared_tiles(a, b):
+            _put(d, a.ids[rows], b.ids[cols], 0.0)
+            some = np.flatnonzero(d.min(1) < kept[rows, -1])
+            near = d[some]
+            if near.shape[1] > least:
+                near = np.partition(near, least - 1, axis=1)[:, :least]
+            kept[rows.start + some] = np.sort(np.concatenate([kept[rows.start + some], near], 1), 1)[:, :least]
+        found = np.round(np.sqrt(kept), 9)
+        sizes = np.isfinite(found).sum(1)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+        return pa.table({"id": a.ids, "d": pa.ListArray.from_arrays(offsets, pa.array(found[np.isfinite(found)]))})
 
     found = _searched(vectors, vectors, answer, "id long, d array<double>")
     nearest = F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, least)
     return found.groupBy("id").agg(F.element_at(nearest, -1).alias("core"))
 
 
-def _apart(a: pa.Table, b: pa.Table) -> np.ndarray:
-    """Squared distances, exactly 0 of a vector to itself."""
-    d = square_distances(a, b)
-    d[a.column("id").to_numpy()[:, None] == b.column("id").to_numpy()[None, :]] = 0.0
-    return d
+def nearest_outside(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, other, d): for each query the nearest vector of another ``part``, under the distance that is at
+    least either's core."""
+
+    def answer(a: Block, b: Block) -> pa.Table:
+        (core_a, part_a), (core_b, part_b) = ((x.column("core") ** 2, x.column("part")) for x in (a, b))
+
+        def outside():
+            for own, others, d in squared_tiles(a, b):
+                np.maximum(d, core_a[own, None], out=d)
+                np.maximum(d, core_b[None, others], out=d)
+                d[part_a[own, None] == part_b[None, others]] = np.inf
+                yield own, others, d
+
+        return _nearest(a, b, outside(), root=True)
+
+    found = _searched(queries, rows, answer, NEAREST)
+    return found.groupBy("id").agg(F.min(F.struct("d", "other")).alias("b")).select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
 
 
 def spanning_tree(vectors: DataFrame, least: int) -> DataFrame:
     """(a, b, d): the minimum spanning tree under the distance that is at least either's core."""
     rows = materialize(vectors.join(core_distances(vectors, least), "id").withColumn("part", F.col("id")), "cores")
-    tree = None
-
-    def answer(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return _NEAREST.empty_table()
-        core_a, core_b = (t.column("core").to_numpy() for t in (a, b))
-        d = np.maximum(np.round(np.sqrt(_apart(a, b)), 9), np.maximum(core_a[:, None], core_b[None, :]))
-        d[a.column("part").to_numpy()[:, None] == b.column("part").to_numpy()[None, :]] = np.inf
-        return _pick(a.column("id").to_numpy(), b.column("id").to_numpy(), d)
-
+    tree, near = None, None
     while rows.select("part").distinct().count() > 1:
-        found = _searched(rows, rows, answer, NEAREST).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "d", F.col("id").alias("own"))
-        part = rows.select(F.col("id").alias("own"), "part")
-        best = found.join(part, "own").groupBy("part").agg(F.min(F.struct("d", "a", "b")).alias("e"))
+        parts = rows.select("id", "part")
+        if near is None:
+            near = materialize(nearest_outside(rows, rows), "near")
+            holds = near.join(parts, "id")
+        else:
+            # What was found holds unless it has joined the own part; a part's best bounds who searches again.
+            told = near.join(parts, "id").join(parts.select(F.col("id").alias("other"), F.col("part").alias("po")), "other")
+            best = told.filter("part <> po").groupBy("part").agg(F.min("d").alias("best"))
+            told = told.join(best, "part", "left")
+            told = materialize(told.select("id", "other", "d", "part", (F.col("part") != F.col("po")).alias("holds"), ((F.col("part") == F.col("po")) & (F.col("best").isNull() | (F.col("d") <= F.col("best")))).alias("again")), "told")
+            found = materialize(nearest_outside(rows.join(told.filter("again").select("id"), "id", "left_semi"), rows), "found")
+            near = told.filter("NOT again").select("id", "other", "d").unionByName(found)
+            holds = told.filter("holds").select("id", "other", "d", "part").unionByName(found.join(parts, "id"))
+        ends = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
+        best = holds.select("part", "d", *ends).groupBy("part").agg(F.min(F.struct("d", "a", "b")).alias("e"))
         links = materialize(best.select("e.a", "e.b", "e.d").distinct(), "links")
         tree = links if tree is None else tree.unionByName(links)
-        ends = lambda c: rows.select(F.col("id").alias(c), F.col("part").alias(f"p{c}"))
-        joined = components(links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("pa").alias("src"), F.col("pb").alias("dst")))
+        end = lambda c: parts.select(F.col("id").alias(c), F.col("part").alias(f"p{c}"))
+        joined = components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("pa").alias("src"), F.col("pb").alias("dst")))
         to = joined.select(F.col("node").alias("part"), F.col("component").alias("to"))
         rows = materialize(rows.join(to, "part").withColumn("part", F.col("to")).select(*rows.columns), "parts")
     return tree if tree is not None else rows.sparkSession.createDataFrame([], "a long, b long, d double")
