@@ -252,16 +252,18 @@ def ward_merges(vectors: DataFrame) -> DataFrame:
         back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
         pairs = materialize(near.join(back, ["id", "other"]).filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("height")), "merges")
         merges = pairs if merges is None else merges.unionByName(pairs)
-        into = pairs.select(F.col("b").alias("id"), F.col("a").alias("to"))
-        moved = clusters.join(into, "id", "left").withColumn("id", F.coalesce("to", "id")).drop("to")
+        gone = pairs.select(F.explode(F.array("a", "b")).alias("gone"), F.col("a").alias("to"))
+        # Only merged clusters are added up, the others stay as they are.
+        kept = clusters.join(gone, F.col("id") == F.col("gone"), "left_anti")
+        moved = clusters.join(gone, F.col("id") == F.col("gone")).select(F.col("to").alias("id"), "n", "at", "v")
         sizes = moved.groupBy("id").agg(F.sum("n").alias("n"))
         values = moved.select("id", F.explode(F.arrays_zip("at", "v")).alias("x")).groupBy("id", F.col("x.at").alias("at")).agg(F.sum("x.v").alias("v"))
         listed = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("x"))
         none = lambda kind: F.array().cast(f"array<{kind}>")
-        clusters = materialize(sizes.join(listed, "id", "left").select("id", "n", F.coalesce("x.at", none("int")).alias("at"), F.coalesce("x.v", none("double")).alias("v")), "clusters")
+        added = sizes.join(listed, "id", "left").select("id", "n", F.coalesce("x.at", none("int")).alias("at"), F.coalesce("x.v", none("double")).alias("v"))
+        clusters = materialize(kept.unionByName(added), "clusters")
         if clusters.count() == count:
             raise RuntimeError("no two clusters are nearest to each other")
-        gone = pairs.select(F.explode(F.array("a", "b")).alias("gone"))
         still = near.join(gone, F.col("id") == F.col("gone"), "left_anti")
         settled = still.join(gone, F.col("other") == F.col("gone"), "left_anti")
         again = clusters.join(settled.select("id"), "id", "left_anti")
