@@ -104,3 +104,13 @@ def test_many_short_rows_take_seconds(spark):
     began = time.monotonic()
     assert coverage.covered_residues(rows, kmers).agg(F.count(F.lit(1)), F.sum("coverage")).first()[:] == (810_000, 180_000)
     assert time.monotonic() - began < 12
+
+
+def test_pairs_are_dealt_out_before_they_are_told_apart(spark):
+    """A protein in two clusters of a feature counts once; no task of the join holds all its pairs."""
+    features = spark.createDataFrame([("f", "x"), ("f", "y"), ("f", "empty"), ("g", "y"), ("h", "x")], "feature string, cluster string")
+    clusters = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "b"), ("y", "c")], "cluster string, protein_id string")
+    found = annotate.predictive_proteins(spark.createDataFrame([("f",), ("g",)], "feature string"), features, clusters)
+    got = sorted((r.feature, r.cluster, r.protein_id or "", r.unique_clusters, r.unique_proteins) for r in found.collect())
+    assert got == [("f", "empty", "", 3, 3), ("f", "x", "a", 3, 3), ("f", "x", "b", 3, 3), ("f", "y", "b", 3, 3), ("f", "y", "c", 3, 3), ("g", "y", "b", 1, 2), ("g", "y", "c", 1, 2)]
+    assert "REPARTITION_BY_COL" in plan_of(found)

@@ -19,8 +19,11 @@ def predictive_features(names: list[str], kinds: dict[str, str] | None = None) -
 
 def predictive_proteins(selected: DataFrame, features: DataFrame, clusters: DataFrame) -> DataFrame:
     """(feature, cluster, protein_id, unique_clusters, unique_proteins) of the selected features."""
-    rows = features.join(selected.select("feature").distinct(), "feature", "left_semi").join(clusters, "cluster", "left")
-    counts = rows.groupBy("feature").agg(F.countDistinct("cluster").alias("unique_clusters"), F.countDistinct("protein_id").alias("unique_proteins"))
+    picked = features.join(selected.select("feature").distinct(), "feature", "left_semi")
+    rows = picked.join(clusters, "cluster", "left")
+    # Pairs are dealt out before they are told apart: where few repeat, a task of the join would hold all of its own.
+    proteins = rows.select("feature", "protein_id").repartition("feature", "protein_id").distinct()
+    counts = picked.groupBy("feature").agg(F.countDistinct("cluster").alias("unique_clusters")).join(proteins.groupBy("feature").agg(F.count("protein_id").alias("unique_proteins")), "feature")
     return rows.join(counts, "feature")
 
 
