@@ -171,3 +171,12 @@ def test_small_groups_have_exact_p(spark):
     assert got["a", "b"][0] == 0 and abs(got["a", "b"][1] - 2 / 126) < 1e-12
     # "a" and "c" share a value: the approximation.
     assert 0 < got["a", "c"][1] <= 1 and got["b", "c"][0] == 10 and abs(got["b", "c"][1] - 2 * 17 / 56) < 0.3
+
+
+def test_targets_that_presence_holds_take_no_join_by_row(spark):
+    present = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), ("c", "y"), ("d", "z")], "row string, feature string")
+    targets = spark.createDataFrame([("a", 1.0), ("b", 2.5), ("c", 4.0), ("d", 3.0), ("e", 2.0)], "row string, target double")
+    want = {r.feature: r.score for r in select.regression_f(present, targets, "row").collect()}
+    held = select.regression_f(present.join(targets, "row").localCheckpoint(), targets, "row")
+    assert {r.feature: r.score for r in held.collect()} == want
+    assert "SortMergeJoin" not in held._jdf.queryExecution().toString()

@@ -45,9 +45,11 @@ def chi2(present: DataFrame, labels: DataFrame, row: str, feature: str = "featur
 
 
 def regression_f(present: DataFrame, targets: DataFrame, row: str, feature: str = "feature", target: str = "target") -> DataFrame:
-    """(feature, score): F of a univariate linear regression on a 0/1 feature."""
+    """(feature, score): F of a univariate linear regression on a 0/1 feature. Where ``present`` holds the
+    rows' targets itself, its many rows need not meet ``targets`` in a join."""
     totals = targets.agg(F.count(target).alias("n"), F.sum(target).alias("sy"), F.sum(F.col(target) * F.col(target)).alias("syy"))
-    sums = present.join(targets.select(row, target), row).groupBy(feature).agg(F.count(F.lit(1)).cast("double").alias("sx"), F.sum(target).alias("sxy"))
+    known = present if target in present.columns else present.join(targets.select(row, target), row)
+    sums = known.groupBy(feature).agg(F.count(F.lit(1)).cast("double").alias("sx"), F.sum(target).alias("sxy"))
     j = sums.crossJoin(F.broadcast(totals))  # one row of totals
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     vx, vy = F.col("n") * F.col("sx") - F.col("sx") * F.col("sx"), F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
