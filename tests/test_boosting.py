@@ -140,3 +140,14 @@ def test_nothing_to_learn(spark):
     trees, grown = B.fit_all(data, [B.Fit("r", "r", 0.1, 2, 4), B.Fit("s", "s", 0.1, 2, 4)], ["r", "s"])
     assert trees.count() == 0 and [g.length() for g in grown] == [0, 0]
     assert {(r.fit, r.raw) for r in B.score_rows(data, {}, {"r": 0.0}).collect()} == {("r", 0.0)}
+
+
+def test_tasks_add_up_a_bounded_number_of_held_features(monkeypatch):
+    monkeypatch.setattr(B, "HELD", 50)
+    sizes = random.Random(2).choices([0, 1, 7, 20, 90], k=200)
+    held = B.pa.array([list(range(n)) for n in sizes], B.pa.list_(B.pa.int32()))
+    parts = list(B._slices(held, 1))
+    assert [i for p in parts for i in range(p.start, p.stop)] == list(range(200))
+    assert all(sum(sizes[p]) <= 50 or p.stop - p.start == 1 for p in parts)
+    for codes in (np.array([5, 2, 5, 9]), np.array([10**6, 3, 3]), np.array([], np.int64)):
+        assert all((x == y).all() for x, y in zip(B._distinct(codes), np.unique(codes, return_inverse=True), strict=True))
