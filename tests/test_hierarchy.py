@@ -159,3 +159,24 @@ def test_vectors_that_keep_what_they_found_do_not_search_again(spark, monkeypatc
     v, _ = vectors(spark, np.concatenate([r.randn(30, 2) * 0.1 + c for c in ((0, 0), (5, 0), (0, 7))]))
     assert H.spanning_tree(v, 3).count() == 89
     assert asked[0] == 90 and asked[-1] < 90, asked
+
+
+def test_lists_of_the_nearest_tell_most_of_the_tree(spark, monkeypatch):
+    """The nearest of each are searched once; then few search again."""
+    asked, search = [], H.nearest_outside
+    monkeypatch.setattr(H, "nearest_outside", lambda queries, rows: asked.append(queries.count()) or search(queries, rows))
+    v, _ = vectors(spark, np.random.RandomState(9).randn(300, 10))
+    assert H.spanning_tree(v, 4).count() == 299
+    assert asked[0] == 300 and sum(asked) < 360, asked
+
+
+def test_density_of_copies_far_from_the_origin_with_short_lists(spark, monkeypatch):
+    """Rounding in single precision, equal distances and lists that end early change nothing."""
+    monkeypatch.setattr(H, "LISTED", 4)
+    r = np.random.RandomState(12)
+    x = np.concatenate([r.randn(12, 3) * 0.2 + c for c in ((0, 0, 0), (4, 0, 0), (0, 5, 0), (0, 0, 6))] + [r.randint(0, 3, (14, 3)) + 9.0])
+    x = np.concatenate([x, x[:9], np.repeat(x[20:21], 7, 0)]) + 2000
+    v, names = vectors(spark, x)
+    want = plain_labels(x, 3)
+    got = groups_of(H.hdbscan_groups(v, names, "genome", 3, fewest=1))
+    assert {g for g in got if len(g) > 1} == want and len(want) >= 4

@@ -4,8 +4,9 @@ A search answers for each vector of a query set which other ones are nearest. Qu
 are dealt into blocks, and each pair of blocks is one task's, of which only each query's best leave the
 task, so no pair is a row. There are about ``TASKS`` pairs of blocks whatever the number of vectors, as long
 as a block holds no more than ``VALUES`` values, so what is sent grows with the vectors and not with their
-square. A task multiplies ``BLOCK`` by ``BLOCK`` vectors at a time. Vectors are sparse (places and values), so
-presence of any number of features fits; the product runs over ``PLACES`` of them at a time.
+square. A task multiplies ``BLOCK`` by ``BLOCK`` vectors at a time, in single precision; what may be among the best
+after its rounding is computed anew from differences. Vectors are sparse (places and values), so presence of any number
+of features fits; with many places the product is in double precision and runs over ``PLACES`` of them at a time.
 
 Ward: two clusters that are nearest to each other merge, all such pairs of a round at once, and the
 sums of their vectors are added. A merge never brings anything nearer than its parts were, so these
@@ -13,11 +14,11 @@ are the merges that taking the nearest pair of all, one at a time, would make. O
 those whose nearest one merged, search again. The last ``SMALL`` clusters are merged in one task.
 
 HDBSCAN: distances to the ``least``-th nearest (itself counted) are cores; the distance of two vectors
-is at least either's core. Rounds of Boruvka join each component to its nearest other one until one
-is left: its links are the minimum spanning tree. What a vector found holds until that joins its own
-component, and is a lower bound from then on; it searches again only if that bound is within what others of
-its component still hold. One row a vector, they give the tree of clusters of
-at least ``least`` vectors, of which those are kept that are most stable.
+is at least either's core. One search of all vectors lists the ``LISTED`` nearest of each, and so bounds how near
+any other is. Rounds of Boruvka join components by their best listed link, if no other one can be as near. Where that
+is so of none, the members of all but the largest whose bound is within their component's best search again. The links are
+the minimum spanning tree. One row a vector, they give the tree of clusters of at least ``least`` vectors, of which
+those are kept that are most stable.
 
 Defined results: distances count to 9 digits; of equally near ones those of smaller numbers are
 taken first; equal vectors have distance 0; null ids are left out; vectors without values are zero;
@@ -44,6 +45,8 @@ from .prefix import numbered
 BLOCK, PLACES, SMALL = 1000, 4096, 2048
 #: Pairs of blocks of a search, and values in a block at most.
 TASKS, VALUES = 64, 8_000_000
+#: Nearest vectors kept of each one, from which most of a spanning tree is known.
+LISTED = 16
 
 VECTORS = "id long, n double, at array<int>, v array<double>"
 
@@ -68,10 +71,11 @@ def presence_vectors(present: DataFrame, key: str, feature: str) -> tuple[DataFr
 
 
 class Block:
-    """Vectors of a block in order of their numbers: means by row, and what else their table holds."""
+    """Vectors of a block in order of their numbers, or of other columns first: means by row, and what else
+    their table holds."""
 
-    def __init__(self, table: pa.Table):
-        table = table.sort_by("id")
+    def __init__(self, table: pa.Table, order: tuple[str, ...] = ()):
+        table = table.sort_by([(c, "ascending") for c in (*order, "id")])
         self.table, self.ids, self.n = table, table.column("id").to_numpy(), table.column("n").to_numpy()
         at, v = (table.column(c).combine_chunks() for c in ("at", "v"))
         self.sizes = at.value_lengths().to_numpy()
@@ -95,6 +99,8 @@ class Block:
         out = np.zeros((rows.stop - rows.start, len(places)))
         if len(places):
             at, v = self.held(rows)
+            if len(at) == out.size and (at.reshape(out.shape) == places).all():
+                return v.reshape(out.shape)
             row = np.repeat(np.arange(len(out)), self.sizes[rows])
             i = np.minimum(np.searchsorted(places, at), len(places) - 1)
             own = places[i] == at
@@ -102,42 +108,156 @@ class Block:
         return out
 
 
-def squared_tiles(a: Block, b: Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """(rows of ``a``, rows of ``b``, squared distances of their means), ``a`` tile by tile."""
-    places = np.union1d(a.at, b.at)
-    # Few places: each side is spread out once. Many: only those of a tile, and so many at a time.
-    spread = len(places) <= PLACES and len(b.ids) * len(places) <= 2 * VALUES
-    sides = [(rows, b.dense(rows, places)) for rows in b.tiles()] if spread else [(rows, None) for rows in b.tiles()]
-    for rows in a.tiles():
-        own = a.dense(rows, places) if spread else None
-        for others, side in sides:
-            if spread:
-                d = own @ side.T
+class Pairs:
+    """Squared distances of the vectors (means) of two blocks, or what it costs to merge them (``ward``: twice what the
+    squared deviations from the mean grow by).
+
+    With few places :meth:`near` has them in single precision, with how far off they may be, and :meth:`exact`
+    gives those of chosen pairs, from the differences of their values. Otherwise both are in double precision.
+    """
+
+    def __init__(self, a: Block, b: Block, ward: bool = False, single: bool = True):
+        self.a, self.b, self.ward, self.x = a, b, ward, None
+        self.scaled = ward and not ((a.n == 1).all() and (b.n == 1).all())
+        places, most = np.union1d(a.at, b.at), b.square.max(initial=0.0)
+        if single and len(places) <= PLACES and max(len(a.ids), len(b.ids)) * len(places) <= 2 * VALUES and max(a.square.max(initial=0.0), most) < 1e30:
+            self.x, self.y = (s.dense(slice(0, len(s.ids)), places) for s in (a, b))
+            self.right = np.column_stack([self.y, np.ones(len(self.y)), b.square]).astype(np.float32)
+            # What rounding adds to a product of so many places is less, as a part of the squared lengths.
+            self.off = (len(places) + 8) * 2.0**-23 * (np.sqrt(a.square) + math.sqrt(most)) ** 2 + 1e-30
+
+    def near(self, rows: slice, wanted=None) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(rows of ``b``, values of the pairs, how far off they are by row of ``a``) of ``b``'s tiles that are ``wanted``."""
+        na, off = self.a.n[rows], np.zeros(rows.stop - rows.start) if self.x is None else self.off[rows]
+        if self.x is not None:
+            x = np.column_stack([-2 * self.x[rows], self.a.square[rows], np.ones(len(off))])
+            sizes, left = None, x.astype(np.float32)
+        for cols in filter(wanted, self.b.tiles()):
+            nb = self.b.n[cols]
+            # If the others are all of one size (they are in its order), the factor is the own row's.
+            even = self.scaled and self.x is not None and nb.min() == nb.max()
+            if self.x is None:
+                d = self._product(rows, cols)
             else:
-                d, seen = np.zeros((rows.stop - rows.start, others.stop - others.start)), np.intersect1d(a.held(rows)[0], b.held(others)[0])
-                for first in range(0, len(seen), PLACES):
-                    some = seen[first : first + PLACES]
-                    d += a.dense(rows, some) @ b.dense(others, some).T
-            d *= -2
-            d += a.square[rows, None]
-            d += b.square[None, others]
-            yield rows, others, np.maximum(d, 0.0, out=d)
-
-
-def ward_costs(a: Block, b: Block) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """What the squared deviations from the mean grow by (twice that) if two clusters merge."""
-    for rows, others, d in squared_tiles(a, b):
-        na, nb = a.n[rows, None], b.n[None, others]
-        if (na == 1).all() and (nb == 1).all():
-            yield rows, others, d
-        else:
-            d *= 2 * na * nb
-            d /= na + nb
-            yield rows, others, d
-
-
-def _searched(queries: DataFrame, rows: DataFrame, answer, schema: str) -> DataFrame:
-    """``answer(queries, rows)`` for each pair of blocks, both :class:`Block`."""
+                if self.scaled and sizes != (size := nb[0] if even else None):
+                    sizes, left = size, (x * (2 * na * size / (na + size))[:, None] if even else x).astype(np.float32)
+                d = left @ self.right[cols].T
+            if self.scaled and not even:
+                own, other = na.astype(d.dtype)[:, None], nb.astype(d.dtype)
+                d *= 2 * own
+                d *= other
+                d /= own + other
+            yield cols, d, off * (2 * na * nb.max() / (na + nb.max())) if self.scaled else off
+
+    def _product(self, rows: slice, cols: slice) -> np.ndarray:
+        a, b = self.a, self.b
+        d, seen = np.zeros((rows.stop - rows.start, cols.stop - cols.start)), np.intersect1d(a.held(rows)[0], b.held(cols)[0])
+        for first in range(0, len(seen), PLACES):
+            some = seen[first : first + PLACES]
+            d += a.dense(rows, some) @ b.dense(cols, some).T
+        d *= -2
+        d += a.square[rows, None]
+        d += b.square[None, cols]
+        return np.maximum(d, 0.0, out=d)
+
+    def exact(self, r: np.ndarray, c: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The values of pairs of which :meth:`near` gave ``seen``."""
+        if self.x is None:
+            return seen
+        out, step = np.empty(len(r)), max(1, VALUES // (4 * max(1, self.x.shape[1])))
+        for i in range(0, len(r), step):
+            d = self.x[r[i : i + step]] - self.y[c[i : i + step]]
+            out[i : i + step] = np.einsum("ij,ij->i", d, d)
+        if self.scaled:
+            na, nb = self.a.n[r], self.b.n[c]
+            out *= 2 * na * nb / (na + nb)
+        return out
+
+
+class Nearest:
+    """The ``k`` nearest that rows of ``a`` (of ``pairs``) have among those of ``b`` seen so far, by distance to 9 digits, equal
+    ones by number, which orders the pairs as well; none farther than ``limit``. With ``cores`` of both sides a
+    distance is at least either's core; what merging costs is compared as it is."""
+
+    def __init__(self, pairs: Pairs, rows: slice, k: int, limit: np.ndarray | None, cores: tuple[np.ndarray, np.ndarray] | None):
+        self.pairs, self.rows, self.k, self.cores, n = pairs, rows, k, cores, rows.stop - rows.start
+        self.bound = np.full(n, np.inf) if limit is None else limit[rows].copy()
+        self.row, self.other, self.d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.waiting, self.held, self.tiles, self.due = [], 0, 0, 1
+
+    def _ties(self, x: np.ndarray) -> np.ndarray:
+        """The largest value that may equal ``x``, a distance or cost, to 9 digits."""
+        return x + 2e-9 if self.pairs.ward else (x + 2e-9) ** 2
+
+    def see(self, cols: slice, d: np.ndarray, off: np.ndarray) -> None:
+        """Take up a tile; what is infinite in it is left out."""
+        size, width = d.shape
+        cut, new = self._ties(self.bound) + off, np.flatnonzero(np.isinf(self.bound))
+        if len(new) and self.k <= width:
+            low = np.partition(d[new], self.k - 1, axis=1)[:, self.k - 1].astype(float) + off[new]
+            cut[new] = self._ties(low if self.pairs.ward else np.sqrt(np.maximum(low, 0.0))) + off[new]
+        cut = np.nextafter(cut.astype(d.dtype), d.dtype.type(np.inf))
+        near = np.flatnonzero(d.min(1) <= cut)
+        some = d if len(near) == size else d[near]
+        r, c = np.divmod(np.flatnonzero(some <= cut[near, None]), width)
+        v = some[r, c]
+        known = np.isfinite(v)
+        self.waiting.append((near[r[known]], c[known] + cols.start, v[known].astype(float)))
+        self.held, self.tiles = self.held + int(known.sum()), self.tiles + 1
+        if self.tiles >= self.due or self.held > 8 * self.k * size:
+            self.settle()
+            self.due = 2 * self.tiles
+
+    def settle(self) -> None:
+        """Find the best of what waits."""
+        if not self.waiting:
+            return
+        r, c, v = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.held = [], 0
+        d = self.pairs.exact(r + self.rows.start, c, v)
+        d = np.round(d if self.pairs.ward else np.sqrt(d), 9)
+        if self.cores is not None:
+            d = np.maximum(d, np.maximum(self.cores[0][r + self.rows.start], self.cores[1][c]))
+        known = d <= self.bound[r]
+        r, other, d = np.append(self.row, r[known]), np.append(self.other, self.pairs.b.ids[c[known]]), np.append(self.d, d[known])
+        order = np.lexsort((other, d, r))
+        r, other, d = r[order], other[order], d[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        last, best = place == self.k - 1, place < self.k
+        self.bound[r[last]] = d[last]
+        self.row, self.other, self.d = r[best], other[best], d[best]
+
+
+LISTS = "id long, near array<struct<d: double, other: long>>"
+
+
+def nearest_in_block(pairs: Pairs, k: int, first: np.ndarray, last: np.ndarray, limit: np.ndarray | None = None, cores: tuple[np.ndarray, np.ndarray] | None = None) -> pa.Table:
+    """The :class:`Nearest` of each row of ``a``, without those of ``b`` from its ``first`` to before its ``last``."""
+    ids, sizes, others, distances = [], [], [], []
+    for rows in pairs.a.tiles():
+        lo, hi, best = first[rows], last[rows], Nearest(pairs, rows, k, limit, cores)
+        for cols, d, off in pairs.near(rows, lambda cols: not ((lo <= cols.start) & (hi >= cols.stop)).all()):  # noqa: B023
+            shut, at = np.flatnonzero((lo < cols.stop) & (hi > cols.start)), np.arange(cols.start, cols.stop)
+            if len(shut):
+                d[shut] = np.where((at >= lo[shut, None]) & (at < hi[shut, None]), np.inf, d[shut])
+            best.see(cols, d, off)
+        best.settle()
+        ids.append(pairs.a.ids[rows])
+        sizes.append(np.bincount(best.row, minlength=len(lo)))
+        others.append(best.other)
+        distances.append(best.d)
+    each = pa.StructArray.from_arrays([pa.array(np.concatenate(distances)), pa.array(np.concatenate(others))], ["d", "other"])
+    offsets = pa.array(np.append(0, np.cumsum(np.concatenate(sizes))).astype(np.int32))
+    return pa.table({"id": np.concatenate(ids), "near": pa.ListArray.from_arrays(offsets, each)})
+
+
+def _merged_lists(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of each id of what blocks found."""
+    return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def _searched(queries: DataFrame, rows: DataFrame, answer, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """``answer(queries, rows)`` for each pair of blocks, both :class:`Block` in this ``order``."""
     nq, nr = _blocks(*(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first() for df in (queries, rows)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -148,69 +268,34 @@ def _searched(queries: DataFrame, rows: DataFrame, answer, schema: str) -> DataF
     empty = T._parse_datatype_string(schema)
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        return answer(Block(a), Block(b)) if a.num_rows and b.num_rows else to_arrow_schema(empty).empty_table()
+        return answer(Block(a, order), Block(b, order)) if a.num_rows and b.num_rows else to_arrow_schema(empty).empty_table()
 
+    # Two partitions a pair: few get more than two or three of them.
+    q, r = (df.repartition(2 * nq * nr, "qb", "rb") for df in (q, r))
     return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(work, schema)
 
 
 def _blocks(queries: tuple[int, int], rows: tuple[int, int]) -> tuple[int, int]:
     """Blocks of the queries and of the rows, of which numbers and values are given: about ``TASKS``
-    pairs that send least, none of less than ``BLOCK`` or more than ``VALUES``."""
+    pairs that send little, none of less than ``BLOCK`` or more than ``VALUES``. Blocks of rows are larger, since each finds
+    its best anew."""
     most = [max(1, -(-n // BLOCK)) for n, _ in (queries, rows)]
     least = [max(1, -(-values // VALUES)) for _, values in (queries, rows)]
-    nq = max(least[0], min(most[0], round(math.sqrt(TASKS * max(1, queries[0]) / max(1, rows[0])))), 1)
+    nq = max(least[0], min(most[0], round(math.sqrt(2 * TASKS * max(1, queries[0]) / max(1, rows[0])))), 1)
     return nq, max(least[1], min(most[1], -(-TASKS // nq)))
 
 
-NEAREST = "id long, other long, d double"
-
-
-def _nearest(a: Block, b: Block, tiles: Iterator[tuple[slice, slice, np.ndarray]], root: bool = False) -> pa.Table:
-    """Each of ``a``'s nearest of ``b``: by distance to 9 digits (``root``: ``tiles`` hold squares), equal ones by
-    number, which orders the pairs as well. What is infinitely far is left out."""
-    exact = (lambda x: np.round(np.sqrt(x), 9)) if root else (lambda x: np.round(x, 9))
-    # What may be equal to 9 digits.
-    slack = (lambda x: (np.sqrt(x) + 2e-9) ** 2) if root else (lambda x: x + 2e-9)
-    least, other = np.full(len(a.ids), np.inf), np.zeros(len(a.ids), np.int64)
-    for rows, others, d in tiles:
-        low = d.min(1)
-        near = np.flatnonzero(np.isfinite(low) & (exact(low) <= least[rows]))
-        if not len(near):
-            continue
-        some = d[near]
-        r, c = np.nonzero(some <= slack(low[near])[:, None])
-        at, found = exact(some[r, c]), b.ids[others][c]
-        r = near[r] + rows.start
-        order = np.lexsort((found, at, r))
-        r, at, found = r[order], at[order], found[order]
-        first = np.concatenate([[True], r[1:] != r[:-1]])
-        r, at, found = r[first], at[first], found[first]
-        better = (at < least[r]) | (at == least[r]) & (found < other[r])
-        least[r[better]], other[r[better]] = at[better], found[better]
-    known = np.isfinite(least)
-    return pa.table({"id": a.ids[known], "other": other[known], "d": least[known]})
-
-
 def nearest_clusters(queries: DataFrame, clusters: DataFrame) -> DataFrame:
     """(id, other, d): for each query the cluster that it would merge with at least cost."""
 
     def answer(a: Block, b: Block) -> pa.Table:
-        def others():
-            for rows, cols, d in ward_costs(a, b):
-                _put(d, a.ids[rows], b.ids[cols], np.inf)
-                yield rows, cols, d
-
-        return _nearest(a, b, others())
+        # Itself is shut out.
+        order = np.argsort(b.ids)
+        i = order[np.minimum(np.searchsorted(b.ids[order], a.ids), len(order) - 1)]
+        return nearest_in_block(Pairs(a, b, ward=True), 1, i, i + (b.ids[i] == a.ids))
 
-    found = _searched(queries, clusters, answer, NEAREST)
-    return found.groupBy("id").agg(F.min(F.struct("d", "other")).alias("b")).select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
-
-
-def _put(d: np.ndarray, own: np.ndarray, others: np.ndarray, value: float) -> None:
-    """Set the cells of vectors and themselves; ``others`` are in order."""
-    i = np.minimum(np.searchsorted(others, own), len(others) - 1)
-    same = np.flatnonzero(others[i] == own)
-    d[same, i[same]] = value
+    best = F.min(F.element_at("near", 1)).alias("b")
+    return _searched(queries, clusters, answer, LISTS, ("n",)).filter("size(near) > 0").groupBy("id").agg(best).select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
 
 
 MERGES = "a long, b long, height double"
@@ -221,8 +306,10 @@ def merge_in_task(clusters: pa.Table) -> pa.Table:
     block = Block(clusters)
     ids, n = block.ids, block.n.copy()
     d = np.zeros((len(ids), len(ids)))
-    for rows, cols, costs in ward_costs(block, block):
-        d[rows, cols] = np.round(costs, 9)
+    pairs = Pairs(block, block, ward=True, single=False)
+    for rows in block.tiles():
+        for cols, costs, _ in pairs.near(rows):
+            d[rows, cols] = np.round(costs, 9)
     np.fill_diagonal(d, np.inf)
     alive, out = np.ones(len(ids), bool), []
     while alive.sum() > 1:
@@ -287,76 +374,95 @@ def _named(names: DataFrame, found: DataFrame, key: str) -> DataFrame:
     return rows.join(first, "_c").select(key, "group")
 
 
-def core_distances(vectors: DataFrame, least: int) -> DataFrame:
-    """(id, core): the distance to the ``least``-th nearest vector, itself counted; to the farthest if
-    there are fewer."""
+def nearest_outside(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, near): for each query the ``LISTED`` nearest (d, other) among vectors of another ``part``, no farther than its
+    ``limit`` if it has that column; a distance is at least either's ``core``."""
+    bounded = "limit" in queries.columns
 
     def answer(a: Block, b: Block) -> pa.Table:
-        kept = np.full((len(a.ids), least), np.inf)
-        for rows, cols, d in squared_tiles(a, b):
-            _put(d, a.ids[rows], b.ids[cols], 0.0)
-            some = np.flatnonzero(d.min(1) < kept[rows, -1])
-            near = d[some]
-            if near.shape[1] > least:
-                near = np.partition(near, least - 1, axis=1)[:, :least]
-            kept[rows.start + some] = np.sort(np.concatenate([kept[rows.start + some], near], 1), 1)[:, :least]
-        found = np.round(np.sqrt(kept), 9)
-        sizes = np.isfinite(found).sum(1)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-        return pa.table({"id": a.ids, "d": pa.ListArray.from_arrays(offsets, pa.array(found[np.isfinite(found)]))})
-
-    found = _searched(vectors, vectors, answer, "id long, d array<double>")
-    nearest = F.slice(F.sort_array(F.flatten(F.collect_list("d"))), 1, least)
-    return found.groupBy("id").agg(F.element_at(nearest, -1).alias("core"))
+        own, part = a.column("part"), b.column("part")
+        cores = a.column("core"), b.column("core")
+        shut = np.searchsorted(part, own), np.searchsorted(part, own, "right")
+        return nearest_in_block(Pairs(a, b), LISTED, *shut, limit=a.column("limit") if bounded else None, cores=cores)
 
+    return _merged_lists(_searched(queries, rows, answer, LISTS, ("part",)), LISTED)
 
-def nearest_outside(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, other, d): for each query the nearest vector of another ``part``, under the distance that is at
-    least either's core."""
+
+def core_distances(vectors: DataFrame, least: int) -> DataFrame:
+    """(id, core): the distance to the ``least``-th nearest vector, itself counted; to the farthest if
+    there are fewer."""
 
     def answer(a: Block, b: Block) -> pa.Table:
-        (core_a, part_a), (core_b, part_b) = ((x.column("core") ** 2, x.column("part")) for x in (a, b))
+        shut = np.searchsorted(b.ids, a.ids), np.searchsorted(b.ids, a.ids, "right")
+        return nearest_in_block(Pairs(a, b), max(1, least - 1), *shut)
 
-        def outside():
-            for own, others, d in squared_tiles(a, b):
-                np.maximum(d, core_a[own, None], out=d)
-                np.maximum(d, core_b[None, others], out=d)
-                d[part_a[own, None] == part_b[None, others]] = np.inf
-                yield own, others, d
+    return _merged_lists(_searched(vectors, vectors, answer, LISTS), max(1, least - 1)).select("id", _core(least).alias("core"))
 
-        return _nearest(a, b, outside(), root=True)
 
-    found = _searched(queries, rows, answer, NEAREST)
-    return found.groupBy("id").agg(F.min(F.struct("d", "other")).alias("b")).select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
+def _core(least: int):
+    """The distance to the ``least``-th nearest one of a list, itself counted."""
+    if least < 2:
+        return F.lit(0.0)
+    return F.coalesce(F.try_element_at("near", F.lit(least - 1)).getField("d"), F.try_element_at("near", F.lit(-1)).getField("d"), F.lit(0.0))
 
 
 def spanning_tree(vectors: DataFrame, least: int) -> DataFrame:
     """(a, b, d): the minimum spanning tree under the distance that is at least either's core."""
-    rows = materialize(vectors.join(core_distances(vectors, least), "id").withColumn("part", F.col("id")), "cores")
-    tree, near = None, None
-    while rows.select("part").distinct().count() > 1:
-        parts = rows.select("id", "part")
-        if near is None:
-            near = materialize(nearest_outside(rows, rows), "near")
-            holds = near.join(parts, "id")
-        else:
-            # What was found holds unless it has joined the own part; a part's best bounds who searches again.
-            told = near.join(parts, "id").join(parts.select(F.col("id").alias("other"), F.col("part").alias("po")), "other")
-            best = told.filter("part <> po").groupBy("part").agg(F.min("d").alias("best"))
-            told = told.join(best, "part", "left")
-            told = materialize(told.select("id", "other", "d", "part", (F.col("part") != F.col("po")).alias("holds"), ((F.col("part") == F.col("po")) & (F.col("best").isNull() | (F.col("d") <= F.col("best")))).alias("again")), "told")
-            found = materialize(nearest_outside(rows.join(told.filter("again").select("id"), "id", "left_semi"), rows), "found")
-            near = told.filter("NOT again").select("id", "other", "d").unionByName(found)
-            holds = told.filter("holds").select("id", "other", "d", "part").unionByName(found.join(parts, "id"))
-        ends = [F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")]
-        best = holds.select("part", "d", *ends).groupBy("part").agg(F.min(F.struct("d", "a", "b")).alias("e"))
-        links = materialize(best.select("e.a", "e.b", "e.d").distinct(), "links")
-        tree = links if tree is None else tree.unionByName(links)
-        end = lambda c: parts.select(F.col("id").alias(c), F.col("part").alias(f"p{c}"))
-        joined = components(links.join(end("a"), "a").join(end("b"), "b").select(F.col("pa").alias("src"), F.col("pb").alias("dst")))
-        to = joined.select(F.col("node").alias("part"), F.col("component").alias("to"))
-        rows = materialize(rows.join(to, "part").withColumn("part", F.col("to")).select(*rows.columns), "parts")
-    return tree if tree is not None else rows.sparkSession.createDataFrame([], "a long, b long, d double")
+    alone = vectors.withColumn("part", F.col("id"))
+    if listed := least - 1 <= LISTED // 2:
+        rows = alone.withColumn("core", F.lit(0.0))
+    else:
+        rows = materialize(alone.join(core_distances(vectors, least), "id"), "cores")
+    near = materialize(nearest_outside(rows, rows), "near")
+    cores = near.select("id", _core(least).alias("core")) if listed else rows.select("id", "core")
+    # All others are at least as far as ``bound``.
+    bound = F.when(F.size("near") == LISTED, F.element_at("near", -1).getField("d")).otherwise(math.inf)
+    members = materialize(near.select("id", bound.alias("bound")).join(cores, "id").withColumn("part", F.col("id")), "members")
+    core = lambda c: cores.select(F.col("id").alias(c), F.col("core").alias(f"core_{c}"))
+    pairs = near.select("id", F.explode("near").alias("e")).select(*_ends("id", "e.other"), F.col("e.d").alias("d")).distinct()
+    far = pairs.join(core("a"), "a").join(core("b"), "b").select("a", "b", F.greatest("d", "core_a", "core_b").alias("d"), F.col("a").alias("pa"), F.col("b").alias("pb"))
+    edges, tree = materialize(far, "edges"), None
+    while True:
+        parts = members.groupBy("part").agg(F.min("bound").alias("bound"), F.count(F.lit(1)).alias("n"))
+        both = edges.select(F.col("pa").alias("part"), "d", "a", "b").unionByName(edges.select(F.col("pb").alias("part"), "d", "a", "b"))
+        best = both.groupBy("part").agg(F.min(F.struct("d", "a", "b")).alias("e"))
+        parts = materialize(parts.join(best, "part", "left"), "parts")
+        counts = parts.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("e.d") < F.col("bound")).alias("sure"), F.max_by("part", "n").alias("largest")).first()
+        if counts["all"] < 2:
+            break
+        # A part's best edge is of the tree if no unknown one can be as near. Only if that is so of none, all but the
+        # largest search, and theirs are.
+        chosen = parts.filter(F.col("e.d") < F.col("bound")).select("e.*")
+        if not counts.sure:
+            seeking = parts.filter(F.col("part") != counts.largest).select("part", F.coalesce("e.d", F.lit(math.inf)).alias("limit"))
+            asked = members.join(seeking, "part").filter("bound <= limit").select("id", "limit")
+            held = vectors.join(members.select("id", "core", "part"), "id")
+            found = materialize(nearest_outside(held.join(asked, "id"), held), "found")
+            # Edges of which only one was asked for are as good as known.
+            nearest = found.filter("size(near) > 0").select("id", F.explode("near").alias("e")).select("id", F.col("e.other").alias("other"), F.col("e.d").alias("d"))
+            side = lambda c, p: members.select(F.col("id").alias(c), F.col("part").alias(p))
+            fresh = nearest.join(side("id", "pi"), "id").join(side("other", "po"), "other")
+            a_first = F.col("id") < F.col("other")
+            fresh = fresh.select(*_ends("id", "other"), "d", F.when(a_first, F.col("pi")).otherwise(F.col("po")).alias("pa"), F.when(a_first, F.col("po")).otherwise(F.col("pi")).alias("pb"))
+            edges = materialize(edges.unionByName(fresh), "edges")
+            both = edges.select(F.col("pa").alias("part"), "d", "a", "b").unionByName(edges.select(F.col("pb").alias("part"), "d", "a", "b"))
+            chosen = both.join(seeking.select("part"), "part", "left_semi").groupBy("part").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.*")
+            told = asked.join(found, "id", "left").select("id", F.when(F.size("near") == LISTED, F.element_at("near", -1).getField("d")).otherwise(F.col("limit")).alias("now"))
+            members = members.join(told, "id", "left").withColumn("bound", F.greatest("bound", "now")).drop("now")
+        links = materialize(chosen.join(edges, ["d", "a", "b"]).select("a", "b", "d", "pa", "pb").distinct(), "links")
+        tree = links.select("a", "b", "d") if tree is None else tree.unionByName(links.select("a", "b", "d"))
+        joined = materialize(components(links.select(F.col("pa").alias("src"), F.col("pb").alias("dst"))), "joined")
+        to = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"to_{c}"))
+        moved = edges.join(to("pa"), "pa", "left").join(to("pb"), "pb", "left")
+        moved = moved.select("a", "b", "d", F.coalesce("to_pa", "pa").alias("pa"), F.coalesce("to_pb", "pb").alias("pb")).filter("pa <> pb")
+        # Of the edges between two parts the best will do.
+        edges = materialize(moved.groupBy(F.least("pa", "pb"), F.greatest("pa", "pb")).agg(F.min(F.struct("d", "a", "b", "pa", "pb")).alias("e")).select("e.*"), "edges")
+        members = materialize(members.join(to("part"), "part", "left").withColumn("part", F.coalesce("to_part", "part")).drop("to_part"), "members")
+    return tree if tree is not None else members.sparkSession.createDataFrame([], "a long, b long, d double")
+
+
+def _ends(one: str, two: str) -> list:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
 
 
 def condense(links: list[tuple[int, int, float]], points: list[int], least: int) -> dict[int, int]:
