@@ -180,3 +180,27 @@ def test_density_of_copies_far_from_the_origin_with_short_lists(spark, monkeypat
     want = plain_labels(x, 3)
     got = groups_of(H.hdbscan_groups(v, names, "genome", 3, fewest=1))
     assert {g for g in got if len(g) > 1} == want and len(want) >= 4
+
+
+def test_clusters_whose_nearest_merged_take_the_next_of_their_lists(spark, monkeypatch):
+    """Beside merged clusters few search again, also where near copies merge that are both on others' lists."""
+    monkeypatch.setattr(H, "SMALL", 12)
+    asked, search = [], H.nearest_clusters
+    monkeypatch.setattr(H, "nearest_clusters", lambda queries, *more: asked.append(queries.select("id").distinct().count()) or search(queries, *more))
+    r = np.random.RandomState(4)
+    x = np.repeat(r.randn(40, 12), 2, 0) + r.randn(80, 12) * 0.05
+    v, names = vectors(spark, x)
+    assert groups_of(H.ward_groups(v, names, "genome", 7)) == plain_ward(x, 7)
+    assert asked[0] == 80 and sum(asked) < 240, asked
+
+
+def test_ward_adds_vectors_that_hold_different_places(spark, monkeypatch):
+    monkeypatch.setattr(H, "SMALL", 3)
+    monkeypatch.setattr(H, "KEPT", 2)
+    r = np.random.RandomState(8)
+    x = (r.rand(22, 9) < 0.4).astype(float) * np.arange(1, 10) ** 1.37
+    rows = [(f"g{i:03d}", int(j), float(x[i, j])) for i in range(22) for j in np.flatnonzero(x[i])] + [(f"g{i:03d}", None, None) for i in np.flatnonzero(x.sum(1) == 0)]
+    held = spark.createDataFrame(rows, "genome string, j int, x double").groupBy("genome").agg(H.F.array_sort(H.F.collect_list(H.F.struct("j", "x"))).alias("e"))
+    names = held.select(H.F.substring("genome", 2, 3).cast("long").alias("id"), "genome")
+    v = held.select(H.F.substring("genome", 2, 3).cast("long").alias("id"), H.F.lit(1.0).alias("n"), H.F.col("e.j").alias("at"), H.F.col("e.x").alias("v"))
+    assert groups_of(H.ward_groups(v, names, "genome", 5)) == plain_ward(x, 5)

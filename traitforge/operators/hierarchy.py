@@ -10,8 +10,10 @@ of features fits; with many places the product is in double precision and runs o
 
 Ward: two clusters that are nearest to each other merge, all such pairs of a round at once, and the
 sums of their vectors are added. A merge never brings anything nearer than its parts were, so these
-are the merges that taking the nearest pair of all, one at a time, would make. Only merged clusters, and
-those whose nearest one merged, search again. The last ``SMALL`` clusters are merged in one task.
+are the merges that taking the nearest pair of all, one at a time, would make. A search lists the ``KEPT`` nearest
+of a cluster, and so bounds how near any other is; of merged ones the recurrence for Ward's distance gives a lower bound.
+Only merged clusters, and those whose nearest one is no longer known, search again. The last ``SMALL`` clusters are merged
+in one task.
 
 HDBSCAN: distances to the ``least``-th nearest (itself counted) are cores; the distance of two vectors
 is at least either's core. One search of all vectors lists the ``LISTED`` nearest of each, and so bounds how near
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -42,11 +44,15 @@ from .graph import components
 from .prefix import numbered
 
 #: Vectors and places of them multiplied at once, and clusters that one task merges.
-BLOCK, PLACES, SMALL = 1000, 4096, 2048
-#: Pairs of blocks of a search, and values in a block at most.
-TASKS, VALUES = 64, 8_000_000
+BLOCK, PLACES, SMALL = 1000, 4096, 6144
+#: Pairs of blocks of a search, fewer if there is little to do, and values in a block at most.
+TASKS, LEAST_TASKS, VALUES = 64, 8, 8_000_000
 #: Nearest vectors kept of each one, from which most of a spanning tree is known.
 LISTED = 16
+#: Pairs of vectors from which a search's pairs of blocks are dealt to partitions of their own.
+LARGE = 2_000_000_000
+#: Cheapest merges kept of each cluster, and how many numbers of clusters are sent to all tasks at most.
+KEPT, FEW = 5, 50_000
 
 VECTORS = "id long, n double, at array<int>, v array<double>"
 
@@ -72,9 +78,14 @@ def presence_vectors(present: DataFrame, key: str, feature: str) -> tuple[DataFr
 
 class Block:
     """Vectors of a block in order of their numbers, or of other columns first: means by row, and what else
-    their table holds."""
+    their table holds. Of those with a ``version`` the last one of a number counts, without members it is gone."""
 
     def __init__(self, table: pa.Table, order: tuple[str, ...] = ()):
+        if "version" in table.column_names:
+            ids, version = table.column("id").to_numpy(), table.column("version").to_numpy()
+            by = np.lexsort((version, ids))
+            last = by[np.append(ids[by][1:] != ids[by][:-1], True)] if len(by) else by
+            table = table.take(last[table.column("n").to_numpy()[last] > 0])
         table = table.sort_by([(c, "ascending") for c in (*order, "id")])
         self.table, self.ids, self.n = table, table.column("id").to_numpy(), table.column("n").to_numpy()
         at, v = (table.column(c).combine_chunks() for c in ("at", "v"))
@@ -251,14 +262,16 @@ def nearest_in_block(pairs: Pairs, k: int, first: np.ndarray, last: np.ndarray,
     return pa.table({"id": np.concatenate(ids), "near": pa.ListArray.from_arrays(offsets, each)})
 
 
-def _merged_lists(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best of each id of what blocks found."""
-    return found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+def _merged_lists(found: DataFrame, k: int, *more: str) -> DataFrame:
+    """The ``k`` best of each id (and ``more``) of what blocks found."""
+    return found.groupBy("id", *more).agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
 
 
-def _searched(queries: DataFrame, rows: DataFrame, answer, schema: str, order: tuple[str, ...] = ()) -> DataFrame:
-    """``answer(queries, rows)`` for each pair of blocks, both :class:`Block` in this ``order``."""
-    nq, nr = _blocks(*(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first() for df in (queries, rows)))
+def _searched(queries: DataFrame, rows: DataFrame, answer, schema: str, order: tuple[str, ...] = (), sizes=None) -> DataFrame:
+    """``answer(queries, rows)`` for each pair of blocks, both :class:`Block` in this ``order``; ``sizes`` are the rows and values
+    of both where they are known."""
+    sizes = sizes or [_size(df) for df in (queries, rows)]
+    nq, nr = _blocks(*sizes)
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # The two may be one table, whose columns need names of their own on either side.
@@ -268,34 +281,42 @@ def _searched(queries: DataFrame, rows: DataFrame, answer, schema: str, order: t
     empty = T._parse_datatype_string(schema)
 
     def work(a: pa.Table, b: pa.Table) -> pa.Table:
-        return answer(Block(a, order), Block(b, order)) if a.num_rows and b.num_rows else to_arrow_schema(empty).empty_table()
+        a, b = Block(a, order), Block(b, order)
+        return answer(a, b) if len(a.ids) and len(b.ids) else to_arrow_schema(empty).empty_table()
 
-    # Two partitions a pair: few get more than two or three of them.
-    q, r = (df.repartition(2 * nq * nr, "qb", "rb") for df in (q, r))
+    if sizes[0][0] * sizes[1][0] > LARGE:
+        # Two partitions a pair: few get more than two or three of them.
+        q, r = (df.repartition(2 * nq * nr, "qb", "rb") for df in (q, r))
     return q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(work, schema)
 
 
+def _size(df: DataFrame) -> tuple[int, int]:
+    return tuple(df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("at")), F.lit(0))).first())
+
+
 def _blocks(queries: tuple[int, int], rows: tuple[int, int]) -> tuple[int, int]:
     """Blocks of the queries and of the rows, of which numbers and values are given: about ``TASKS``
     pairs that send little, none of less than ``BLOCK`` or more than ``VALUES``. Blocks of rows are larger, since each finds
     its best anew."""
+    tasks = min(TASKS, max(LEAST_TASKS, queries[0] * rows[0] // (20 * BLOCK * BLOCK)))
     most = [max(1, -(-n // BLOCK)) for n, _ in (queries, rows)]
     least = [max(1, -(-values // VALUES)) for _, values in (queries, rows)]
-    nq = max(least[0], min(most[0], round(math.sqrt(2 * TASKS * max(1, queries[0]) / max(1, rows[0])))), 1)
-    return nq, max(least[1], min(most[1], -(-TASKS // nq)))
+    nq = max(least[0], min(most[0], round(math.sqrt(2 * tasks * max(1, queries[0]) / max(1, rows[0])))), 1)
+    return nq, max(least[1], min(most[1], -(-tasks // nq)))
 
 
-def nearest_clusters(queries: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(id, other, d): for each query the cluster that it would merge with at least cost."""
+def nearest_clusters(queries: DataFrame, clusters: DataFrame, sizes=None) -> DataFrame:
+    """(id, n, near, bound): for each query its size, the ``KEPT`` clusters that it would merge with at least cost, and what any other
+    one costs at least."""
 
     def answer(a: Block, b: Block) -> pa.Table:
         # Itself is shut out.
         order = np.argsort(b.ids)
         i = order[np.minimum(np.searchsorted(b.ids[order], a.ids), len(order) - 1)]
-        return nearest_in_block(Pairs(a, b, ward=True), 1, i, i + (b.ids[i] == a.ids))
+        return nearest_in_block(Pairs(a, b, ward=True), KEPT, i, i + (b.ids[i] == a.ids)).append_column("n", pa.array(a.n))
 
-    best = F.min(F.element_at("near", 1)).alias("b")
-    return _searched(queries, clusters, answer, LISTS, ("n",)).filter("size(near) > 0").groupBy("id").agg(best).select("id", F.col("b.other").alias("other"), F.col("b.d").alias("d"))
+    found = _merged_lists(_searched(queries, clusters, answer, f"{LISTS}, n double", ("n",), sizes), KEPT, "n")
+    return found.withColumn("bound", F.when(F.size("near") == KEPT, F.element_at("near", -1).getField("d")).otherwise(math.inf))
 
 
 MERGES = "a long, b long, height double"
@@ -332,33 +353,73 @@ def merge_in_task(clusters: pa.Table) -> pa.Table:
 def ward_merges(vectors: DataFrame) -> DataFrame:
     """(a, b, height): every merge of the hierarchy; ``a`` < ``b`` are the smallest numbers of the two
     clusters, ``height`` is the squared one of the usual dendrogram."""
-    clusters, merges, near = materialize(vectors, "clusters"), None, None
-    while (count := clusters.count()) > SMALL:
+    # Merged clusters are added as further versions, of which now and then the last ones are written anew.
+    clusters, merges, near, turn, parts = materialize(vectors.withColumn("version", F.lit(0)), "clusters"), None, None, 0, 1
+    count, values = _size(clusters)
+    held, each = count, values / max(count, 1)
+    while count > SMALL:
         if near is None:
-            near = materialize(nearest_clusters(clusters, clusters), "near")
-        back = near.select(F.col("id").alias("other"), F.col("other").alias("id"))
-        pairs = materialize(near.join(back, ["id", "other"]).filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("height")), "merges")
-        merges = pairs if merges is None else merges.unionByName(pairs)
-        gone = pairs.select(F.explode(F.array("a", "b")).alias("gone"), F.col("a").alias("to"))
-        # Only merged clusters are added up, the others stay as they are.
-        kept = clusters.join(gone, F.col("id") == F.col("gone"), "left_anti")
-        moved = clusters.join(gone, F.col("id") == F.col("gone")).select(F.col("to").alias("id"), "n", "at", "v")
-        sizes = moved.groupBy("id").agg(F.sum("n").alias("n"))
-        values = moved.select("id", F.explode(F.arrays_zip("at", "v")).alias("x")).groupBy("id", F.col("x.at").alias("at")).agg(F.sum("x.v").alias("v"))
-        listed = values.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("x"))
-        none = lambda kind: F.array().cast(f"array<{kind}>")
-        added = sizes.join(listed, "id", "left").select("id", "n", F.coalesce("x.at", none("int")).alias("at"), F.coalesce("x.v", none("double")).alias("v"))
-        clusters = materialize(kept.unionByName(added), "clusters")
-        if clusters.count() == count:
+            near = nearest_clusters(clusters, clusters)
+        near, turn = materialize(near, "near"), turn + 1
+        first = near.select("id", "n", F.element_at("near", 1).alias("e")).select("id", "n", F.col("e.other").alias("other"), F.col("e.d").alias("d"))
+        back = first.select(F.col("id").alias("other"), F.col("other").alias("id"), F.col("n").alias("nb"))
+        pairs = first.join(back, ["id", "other"]).filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), F.col("d").alias("height"), F.col("n").alias("na"), "nb")
+        seen = Observation()
+        pairs = materialize(pairs.observe(seen, F.count(F.lit(1)).alias("n")), "merges")
+        merged = seen.get["n"]
+        if not merged:
             raise RuntimeError("no two clusters are nearest to each other")
-        still = near.join(gone, F.col("id") == F.col("gone"), "left_anti")
-        settled = still.join(gone, F.col("other") == F.col("gone"), "left_anti")
-        again = clusters.join(settled.select("id"), "id", "left_anti")
-        near = materialize(settled.unionByName(nearest_clusters(again, clusters)), "near")
+        merges = pairs.select("a", "b", "height") if merges is None else merges.unionByName(pairs.select("a", "b", "height"))
+        side = lambda gone, mate, n, m: F.struct(F.col(gone).alias("gone"), F.col(mate).alias("mate"), F.col(n).alias("ng"), F.col(m).alias("nm"))
+        gone = pairs.select(F.col("a").alias("to"), "height", F.explode(F.array(side("a", "b", "na", "nb"), side("b", "a", "nb", "na"))).alias("s")).select("to", "height", "s.*")
+        gone = F.broadcast(gone) if merged <= FEW else gone
+        dead = pairs.select(F.col("b").alias("id"), F.lit(0.0).alias("n"), F.array().cast("array<int>").alias("at"), F.array().cast("array<double>").alias("v"))
+        added = _added(clusters.join(gone.select(F.col("gone").alias("id"), "to"), "id"))
+        clusters = clusters.unionByName(materialize(added.unionByName(dead).withColumn("version", F.lit(turn)), "merged"))
+        count, held, parts = count - merged, held + 2 * merged, parts + 1
+        if held > 1.5 * count or parts > 8:
+            last = clusters.groupBy("id").agg(F.max_by(F.struct("n", "at", "v"), "version").alias("c")).filter("c.n > 0")
+            clusters, held, parts = materialize(last.select("id", "c.*", F.lit(turn).alias("version")), "clusters"), count, 1
+        seen = Observation()
+        told = materialize(_still_near(near, gone).observe(seen, F.count_if(~F.col("known")).alias("n")), "told")
+        asked = told.filter("NOT known").select("id").unionByName(pairs.select(F.col("a").alias("id")))
+        n = seen.get["n"] + merged
+        queries = clusters.join(F.broadcast(asked) if n <= FEW else asked, "id", "left_semi")
+        # A merged cluster may hold twice the values of others.
+        near = told.filter("known").drop("known").unionByName(nearest_clusters(queries, clusters, [(n, round(2 * n * each)), (held, round(held * each))]))
     rest = clusters.withColumn("_all", F.lit(True)).groupBy("_all").applyInArrow(merge_in_task, MERGES)
     return materialize(rest if merges is None else merges.unionByName(rest), "hierarchy")
 
 
+def _added(moved: DataFrame) -> DataFrame:
+    """The sums of clusters and of those that they merge with (``to``)."""
+    part = F.struct("n", "at", "v")
+    both = moved.groupBy("to").agg(*[F.max_by(part, F.when(own, F.col("version"))).alias(c) for c, own in (("x", F.col("id") == F.col("to")), ("y", F.col("id") != F.col("to")))])
+    held = lambda c: F.map_from_arrays(f"{c}.at", f"{c}.v")
+    zero = F.lit(0.0)
+    listed = F.array_sort(F.map_entries(F.map_zip_with(held("x"), held("y"), lambda _, p, q: F.coalesce(p, zero) + F.coalesce(q, zero))))
+    apart = F.struct(F.transform(listed, lambda e: e.key).alias("at"), F.transform(listed, lambda e: e.value).alias("v"))
+    same = F.struct(F.col("x.at").alias("at"), F.zip_with("x.v", "y.v", lambda p, q: p + q).alias("v"))
+    total = both.select(F.col("to").alias("id"), (F.col("x.n") + F.col("y.n")).alias("n"), F.when(F.col("x.at") == F.col("y.at"), same).otherwise(apart).alias("s"))
+    return total.select("id", "n", "s.at", "s.v")
+
+
+def _still_near(near: DataFrame, gone: DataFrame) -> DataFrame:
+    """The lists of clusters that have not merged, less what has, with lower bounds, and whether their first one is
+    ``known`` to cost least. Merged ones of a list cost what the recurrence for Ward's distance says, at least."""
+    rest = near.join(gone.select(F.col("gone").alias("id")), "id", "left_anti")
+    each = rest.select("id", "n", "bound", F.explode("near").alias("e")).select("id", "n", "bound", "e.d", "e.other")
+    mates = each.select("id", F.col("other").alias("mate"), F.col("d").alias("dm"))
+    hits = each.join(gone, F.col("other") == F.col("gone")).join(mates, ["id", "mate"], "left")
+    total = (F.col("n") + F.col("ng")) * F.col("d") + (F.col("n") + F.col("nm")) * F.coalesce("dm", "bound") - F.col("n") * F.col("height")
+    # Less what rounding may have added.
+    lower = F.min(total / (F.col("n") + F.col("ng") + F.col("nm"))) * (1 - 1e-12) - 1e-8
+    rest = rest.join(hits.groupBy("id").agg(lower.alias("lower"), F.collect_list("gone").alias("hits")), "id", "left")
+    left = F.when(F.col("hits").isNull(), F.col("near")).otherwise(F.filter("near", lambda e: ~F.array_contains("hits", e.other)))
+    told = rest.select("id", left.alias("near"), F.least("bound", "lower").alias("bound"), "n")
+    return told.withColumn("known", F.coalesce(F.try_element_at("near", F.lit(1)).getField("d") < F.col("bound"), F.lit(False)))
+
+
 def ward_groups(vectors: DataFrame, names: DataFrame, key: str, k: int) -> DataFrame:
     """(``key``, group): the ``k`` clusters of Ward's hierarchy, each named by its smallest member."""
     merges = ward_merges(vectors)
